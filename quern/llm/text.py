@@ -71,10 +71,10 @@ class Words:
 
     __slots__ = ("data", "docs", "hash", "start", "end", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True, letters: np.ndarray = _WORD):
         self.data, self.docs = data, offsets
         n = len(data)
-        w = _WORD[data]
+        w = letters[data]
         head = w.copy()
         head[1:] &= ~w[:-1]
         inner = offsets[1:-1]
