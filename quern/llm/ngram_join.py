@@ -29,7 +29,7 @@ from quern.llm import text as T
 from quern.llm.components import connected
 from quern.session import materialise, partitions
 
-LIGHT, BLOCK, RUN = 32, 1024, 1 << 21
+LIGHT, BLOCK, RUN = 32, 8192, 1 << 21
 _U = np.uint64
 
 
@@ -186,7 +186,8 @@ def _assemble(shared: pa.Table, classes: pa.Table, num: int, den: int) -> pa.Tab
         q = max(0, int(n[i] - c[i] + 1 - n1))
         q2 = min(max(0, int(n[i] - c[i] + 2 - n1)), int(stop[i] - start[i]))
         s = slice(start[i], stop[i])
-        for k, v in zip(rows, (int(node[start[i]]), int(rep[i]), int(n[i]), n1, float(freq[s][:q].sum()), q2 * (q2 - 1) / 2, h[s].tobytes())):
+        met = 1 + np.minimum(freq[s][:q2], LIGHT) / 2  # a row, and the pairs that it is in
+        for k, v in zip(rows, (int(node[start[i]]), int(rep[i]), int(n[i]), n1, float(met[:q].sum()), float((met * np.arange(q2 - 1, -1, -1)).sum()), h[s].tobytes())):
             rows[k].append(v)
     return pa.Table.from_pydict(rows, schema=_NODE)
 
