@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quern.plans.declare import ORACLES, QUERIES, Tables, query  # noqa: F401
+from quern.plans import batches, catalogs, corpora, ranking, scans, telemetry, vectors  # noqa: F401, I001
+
+__all__ = ["ORACLES", "QUERIES", "Tables", "query", "Callable", "DataFrame", "SparkSession"]

@@ -64,5 +64,10 @@ def materialise(df: DataFrame, label: str = "t", free: bool = True) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Fewer rows in each Arrow batch than Spark's default: with long texts, batches are a worker's largest buffers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
