@@ -125,3 +125,23 @@ def f07(t: Tables) -> DataFrame:
 @query("p22_batch_validity", f"WITH {PAIRS} SELECT query_id, CASE WHEN passage = '' THEN 'empty positive' END AS problem FROM qp WHERE passage = ''")
 def p22(t: Tables) -> DataFrame:
     return pairs(t).where(~corpus.is_text(F.col("passage"))).select("query_id", F.lit("empty positive").alias("problem"))
+
+
+@query("st3_ordered_delivery", f"WITH {_PLAN}, {_STEPS.format(b=1)} SELECT step, position, doc_id, row_number() OVER (ORDER BY step, position) - 1 AS delivered FROM p JOIN st USING (source, batch_ordinal)")
+def st3(t: Tables) -> DataFrame:
+    p = _plan(t)
+    rows = p.join(batching.steps(p, "source"), ["source", "batch_ordinal"]).select("step", "position", "doc_id")
+    return corpus.dense_ids(rows, ["step", "position"], "delivered")
+
+
+@query("st5_open_units")
+def st5(t: Tables) -> DataFrame:
+    from quern.plans.workflow import open_units
+
+    steps = batching.steps(_plan(t), "source").where("step < 1000").orderBy("step").limit(1000).collect()
+    return t.spark.createDataFrame(open_units([r["source"] for r in steps], 4), "step int, opened string, evicted string")
+
+
+@query("v11_group_layout", f"WITH {_PLAN} SELECT source, batch_ordinal, count(*) AS n FROM p GROUP BY source, batch_ordinal HAVING count(*) % 4 <> 0 OR count(*) = 0")
+def v11(t: Tables) -> DataFrame:
+    return _plan(t).groupBy("source", "batch_ordinal").agg(F.count(F.lit(1)).alias("n")).where("n % 4 <> 0 OR n = 0")

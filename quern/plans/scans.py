@@ -189,3 +189,51 @@ def st6(t: Tables) -> DataFrame:
     from quern.operators import metrics
 
     return metrics.smoothed(first, "event_type", "event_id", "value", 0.5).select("event_type", F.round("ema", 6).alias("ema"))
+
+
+@query("s07_checked_reader", "SELECT vec_id, label FROM embeddings")
+def s07(t: Tables) -> DataFrame:
+    path = records.scratch(t.spark, "checked")
+    df = t.embeddings.select("vec_id", "label")
+    records.publish(df, path)
+    return records.open_table(t.spark, path, df.schema, df.count())
+
+
+@query("s12_catalog_document")
+def s12(t: Tables) -> DataFrame:
+    from quern.plans.workflow import parse_catalog
+
+    text = "schema_version: 1\nsources:\n- source_id: a\n  sampling_units:\n  - sampling_unit_id: u\n    shards: [x.parquet, {path: y.parquet, row_start: 0, row_stop: 5}]\n"
+    try:
+        doc = parse_catalog(text)
+    except RuntimeError:  # without the yaml package, the same document in JSON
+        doc = parse_catalog('{"schema_version": 1, "sources": [{"source_id": "a", "sampling_units": [{"sampling_unit_id": "u", "shards": ["x.parquet", {"path": "y.parquet", "row_start": 0, "row_stop": 5}]}]}]}')
+    rows = [(s["source_id"], u["sampling_unit_id"], *((x["path"], x["row_start"], x["row_stop"]) if isinstance(x, dict) else (x, None, None))) for s in doc["sources"] for u in s["sampling_units"] for x in u["shards"]]
+    return t.spark.createDataFrame(rows, "source_id string, unit_id string, path string, row_start long, row_stop long")
+
+
+@query("s17_atomic_document", "SELECT 7 AS version, 'done' AS state")
+def s17(t: Tables) -> DataFrame:
+    path = records.scratch(t.spark, "state") + ".json"
+    records.write_text(t.spark, path, '{"version": 6, "state": "begun"}')
+    records.write_text(t.spark, path, '{"version": 7, "state": "done"}')
+    return t.spark.read.schema("version int, state string").json(path)
+
+
+@query("s18_zstd_tables", "SELECT item_id, text FROM benchmark")
+def s18(t: Tables) -> DataFrame:
+    path = records.scratch(t.spark, "zstd")
+    records.publish(t.benchmark.select("item_id", "text"), path, records_per_file=4096, compression="zstd")
+    return t.spark.read.parquet(path)
+
+
+@query("t13_stable_order", "SELECT source, lang, row_number() OVER (ORDER BY source, lang) - 1 AS ordinal FROM (SELECT DISTINCT source, lang FROM documents)")
+def t13(t: Tables) -> DataFrame:
+    from quern.operators.corpus import dense_ids
+
+    return dense_ids(t.documents.select("source", "lang").distinct(), ["source", "lang"], "ordinal")
+
+
+@query("p21_count_audit", "SELECT source, count(*) AS n, 50 AS expected, count(*) <> 50 AS warning FROM documents GROUP BY source")
+def p21(t: Tables) -> DataFrame:
+    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", F.lit(50).alias("expected"), (F.col("n") != 50).alias("warning"))

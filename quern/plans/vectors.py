@@ -196,3 +196,24 @@ def f17(t: Tables) -> DataFrame:
 @query("f19_softplus", "SELECT event_id, round(ln(1 + exp(value / 100)), 6) AS softplus FROM events")
 def f19(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(V.softplus(F.col("value") / 100), 6).alias("softplus"))
+
+
+@query("v17_weight_search", f"WITH {_G}, a AS (SELECT unnest(range(0, 11)) / 10 AS alpha), l AS (SELECT alpha, avg({_LSE.format('m')} - m[1]) AS loss FROM (SELECT alpha, [alpha * s[i] + (1 - alpha) * s[i % 4 + 1] FOR i IN [1, 2, 3, 4]] AS m FROM g, a) GROUP BY alpha) SELECT round(alpha, 6) AS alpha, round(loss, 6) AS loss, row_number() OVER (ORDER BY round(loss, 6), alpha)::INT AS place FROM l")
+def v17(t: Tables) -> DataFrame:
+    """The log of a search over merge weights by probe loss; the grid stands in for gradient steps."""
+    from pyspark.sql import Window
+
+    g = _groups(t).withColumn("alpha", F.explode(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10)))
+    turned = F.concat(F.slice("s", 2, 3), F.slice("s", 1, 1))
+    m = F.zip_with("s", turned, lambda x, y: F.col("alpha") * x + (1 - F.col("alpha")) * y)
+    out = g.withColumn("m", m).groupBy("alpha").agg(F.round(F.avg(V.nll(F.col("m"), F.lit(0))), 6).alias("loss"))
+    return out.select(F.round("alpha", 6).alias("alpha"), "loss", F.row_number().over(Window.orderBy("loss", "alpha")).alias("place"))
+
+
+@query("v19_sub_batches", f"WITH {_E} SELECT vec_id, round(v[1] + v[64], 6) AS ends, 8::INT AS n_parts FROM e")
+def v19(t: Tables) -> DataFrame:
+    """Vectors cut into parts of 8, handled apart and put together again in order."""
+    parts = _e(t).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))).alias("part", "x"))
+    whole = parts.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("p"))
+    v = F.flatten(F.transform("p", lambda z: z["x"]))
+    return whole.select("vec_id", F.round(F.get(v, F.lit(0)) + F.get(v, F.lit(63)), 6).alias("ends"), F.size("p").alias("n_parts"))
