@@ -45,7 +45,7 @@ def _spans(off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         ids, values = [], []
         for i, j, data, off in T.blocks(b.column(1)):
             grams = list(_grams(data))
@@ -126,7 +126,7 @@ def train(docs: DataFrame, allowed: str = "true") -> Model | None:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         n = b.num_rows
         lang, score = np.full(n, "und", object), np.zeros(n)
         for i, j, data, off in T.blocks(b.column(1)) if model else ():

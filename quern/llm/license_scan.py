@@ -136,7 +136,7 @@ class Library:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], library: Library) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         rows: list[list] = [[], [], [], [], []]
         for i, j, data, off in T.blocks(b.column(1)):
             sh, begin = _shingles(data, off)

@@ -43,7 +43,7 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         for row, s in T.shingle_sets(b.column(1), k):
             n[row], node[row] = len(s), _digest(s) if len(s) else 0
@@ -98,7 +98,7 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int) -> Iterator
         return pa.RecordBatch.from_pydict(rows, schema=_RUN)
 
     size = 0
-    for b in batches:
+    for b in T.slices(batches, 0):
         for _, s in T.shingle_sets(b.column(0), k):
             if len(s) and (d := _digest(s)) not in nodes:
                 nodes[d] = len(held)

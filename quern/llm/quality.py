@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import text as T
 from quern.llm.host_rules import SALTS
-from quern.session import materialise, table
+from quern.session import materialise
 
 LABELLED, RIDGE, STEPS, SITE_WEIGHT = 50_000, 1e-3, 30, 0.5
 _SETS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"|", b"#*$%&", b"<>/\\", b"\n", b"@_=+~^", b"()[]{}\"'")
@@ -64,18 +64,17 @@ def features(col: pa.Array) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, rate: float):
-        self.mean, self.scale, self.weight, self.rate = mean, scale, weight, rate
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray):
+        self.mean, self.scale, self.weight = mean, scale, weight
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.mean) / self.scale) @ self.weight[:-1] + self.weight[-1], -12, 12)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    """Ridge-penalised logistic regression by Newton's method. One class or no rows: the (smoothed) rate alone."""
-    rate = (y.sum() + 1) / (len(y) + 2)
+    """Ridge-penalised logistic regression by Newton's method. Under ten rows, or one class: even odds for every text."""
     if len(y) < 10 or y.min() == y.max():
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.append(np.zeros(WIDTH), np.log(rate / (1 - rate))), rate)
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1))
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.append((x - mean) / scale, np.ones((len(x), 1)), 1)
     w = np.zeros(z.shape[1])
@@ -85,11 +84,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(mean, scale, w, rate)
+    return Model(mean, scale, w)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, 1):
         x = features(b.column(b.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], names=[*b.schema.names[:-1], "x"])
 
@@ -106,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in T.slices(batches, at):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.logit(features(b.column(at))))], names=[*b.schema.names, "__logit"])
 
 
@@ -136,24 +135,24 @@ def site_rates(scored: DataFrame, host: str, path: str) -> DataFrame:
 
 def _judged(scored: DataFrame, sites: DataFrame, host: str, path: str, key: str) -> DataFrame:
     """scored with its path's rates and quality; each path is dealt out over SALTS parts, so that a hot one is split."""
-    salted = sites.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("path", "__path").withColumnRenamed("host", "__host")
+    salted = sites.select(*(F.col(c).alias(f"__{c}") for c in sites.columns), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     scored = scored.withColumn("__at", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     j = scored.join(salted, scored[host].eqNullSafe(salted["__host"]) & scored[path].eqNullSafe(salted["__path"]) & (F.col("__at") == F.col("__salt")), "left")
     logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-    return j.withColumn("__quality", 1 / (1 + F.exp(-(F.col("__logit") + SITE_WEIGHT * (logit("path_rate") - logit("global_rate"))))))
+    return j.withColumn("__quality", 1 / (1 + F.exp(-(F.col("__logit") + SITE_WEIGHT * (logit("__path_rate") - logit("__global_rate"))))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, doc_score, host_rate, path_rate, quality, kept) of every row of docs.
 
-    Null texts count as empty, null hosts and paths as one of their own. Without labels the classifier is the even rate and
-    keeps all. Rows that repeat are judged alike and each counts in its site; further columns are not read.
+    Null texts count as empty, null hosts and paths as one of their own. With under ten labels, or labels of one class, every
+    quality is 0.5 and all are kept. Rows that repeat are judged alike and each counts in its site; further columns are not read.
     """
     model = train(docs, labels)
     scored = materialise(_with_logit(docs.select("doc_id", host, path, "text"), model).drop("text"), "scores")
     sites = materialise(site_rates(scored, host, path), "sites")
     out = _judged(scored, sites, host, path, "doc_id")
-    return out.select("doc_id", F.round(1 / (1 + F.exp(-F.col("__logit"))), 6).alias("doc_score"), F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), F.round("__quality", 6).alias("quality"), (F.col("__quality") >= 0.5).alias("kept"))
+    return out.select("doc_id", F.round(1 / (1 + F.exp(-F.col("__logit"))), 6).alias("doc_score"), F.round("__host_rate", 6).alias("host_rate"), F.round("__path_rate", 6).alias("path_rate"), F.round("__quality", 6).alias("quality"), (F.round("__quality", 6) >= 0.5).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
@@ -161,8 +160,5 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
     model = train(docs, labels)
     sites = materialise(site_rates(_with_logit(docs.select(host, path, "text"), model), host, path), "sites")
     rows = _with_logit(docs, model)
-    return _judged(rows, sites, host, path, "__logit").where("__quality >= 0.5").select(*docs.columns)
+    return _judged(rows, sites, host, path, "__logit").where("round(__quality, 6) >= 0.5").select(*docs.columns)
 
-
-def of_corpus(spark, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -66,6 +66,30 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with at most so many bytes in column at (one row, where that is longer).
+
+    After the last one, freed memory goes back to the system, so an idle worker holds little.
+    """
+    try:
+        for b in batches:
+            for i, j, _, _ in blocks(b.column(at), most):
+                yield b.slice(i, j - i)
+    finally:
+        release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Words:
     """Words of a block of documents: hash, first and past-last byte, and the first word of each document (n + 1)."""
 

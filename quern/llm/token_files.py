@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quern.llm import text as T
 from quern.session import materialise, partitions
 
-MAGIC, END_ID, SEGMENT_TOKENS, CACHE_WORDS, RANK_BITS = b"DAC1", 1, 1 << 21, 600_000, 512
+MAGIC, END_ID, SEGMENT_TOKENS, CACHE_WORDS, RANK_BITS = b"DAC1", 1, 1 << 21, 300_000, 512
 
 
 def encode_codes(values: np.ndarray) -> bytes:
@@ -173,7 +173,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         data = write_segment(np.concatenate(held), docs, np.concatenate(lengths))
         return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_docs": [len(docs)], "n_tokens": [size], "data": [data]}, schema=_SEGMENT)
 
-    for b in batches:
+    for b in T.slices(batches, 1):
         ids = b.column(0).to_pylist()
         for i, j, data, off in T.blocks(b.column(1)):
             raw = data.tobytes()
