@@ -13,12 +13,15 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_PIECES, CACHE_PAIRS = 400_000, 1 << 20
+from quern.llm import text as T
+
+CACHE_PIECES, CACHE_PAIRS, LONGEST_KEPT = 250_000, 1 << 18, 64
 
 
 class Vocabulary:
@@ -27,39 +30,104 @@ class Vocabulary:
     def __init__(self, lines: list[bytes]):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes = {v: k for k, v in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.length = {v: len(k) for k, v in self.ranks.items()}
+        self.longest = max(self.length.values())
         self.pairs: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Ids by repeated merging of the pair of least rank; short inputs only."""
+        self.splits: dict[int, tuple[int, ...] | None] = {}
+        self.edges: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
+        self.automaton = ahocorasick.Automaton()
+        for k, v in self.ranks.items():
+            self.automaton.add_word(k.decode("latin-1"), v)
+        self.automaton.make_automaton()
+
+    def merge(self, data: bytes, without: int = -1) -> list[int]:
+        """Ids by repeated merging of the pair of least rank, one rank left out; short inputs only."""
         parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
         while len(parts) > 1:
             best, at = None, 0
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
+                if r is not None and r != without and (best is None or r < best):
                     best, at = r, i
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def split(self, a: int) -> tuple[int, ...] | None:
+        """The two tokens whose merge gives the token (none for a single byte); null if merging doesn't lead to it."""
+        if a not in self.splits:
+            parts = self.merge(self.bytes[a], without=a)
+            self.splits[a] = () if self.length[a] == 1 else tuple(parts) if len(parts) == 2 else None
+        return self.splits[a]
+
+    def stands(self, a: int) -> bool:
+        """Whether merging the token's own bytes gives the token."""
+        return self.split(a) is not None
+
+    def edge(self, a: int, side: int) -> list[tuple[bytes, float]]:
+        """What stands at the left (0) or right (1) edge of the token while it is merged, each with the rank that ends it."""
+        if (a, side) not in self.edges:
+            chain, t = [(self.bytes[a], float("inf"))], a
+            while parts := self.split(t):
+                chain.append((self.bytes[parts[side]], t))
+                t = parts[side]
+            self.edges[a, side] = chain[::-1]
+        return self.edges[a, side]
+
     def follows(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of both gives a, b: both edges grow in order of rank, and no merge across comes first."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.pairs[key] = self.stands(b) and self._apart(self.edge(a, 1), self.edge(b, 0))
         return known
 
-    def stands(self, a: int) -> bool:
-        """Whether merging the token's own bytes gives the token."""
-        known = self.whole.get(a)
-        if known is None:
-            known = self.whole[a] = self.merge(self.bytes[a]) == [a]
-        return known
+    def _apart(self, right: list[tuple[bytes, float]], left: list[tuple[bytes, float]]) -> bool:
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = right[i], left[j]
+            across = self.ranks.get(x + y)
+            if across is not None and across < x_ends and across <= y_ends:
+                return False
+            if x_ends <= y_ends:
+                if i + 1 == len(right):
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Bring last up to all prefixes of data. Tokens that end at each byte come from one pass of an automaton."""
+        base = max(0, len(last) - self.longest + 1)
+        length, pairs, follows = self.length, self.pairs, self.follows
+        for end, token in self.automaton.iter(data[base:].decode("latin-1")):
+            end += base
+            if end != len(last):
+                if end < len(last):
+                    continue
+                break
+            begin = end + 1 - length[token]
+            if begin:
+                before = last[begin - 1]
+                ok = pairs.get(before << 32 | token)
+                if ok or ok is None and follows(before, token):
+                    last.append(token)
+            elif self.stands(token):
+                last.append(token)
+        if len(last) != len(data):
+            raise ValueError(f"no token ends at byte {len(last) + 1}")
+
+    def read(self, last: list[int]) -> list[int]:
+        """The ids of the longest prefix, from its stored last tokens."""
+        out, end = [], len(last)
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= self.length[token]
+        return out[::-1]
 
 
 class PrefixEncoder:
@@ -71,21 +139,7 @@ class PrefixEncoder:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        v, data, last, ranks, pairs = self.v, self.data, self.last, self.v.ranks, self.v.pairs
-        for end in range(len(last) + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = ranks.get(data[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    ok = pairs.get(last[begin - 1] << 32 | token)
-                    if ok or ok is None and v.follows(last[begin - 1], token):
-                        break
-                elif v.stands(token):
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-            last.append(token)
+        self.v.extend(self.data, self.last)
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replace bytes start to stop by new; prefixes before start stay as they are."""
@@ -94,45 +148,50 @@ class PrefixEncoder:
         self.append(new + tail)
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.v.bytes[out[-1]])
-        return out[::-1]
+        return self.v.read(self.last)
+
+
+class Pieces(dict):
+    """Pieces of text to their ids; a piece that is a token itself is that token."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.v = vocabulary
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        whole = self.v.ranks.get(data)
+        if whole is not None:
+            ids: tuple[int, ...] = (whole,)
+        else:
+            last: list[int] = []
+            self.v.extend(data, last)
+            ids = tuple(self.v.read(last))
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Text to ids and back: each match of the pattern is a piece; a piece that is a token itself is that token."""
+    """Text to ids and back: each match of the pattern is a piece."""
 
     def __init__(self, lines: list[bytes], pattern: str):
         self.v, self.find = Vocabulary(lines), regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[str, int, tuple[int, ...]]] = {}
-
-    def piece(self, text: str) -> tuple[str, int, tuple[int, ...]]:
-        data = text.encode()
-        whole = self.v.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(PrefixEncoder(self.v, data).ids())
-        return " ".join(map(str, ids)), len(ids), ids
-
-    def parts(self, text: str) -> list[tuple[str, int, tuple[int, ...]]]:
-        known, out = self.pieces, []
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        for p in self.find(text):
-            x = known.get(p)
-            if x is None:
-                x = self.piece(p)
-                if len(p) <= 64:
-                    known[p] = x
-            out.append(x)
-        return out
+        self.pieces = Pieces(self.v)
+        self.decimal = {i: str(i) for i in self.v.bytes}
 
     def encode(self, text: str) -> list[int]:
-        return [i for x in self.parts(text) for i in x[2]]
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        return [i for ids in map(self.pieces.__getitem__, self.find(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, ids))
 
+    def text_of(self, ids: list[int]) -> str:
+        """Decimal ids, joined by one space."""
+        return " ".join(map(self.decimal.__getitem__, ids))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -143,11 +202,11 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, column: int, decode: bool) -> Iterator[pa.RecordBatch]:
     e = encoder(path, pattern)
-    for b in batches:
+    for b in T.slices(batches, column):
         ids: list[np.ndarray] = []
         back: list[bytes] = []
         for x in b.column(column):
-            got = [i for p in e.parts(x.as_py() or "") for i in p[2]]
+            got = e.encode(x.as_py() or "")
             ids.append(np.array(got, np.int32))
             if decode:
                 back.append(e.decode(got))
@@ -170,13 +229,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = Fa
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     e = encoder(path, pattern)
-    for b in batches:
+    for b in T.slices(batches, 1):
         n, ids_hex, decoded_hex = [], [], []
         for x in b.column(1):
-            parts = e.parts(x.as_py() or "")
-            n.append(sum(p[1] for p in parts))
-            ids_hex.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
-            decoded_hex.append(hashlib.sha256(e.decode([i for p in parts for i in p[2]])).hexdigest())
+            ids = e.encode(x.as_py() or "")
+            n.append(len(ids))
+            ids_hex.append(hashlib.sha256(e.text_of(ids).encode()).hexdigest())
+            decoded_hex.append(hashlib.sha256(e.decode(ids)).hexdigest())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
