@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import seeded_md5
+from quern.operators.corpus import dense_ids
 
 
 def plan(df: DataFrame, dataset: str, key: str, batch_size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(dataset, batch_ordinal, position, key): each dataset in hash order, cut into full batches; the rest is left out."""
     order = seeded_md5(seed, epoch, F.col(dataset), F.col(key))
-    w = Window.partitionBy(dataset)
-    out = df.select(dataset, key).withColumn("__r", F.row_number().over(w.orderBy(order, key)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("__n"))
+    out = dense_ids(df.select(dataset, key).withColumn("__o", order), ["__o", key], "__r", [dataset]).drop("__o").join(sizes, dataset)
     out = out.withColumn("batch_ordinal", F.expr(f"__r div {batch_size}")).withColumn("position", (F.col("__r") % batch_size).cast("long"))
     return out.where(F.col("batch_ordinal") < F.expr(f"__n div {batch_size}")).drop("__r", "__n")
 
@@ -20,10 +21,8 @@ def plan(df: DataFrame, dataset: str, key: str, batch_size: int, seed: int = 42,
 def steps(batches: DataFrame, dataset: str, seed: int = 42, epoch: int = 0, block: int = 1) -> DataFrame:
     """(dataset, batch_ordinal, step): batches in hash order of blocks of block consecutive ones, ascending inside.
 
-    One row a batch: the order is global, so it is ranked in range partitions.
+    The order is global: batches are ranked in ranges of it.
     """
-    from quern.operators.corpus import dense_ids
-
     keyed = batches.select(dataset, "batch_ordinal").distinct().withColumn("__block", F.expr(f"batch_ordinal div {block}"))
     keyed = keyed.withColumn("__order", seeded_md5(seed, epoch, F.col(dataset), F.col("__block")))
     return dense_ids(keyed, ["__order", dataset, "batch_ordinal"], "step").drop("__block", "__order")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.corpus import ranged
+
 
 def explode_catalog(sources: DataFrame) -> DataFrame:
     """Nested sources (source_id, units[unit_id, shards[path, row_start, row_stop]]) to one row a shard."""
@@ -41,17 +43,19 @@ def offsets(shards: DataFrame, unit: str, order: list[str], rows: str) -> DataFr
     return shards.withColumn("hi", total).withColumn("lo", total - F.col(rows))
 
 
+STRETCH = 1 << 20
+
+
 def locate(rows: DataFrame, shards: DataFrame, unit: str, row: str) -> DataFrame:
-    """Logical rows with their shard and the row inside it.
+    """Logical rows with their shard and the row inside it; rows beyond the last shard are left out.
 
-    Rows and shard starts are merged in order within the unit and the last start is carried on, so the range join is one
-    sort of both sides and never compares a row with every shard.
+    The range join is an equality on stretches of STRETCH rows: a row lies in one, a shard in those that it touches. A
+    stretch has few shards and a bounded number of rows, so a unit of any size is spread over many tasks.
     """
-    s = shards.select(unit, F.col("lo").alias("__at"), F.lit(0).alias("__kind"), F.struct("shard_id", "lo", "hi").alias("__shard"), F.lit(None).cast("long").alias("__row"))
-    r = rows.select(unit, F.col(row).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(s.schema["__shard"].dataType).alias("__shard"), F.col(row).cast("long").alias("__row"))
-    last = F.last("__shard", ignorenulls=True).over(Window.partitionBy(unit).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    m = s.unionByName(r).withColumn("__found", last).where("__kind = 1 AND __row < __found.hi")
-    return m.select(unit, F.col("__row").alias(row), F.col("__found.shard_id").alias("shard_id"), (F.col("__row") - F.col("__found.lo")).alias("inner_row"))
+    stretch = f"explode(sequence(lo div {STRETCH}, greatest(lo, hi - 1) div {STRETCH})) AS __stretch"
+    s = shards.where("hi > lo").selectExpr(unit, "shard_id", "lo", "hi", stretch)
+    r = rows.select(unit, F.col(row).cast("long").alias(row)).withColumn("__stretch", F.expr(f"`{row}` div {STRETCH}"))
+    return r.join(s, [unit, "__stretch"]).where((F.col(row) >= F.col("lo")) & (F.col(row) < F.col("hi"))).select(unit, row, "shard_id", (F.col(row) - F.col("lo")).alias("inner_row"))
 
 
 def apply_overrides(units: DataFrame, overrides: DataFrame, source: str) -> DataFrame:
@@ -72,9 +76,13 @@ def merge_manifest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def islands(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Number of runs of each key in the order of the table; more than one is a gap.
+    """(key, n_islands): runs of each key in the order of the table; more than one is a gap.
 
-    Change flags come from a window over the order; it is partitioned by nothing, so use it on the ordered ids alone.
+    Changes are found inside ranges of the order; a range's first row is compared with the last key of the range before.
     """
-    change = F.coalesce((F.lag(key).over(Window.orderBy(order)) != F.col(key)).cast("int"), F.lit(1))
-    return df.select(key, order).withColumn("__c", change).groupBy(key).agg(F.sum("__c").alias("n_islands"))
+    dealt = ranged(df.select(key, F.col(order).alias("__o")), ["__o"])
+    last = dealt.groupBy("__part").agg(F.max_by(key, "__o").alias("__last"))
+    last = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__before"))  # one row a range
+    before = F.coalesce(F.lag(key).over(Window.partitionBy("__part").orderBy("__o")), "__before")
+    change = F.coalesce((before != F.col(key)).cast("int"), F.lit(1))
+    return dealt.join(last, "__part").withColumn("__c", change).groupBy(key).agg(F.sum("__c").alias("n_islands"))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialise, partitions
+
 
 def negative_columns(columns: list[str]) -> list[str]:
     """negative_<number> columns in order of the number."""
@@ -42,20 +44,28 @@ def drop_report(df: DataFrame, *texts: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("selected"), F.count_if(cond).alias("valid"), F.count_if(~cond).alias("dropped"))
 
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in ranges of order, written, with the number of the range as __part: later passes see the same ranges."""
+    n = partitions(df.sparkSession)
+    return materialise(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str, unit: list[str] | None = None) -> DataFrame:
-    """Dense ids from 0 in the given order within each unit. Without a unit, ids come from range partitions: ranks within
-    them plus the rows of those before, so no single task sees all rows."""
-    if unit:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*unit).orderBy(*order)).cast("long") - 1)
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from quern.session import materialise
-
-    dealt = materialise(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    """Dense ids from 0 in the given order, within each unit if there is one.
+
+    Rows are ranked inside ranges of (unit, order) and the rows of the ranges before are added, so no task sees more than
+    a range, however many rows a unit holds. Ties in order get ids in no particular order.
+    """
+    unit = unit or []
+    dealt = ranged(df, [*unit, *order])
     sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
-    inner = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return inner.join(before, "__part").withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__part", "__rank", "__before")
+    inner = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*unit, *order)))
+    out = inner.join(before, "__part").withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__part", "__rank", "__before")
+    if not unit:
+        return out
+    starts = out.groupBy(*unit).agg(F.min(name).alias("__start"))
+    return out.join(starts, unit).withColumn(name, F.col(name) - F.col("__start")).drop("__start")
 
 
 def dedup(df: DataFrame, text: str, ordinal: str, unit: list[str] | None = None) -> DataFrame:

@@ -37,8 +37,13 @@ def ranking(ranked: DataFrame, query: str, relevance: str, n_relevant: DataFrame
     )
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """sorted[ceil(q n) - 1] of a collected array column."""
+def nearest_rank(value: str, q: float) -> Column:
+    """sorted[ceil(q n) - 1], as an aggregate that is combined before the shuffle."""
+    return F.expr(f"percentile_disc({q}D) WITHIN GROUP (ORDER BY {value})")
+
+
+def nearest_rank_of(values: Column, q: float) -> Column:
+    """The same of an array."""
     return F.element_at(F.sort_array(values), F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(q)).cast("int")))
 
 

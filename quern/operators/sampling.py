@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import seeded_md5
+from quern.operators.corpus import dense_ids
 
 
 def capped(df: DataFrame, unit: list[str], key: Column, limit: int | Column, seed: int = 42, profile: str = "default") -> DataFrame:
@@ -18,13 +19,12 @@ def factor(df: DataFrame, unit: list[str], key: Column, by: float, seed: int = 4
     """int(n * by) rows of each unit; by over 1 repeats whole passes, the last one cut in hash order. Adds pass."""
     if by <= 0:
         raise ValueError("the factor must be positive")
-    w = Window.partitionBy(*unit)
-    passes = int(-(-by // 1))
-    out = df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-    order = seeded_md5(seed, F.col("pass"), *(F.col(u) for u in unit), key)
-    rank = F.row_number().over(Window.partitionBy(*unit, "pass").orderBy(order, key))
+    sizes = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
+    out = df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(int(-(-by // 1)) - 1))))
+    out = out.withColumns({"__o": seeded_md5(seed, F.col("pass"), *(F.col(u) for u in unit), key), "__k": key})
+    ranked = dense_ids(out, ["__o", "__k"], "__place", [*unit, "pass"]).join(sizes, unit)
     quota = F.floor(F.col("__n") * F.lit(by)) - F.col("pass") * F.col("__n")
-    return out.withColumn("__rank", rank).where(F.col("__rank") <= quota).drop("__rank", "__n")
+    return ranked.where(F.col("__place") < quota).drop("__place", "__n", "__o", "__k")
 
 
 def reservoir(df: DataFrame, key: Column, k: int, seed: int = 42) -> DataFrame:

@@ -80,7 +80,7 @@ def s11(t: Tables) -> DataFrame:
 @query("s13_index_archive", "SELECT source, doc_id AS row_index FROM documents WHERE doc_id % 3 = 0")
 def s13(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "index")
-    t.documents.where("doc_id % 3 = 0").select("source", F.col("doc_id").alias("row_index")).repartition("source").sortWithinPartitions("source", "row_index").write.partitionBy("source").parquet(path)
+    t.documents.where("doc_id % 3 = 0").select("source", F.col("doc_id").alias("row_index")).repartitionByRange("source", "row_index").sortWithinPartitions("source", "row_index").write.partitionBy("source").parquet(path)
     return t.spark.read.parquet(path).select("source", "row_index")
 
 

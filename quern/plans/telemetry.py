@@ -20,7 +20,7 @@ def a15(t: Tables) -> DataFrame:
 
 @query("a16_wait_p95", f"SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, {_P95.format('value')} AS p95, sum(event_id % 9)::BIGINT AS n_instances FROM events GROUP BY user_id")
 def a16(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), metrics.nearest_rank(F.collect_list("value"), 0.95).alias("p95"), F.sum(F.col("event_id") % 9).alias("n_instances"))
+    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), metrics.nearest_rank("value", 0.95).alias("p95"), F.sum(F.col("event_id") % 9).alias("n_instances"))
 
 
 @query("a17_throughput", "SELECT user_id, round(sum(event_id % 9) * 8 / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 6) AS per_second, round((epoch(max(ts)) - epoch(min(ts))) / nullif(count(*), 0), 4) AS step_seconds FROM events GROUP BY user_id")
@@ -66,7 +66,7 @@ def w10(t: Tables) -> DataFrame:
 @query("w11_bounded_window", "SELECT event_id, list_sort(list(value) OVER r)[ceil(count(*) OVER r * 0.95)::INT] AS recent_p95, round(avg(value) OVER a + 1e-9, 6) AS lifetime_mean FROM events WINDOW r AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def w11(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", metrics.nearest_rank(F.collect_list("value").over(w.rowsBetween(-15, 0)), 0.95).alias("recent_p95"), F.round(F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1e-9, 6).alias("lifetime_mean"))
+    return t.events.select("event_id", metrics.nearest_rank_of(F.collect_list("value").over(w.rowsBetween(-15, 0)), 0.95).alias("recent_p95"), F.round(F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1e-9, 6).alias("lifetime_mean"))
 
 
 @query("w12_logging_windows", "SELECT event_type, event_id // 100 AS log_window, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

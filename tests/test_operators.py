@@ -100,8 +100,10 @@ def test_constraints_raise(spark):
 
 
 def test_nearest_rank_and_missing_scores(spark):
-    d = spark.range(1, 101).agg(F.collect_list("id").alias("v"))
-    assert d.select(metrics.nearest_rank(F.col("v"), 0.95)).first()[0] == 95
+    for n in (1, 19, 20, 21, 100):
+        d = spark.range(1, n + 1)
+        want = -(-95 * n // 100)
+        assert d.agg(metrics.nearest_rank("id", 0.95)).first()[0] == want == d.agg(F.collect_list("id").alias("v")).select(metrics.nearest_rank_of(F.col("v"), 0.95)).first()[0]
     res = spark.createDataFrame([("a", 0.5, 2.0)], "task string, score double, seconds double")
     tasks = spark.createDataFrame([("a", "c"), ("b", "c")], "task string, category string")
     assert rows(metrics.category_scores(res, tasks), "category", "n_missing", "score") == [("c", 1, 0.25)]
