@@ -102,7 +102,7 @@ def draw(spark: SparkSession, doc: dict, shards: DataFrame, root: str, sel: Sele
     paths = [r[0] for r in live.select("path").distinct().orderBy("path").collect()]
     if not paths:
         raise ValueError("nothing is selected")
-    prefix = records._fs(spark, root)[0].toUri().getPath().rstrip("/") + "/"
+    prefix = records.hadoop_path(spark, root)[0].toUri().getPath().rstrip("/") + "/"
     at = spark.read.parquet(*(f"{root}/{p}" for p in paths)).select(F.regexp_replace(F.expr("parse_url(_metadata.file_path, 'PATH')"), f"^.*?{re.escape(prefix)}", "").alias("path"), F.col("_metadata.row_index").alias("row_index"))
     rows = at.join(live.select("unit_id", "path", "row_start", "row_stop"), "path").where("row_index >= coalesce(row_start, 0) AND row_index < coalesce(row_stop, 9223372036854775807)")
     picked = sampling.capped(rows.select("unit_id", "path", "row_index"), ["unit_id"], F.concat_ws(":", "path", F.col("row_index").cast("string")), limit, seed, sel.profile)
@@ -136,7 +136,7 @@ def compile_units(spark: SparkSession, shards: DataFrame, index: DataFrame, root
     raw = spark.read.option("mergeSchema", True).parquet(*(f"{root}/{p}" for p in paths))
     names = corpus.negative_columns(raw.columns)
     lang = F.col("lang") if "lang" in raw.columns else F.lit(None).cast("string")
-    prefix = records._fs(spark, root)[0].toUri().getPath().rstrip("/") + "/"
+    prefix = records.hadoop_path(spark, root)[0].toUri().getPath().rstrip("/") + "/"
     rows = raw.select("query", "passage", *names, lang.alias("row_lang"), F.regexp_replace(F.expr("parse_url(_metadata.file_path, 'PATH')"), f"^.*?{re.escape(prefix)}", "").alias("path"), F.col("_metadata.row_index").alias("row_index"))
     rows = corpus.nest_negatives(rows.join(index, ["path", "row_index"]))
     where = shards.where("NOT excluded").select("unit_id", "path", "shard_ordinal", "language", "row_start", "row_stop")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -48,13 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir[0]}"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this application has written in the shared folder; results that read them are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str = "t", free: bool = True) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
     With free, shuffle files of the finished step are released once the driver has collected its garbage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{label}-{os.getpid()}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if free:
         import gc

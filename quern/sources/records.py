@@ -10,23 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.operators.checks import assert_count, assert_schema
-from quern.session import shared_dir
+from quern.session import own_dir
 
 RECORD = "query STRING, pos ARRAY<STRING>, neg ARRAY<STRING>, prompt STRING, type STRING, pos_scores ARRAY<DOUBLE>, neg_scores ARRAY<DOUBLE>"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, on the driver; works for every store that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def list_files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[str]:
     """Files below a folder, recursively, in sorted order; hidden ones are left out."""
-    p, fs = _fs(spark, path)
+    p, fs = hadoop_path(spark, path)
     it, out = fs.listFiles(p, True), []
     while it.hasNext():
         s = it.next().getPath()
@@ -62,7 +63,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, n_rows, row_groups, created_by, schema) from footers alone; no data page is read."""
     jvm, rows = spark._jvm, []
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p, fs = _fs(spark, path)
+    p, fs = hadoop_path(spark, path)
     for f in [p.toString()] if fs.getFileStatus(p).isFile() else list_files(spark, path, (".parquet",)):
         hp = jvm.org.apache.hadoop.fs.Path(f)
         reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(hp, conf))
@@ -77,13 +78,13 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 def publish(df: DataFrame, path: str, records_per_file: int = 0, compression: str = "zstd") -> None:
     """Write beside the target and rename, so readers see all or nothing; an existing target is an error."""
     spark = df.sparkSession
-    target, fs = _fs(spark, path)
+    target, fs = hadoop_path(spark, path)
     if fs.exists(target):
         raise FileExistsError(path)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists").option("compression", compression)
     (w.option("maxRecordsPerFile", records_per_file) if records_per_file else w).parquet(staged)
-    if not fs.rename(_fs(spark, staged)[0], target):
+    if not fs.rename(hadoop_path(spark, staged)[0], target):
         raise OSError(f"can't publish {path}")
 
 
@@ -95,12 +96,12 @@ def open_table(spark: SparkSession, path: str, schema: StructType, rows: int | N
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small report or JSON document, renamed into place."""
-    staged, fs = _fs(spark, f"{path}.staged-{uuid.uuid4().hex}")
+    staged, fs = hadoop_path(spark, f"{path}.staged-{uuid.uuid4().hex}")
     out = fs.create(staged)
     out.write(bytearray(text.encode()))
     out.hsync()
     out.close()
-    target = _fs(spark, path)[0]
+    target = hadoop_path(spark, path)[0]
     if fs.exists(target):
         fs.delete(target, False)
     fs.rename(staged, target)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir
+from quern.session import own_dir
 
 WINDOW, LATENESS = "1 hour", "10 minutes"
 
@@ -43,7 +43,7 @@ def consumed(events: DataFrame, epoch: str) -> DataFrame:
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Drain an available-now stream; its last complete result (or all appended rows) as a table in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/quern/stream-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
@@ -56,7 +56,7 @@ def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
 def upsert_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
     """The latest row of each key after the stream: each micro-batch is merged with the view before it."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/quern/upsert-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/upsert-{uuid.uuid4().hex}"
     columns = stream.columns
     state = {"path": None}
 

@@ -145,3 +145,13 @@ def test_manifest(spark, tmp_path):
     assert rows(records.read_manifest(spark, path), "unit_id") == [("a",)]
     with pytest.raises(ValueError):
         records.read_manifest(spark, path, version=2)
+
+
+def test_clean_deletes_own_tables(spark):
+    from quern import session
+
+    t = session.materialise(spark.range(3), "x")
+    assert t.count() == 3
+    session.clean(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(session.own_dir(spark)).count()
