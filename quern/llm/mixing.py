@@ -106,7 +106,7 @@ def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block:
     """The rows of docs in the mix, written in mixed order, with the columns of docs."""
     from quern.session import partitions
 
-    places = mix(docs, weights, block).where("in_mix").select("doc_id", "position").withColumnRenamed("doc_id", "__id").dropDuplicates(["__id"])
+    places = mix(docs, weights, block).where("in_mix").select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")).dropDuplicates(["__id"])
     places = materialise(places, "places")
-    out = docs.join(places, F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), "position")
-    return out.sortWithinPartitions("position").select(*docs.columns)
+    out = docs.join(places.hint("merge"), F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), "__position")
+    return out.sortWithinPartitions("__position").select(*docs.columns)
