@@ -5,7 +5,8 @@ BUCKETS rows of an embedding. A document is the mean of its subwords' embeddings
 precomputed row of logits per subword, and whole texts of any length are scored in blocks.
 
 Training reads a bounded sample: rows whose hashed doc_id falls below a share of the hash range that gives about
-SAMPLE_PER_LANGUAGE rows a language, and at most twice that (as bucket counts; texts stay on the executors).
+SAMPLE_PER_LANGUAGE rows a language (fewer where that is over SAMPLE rows), and at most twice that, as bucket counts; texts
+stay on the executors.
 A fifth of the sample is held back to fit the temperature of the softmax and the score below which a prediction is rejected.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import text as T
 
-BUCKETS, DIM, EPOCHS, RATE, SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, REJECTED_SHARE = 1 << 14, 16, 6, 0.5, 400, 1000, 0.01
+BUCKETS, DIM, EPOCHS, RATE, SAMPLE_PER_LANGUAGE, SAMPLE, MOST_LANGUAGES, REJECTED_SHARE = 1 << 14, 16, 6, 0.5, 400, 8000, 1000, 0.01
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -112,12 +113,13 @@ def train(docs: DataFrame, allowed: str = "true") -> Model | None:
     counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"])))) if counts else None
-    if share is None:
+    if not counts:
         return None
+    each = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, ids array<int>, weights array<float>")
-    got = sample.limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).toArrow()
+    got = sample.limit(2 * each * len(counts)).toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("lang")

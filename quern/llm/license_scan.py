@@ -27,9 +27,18 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, Version 2.0.",
+    "CC0-1.0": "Licensed under CC0 1.0 Universal.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-4.0-full": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-full": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "MIT-warranty": "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
@@ -135,6 +144,16 @@ class Library:
         return out
 
 
+def _best(found: list[tuple[float, int, int]], length: list[int]) -> list[tuple[float, int, int]]:
+    """Passages (containment, start, template) without those that lie half or more in one that fits another template better."""
+    kept: list[tuple[float, int, int]] = []
+    for share, start, t in sorted(found, key=lambda p: (-p[0], -length[p[2]], p[1], p[2])):
+        stop = start + length[t]
+        if not any(s > share and 2 * (min(stop, a + length[u]) - max(start, a)) >= length[t] for s, a, u in kept):
+            kept.append((share, start, t))
+    return kept
+
+
 def _scan(batches: Iterator[pa.RecordBatch], library: Library) -> Iterator[pa.RecordBatch]:
     for b in T.slices(batches, 1):
         rows: list[list] = [[], [], [], [], []]
@@ -144,12 +163,15 @@ def _scan(batches: Iterator[pa.RecordBatch], library: Library) -> Iterator[pa.Re
                 continue
             found = library.candidates(sh)
             doc = np.searchsorted(begin, found[:, 0], side="right") - 1
-            for d, t in np.unique(np.stack([doc, found[:, 1]], 1), axis=0):
-                starts = found[(doc == d) & (found[:, 1] == t), 0] - begin[d]
-                passages = library.verify(sh[begin[d] : begin[d + 1]], starts, t)
-                if passages:
-                    best = max(passages, key=lambda p: (p[0], -p[1]))
-                    for c, v in zip(rows, (i + d, library.names[t], round(best[0], 6), best[1], len(passages))):
+            for d in np.unique(doc):
+                own, passages = found[doc == d], []
+                for t in np.unique(own[:, 1]):
+                    passages += [(share, at, int(t)) for share, at in library.verify(sh[begin[d] : begin[d + 1]], own[own[:, 1] == t, 0] - begin[d], t)]
+                passages = _best(passages, library.length)
+                for t in sorted({p[2] for p in passages}):
+                    mine = [p for p in passages if p[2] == t]
+                    best = max(mine, key=lambda p: (p[0], -p[1]))
+                    for c, v in zip(rows, (i + int(d), library.names[t], round(best[0], 6), best[1], len(mine))):
                         c.append(v)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())], names=["doc_id", "license", "containment", "start_word", "n_passages"])
 
@@ -158,7 +180,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
     """(doc_id, license, containment, start_word, n_passages): a row for each template that a row of docs holds.
 
     A word is a run of letters and digits (and of bytes beyond ASCII), lower-cased. start_word is the first word of the best
-    passage. Null and empty texts hold nothing; rows that repeat are reported each; an empty table or no templates give an
+    passage. A passage that fits two templates, as versions of one license do, counts for the one that it holds more of.
+    Null and empty texts hold nothing; rows that repeat are reported each; an empty table or no templates give an
     empty result; further columns are not read. A template of fewer words than a shingle is one shingle of all its words,
     and is found only where such a text stands alone.
     """

@@ -246,13 +246,16 @@ def test_license_scan(spark):
     got = {(r.doc_id, r.license): (r.containment, r.start_word, r.n_passages) for r in license_scan.scan(frame(spark, texts)).collect()}
     assert set(got) == {(3, "MIT-grant"), (4, "MIT-grant"), (5, "MIT"), (6, "MIT"), (8, "Apache-2.0")}
     assert got[3, "MIT-grant"] == (1.0, 500, 1) and got[4, "MIT-grant"][0] > 0.8 and got[6, "MIT"] == (1.0, 1, 2)
+    versions = [f"This work is licensed under the GNU General Public License, version {v}. {filler}" for v in (2, 3)]
+    assert [(r.license, r.containment) for r in license_scan.scan(frame(spark, versions)).orderBy("doc_id").collect()] == [("GPL-2.0", 1.0), ("GPL-3.0", 1.0)]
     assert license_scan.scan(frame(spark, texts), {}).count() == 0 and license_scan.scan(frame(spark, [])).count() == 0
 
 
 def test_license_scan_matches_brute_force(spark, sf):
     d = table(spark, sf.replace("0.001", "0.01"), "documents")
     norm = lambda t: tuple(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
-    sets = {k: {norm(v)[i : i + 5] for i in range(len(norm(v)) - 4)} for k, v in license_scan.TEMPLATES.items()}
+    some = {k: v for k, v in license_scan.TEMPLATES.items() if k != "GPL-2.0"}  # its line differs from version 3 in one word
+    sets = {k: {norm(v)[i : i + 5] for i in range(len(norm(v)) - 4)} for k, v in some.items()}
     want = set()
     for r in d.collect():
         w = norm(r.text)
@@ -262,4 +265,4 @@ def test_license_scan_matches_brute_force(spark, sf):
             m = len(norm(license_scan.TEMPLATES[k])) - 4
             if any(len({sh[j] for j in at if i <= j < i + m + m // 4 + 1}) >= 0.8 * len(own) for i in at):
                 want.add((r.doc_id, k))
-    assert {(r.doc_id, r.license) for r in license_scan.scan(d).collect()} == want and len(want) > 10
+    assert {(r.doc_id, r.license) for r in license_scan.scan(d, some).collect()} == want and len(want) > 10
