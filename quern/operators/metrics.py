@@ -6,6 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+QUERY_BLOCK, DOC_BLOCK = 512, 4096
+
+
+def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v), in blocks of both.
+
+    With k, each pair of blocks keeps its k best documents a query (ties by document), which hold the k best of all. Blocks
+    are dealt by hash; a pair of blocks is one task's matrix product, whatever the sizes of the tables.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    nq, nd = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERY_BLOCK), (docs, DOC_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(block("query_id", nq).alias("qb"), every(nd).alias("db"), F.col("query_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    d = docs.select(every(nq).alias("qb"), block("doc_id", nd).alias("db"), F.col("doc_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
+        s, ids = x @ y.T, b.column("id").to_numpy()
+        keep = np.argsort(ids)
+        s, ids = s[:, keep], ids[keep]
+        n = len(ids) if k is None else min(k, len(ids))
+        at = np.argsort(-s, axis=1, kind="stable")[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(s), 1))
+        return pa.table([np.repeat(a.column("id").to_numpy(), n), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()], schema=schema)
+
+    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(score, "query_id long, doc_id long, score double")
+
+
 def top_k(scores: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
     """The k best documents of each query with rank from 1; ties by document."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), doc))).where(F.col("rank") <= k)

@@ -134,14 +134,6 @@ def st3(t: Tables) -> DataFrame:
     return corpus.dense_ids(rows, ["step", "position"], "delivered")
 
 
-@query("st5_open_units")
-def st5(t: Tables) -> DataFrame:
-    from quern.plans.workflow import open_units
-
-    steps = batching.steps(_plan(t), "source").where("step < 1000").orderBy("step").limit(1000).collect()
-    return t.spark.createDataFrame(open_units([r["source"] for r in steps], 4), "step int, opened string, evicted string")
-
-
 @query("v11_group_layout", f"WITH {_PLAN} SELECT source, batch_ordinal, count(*) AS n FROM p GROUP BY source, batch_ordinal HAVING count(*) % 4 <> 0 OR count(*) = 0")
 def v11(t: Tables) -> DataFrame:
     return _plan(t).groupBy("source", "batch_ordinal").agg(F.count(F.lit(1)).alias("n")).where("n % 4 <> 0 OR n = 0")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import seeded
 from quern.operators import catalog, checks, corpus
-from quern.plans.declare import PAIRS, WIDE, Tables, pairs, query, wide
+from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, wide
 
 # Shards made from suppliers: a path per nation, ranges by key, one in nine without a range.
 _SHARDS = "sh AS (SELECT s_suppkey AS shard_id, 'p' || s_nationkey AS path, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 10 END AS row_start, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 10 + 200 END AS row_stop FROM supplier)"
@@ -29,18 +30,18 @@ def j01(t: Tables) -> DataFrame:
     return t.documents.join(t.benchmark.select((F.col("item_id") * 7).alias("doc_id")), "doc_id", "left_semi").select("doc_id", "source")
 
 
-@query("j02_deref_docs", f"WITH {WIDE}, x AS (SELECT row_index, unnest([row_index, row_index + 3, 5]) AS ref, unnest([0, 1, 2]) AS pos FROM wide WHERE row_index % 4 = 0) SELECT row_index, md5(string_agg(coalesce(text, '?'), '/' ORDER BY pos)) AS texts FROM x LEFT JOIN documents ON doc_id = ref GROUP BY row_index")
+@query("j02_deref_docs", f"WITH {WIDE}, x AS (SELECT row_index, unnest([row_index, row_index + 3, 5]) AS ref, unnest([0, 1, 2]) AS pos FROM wide) SELECT row_index, md5(string_agg(coalesce(text, '?'), '/' ORDER BY pos)) AS texts FROM x LEFT JOIN documents ON doc_id = ref GROUP BY row_index")
 def j02(t: Tables) -> DataFrame:
     r = F.col("row_index")
-    w = wide(t).where("row_index % 4 = 0").select("row_index", F.array(r, r + 3, F.lit(5).cast("long")).alias("ids"))
+    w = wide(t).select("row_index", F.array(r, r + 3, F.lit(5).cast("long")).alias("ids"))
     return corpus.dereference(w, "ids", t.documents, "row_index").select("row_index", F.md5(F.array_join("texts", "/", "?")).alias("texts"))
 
 
-@query("j03_dedup_lookup", "WITH u AS (SELECT text, min(doc_id) AS first_doc FROM documents WHERE doc_id < 500 GROUP BY text) SELECT doc_id, first_doc, first_doc IS NULL AS is_new FROM documents LEFT JOIN u USING (text)")
+@query("j03_dedup_lookup", "WITH u AS (SELECT text, min(doc_id) AS first_doc FROM documents GROUP BY text) SELECT doc_id, first_doc, first_doc = doc_id AS is_new FROM documents LEFT JOIN u USING (text)")
 def j03(t: Tables) -> DataFrame:
-    known = t.documents.where("doc_id < 500").groupBy(F.sha2("text", 256).alias("digest"), "text").agg(F.min("doc_id").alias("first_doc"))
+    known = t.documents.groupBy(F.sha2("text", 256).alias("digest"), "text").agg(F.min("doc_id").alias("first_doc"))
     d = t.documents.withColumn("digest", F.sha2("text", 256))
-    return d.join(known, ["digest", "text"], "left").select("doc_id", "first_doc", F.col("first_doc").isNull().alias("is_new"))
+    return d.join(known, ["digest", "text"], "left").select("doc_id", "first_doc", (F.col("first_doc") == F.col("doc_id")).alias("is_new"))
 
 
 _LISTS = "a AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS x FROM documents WHERE source <> 'src3' GROUP BY source), b AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS x FROM documents WHERE source <> 'src8' AND NOT (source = 'src5' AND doc_id % 2 = 1) GROUP BY source)"
@@ -139,12 +140,17 @@ def j17(t: Tables) -> DataFrame:
     return e.join(known, "ref", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("known").isNotNull()).alias("ok")).where("ok").drop("ok")
 
 
-@query("j18_partition_negatives", "WITH k AS (SELECT d.doc_id, b.item_id, row_number() OVER (PARTITION BY d.doc_id ORDER BY md5(concat_ws('|', '42', d.doc_id, b.item_id)), b.item_id) AS rk FROM documents d JOIN benchmark b ON d.doc_id % 4 = b.item_id % 4 AND d.doc_id <> b.item_id) SELECT doc_id, item_id FROM k WHERE rk <= 2")
+@query(
+    "j18_partition_negatives",
+    f"WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents), d AS (SELECT doc_id, lang, (i + 1 + {md5_number("concat_ws('|', k, doc_id)")} % (n - 1)) % n AS j FROM r, (SELECT unnest([0, 1]) AS k) WHERE n > 1) SELECT DISTINCT d.doc_id, r.doc_id AS negative FROM d JOIN r ON r.lang = d.lang AND r.i = j",
+)
 def j18(t: Tables) -> DataFrame:
-    d, b = t.documents.select("doc_id", (F.col("doc_id") % 4).alias("part")), t.benchmark.select("item_id", (F.col("item_id") % 4).alias("part"))
-    h = F.md5(F.concat_ws("|", F.lit("42"), F.col("doc_id").cast("string"), F.col("item_id").cast("string")))
-    k = d.join(b, "part").where("doc_id <> item_id")
-    return k.withColumn("rk", F.row_number().over(Window.partitionBy("doc_id").orderBy(h, "item_id"))).where("rk <= 2").select("doc_id", "item_id")
+    """Two seeded draws from the document's partition that are never itself: steps from its own dense number."""
+    r = corpus.dense_ids(t.documents.select("lang", "doc_id"), ["doc_id"], "i", ["lang"])
+    n = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    d = r.join(n, "lang").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", seeded(F.col("k"), F.col("doc_id")))
+    d = d.select("doc_id", "lang", F.expr("(i + 1 + h % (n - 1)) % n").alias("i"))
+    return d.join(r.withColumnRenamed("doc_id", "negative"), ["lang", "i"]).select("doc_id", "negative").distinct()
 
 
 @query("j19_state_alignment", "WITH k AS (SELECT l_returnflag AS model, l_linenumber AS key, count(*) AS shape FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7) GROUP BY ALL) SELECT key::INT AS key, count(*) AS n_models, count(DISTINCT shape) AS n_shapes FROM k GROUP BY key HAVING count(*) < 3 OR count(DISTINCT shape) > 1")

@@ -82,12 +82,13 @@ def t09(t: Tables) -> DataFrame:
     return n.select("row_index", F.array_join(sampling.with_replacement(F.col("negatives"), 2, seeded(5, F.col("row_index"))), "/").alias("negatives"))
 
 
-@query("t10_shuffled_cycles", "WITH c AS (SELECT doc_id, unnest([0, 1, 2]) AS cycle FROM documents WHERE lang = 'es'), r AS (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY md5(concat_ws('|', '42', cycle, doc_id)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY cycle) AS n FROM c) SELECT cycle::INT AS cycle, place // 8 AS batch, doc_id FROM r WHERE place // 8 < n // 8")
+@query("t10_shuffled_cycles", "WITH c AS (SELECT lang, doc_id, unnest([0, 1, 2]) AS cycle FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang, cycle ORDER BY md5(concat_ws('|', '42', cycle, doc_id)), doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang, cycle) AS n FROM c) SELECT lang, cycle::INT AS cycle, place // 8 AS batch, doc_id FROM r WHERE place // 8 < n // 8")
 def t10(t: Tables) -> DataFrame:
-    c = t.documents.where("lang = 'es'").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cycle"))
-    w = Window.partitionBy("cycle")
-    r = c.withColumn("place", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit("42"), F.col("cycle").cast("string"), F.col("doc_id").cast("string"))), "doc_id")).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.withColumn("batch", F.expr("place div 8")).where("batch < n div 8").select("cycle", "batch", "doc_id")
+    sizes = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    c = t.documents.select("lang", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cycle"))
+    c = c.withColumn("h", F.md5(F.concat_ws("|", F.lit("42"), F.col("cycle").cast("string"), F.col("doc_id").cast("string"))))
+    r = corpus.dense_ids(c, ["h", "doc_id"], "place", ["lang", "cycle"]).join(sizes, "lang")
+    return r.withColumn("batch", F.expr("place div 8")).where("batch < n div 8").select("lang", "cycle", "batch", "doc_id")
 
 
 @query("t11_first_per_language", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rk FROM documents) WHERE rk <= 100")
@@ -95,12 +96,13 @@ def t11(t: Tables) -> DataFrame:
     return t.documents.select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("rk")).where("rk <= 100").drop("rk")
 
 
-@query("t12_hash_negatives", f"WITH {PAIRS}, c AS (SELECT item_id FROM benchmark), k AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(concat_ws('|', '42', 'train', query_id, item_id)), item_id) AS rk FROM qp, c) SELECT query_id, item_id FROM k WHERE rk <= 3")
+@query("t12_hash_negatives", f"WITH {PAIRS}, c AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark), d AS (SELECT query_id, unnest([0, 1, 2]) AS k, {md5_number("concat_ws('|', '42', 'train', query_id)")} AS h, {md5_number("concat_ws('|', '43', 'train', query_id)")} AS g FROM qp) SELECT query_id, item_id FROM d JOIN c ON i = (h % n + k * (1 + g % greatest(n // 4, 1))) % n")
 def t12(t: Tables) -> DataFrame:
-    # benchmark is the small set of candidates; Spark broadcasts it where its size is below the threshold for that
-    c = pairs(t).select("query_id").crossJoin(t.benchmark.select("item_id"))
-    h = F.md5(F.concat_ws("|", F.lit("42"), F.lit("train"), F.col("query_id").cast("string"), F.col("item_id").cast("string")))
-    return c.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(h, "item_id"))).where("rk <= 3").drop("rk")
+    """Three candidates a query: a seeded start and a seeded step among dense candidate numbers, so no pairs are made."""
+    c = corpus.dense_ids(t.benchmark.select("item_id"), ["item_id"], "i")
+    q = pairs(t).select("query_id", seeded(42, "train", F.col("query_id")).alias("h"), seeded(43, "train", F.col("query_id")).alias("g"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    q = q.join(F.broadcast(t.benchmark.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    return q.withColumn("i", F.expr("(h % n + k * (1 + g % greatest(n div 4, 1L))) % n")).join(c, "i").select("query_id", "item_id")
 
 
 @query("p01_valid_rows", f"WITH {WIDE} SELECT count(*) AS selected, count(*) FILTER (query IS NOT NULL AND query <> '' AND passage IS NOT NULL AND passage <> '') AS valid, count(*) FILTER (NOT (query IS NOT NULL AND query <> '' AND passage IS NOT NULL AND passage <> '')) AS dropped FROM wide")
@@ -135,9 +137,10 @@ def p05(t: Tables) -> DataFrame:
     return wanted.join(known.withColumn("k", F.lit(True)), "unit", "left").select("unit", F.col("k").isNull().alias("unknown"))
 
 
-@query("p06_row_range", "SELECT doc_id FROM documents WHERE doc_id >= 20 AND doc_id < 180")
+@query("p06_row_range", "SELECT doc_id FROM documents WHERE doc_id >= (SELECT count(*) // 10 FROM documents) AND doc_id < (SELECT count(*) * 9 // 10 FROM documents)")
 def p06(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id >= 20 AND doc_id < 180").select("doc_id")
+    n = t.documents.count()
+    return t.documents.where((F.col("doc_id") >= n // 10) & (F.col("doc_id") < n * 9 // 10)).select("doc_id")
 
 
 @query("p07_enabled_default", "SELECT source, coalesce(CASE WHEN source = 'src3' THEN false WHEN source = 'src4' THEN true END, true) AS enabled FROM documents GROUP BY source")
@@ -153,9 +156,9 @@ def p08(t: Tables) -> DataFrame:
     return w.select("row_index", "query", "passage", lang.alias("lang"))
 
 
-@query("p09_logical_alias", "SELECT doc_id, text AS query FROM documents WHERE doc_id % 2 = 0")
+@query("p09_logical_alias", "SELECT doc_id, text AS query FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def p09(t: Tables) -> DataFrame:
-    return t.documents.where("doc_id % 2 = 0").withColumn("query", F.col("text")).select("doc_id", "query")
+    return t.documents.join(t.labels.where("quality = 1"), "doc_id", "left_semi").withColumn("query", F.col("text")).select("doc_id", "query")
 
 
 @query("p10_rename_key", "SELECT sha256(text) AS id, doc_id FROM documents")
@@ -297,9 +300,9 @@ def a09(t: Tables) -> DataFrame:
     return n.groupBy("unit").agg(F.count(F.lit(1)).alias("n_samples"), F.min("k").alias("min_neg"), F.round(F.avg("k"), 6).alias("avg_neg"), F.max("k").alias("max_neg"))
 
 
-@query("a10_schema_groups", "WITH f AS (SELECT source, min(doc_id) AS ordinal, string_agg(DISTINCT lang, ',' ORDER BY lang) AS signature FROM documents WHERE doc_id % 3 = 0 GROUP BY source), g AS (SELECT signature, min(ordinal) AS first FROM f GROUP BY signature), r AS (SELECT signature, 'P' || lpad((row_number() OVER (ORDER BY first))::VARCHAR, 2, '0') AS schema_id FROM g) SELECT source, schema_id FROM f JOIN r USING (signature)")
+@query("a10_schema_groups", "WITH f AS (SELECT source, min(doc_id) AS ordinal, string_agg(DISTINCT lang, ',' ORDER BY lang) AS signature FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source), g AS (SELECT signature, min(ordinal) AS first FROM f GROUP BY signature), r AS (SELECT signature, 'P' || lpad((row_number() OVER (ORDER BY first))::VARCHAR, 2, '0') AS schema_id FROM g) SELECT source, schema_id FROM f JOIN r USING (signature)")
 def a10(t: Tables) -> DataFrame:
-    f = t.documents.where("doc_id % 3 = 0").groupBy("source").agg(F.min("doc_id").alias("ordinal"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("signature"))
+    f = t.documents.join(t.labels.where("toxic = 1"), "doc_id").groupBy("source").agg(F.min("doc_id").alias("ordinal"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("signature"))
     g = corpus.dense_ids(f.groupBy("signature").agg(F.min("ordinal").alias("first")), ["first"], "k")
     return f.join(g, "signature").select("source", F.concat(F.lit("P"), F.lpad((F.col("k") + 1).cast("string"), 2, "0")).alias("schema_id"))
 
@@ -362,9 +365,9 @@ def u04(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").exceptAll(t.labels.select("doc_id")).distinct()
 
 
-@query("u05_multiset_equality", "SELECT lang, 'left' AS side FROM (SELECT lang FROM documents EXCEPT ALL SELECT lang FROM documents WHERE doc_id % 5 > 0)")
+@query("u05_multiset_equality", "SELECT lang, 'left' AS side FROM (SELECT lang FROM documents EXCEPT ALL SELECT lang FROM documents JOIN labels USING (doc_id))")
 def u05(t: Tables) -> DataFrame:
-    return catalog.multiset_difference(t.documents.select("lang"), t.documents.where("doc_id % 5 > 0").select("lang"))
+    return catalog.multiset_difference(t.documents.select("lang"), t.documents.join(t.labels, "doc_id").select("lang"))
 
 
 @query("u06_merged_negatives", f"WITH {WIDE} SELECT row_index, array_to_string(list_sort(list_distinct(list_concat([lang, unit], ['en', negative_2]))), '/') AS merged FROM wide")

@@ -42,7 +42,7 @@ def md5_number(text: str) -> str:
 
 #: Wide training rows made from documents, with null and empty queries, passages and negatives.
 WIDE = """wide AS (SELECT doc_id AS row_index, source AS unit, lang,
- CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '' ELSE substr(text, 1, 60) END AS query,
+ CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN '' ELSE source || ' ' || lang || ' ' || doc_id END AS query,
  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE text END AS passage,
  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'n1 ' || lang END AS negative_1,
  CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'n2 ' || source END AS negative_2,
@@ -55,7 +55,7 @@ def wide(t: Tables) -> DataFrame:
         d.alias("row_index"),
         F.col("source").alias("unit"),
         "lang",
-        F.when(d % 13 == 0, None).when(d % 29 == 0, "").otherwise(F.substring("text", 1, 60)).alias("query"),
+        F.when(d % 13 == 0, None).when(d % 29 == 0, "").otherwise(F.concat_ws(" ", "source", "lang", d.cast("string"))).alias("query"),
         F.when(d % 17 != 0, F.col("text")).alias("passage"),
         F.when(d % 3 != 0, F.concat(F.lit("n1 "), "lang")).alias("negative_1"),
         F.when(d % 7 != 0, F.concat(F.lit("n10 "), (d % 11).cast("string"))).alias("negative_10"),

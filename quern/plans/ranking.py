@@ -9,15 +9,16 @@ from quern.functions import vectors as V
 from quern.operators import metrics
 from quern.plans.declare import Tables, query
 
-# Scores of the first 30 vectors as queries against all other vectors; relevant: the same label.
-_SCORES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id < 30), sc AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv, embedding::DOUBLE[]), 6) AS score, (label = ql)::INT AS rel FROM q, embeddings WHERE vec_id <> query_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), nr AS (SELECT query_id, sum(rel)::BIGINT AS n_relevant FROM sc GROUP BY query_id)"
+# Scores of every fiftieth vector as a query against all other vectors; relevant: the same label.
+_SCORES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0), sc AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv, embedding::DOUBLE[]), 6) AS score, (label = ql)::INT AS rel FROM q, embeddings WHERE vec_id <> query_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), nr AS (SELECT query_id, sum(rel)::BIGINT AS n_relevant FROM sc GROUP BY query_id)"
 
 
-def _scores(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    # 30 queries are a stated set, scored against all rows
-    s = t.embeddings.join(q, F.col("vec_id") != F.col("query_id"))
-    return s.select("query_id", F.col("vec_id").alias("doc_id"), F.round(V.dot(F.col("qv"), F.col("embedding")), 6).alias("score"), (F.col("label") == F.col("ql")).cast("int").alias("rel"))
+def _scores(t: Tables, k: int | None = None) -> DataFrame:
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    scores = metrics.blocked_scores(q, t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), k)
+    labels = lambda c, n: t.embeddings.select(F.col("vec_id").alias(c), F.col("label").alias(n))
+    s = scores.where("query_id <> doc_id").join(labels("query_id", "ql"), "query_id").join(labels("doc_id", "dl"), "doc_id")
+    return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), (F.col("ql") == F.col("dl")).cast("int").alias("rel"))
 
 
 @query("j15_similarity", f"WITH {_SCORES} SELECT query_id, doc_id, score FROM sc")
@@ -27,7 +28,8 @@ def j15(t: Tables) -> DataFrame:
 
 @query("t06_candidate_topk", f"WITH {_SCORES} SELECT query_id, doc_id, score, rank::INT AS rank FROM rk WHERE rank <= 10")
 def t06(t: Tables) -> DataFrame:
-    return metrics.top_k(_scores(t), "query_id", "doc_id", "score", 10).drop("rel")
+    # one more than k, as the query itself is among the best
+    return metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10).drop("rel")
 
 
 @query(
@@ -35,16 +37,16 @@ def t06(t: Tables) -> DataFrame:
     f"WITH {_SCORES}, tp AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS h FROM rk WHERE rank <= 10), pq AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, sum(rel * h / rank) AS ap, sum(rel) AS hits, min(CASE WHEN rel > 0 THEN rank END) AS first FROM tp GROUP BY query_id), ideal AS (SELECT query_id, n_relevant, (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 11)) AS i) WHERE i <= n_relevant) AS idcg FROM nr WHERE n_relevant > 0) SELECT query_id, round(dcg / idcg, 6) AS ndcg, round(ap / least(n_relevant, 10), 6) AS map, round(hits / n_relevant, 6) AS recall, round(hits / 10, 6) AS precision, round(coalesce(1 / first, 0), 6) AS mrr, (hits > 0)::INT AS hit FROM ideal JOIN pq USING (query_id)",
 )
 def a29(t: Tables) -> DataFrame:
-    s = _scores(t)
-    n = s.groupBy("query_id").agg(F.sum("rel").alias("n_relevant"))
-    out = metrics.ranking(metrics.top_k(s, "query_id", "doc_id", "score", 10), "query_id", "rel", n, 10)
+    of_label = t.embeddings.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    n = t.embeddings.where("vec_id % 50 = 0").join(of_label, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+    out = metrics.ranking(metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10), "query_id", "rel", n, 10)
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "map", "recall", "precision", "mrr")), "hit")
 
 
-@query("a29_best_subquery", f"WITH {_SCORES} SELECT query_id // 3 AS base_id, max(CASE WHEN rel = 1 THEN 1 / rank ELSE 0 END) AS best_rr FROM (SELECT query_id, rel, rank FROM rk WHERE rank <= 10) GROUP BY query_id // 3")
+@query("a29_best_subquery", f"WITH {_SCORES} SELECT query_id // 150 AS base_id, max(CASE WHEN rel = 1 THEN 1 / rank ELSE 0 END) AS best_rr FROM (SELECT query_id, rel, rank FROM rk WHERE rank <= 10) GROUP BY query_id // 150")
 def a29b(t: Tables) -> DataFrame:
-    r = metrics.top_k(_scores(t), "query_id", "doc_id", "score", 10)
-    return r.groupBy(F.expr("query_id div 3").alias("base_id")).agg(F.max(F.when(F.col("rel") == 1, 1 / F.col("rank")).otherwise(0.0)).alias("best_rr"))
+    r = metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10)
+    return r.groupBy(F.expr("query_id div 150").alias("base_id")).agg(F.max(F.when(F.col("rel") == 1, 1 / F.col("rank")).otherwise(0.0)).alias("best_rr"))
 
 
 @query("a30_leaderboard", "WITH r AS (SELECT source AS model, lang AS type, avg(quality) AS s FROM documents JOIN labels USING (doc_id) GROUP BY ALL), p AS (SELECT model, max(CASE WHEN type = 'de' THEN s END) AS de, max(CASE WHEN type = 'en' THEN s END) AS en, max(CASE WHEN type = 'es' THEN s END) AS es, max(CASE WHEN type = 'fr' THEN s END) AS fr, avg(s) AS mean FROM r GROUP BY model) SELECT model, round(de, 6) AS de, round(en, 6) AS en, round(es, 6) AS es, round(fr, 6) AS fr, round(mean, 6) AS mean, rank() OVER (ORDER BY round(mean, 6) DESC)::INT AS rank FROM p")
@@ -86,10 +88,10 @@ def f09(t: Tables) -> DataFrame:
     return _impressions(t).select("query_id", "base_id")
 
 
-@query("j07_impression_scores", "WITH x AS (SELECT conv_id, unnest([conv_id % 400, (conv_id + 1) % 400]) AS cand FROM conversations WHERE turn = 0) SELECT conv_id, cand, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM x JOIN embeddings a ON a.vec_id = conv_id JOIN embeddings b ON b.vec_id = cand")
+@query("j07_impression_scores", "WITH x AS (SELECT conv_id, unnest([conv_id, conv_id + 1]) AS cand FROM conversations WHERE turn = 0) SELECT conv_id, cand, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM x JOIN embeddings a ON a.vec_id = conv_id JOIN embeddings b ON b.vec_id = cand")
 def j07(t: Tables) -> DataFrame:
     c = F.col("conv_id")
-    x = t.conversations.where("turn = 0").select("conv_id", F.explode(F.array(c % 400, (c + 1) % 400)).alias("cand"))
+    x = t.conversations.where("turn = 0").select("conv_id", F.explode(F.array(c, c + 1)).alias("cand"))
     e = lambda k, v: t.embeddings.select(F.col("vec_id").alias(k), F.col("embedding").alias(v))
     return x.join(e("conv_id", "a"), "conv_id").join(e("cand", "b"), "cand").select("conv_id", "cand", F.round(V.dot(F.col("a"), F.col("b")), 6).alias("score"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import hashing
@@ -22,11 +22,11 @@ def s02(t: Tables) -> DataFrame:
     return records.inventory(t.spark, f"{t.sf_dir}/documents.parquet").drop("schema")
 
 
-@query("s03_positional_scan", "SELECT doc_id FROM documents WHERE doc_id % 9 = 4")
+@query("s03_positional_scan", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def s03(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/documents.parquet"
     at = t.spark.read.parquet(path).select("doc_id", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-    return records.read_selected(t.spark, path, at.where("doc_id % 9 = 4").drop("doc_id"), ["doc_id"]).select("doc_id")
+    return records.read_selected(t.spark, path, at.join(t.labels, "doc_id", "left_semi").drop("doc_id"), ["doc_id"]).select("doc_id")
 
 
 @query("s04_first_row", "SELECT min(doc_id) AS doc_id FROM documents")
@@ -49,7 +49,7 @@ def s06(t: Tables) -> DataFrame:
 
 @query("s08_manifest_scan", "SELECT source AS unit_id, count(*) AS n FROM documents WHERE source <> 'src4' GROUP BY source")
 def s08(t: Tables) -> DataFrame:
-    units = t.documents.groupBy("source").count().orderBy("source").limit(10_000).collect()
+    units = t.documents.groupBy("source").count().orderBy("source").collect()
     path = records.scratch(t.spark, "manifest") + ".json"
     records.write_text(t.spark, path, records.manifest_text([{"unit_id": r["source"], "n": r["count"]} | ({"enabled": False} if r["source"] == "src4" else {}) for r in units]))
     return records.read_manifest(t.spark, path).select("unit_id", "n")
@@ -77,17 +77,17 @@ def s11(t: Tables) -> DataFrame:
     return files.select(F.regexp_extract("path", "(lang=[^/]*)/", 1).alias("folder")).distinct()
 
 
-@query("s13_index_archive", "SELECT source, doc_id AS row_index FROM documents WHERE doc_id % 3 = 0")
+@query("s13_index_archive", "SELECT source, doc_id AS row_index FROM documents")
 def s13(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "index")
-    t.documents.where("doc_id % 3 = 0").select("source", F.col("doc_id").alias("row_index")).repartitionByRange("source", "row_index").sortWithinPartitions("source", "row_index").write.partitionBy("source").parquet(path)
+    t.documents.select("source", F.col("doc_id").alias("row_index")).repartitionByRange("source", "row_index").sortWithinPartitions("source", "row_index").write.partitionBy("source").parquet(path)
     return t.spark.read.parquet(path).select("source", "row_index")
 
 
-@query("s14_csv_sink", "SELECT doc_id, lang, text FROM documents WHERE doc_id % 5 = 0")
+@query("s14_csv_sink", "SELECT doc_id, lang, text FROM documents")
 def s14(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "csv")
-    t.documents.where("doc_id % 5 = 0").select("doc_id", "lang", "text").write.option("escape", '"').csv(path, header=True)
+    t.documents.select("doc_id", "lang", "text").write.option("escape", '"').csv(path, header=True)
     return t.spark.read.option("multiLine", True).option("escape", '"').schema("doc_id long, lang string, text string").csv(path, header=True)
 
 
@@ -130,8 +130,7 @@ def f01(t: Tables) -> DataFrame:
 
 @query("f02_unit_seeds")
 def f02(t: Tables) -> DataFrame:
-    units = t.documents.select("source").distinct().orderBy("source").limit(10_000).collect()
-    return t.spark.createDataFrame([(r[0], f"{hashing.unit_seed(42, 'default', r[0]):016x}") for r in units], "source string, seed string")
+    return hashing.with_digest(t.documents.select("source").distinct(), "seed", ["source"], lambda s: hashing.unit_seed(42, "default", s).to_bytes(8, "big"))
 
 
 @query("f03_document_ids")
@@ -182,13 +181,11 @@ def f04(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(F.to_json(F.struct("lang", "source"))).alias("digest"))
 
 
-@query("st6_ema_state", "WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.5 * o.value + 0.5 * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1 WHERE o.k <= 50) SELECT event_type, round(ema, 6) AS ema FROM r WHERE k = 50")
+@query("st6_ema_state", "WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.5 * o.value + 0.5 * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1) SELECT event_type, round(arg_max(ema, k), 6) AS ema FROM r GROUP BY event_type")
 def st6(t: Tables) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    first = t.events.withColumn("k", F.row_number().over(w)).where("k <= 50")
     from quern.operators import metrics
 
-    return metrics.smoothed(first, "event_type", "event_id", "value", 0.5).select("event_type", F.round("ema", 6).alias("ema"))
+    return metrics.smoothed(t.events, "event_type", "event_id", "value", 0.5).select("event_type", F.round("ema", 6).alias("ema"))
 
 
 @query("s07_checked_reader", "SELECT vec_id, label FROM embeddings")

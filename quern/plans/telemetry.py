@@ -105,6 +105,6 @@ def f24(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("f23_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, substr(props, 1, 5) AS clipped FROM events")
+@query("f23_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, substr(props, 1, 2000) AS clipped FROM events")
 def f23(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.substring("props", 1, 5).alias("clipped"))
+    return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.substring("props", 1, 2000).alias("clipped"))

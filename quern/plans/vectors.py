@@ -14,7 +14,7 @@ _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _N = "sqrt(list_dot_product({0}, {0}))"
 _LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda x: exp(x - list_max({0}))))))"
 # Groups of one query and four passages, positive first: neighbouring vectors.
-_G = f"{_E}, g AS (SELECT a.vec_id, list(list_dot_product(a.v, b.v) / 0.05 ORDER BY b.vec_id) AS s FROM e a JOIN e b ON b.vec_id BETWEEN a.vec_id * 5 + 1 AND a.vec_id * 5 + 4 WHERE a.vec_id < 90 GROUP BY a.vec_id)"
+_G = f"{_E}, g AS (SELECT a.vec_id, list(list_dot_product(a.v, b.v) / 0.05 ORDER BY k) AS s FROM e a JOIN (SELECT unnest([1, 2, 3, 4]) AS k) ON true JOIN e b ON b.vec_id = (a.vec_id + k) % (SELECT count(*) FROM e) GROUP BY a.vec_id)"
 
 
 def _e(t: Tables) -> DataFrame:
@@ -22,9 +22,10 @@ def _e(t: Tables) -> DataFrame:
 
 
 def _groups(t: Tables) -> DataFrame:
-    a = _e(t).where("vec_id < 90").select("vec_id", F.col("v").alias("q"), F.explode(F.sequence(F.col("vec_id") * 5 + 1, F.col("vec_id") * 5 + 4)).alias("p"))
+    n = t.embeddings.count()
+    a = _e(t).select("vec_id", F.col("v").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).withColumn("p", (F.col("vec_id") + F.col("k")) % n)
     j = a.join(_e(t).select(F.col("vec_id").alias("p"), F.col("v").alias("pv")), "p")
-    s = F.sort_array(F.collect_list(F.struct("p", (V.dot(F.col("q"), F.col("pv")) / 0.05).alias("x"))))
+    s = F.sort_array(F.collect_list(F.struct("k", (V.dot(F.col("q"), F.col("pv")) / 0.05).alias("x"))))
     return j.groupBy("vec_id").agg(F.transform(s, lambda z: z["x"]).alias("s"))
 
 
@@ -64,12 +65,12 @@ def v06(t: Tables) -> DataFrame:
 
 
 # In-batch scores: steps of 8 queries, each against all passages of its step (positive: own vector + 1).
-_BATCH = "b AS (SELECT a.vec_id, a.vec_id // 8 AS step, list(list_dot_product(a.v, p.v) / 0.05 ORDER BY p.vec_id) AS s FROM e a JOIN e p ON p.vec_id // 8 = a.vec_id // 8 WHERE a.vec_id < 400 GROUP BY a.vec_id)"
+_BATCH = "b AS (SELECT a.vec_id, a.vec_id // 8 AS step, list(list_dot_product(a.v, p.v) / 0.05 ORDER BY p.vec_id) AS s FROM e a JOIN e p ON p.vec_id // 8 = a.vec_id // 8 GROUP BY a.vec_id)"
 _B = f"{_E}, {_BATCH}"
 
 
 def _batch(t: Tables) -> DataFrame:
-    a = _e(t).where("vec_id < 400").select("vec_id", F.expr("vec_id div 8").alias("step"), F.col("v").alias("q"))
+    a = _e(t).select("vec_id", F.expr("vec_id div 8").alias("step"), F.col("v").alias("q"))
     j = a.join(_e(t).select(F.expr("vec_id div 8").alias("step"), F.col("vec_id").alias("p"), F.col("v").alias("pv")), "step")
     s = F.sort_array(F.collect_list(F.struct("p", (V.dot(F.col("q"), F.col("pv")) / 0.05).alias("x"))))
     return j.groupBy("step", "vec_id").agg(F.transform(s, lambda z: z["x"]).alias("s"))
