@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from quern.llm import text as T
 from quern.session import materialise, partitions
 
-MAGIC, END_ID, SEGMENT_TOKENS, CACHE_WORDS, RANK_BITS = b"DAC1", 1, 1 << 21, 300_000, 512
+MARKS = b".,;:!?|#$%&*)]}\"-+=~^_/@<>"
+MAGIC, END_ID, SEGMENT_TOKENS, CACHE_WORDS, RANK_BITS = b"DAC1", 1, 1 << 21, 1_000_000, 512
 
 
 def encode_codes(values: np.ndarray) -> bytes:
@@ -120,14 +122,40 @@ class WordCache(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
+        self.new: list[bytes | tuple[int, int]] = []  # unseen words, or the numbers of the two parts of one
         self.flat, self.start, self.length = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = k = len(self) + 1
+        letters = word.rstrip(MARKS)
+        if letters and letters != word and letters[-1:].isalpha() and b"<|" not in word:
+            self.new.append((self[letters], self[word[len(letters) :]]))
+        else:
+            self.new.append(word)
+        self[word] = k = len(self.start) + len(self.new) - 1
         return k
 
+    def _learn(self) -> None:
+        """Ids of the new words; those that end in marks are made of the letters before and the marks, which part there."""
+        plain = [w for w in self.new if isinstance(w, bytes)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)]
+        first, n_new = len(self.start), len(self.new)
+        own = np.fromiter((isinstance(w, bytes) for w in self.new), bool, n_new)
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        start, length = np.zeros(n_new, np.int64), np.zeros(n_new, np.int64)
+        start[own], length[own] = len(self.flat) + np.cumsum(n) - n, n
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, n.sum())])
+        if not own.all():
+            parts = np.array([w for w in self.new if not isinstance(w, bytes)], np.int64).ravel()
+            n = self.length[parts]
+            stop = np.cumsum(n)
+            joined = self.flat[np.repeat(self.start[parts] - (stop - n), n) + np.arange(stop[-1])]
+            at = first + np.flatnonzero(~own)
+            self.length[at] = n[::2] + n[1::2]
+            self.start[at] = len(self.flat) + (stop - n)[::2]
+            self.flat = np.concatenate([self.flat, joined])
+        self.new = []
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and each text's number of ids."""
         if len(self) > CACHE_WORDS:
@@ -137,14 +165,9 @@ class WordCache(dict):
         at = np.zeros(counts.sum(), np.int64)
         inner = np.ones(len(at), bool)
         inner[np.cumsum(counts) - 1] = False
-        at[inner] = np.fromiter((self[w] for ws in words for w in ws), np.int64, len(at) - len(texts))
+        at[inner] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(at) - len(texts))
         if self.new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-            n = np.array([len(g) for g in got], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32, n.sum())])
-            self.new = []
+            self._learn()
         n = self.length[at]
         stop = np.cumsum(n)
         out = self.flat[np.repeat(self.start[at] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
