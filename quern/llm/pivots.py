@@ -1,8 +1,10 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 1. Equal vectors are one node with a multiplicity, so copies are never compared.
-2. PIVOTS reference points are the vectors of least hash (a bounded sample). Each vector is described by its NEAR nearest
-   pivots in order; every vector is indexed in the inverted list of each of these pivots.
+2. Reference points are taken from the vectors of least hash (a bounded sample), leaving out any closer than APART to one
+   taken before, so a group of near copies gives one. Each vector is described by its NEAR nearest pivots in order. Every
+   vector is indexed, in the inverted lists of its pivots of least number, all but SHARED - 1: the smallest of SHARED shared
+   pivots is always among these.
 3. A list is compared block by block (blocks of BLOCK, pairs of blocks dealt out as tasks). Two vectors are candidates if
    their descriptions share SHARED pivots or more; they are looked at in the list of the smallest pivot they share, and so
    once. Candidates are verified by cosine in double precision.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.llm.components import connected
 from quern.session import materialise
 
-NEAR, SHARED, BLOCK, MOST_PIVOTS, COSINE = 8, 1, 1024, 4096, 0.9
+NEAR, SHARED, BLOCK, MOST_PIVOTS, COSINE, APART = 8, 2, 1024, 4096, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
@@ -52,10 +54,20 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "v"])
 
 
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to most rows of the sample, in its order, no two with a cosine over APART."""
+    taken, n = np.zeros((min(most, len(sample)), sample.shape[1])), 0
+    for x in sample:
+        if n < len(taken) and (taken[:n] @ x <= APART).all():
+            taken[n] = x
+            n += 1
+    return taken[:n]
+
+
 _ENTRY = "pivot int, node long, weight long, near array<int>, v binary"
 
 
-def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, near: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, near: int, shared: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw = b.column(2).to_pylist()
         ok = [i for i, x in enumerate(raw) if len(x) == 8 * pivots.shape[1]]
@@ -66,9 +78,11 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, near: int)
             k = min(near, s.shape[1])
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            n = np.repeat(np.array(at), k)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(top, k, axis=0).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(top.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), lists, b.column(2).take(pa.array(n))], names=["pivot", "node", "weight", "near", "v"])
+            m = max(1, k - shared + 1)
+            least = np.sort(top, axis=1)[:, :m]
+            n = np.repeat(np.array(at), m)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(top, m, axis=0).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(least.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), lists, b.column(2).take(pa.array(n))], names=["pivot", "node", "weight", "near", "v"])
 
 
 _FOUND = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
@@ -152,14 +166,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR
     for (length,) in [tuple(r) for r in classes.select(F.length("v")).distinct().orderBy(F.length("v")).collect()]:
         own = classes.where(F.length("v") == length)
         n = own.count()
-        sample = own.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots(n)).toArrow().column("v").to_pylist()
-        pivots = np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1)
+        sample = own.select("v").orderBy(F.xxhash64("v"), "v").limit(2 * n_pivots(n)).toArrow().column("v").to_pylist()
+        pivots = spread(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1), n_pivots(n))
+        need = min(shared, len(pivots))
         held = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
-        entries = materialise(own.mapInArrow(lambda it, held=held: _described(it, held.value, near), _ENTRY), "index")
+        entries = materialise(own.mapInArrow(lambda it, held=held, need=need: _described(it, held.value, near, need), _ENTRY), "index")
         sizes = entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
         dealt = entries.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        found = dealt.groupBy("pivot", "i", "j").applyInArrow(_comparing(len(sample), shared, cosine), "node long, other long, n long")
+        found = dealt.groupBy("pivot", "i", "j").applyInArrow(_comparing(len(pivots), need, cosine), "node long, other long, n long")
         found = materialise(found, "found")
         part = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
         counts = part if counts is None else counts.unionByName(part)
