@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Personalisation strings of the row, document and shard digests.
-ROW_PERSON, DOC_PERSON, SHARD_PERSON = b"f2llm-row-id-v1", b"f2llm-doc-v1", b"f2llm-shard-v1"
+#: Default personalisation strings of the digests; pass those of an existing dataset to get its ids byte for byte.
+ROW_PERSON, DOC_PERSON = b"row-id-v1", b"doc-v1"
 
 
 def seeded(*parts: Column | str | int) -> Column:
@@ -39,12 +39,12 @@ def _framed(value: str) -> bytes:
     return struct.pack(">I", len(raw)) + raw
 
 
-def row_id(release: str, path: str, row: int) -> bytes:
-    return hashlib.blake2b(_framed(release) + _framed(path) + struct.pack(">Q", row), digest_size=16, person=ROW_PERSON).digest()
+def row_id(release: str, path: str, row: int, person: bytes = ROW_PERSON) -> bytes:
+    return hashlib.blake2b(_framed(release) + _framed(path) + struct.pack(">Q", row), digest_size=16, person=person).digest()
 
 
-def document_id(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16, person=DOC_PERSON).digest()
+def document_id(text: str, person: bytes = DOC_PERSON) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16, person=person).digest()
 
 
 def joined_seed(*parts: object) -> int:

@@ -19,6 +19,7 @@ def rows(df, *cols):
 def test_row_id_is_framed_blake2b():
     raw = b"\x00\x00\x00\x01r" + b"\x00\x00\x00\x01p" + (5).to_bytes(8, "big")
     assert hashing.row_id("r", "p", 5) == hashlib.blake2b(raw, digest_size=16, person=hashing.ROW_PERSON).digest()
+    assert hashing.row_id("r", "p", 5, b"other") == hashlib.blake2b(raw, digest_size=16, person=b"other").digest()
     assert hashing.row_id("r", "p", 5) != hashing.row_id("r", "p", 6)
 
 
