@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -107,6 +108,11 @@ class Segment:
         return np.array([self.codes[j] for j in range(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))], np.uint32)
 
 
+def _one_piece(word: str) -> bool:
+    """Whether a word is letters alone, also once it is normalised and lower-cased."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class WordCache(dict):
     """Words (as bytes) to numbers, whose ids lie in flat arrays; unseen words are encoded a block at a time.
 
@@ -118,6 +124,9 @@ class WordCache(dict):
 
         super().__init__()
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -136,15 +145,17 @@ class WordCache(dict):
 
     def _learn(self) -> None:
         """Ids of the new words; those that end in marks are made of the letters before and the marks, which part there."""
-        plain = [w for w in self.new if isinstance(w, bytes)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)]
+        plain = [w.decode() for w in self.new if isinstance(w, bytes)]
+        simple = np.fromiter(map(_one_piece, plain), bool, len(plain))
         first, n_new = len(self.start), len(self.new)
         own = np.fromiter((isinstance(w, bytes) for w in self.new), bool, n_new)
-        n = np.fromiter(map(len, got), np.int64, len(got))
         start, length = np.zeros(n_new, np.int64), np.zeros(n_new, np.int64)
-        start[own], length[own] = len(self.flat) + np.cumsum(n) - n, n
+        for which, encode in ((simple, self._encode_joined), (~simple, self._encode_each)):
+            flat, n = encode([w for w, x in zip(plain, which) if x])
+            at = np.flatnonzero(own)[which]
+            start[at], length[at] = len(self.flat) + np.cumsum(n) - n, n
+            self.flat = np.concatenate([self.flat, flat])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, n.sum())])
         if not own.all():
             parts = np.array([w for w in self.new if not isinstance(w, bytes)], np.int64).ravel()
             n = self.length[parts]
@@ -156,6 +167,19 @@ class WordCache(dict):
             self.flat = np.concatenate([self.flat, joined])
         self.new = []
 
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, n.sum()), n
+
+    def _encode_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone, as one text: each is one piece, and ends with its first token that can end a piece."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        n = np.diff(np.flatnonzero(self.ends_piece[flat]), prepend=-1)
+        return (flat, n) if len(n) == len(words) and n.sum() == len(flat) else self._encode_each(words)
+
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and each text's number of ids."""
         if len(self) > CACHE_WORDS:
