@@ -87,26 +87,44 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(mean, scale, w)
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in T.slices(batches, 1):
+def _featured(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for b in T.slices(batches, at):
         x = features(b.column(b.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))], names=[*b.schema.names[:-1], "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the documents that labels (doc_id, quality) covers; beyond LABELLED, those of least hash of doc_id."""
+def featured(docs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, x) of every row, written: texts are read once for training and for scores."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema)
+    at = len(keys)
+    return materialise(docs.select(*keys, "text").mapInArrow(lambda it: _featured(it, at), f"{kinds}, x array<float>"), "features")
+
+
+def train(features: DataFrame, labels: DataFrame) -> Model:
+    """Fit on rows of features (doc_id, x, ...) that labels (doc_id, quality) cover; beyond LABELLED labels, those of least hash."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    x = materialise(docs.select("doc_id", "text").mapInArrow(_featured, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>"), "features")
-    got = x.join(known, "doc_id").orderBy("doc_id").limit(LABELLED).toArrow()
+    got = features.join(known, "doc_id").orderBy("doc_id").limit(LABELLED).select("quality", "x").toArrow()
     y = got["quality"].to_numpy().astype(float)
     rows = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), WIDTH)
     return fit(rows, y)
 
 
+def _logits(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = b.column(b.num_columns - 1)
+        rows = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, WIDTH)
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.logit(rows))], names=[*b.schema.names[:-1], "__logit"])
+
+
+def _scores(features: DataFrame, model: Model, *keys: str) -> DataFrame:
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*keys).schema)
+    return features.select(*keys, "x").mapInArrow(lambda it: _logits(it, model), f"{kinds}, __logit double")
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     for b in T.slices(batches, at):
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.logit(features(b.column(at))))], names=[*b.schema.names, "__logit"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.logit(features(b.column(at)).astype(np.float64)))], names=[*b.schema.names, "__logit"])
 
 
 def _with_logit(docs: DataFrame, model: Model) -> DataFrame:
@@ -148,8 +166,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Null texts count as empty, null hosts and paths as one of their own. With under ten labels, or labels of one class, every
     quality is 0.5 and all are kept. Rows that repeat are judged alike and each counts in its site; further columns are not read.
     """
-    model = train(docs, labels)
-    scored = materialise(_with_logit(docs.select("doc_id", host, path, "text"), model).drop("text"), "scores")
+    rows = featured(docs, "doc_id", host, path)
+    scored = materialise(_scores(rows, train(rows, labels), "doc_id", host, path), "scores")
     sites = materialise(site_rates(scored, host, path), "sites")
     out = _judged(scored, sites, host, path, "doc_id")
     return out.select("doc_id", F.round(1 / (1 + F.exp(-F.col("__logit"))), 6).alias("doc_score"), F.round("__host_rate", 6).alias("host_rate"), F.round("__path_rate", 6).alias("path_rate"), F.round("__quality", 6).alias("quality"), (F.round("__quality", 6) >= 0.5).alias("kept"))
@@ -157,8 +175,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs that classify keeps, with the columns of docs."""
-    model = train(docs, labels)
-    sites = materialise(site_rates(_with_logit(docs.select(host, path, "text"), model), host, path), "sites")
-    rows = _with_logit(docs, model)
-    return _judged(rows, sites, host, path, "__logit").where("round(__quality, 6) >= 0.5").select(*docs.columns)
+    rows = featured(docs, "doc_id", host, path)
+    model = train(rows, labels)
+    sites = materialise(site_rates(_scores(rows, model, host, path), host, path), "sites")
+    return _judged(_with_logit(docs, model), sites, host, path, "__logit").where("round(__quality, 6) >= 0.5").select(*docs.columns)
 
