@@ -53,14 +53,13 @@ def with_measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
 
     def of_words(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(_repeated(w)).alias("n_repeat_words"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(_repeated(w)).alias("n_repeat_words"))
 
     out = docs.withColumn("__words", _let(_words(text), of_words)).withColumns({
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    out = out.withColumns({"n_words": F.col("__words.n_words"), "n_repeat_words": F.col("__words.n_repeat_words")})
+    out = out.withColumns({"n_words": F.col("__words.n_words"), "word_chars": F.col("__words.word_chars"), "n_repeat_words": F.col("__words.n_repeat_words")})
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     return out.drop("__words")
 
