@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm import text as T
 
-CACHE_PIECES, CACHE_PAIRS, LONGEST_KEPT = 250_000, 1 << 18, 64
+CACHE_PIECES, CACHE_PAIRS, LONGEST_KEPT = 500_000, 1 << 19, 64
 
 
 class Vocabulary:
@@ -34,7 +34,7 @@ class Vocabulary:
         self.longest = max(self.length.values())
         self.pairs: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, ...] | None] = {}
-        self.edges: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
+        self.edges: tuple[dict[int, list[tuple[bytes, float]]], ...] = ({}, {})
         self.automaton = ahocorasick.Automaton()
         for k, v in self.ranks.items():
             self.automaton.add_word(k.decode("latin-1"), v)
@@ -67,36 +67,37 @@ class Vocabulary:
 
     def edge(self, a: int, side: int) -> list[tuple[bytes, float]]:
         """What stands at the left (0) or right (1) edge of the token while it is merged, each with the rank that ends it."""
-        if (a, side) not in self.edges:
-            chain, t = [(self.bytes[a], float("inf"))], a
-            while parts := self.split(t):
-                chain.append((self.bytes[parts[side]], t))
-                t = parts[side]
-            self.edges[a, side] = chain[::-1]
-        return self.edges[a, side]
+        chain, t = [(self.bytes[a], float("inf"))], a
+        while parts := self.split(t):
+            chain.append((self.bytes[parts[side]], t))
+            t = parts[side]
+        self.edges[side][a] = chain = chain[::-1]
+        return chain
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both gives a, b: both edges grow in order of rank, and no merge across comes first."""
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.stands(b) and self._apart(self.edge(a, 1), self.edge(b, 0))
+            known = self.stands(b) and self._apart(self.edges[1].get(a) or self.edge(a, 1), self.edges[0].get(b) or self.edge(b, 0))
+            if len(self.pairs) < CACHE_PAIRS:
+                self.pairs[key] = known
         return known
 
     def _apart(self, right: list[tuple[bytes, float]], left: list[tuple[bytes, float]]) -> bool:
-        i = j = 0
+        ranks, i, j = self.ranks, 1, 1
+        (x, x_ends), (y, y_ends) = right[0], left[0]
         while True:
-            (x, x_ends), (y, y_ends) = right[i], left[j]
-            across = self.ranks.get(x + y)
+            across = ranks.get(x + y)
             if across is not None and across < x_ends and across <= y_ends:
                 return False
             if x_ends <= y_ends:
-                if i + 1 == len(right):
+                if i == len(right):
                     return True
+                x, x_ends = right[i]
                 i += 1
             else:
+                y, y_ends = left[j]
                 j += 1
 
     def extend(self, data: bytes, last: list[int]) -> None:
@@ -152,7 +153,7 @@ class PrefixEncoder:
 
 
 class Pieces(dict):
-    """Pieces of text to their ids; a piece that is a token itself is that token."""
+    """Pieces of text to their ids; a piece that is a token itself is that token. The first CACHE_PIECES are kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -167,7 +168,7 @@ class Pieces(dict):
             last: list[int] = []
             self.v.extend(data, last)
             ids = tuple(self.v.read(last))
-        if len(piece) <= LONGEST_KEPT:
+        if len(self) < CACHE_PIECES and len(piece) <= LONGEST_KEPT:
             self[piece] = ids
         return ids
 
@@ -181,8 +182,6 @@ class Encoder:
         self.decimal = {i: str(i) for i in self.v.bytes}
 
     def encode(self, text: str) -> list[int]:
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
         return [i for ids in map(self.pieces.__getitem__, self.find(text)) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
