@@ -116,6 +116,8 @@ def _one_piece(word: str) -> bool:
 class WordCache(dict):
     """Words (as bytes) to numbers, whose ids lie in flat arrays; unseen words are encoded a block at a time.
 
+    The first CACHE_WORDS words are kept; after that, unseen ones are held for their block alone.
+
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.
     """
 
@@ -123,24 +125,25 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.once: dict[bytes, int] = {}  # words of this block beyond those kept
+        self.kept: tuple[int, int] | None = None  # lengths of the arrays when the cache was full
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         vocabulary = self.tokenizer.get_vocab()
         self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_piece[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[bytes | tuple[int, int]] = []  # unseen words, or the numbers of the two parts of one
         self.flat, self.start, self.length = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
+        if self.kept and (k := self.once.get(word)) is not None:
+            return k
         letters = word.rstrip(MARKS)
         if letters and letters != word and letters[-1:].isalpha() and b"<|" not in word:
             self.new.append((self[letters], self[word[len(letters) :]]))
         else:
             self.new.append(word)
-        self[word] = k = len(self.start) + len(self.new) - 1
+        k = len(self.start) + len(self.new) - 1
+        (self.once if self.kept else self)[word] = k
         return k
 
     def _learn(self) -> None:
@@ -182,8 +185,6 @@ class WordCache(dict):
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and each text's number of ids."""
-        if len(self) > CACHE_WORDS:
-            self.reset()
         words = [x.split() for x in texts]
         counts = np.array([len(w) + 1 for w in words], np.int64)
         at = np.zeros(counts.sum(), np.int64)
@@ -195,6 +196,11 @@ class WordCache(dict):
         n = self.length[at]
         stop = np.cumsum(n)
         out = self.flat[np.repeat(self.start[at] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        if self.kept:
+            self.once.clear()
+            self.start, self.length, self.flat = self.start[: self.kept[0]], self.length[: self.kept[0]], self.flat[: self.kept[1]]
+        elif len(self) > CACHE_WORDS:
+            self.kept = len(self.start), len(self.flat)
         return out, np.add.reduceat(n, np.cumsum(counts) - counts) if len(counts) else counts
 
 
@@ -259,7 +265,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = Segment(data)
             values = s.codes.all().astype("<u4")
             starts = np.concatenate([[0], s.ends[:-1]])
-            crc = [zlib.crc32(values[i:j].tobytes()) for i, j in zip(starts, s.ends)]
+            crc = [zlib.crc32(values[i:j]) for i, j in zip(starts, s.ends)]
             n = len(crc)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(s.doc_ids, mask=s.known == 0), pa.array(starts), pa.array(s.ends - starts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
 
