@@ -3,7 +3,7 @@
 Method (size-aware join after Deng, Tao and Li, 2018, on prefixes in rarest-first order):
 
 1. Each text becomes a set of shingle hashes. Equal sets are one node, so copies never meet each other again.
-2. Shingles are dealt out by hash range as packed sorted runs. Each range counts in how many sets a shingle occurs; those
+2. Shingles are dealt out by hash range, of about BUCKET each at most, as packed sorted runs. Each range counts in how many sets a shingle occurs; those
    of one set can't be in a link, and only the others go back to their sets, with that frequency.
 3. Rarest first, a set needs its first n - ceil(t n) + 1 shingles to share one with every partner, and one more to share
    two. Sets whose shared shingles are too few for any partner end here.
@@ -29,7 +29,7 @@ from quern.llm import text as T
 from quern.llm.components import connected
 from quern.session import materialise, partitions
 
-LIGHT, BLOCK, RUN = 32, 8192, 1 << 21
+LIGHT, BLOCK, RUN, BUCKET = 32, 8192, 1 << 21, 1 << 22
 _U = np.uint64
 
 
@@ -282,8 +282,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     columns of docs are not read. doc_id is an integer column.
     """
     spark = docs.sparkSession
-    n_buckets = partitions(spark)
     rows = materialise(shingle_nodes(docs, k), "sets")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    n_buckets = max(partitions(spark), -(-total // BUCKET))
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
     bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_node_bucket(b.column(0).to_numpy(), n_buckets).astype(np.int32)), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
     runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, n_buckets), "bucket int, names binary, owner binary, steps binary, wide binary")
