@@ -310,6 +310,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         more = materialise(_verified(_pairs_in_blocks(rest, x, num, den), nodes, num, den), "verified")
         comps = materialise(connected(links.unionByName(more)), "components")
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    named = materialise(named, "classes")  # read anew, so that the join can be split where one set has very many copies
     return rows.join(named, (rows.node == named.node) & (rows.n_shingles > 0) & rows.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id"))
 
 
