@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from quern.llm import text as T
 
-CACHE_PIECES, CACHE_PAIRS, LONGEST_KEPT = 500_000, 1 << 19, 64
+CACHE_PIECES, CACHE_PAIRS, LONGEST_KEPT = 300_000, 1 << 18, 64
 
 
 class Vocabulary:
