@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling (Baruah, Cohen, Plaxton and Varvel, 1996).
 
-Documents of a source form blocks of BLOCK. With weight w = k / frame, block j of a source may start at slot floor(j / w)
-and must be placed before slot ceil((j + 1) / w); earliest-deadline-first over the released blocks meets every deadline, so
-after any number of slots each source is less than one block from its share. The pattern repeats each frame: one frame is
-scheduled on the driver (its size grows with the number of sources alone), and every block finds its slot by a join.
+Documents of a source form blocks of BLOCK. In the ideal mix all sources flow at once at the rates of their exact weights,
+and one that runs dry leaves its share to the rest. Block j of a source may start in the slot in which the ideal mix begins
+it and must be placed by the slot in which the ideal mix ends it; while none is dry these are slots floor(j / w) and
+ceil((j + 1) / w). Earliest-deadline-first over the released blocks meets every deadline, as the ideal mix is a fractional
+solution, so after any number of slots each source is less than one block from its share. The driver schedules number by
+number, CHUNK slots at a time in bounded memory, and every block finds its slot by a join.
 
 Blocks are numbered without gathering a source: its documents are dealt into hash slices of about SLICE rows, ranked
 within their slice, and the slices' sizes are summed.
@@ -12,14 +14,17 @@ within their slice, and the slices' sizes are summed.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import materialise
+from quern.session import materialise, own_dir, partitions
 
-BLOCK, SLICE, FRAME, MOST_SOURCES, ALPHA = 8, 2048, 1024, 100_000, 0.7
+BLOCK, SLICE, FRAME, MOST_SOURCES, ALPHA, CHUNK, TIES, EPS = 8, 2048, 1024, 100_000, 0.7, 1 << 18, 4096, 1e-6
 
 
 def shares(weights: Mapping[object, float], frame: int = FRAME) -> dict[object, int]:
@@ -36,76 +41,123 @@ def shares(weights: Mapping[object, float], frame: int = FRAME) -> dict[object,
     return out
 
 
-def schedule(slots: Mapping[object, int]) -> list[tuple[object, int]]:
-    """The frame's (source, block) in slot order: earliest deadline first among released blocks; ties by source."""
-    frame = sum(slots.values())
-    release: dict[int, list] = {}
-    for k, n in slots.items():
-        release.setdefault(0, []).append((-(-frame // n), str(k), k, 0))
-    ready: list = []
-    out = []
-    for slot in range(frame):
-        for x in release.pop(slot, ()):
+def interleave(blocks: Sequence[int], weights: Sequence[float], chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """The source number of every slot in turn, until all blocks are placed: earliest deadline first among released blocks.
+
+    Ties go to the block that the ideal mix ends first, then to the smaller number. Weights are positive numbers of any sum; bounds hold to within rounding of doubles.
+    """
+    b, w = np.asarray(blocks, np.int64), np.asarray(weights, np.float64)
+    w = w / w.sum()
+    dry = np.argsort(b / w, kind="stable")
+    # the ideal mix has passed through slot at[i] when the source that runs dry i-th does so, at its own pace[i]
+    pace = np.concatenate([[0.0], (b / w)[dry]])
+    at = np.concatenate([[0.0], np.cumsum(np.cumsum(w[dry][::-1])[::-1] * np.diff(pace))])
+    ready: list[int] = []
+    begun, placed, end, total = np.zeros(len(b), np.int64), 0, 0, int(b.sum())
+    while placed < total:
+        end = min(end + chunk, total)
+        upto = b if end == total else np.maximum(begun, np.minimum(b, np.ceil(w * np.interp(end, at, pace)).astype(np.int64)))
+        n = upto - begun
+        k = np.repeat(np.arange(len(b)), n)
+        j = np.arange(len(k)) - np.repeat(np.cumsum(n) - n - begun, n)
+        begun = upto
+        release = np.floor(np.interp(j / w[k], pace, at) + EPS)
+        stop = np.interp((j + 1) / w[k], pace, at)
+        deadline = np.ceil(stop - EPS)
+        rank = deadline.astype(np.int64) * TIES - ((deadline - stop) * (TIES - 1)).astype(np.int64)
+        order = np.argsort(release, kind="stable")
+        entries, release = (rank * len(b) + k)[order].tolist(), release[order].tolist()
+        i, out = 0, []
+        for slot in range(placed, end):
+            while i < len(entries) and (release[i] <= slot or not ready):
+                heapq.heappush(ready, entries[i])
+                i += 1
+            if not ready:
+                break
+            out.append(heapq.heappop(ready) % len(b))
+        for x in entries[i:]:
             heapq.heappush(ready, x)
-        _, name, k, j = heapq.heappop(ready)
-        out.append((k, j))
-        n, j = slots[k], j + 1
-        if j < n:
-            entry = (-(-(j + 1) * frame // n), name, k, j)
-            at = j * frame // n
-            if at <= slot:
-                heapq.heappush(ready, entry)
-            else:
-                release.setdefault(at, []).append(entry)
+        placed += len(out)
+        yield np.array(out, np.int64)
+
+
+def schedule(slots: Mapping[object, int]) -> list[tuple[object, int]]:
+    """(source, block) in slot order of a frame with so many slots for each source."""
+    names, seen, out = sorted(slots, key=str), dict.fromkeys(slots, 0), []
+    for part in interleave([slots[k] for k in names], [slots[k] for k in names]):
+        for k in (names[x] for x in part):
+            out.append((k, seen[k]))
+            seen[k] += 1
     return out
 
 
+def _plan(spark: SparkSession, numbers: list[int], counts: list[int], weights: list[float], block: int) -> DataFrame:
+    """(p_number, p_block, p_slot, p_start) of every block: its slot, and the documents before it in the mixed order."""
+    kind = "p_number long, p_block long, p_slot long, p_start long"
+    path = f"{own_dir(spark)}/plan-{uuid.uuid4().hex}"
+    spark.createDataFrame([], kind).write.parquet(path)
+    number, n = np.array(numbers, np.int64), np.array(counts, np.int64)
+    seen, slot, start = np.zeros(len(n), np.int64), 0, 0
+    for k in interleave(-(-n // block), weights):
+        order = np.argsort(k, kind="stable")
+        times = np.bincount(k, minlength=len(n))
+        j = np.empty(len(k), np.int64)
+        j[order] = np.arange(len(k)) - np.repeat(np.cumsum(times) - times - seen, times)
+        size = np.minimum(block, n[k] - j * block)
+        part = pa.table({"p_number": number[k], "p_block": j, "p_slot": slot + np.arange(len(k)), "p_start": start + np.cumsum(size) - size})
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
+        seen, slot, start = seen + times, slot + len(k), start + int(size.sum())
+    return spark.read.schema(kind).parquet(path)
+
+
+def _places(rows: DataFrame, weights: Mapping[object, float] | None, block: int) -> DataFrame:
+    """The columns of rows (__row, doc_id, source), a table, with block, slot, position and in_mix; __row tells rows apart."""
+    spark = rows.sparkSession
+    counts = sorted(((r["source"], r["count"]) for r in rows.groupBy("source").count().limit(MOST_SOURCES + 1).collect()), key=lambda x: str(x[0]))
+    if len(counts) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    given = weights if weights is not None else {k: n**ALPHA for k, n in counts}
+    live = [(i, n, float(given[k])) for i, (k, n) in enumerate(counts) if given.get(k) and given[k] > 0]
+    plan = _plan(spark, *([x[c] for x in live] for c in range(3)), block)
+    total = sum(w for _, _, w in live)
+    horizon = min((int(-(-n // block) * (total / w) + EPS) for _, n, w in live), default=0)
+    kind = rows.schema["source"].dataType.simpleString()
+    number = spark.createDataFrame([(k, i, max(1, -(-n // SLICE))) for i, (k, n) in enumerate(counts)], f"s_source {kind}, number long, slices long")
+    number = materialise(number.coalesce(1), "sources")
+    # copies of the small table for each salt, so that a hot source is joined in parts whether or not Spark broadcasts it
+    number = number.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    salted = rows.withColumn("__h", F.when(F.col("doc_id").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("doc_id"))).withColumn("__salt", F.pmod("__h", F.lit(16)).cast("int"))
+    dealt = salted.join(number, salted.source.eqNullSafe(number.s_source) & (F.col("__salt") == F.col("s_salt")))
+    dealt = dealt.select("__row", "doc_id", "source", "number", F.pmod(F.shiftrightunsigned("__h", 8), "slices").alias("slice"))
+    sizes = dealt.groupBy("number", "slice").count()
+    before = F.sum("count").over(Window.partitionBy("number").orderBy("slice")) - F.col("count")
+    sizes = materialise(sizes.select("number", "slice", before.alias("before")), "slices")
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("number", "slice").orderBy("doc_id", "__row")))
+    placed = ranked.join(sizes, ["number", "slice"]).withColumn("index", F.col("before") + F.col("rank") - 1)
+    placed = placed.select("__row", "doc_id", "source", "number", F.expr(f"`index` div {block}").alias("block"), F.expr(f"`index` % {block}").alias("inside"))
+    out = placed.join(plan, (placed.number == plan.p_number) & (placed.block == plan.p_block), "left")
+    in_mix = F.coalesce(F.col("p_slot") < F.lit(horizon), F.lit(False))
+    return out.select("__row", "doc_id", "source", "block", F.col("p_slot").alias("slot"), (F.col("p_start") + F.col("inside")).alias("position"), in_mix.alias("in_mix"))
+
+
 def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, source: str = "source") -> DataFrame:
     """(doc_id, source, block, slot, position, in_mix) of every row of docs.
 
     Without weights, a source's is its number of documents to the power ALPHA, which lifts small sources. position is the
-    place in the interleaved order; in_mix holds up to the first slot whose source has no full block left, so the rows in
-    the mix have the target weights to within a block. Rows of sources without a weight have null slots and stay out.
-    Null sources are a source of their own; rows that repeat are told apart by nothing and take neighbouring places; an
-    empty table gives an empty result. More than MOST_SOURCES sources are an error.
+    place in the interleaved order, which holds every document of a source with a weight, 0 to their number less one: a source
+    that runs dry leaves its share to the rest, and its last block may be a part of one. in_mix tells the slots before the
+    first source runs dry, up to which all sources have their target weights to within a block. Weights of sources without
+    rows are shared among the rest. Rows of sources without a weight have null slots and positions.
+    Null sources are a source of their own. Rows that repeat a doc_id take neighbouring places of their own, and rows with a
+    null doc_id places of their own anywhere in their source. An empty table gives an empty result. More than MOST_SOURCES
+    sources are an error.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col(source).alias("source"))
-    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    slots = shares(weights if weights is not None else {k: n**ALPHA for k, n in counts.items()})
-    frame = sum(slots.values())
-    plan = schedule(slots)
-    at = {kj: i for i, kj in enumerate(plan)}
-    ends = [f * frame + at[k, j] for k, n in slots.items() for f, j in [divmod(counts.get(k, 0) // block, n)]]
-    horizon = min(ends, default=0)
-    kind = docs.schema[source].dataType.simpleString()
-    table = spark.createDataFrame([(k, j, i, slots[k], horizon) for (k, j), i in at.items()], f"p_source {kind}, p_block long, p_slot long, p_share long, horizon long")
-    table = materialise(table.coalesce(1), "frame")
-    share = spark.createDataFrame([(k, max(1, -(-n // SLICE)), slots.get(k)) for k, n in counts.items()], f"s_source {kind}, slices long, share long")
-    share = materialise(share.coalesce(1), "shares")
-    # copies of the small table for each salt, so that a hot source is joined in parts whether or not Spark broadcasts it
-    share = share.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    h = F.xxhash64("doc_id")
-    salted = rows.withColumn("__h", h).withColumn("__salt", F.pmod("__h", F.lit(16)).cast("int"))
-    dealt = salted.join(share, salted.source.eqNullSafe(share.s_source) & (F.col("__salt") == F.col("s_salt"))).select("doc_id", "source", F.pmod(F.shiftrightunsigned("__h", 8), "slices").alias("slice"), "share")
-    sizes = dealt.groupBy("source", "slice").count()
-    before = F.sum("count").over(Window.partitionBy("source").orderBy("slice")) - F.col("count")
-    sizes = materialise(sizes.select(F.col("source").alias("b_source"), F.col("slice").alias("b_slice"), before.alias("before")), "slices")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "slice").orderBy("doc_id")))
-    placed = ranked.join(sizes, ranked.source.eqNullSafe(sizes.b_source) & (ranked.slice == sizes.b_slice)).withColumn("index", F.col("before") + F.col("rank") - 1)
-    placed = placed.select("doc_id", "source", "share", F.expr(f"`index` div {block}").alias("block"), F.expr(f"`index` % {block}").alias("inside")).withColumn("p_at", F.expr("block % share"))
-    j = placed.join(table, placed.source.eqNullSafe(table.p_source) & (placed.p_at == table.p_block), "left")
-    slot = F.expr(f"(block div share) * {frame}L + p_slot") if frame else F.lit(None).cast("long")
-    out = j.withColumn("slot", slot)
-    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.col("inside")).alias("position"), F.coalesce(F.col("slot") < F.col("horizon"), F.lit(False)).alias("in_mix"))
+    rows = materialise(docs.select("doc_id", F.col(source).alias("source"), F.monotonically_increasing_id().alias("__row")), "rows")
+    return _places(rows, weights, block).drop("__row")
 
 
 def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of docs in the mix, written in mixed order, with the columns of docs."""
-    from quern.session import partitions
-
     places = mix(docs, weights, block).where("in_mix").select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")).dropDuplicates(["__id"])
     places = materialise(places, "places")
     out = docs.join(places.hint("merge"), F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), "__position")

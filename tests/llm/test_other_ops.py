@@ -111,6 +111,21 @@ def test_mixing(spark):
     assert {r.in_mix for r in mixing.mix(d, {"big": 1.0}).where("source <> 'big'").collect()} == {False}
 
 
+@pytest.mark.parametrize("n", [3, 20, 300])
+def test_schedule_keeps_exact_weights(n):
+    """Less than one block from the target weights over many frames, as long as no source is dry, and no block is lost."""
+    rng = np.random.default_rng(n)
+    blocks = [40_000, *rng.integers(1000, 1400, n - 1).tolist()]
+    w = np.array(blocks, float) ** mixing.ALPHA
+    w /= w.sum()
+    order = np.concatenate(list(mixing.interleave(blocks, w, chunk=5000)))
+    assert np.bincount(order, minlength=n).tolist() == blocks
+    for k in range(n):
+        upto = int((np.array(blocks) / w).min())
+        assert upto > 4 * mixing.FRAME or n == 3
+        assert np.abs(np.cumsum(order[:upto] == k) - np.arange(1, upto + 1) * w[k]).max() < 1 + mixing.EPS
+
+
 def vectors(seed=1):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(60, 16))
