@@ -156,9 +156,14 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, block: i
     return _places(rows, weights, block).drop("__row")
 
 
-def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in the mix, written in mixed order, with the columns of docs."""
-    places = mix(docs, weights, block).where("in_mix").select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")).dropDuplicates(["__id"])
+def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """The rows of docs in the mix, written in mixed order, with the columns of docs.
+
+    With whole, the rows of docs after the first source runs dry too, and last those of sources without a weight.
+    """
+    places = mix(docs, weights, block)
+    places = (places if whole else places.where("in_mix")).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")).dropDuplicates(["__id"])
     places = materialise(places, "places")
-    out = docs.join(places.hint("merge"), F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), "__position")
-    return out.sortWithinPartitions("__position").select(*docs.columns)
+    order = F.col("__position").asc_nulls_last()
+    out = docs.join(places.hint("merge"), F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), order)
+    return out.sortWithinPartitions(order).select(*docs.columns)

@@ -126,6 +126,14 @@ def test_schedule_keeps_exact_weights(n):
         assert np.abs(np.cumsum(order[:upto] == k) - np.arange(1, upto + 1) * w[k]).max() < 1 + mixing.EPS
 
 
+def test_pipeline_mixing_drops_nothing(spark, sf):
+    import corpus_pipeline
+
+    d = table(spark, sf, "documents").limit(100)
+    stage = dict(corpus_pipeline.STAGES)["mixing_sources"]
+    assert sorted(r.doc_id for r in stage(spark, d, sf).collect()) == sorted(r.doc_id for r in d.collect())
+
+
 def vectors(seed=1):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(60, 16))
