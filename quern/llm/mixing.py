@@ -159,11 +159,13 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, block: i
 def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, whole: bool = False) -> DataFrame:
     """The rows of docs in the mix, written in mixed order, with the columns of docs.
 
-    With whole, the rows of docs after the first source runs dry too, and last those of sources without a weight.
+    With whole, every row of docs: those after the first source runs dry too, and last those of sources without a weight.
+    Each row has its own place, as in mix: rows with a null doc_id stay, and rows that repeat one stay as often as they occur.
     """
-    places = mix(docs, weights, block)
-    places = (places if whole else places.where("in_mix")).select(F.col("doc_id").alias("__id"), F.col("position").alias("__position")).dropDuplicates(["__id"])
-    places = materialise(places, "places")
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    places = _places(rows.select("__row", "doc_id", "source"), weights, block)
+    places = places if whole else places.where("in_mix")
+    places = materialise(places.select(F.col("__row").alias("__place"), F.col("position").alias("__position")), "places")
     order = F.col("__position").asc_nulls_last()
-    out = docs.join(places.hint("merge"), F.col("doc_id") == F.col("__id")).repartitionByRange(partitions(docs.sparkSession), order)
+    out = rows.join(places.hint("merge"), F.col("__row") == F.col("__place")).repartitionByRange(partitions(docs.sparkSession), order)
     return out.sortWithinPartitions(order).select(*docs.columns)

@@ -126,6 +126,23 @@ def test_schedule_keeps_exact_weights(n):
         assert np.abs(np.cumsum(order[:upto] == k) - np.arange(1, upto + 1) * w[k]).max() < 1 + mixing.EPS
 
 
+def test_mixing_keeps_every_row(spark):
+    """A source of one document, null ids and repeated ids cost no row; each row has a place of its own."""
+    rows = [(i, "big" if i % 10 else "small", i) for i in range(900)]
+    rows += [(5000, "rare", 5000)] + [(None, "big", 6000 + i) for i in range(40)] + [(7, "big", 7000 + i) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    taken = mixing.take(d, whole=True).collect()
+    assert sorted(r.n for r in taken) == sorted(n for _, _, n in rows)
+    mixed = mixing.mix(d).collect()
+    assert sorted(r.position for r in mixed) == list(range(len(rows)))
+    assert [r.doc_id for r in sorted(mixed, key=lambda r: r.position)] == [r.doc_id for r in taken]
+    weighted = mixing.mix(d, {"big": 3.0, "small": 1.0})
+    places = {(r.source, r.position) for r in weighted.where("in_mix").collect()}
+    held = mixing.take(d, {"big": 3.0, "small": 1.0}).collect()
+    assert len(held) == len(places) and sum(r.doc_id is None for r in held) == weighted.where("in_mix AND doc_id IS NULL").count()
+    assert mixing.take(d, {"big": 3.0, "small": 1.0}, whole=True).count() == len(rows)
+
+
 def test_pipeline_mixing_drops_nothing(spark, sf):
     import corpus_pipeline
 
