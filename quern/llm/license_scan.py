@@ -6,6 +6,8 @@ and template windows meet if they agree in a band of ROWS of their HASHES minima
 window of Jaccard 2/3 or more on average, which BANDS bands of 2 find with probability 1 - (1 - (2/3)^2)^BANDS = 0.9999
 for each of its windows; windows of one shingle are found always. Candidates are verified by exact shingle sets.
 
+Templates of fewer words than a shingle are looked up exactly, at every word of a text, by shingles of their own length.
+
 The work is one pass over whole texts in bounded blocks without a shuffle; templates are a fixed list of bounded size.
 """
 
@@ -50,6 +52,9 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced or distributed in any form.",
 }
 
+# Notices shorter than a shingle.
+SHORT = {"all-rights-reserved-line": "All rights reserved."}
+
 _LETTERS = np.zeros(256, bool)
 _LETTERS[48:58] = _LETTERS[65:91] = _LETTERS[97:123] = True
 _LETTERS[128:] = True
@@ -58,13 +63,13 @@ _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) +
 _BAND = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return T.shingles(T.Words(data, off, letters=_LETTERS), SHINGLE)
+def _words(data: np.ndarray, off: np.ndarray) -> T.Words:
+    return T.Words(data, off, letters=_LETTERS)
 
 
-def _text_shingles(text: str) -> np.ndarray:
+def _text_words(text: str) -> T.Words:
     data = np.frombuffer(text.encode(), np.uint8)
-    return _shingles(data, np.array([0, len(data)]))[0]
+    return _words(data, np.array([0, len(data)]))
 
 
 def window_keys(shingles: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -93,10 +98,18 @@ class Library:
             raise ValueError(f"templates are larger than {MOST_TEMPLATE_BYTES} bytes")
         self.names, self.sets, self.length = [], [], []
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for name, text in sorted(templates.items()):
-            sh = _text_shingles(text)
+            words = _text_words(text)
+            sh = T.shingles(words, SHINGLE)[0]
             if not len(sh):
                 continue
+            if (m := len(words.hash)) < SHINGLE:
+                self.short.setdefault(m, []).append((int(sh[0]), len(self.names)))
+                self.names.append(name)
+                self.sets.append(sh)
+                self.length.append(1)
+                continue
             t, size = len(self.names), min(LARGEST, 1 << (len(sh).bit_length() - 1))
             self.names.append(name)
             self.sets.append(np.unique(sh))
@@ -125,6 +138,17 @@ class Library:
                     out += [(p, t) for t in self.owner[size, band][a:b]]
         return np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
 
+    def short_passages(self, words: T.Words) -> dict[int, list[tuple[float, int, int]]]:
+        """(1.0, start word, template) of each place that holds a short template, by text."""
+        out: dict[int, list[tuple[float, int, int]]] = {}
+        for m, own in sorted(self.short.items()):
+            sh, begin = T.shingles(words, m)
+            for h, t in own:
+                at = np.flatnonzero(sh == np.uint64(h))
+                for p, d in zip(at, np.searchsorted(begin, at, side="right") - 1):
+                    out.setdefault(int(d), []).append((1.0, int(p - begin[d]), t))
+        return out
+
     def verify(self, shingles: np.ndarray, starts: np.ndarray, t: int) -> list[tuple[float, int]]:
         """(containment, first shingle) of each passage of one text around the starts that holds enough of template t."""
         m, own = self.length[t], self.sets[t]
@@ -158,13 +182,15 @@ def _scan(batches: Iterator[pa.RecordBatch], library: Library) -> Iterator[pa.Re
     for b in T.slices(batches, 1):
         rows: list[list] = [[], [], [], [], []]
         for i, j, data, off in T.blocks(b.column(1)):
-            sh, begin = _shingles(data, off)
+            words = _words(data, off)
+            sh, begin = T.shingles(words, SHINGLE)
             if not len(sh):
                 continue
+            short = library.short_passages(words)
             found = library.candidates(sh)
             doc = np.searchsorted(begin, found[:, 0], side="right") - 1
-            for d in np.unique(doc):
-                own, passages = found[doc == d], []
+            for d in np.union1d(doc, np.array(list(short), np.int64)):
+                own, passages = found[doc == d], list(short.get(int(d), ()))
                 for t in np.unique(own[:, 1]):
                     passages += [(share, at, int(t)) for share, at in library.verify(sh[begin[d] : begin[d + 1]], own[own[:, 1] == t, 0] - begin[d], t)]
                 passages = _best(passages, library.length)
@@ -182,9 +208,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
     A word is a run of letters and digits (and of bytes beyond ASCII), lower-cased. start_word is the first word of the best
     passage. A passage that fits two templates, as versions of one license do, counts for the one that it holds more of.
     Null and empty texts hold nothing; rows that repeat are reported each; an empty table or no templates give an
-    empty result; further columns are not read. A template of fewer words than a shingle is one shingle of all its words,
-    and is found only where such a text stands alone.
+    empty result; further columns are not read. A template of fewer words than a shingle is found wherever
+    a text holds exactly these words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    library = Library(TEMPLATES if templates is None else templates)
+    library = Library(TEMPLATES | SHORT if templates is None else templates)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, library), f"doc_id {kind}, license string, containment double, start_word long, n_passages long")

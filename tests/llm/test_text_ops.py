@@ -251,6 +251,17 @@ def test_license_scan(spark):
     assert license_scan.scan(frame(spark, texts), {}).count() == 0 and license_scan.scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_finds_short_notices(spark, sf):
+    """A notice of fewer words than a shingle is found inside any text, however long, and as often as it is there."""
+    texts = ["all rights reserved", "a all RIGHTS reserved. b", "All rights are reserved.", "x y z w v u. All rights\nreserved! (c) all rights reserved", "all rights"]
+    got = {r.doc_id: (r.license, r.containment, r.start_word, r.n_passages) for r in license_scan.scan(frame(spark, texts)).collect()}
+    assert got == {i: ("all-rights-reserved-line", 1.0, at, n) for i, at, n in ((0, 0, 1), (1, 1, 1), (3, 6, 2))}
+    assert license_scan.scan(frame(spark, ["under the X licence, in a text of words"]), {"x": "the x"}).first().start_word == 1
+    d = table(spark, sf.replace("0.001", "0.1"), "documents")
+    want = {r.doc_id for r in d.where(r"lower(text) RLIKE '(?<![0-9a-z])all[^0-9a-z]+rights[^0-9a-z]+reserved(?![0-9a-z])'").select("doc_id").collect()}
+    assert {r.doc_id for r in license_scan.scan(d).where("license = 'all-rights-reserved-line'").collect()} == want and len(want) > 50
+
+
 def test_license_scan_matches_brute_force(spark, sf):
     d = table(spark, sf.replace("0.001", "0.01"), "documents")
     norm = lambda t: tuple(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
