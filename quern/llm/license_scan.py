@@ -52,6 +52,37 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced or distributed in any form.",
 }
 
+# Headers of each version, closing clauses, main grants and the usual verbs, which share too little with the templates above.
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+VARIANTS = {
+    "GPL-2.0-header": "This program is free software; " + _GNU.format("General Public License", ";", "2"),
+    "GPL-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-2.1-header": "This library is free software; " + _GNU.format("Lesser General Public License", ";", "2.1"),
+    "LGPL-2.0-header": "This library is free software; " + _GNU.format("Library General Public License", ";", "2"),
+    "LGPL-3.0-header": "This program is free software: " + _GNU.format("Lesser General Public License", ",", "3"),
+    "AGPL-3.0-header": "This program is free software: " + _GNU.format("Affero General Public License", ",", "3"),
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "MIT-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-liability": "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    "BSD-source-clause": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-binary-clause": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-warranty": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "BSD-liability": "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    "ISC-warranty": "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+    "Apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0-copyright-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "Apache-2.0-patent-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work",
+    "MIT-terms": "under the terms of the MIT License",
+    **{f"MIT-{v.lower()}": f"{v} under the MIT License." for v in ("Licensed", "Distributed", "Available")},
+    **{f"Apache-2.0-{v.lower()}": f"{v} under the Apache License, Version 2.0." for v in ("Released", "Distributed", "Available")},
+    **{f"BSD-{n}-Clause-{v.lower()}": f"{v} under the BSD {n}-Clause License." for n in (2, 3) for v in ("Released", "Distributed", "Available")},
+    **{f"MPL-2.0-{v.lower()}": f"{v} under the Mozilla Public License, Version 2.0." for v in ("Released", "Distributed", "Available")},
+    **{f"GPL-{n}.0-{v.lower()}": f"{v} under the GNU General Public License, version {n}." for n in (2, 3) for v in ("Released", "Distributed", "Available")},
+}
+
 # Notices shorter than a shingle.
 SHORT = {"all-rights-reserved-line": "All rights reserved."}
 
@@ -212,5 +243,5 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
     a text holds exactly these words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    library = Library(TEMPLATES | SHORT if templates is None else templates)
+    library = Library(TEMPLATES | VARIANTS | SHORT if templates is None else templates)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, library), f"doc_id {kind}, license string, containment double, start_word long, n_passages long")

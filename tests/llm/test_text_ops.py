@@ -262,6 +262,22 @@ def test_license_scan_finds_short_notices(spark, sf):
     assert {r.doc_id for r in license_scan.scan(d).where("license = 'all-rights-reserved-line'").collect()} == want and len(want) > 50
 
 
+def test_license_scan_tells_versions_apart(spark):
+    """A header of one version or family is not reported as another, and the verb before a notice does not lose it."""
+    library = license_scan.TEMPLATES | license_scan.VARIANTS
+    filler = " ".join(f"f{i}" for i in range(60))
+    names = [k for k in library if k.endswith("-header") and "GPL" in k] + ["BSD-3-Clause-endorsement", "MIT-liability", "Apache-2.0-patent-grant"]
+    verbs = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "BSD-3-Clause": "BSD 3-Clause License"}
+    said = [(k, f"{v} under the {line}.") for k, line in verbs.items() for v in ("Licensed", "Released", "Distributed", "Available")]
+    texts = [f"{filler} {library[k]} {filler}" for k in names] + [f"{filler} {x} {filler}" for _, x in said]
+    got = {}
+    for r in license_scan.scan(frame(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [got.get(i) for i in range(len(names))] == [[k] for k in names]
+    for i, (k, x) in enumerate(said, len(names)):
+        assert len(got.get(i, ())) == 1 and got[i][0].startswith(k), (x, got.get(i))
+
+
 def test_license_scan_matches_brute_force(spark, sf):
     d = table(spark, sf.replace("0.001", "0.01"), "documents")
     norm = lambda t: tuple(re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
