@@ -255,9 +255,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a_node, b_node) -> links (a, b) between the smallest doc_ids of both sets."""
-    side = lambda s: nodes.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "items")), F.col("rep").alias(s))
+def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int, name: str = "rep") -> DataFrame:
+    """pairs (a_node, b_node) -> links (a, b) between both sets, by default as their smallest doc_ids."""
+    side = lambda s: nodes.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "items")), F.col(name).alias(s))
     j = pairs.join(side("a"), "a_node").join(side("b"), "b_node")
     return j.select("a", "b", "a_n", "b_n", "a_items", "b_items").mapInArrow(lambda it: _overlaps(it, num, den), "a long, b long")
 
@@ -273,14 +273,8 @@ def _pairs_in_blocks(rows: DataFrame, x: int, num: int, den: int) -> DataFrame:
     return j.where("(i = j) OR (a_block <> b_block)").select("a_node", "b_node").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...): links join documents whose sets of
-    k-word shingles have den * intersection >= num * union.
-
-    Null and empty texts have no set and stand alone; rows with a null doc_id stand alone with a null component. Rows that
-    repeat a doc_id count as one document: they share its component. An empty table gives an empty result; further
-    columns of docs are not read. doc_id is an integer column.
-    """
+def _lists(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, int, DataFrame]:
+    """Rows with their sets, classes of equal sets, their shared shingles, the boundary, and the inverted lists."""
     spark = docs.sparkSession
     rows = materialise(shingle_nodes(docs, k), "sets")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
@@ -297,8 +291,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     signs = materialise(signs, "lists")
     keys = signs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n1", "n", "node", "pos", "seen")).alias("hub")).where("c > 1")
     lists = materialise(signs.join(keys, "key"), "lists")
+    return rows, classes, nodes, x, lists
+
+
+def _light_pairs(lists: DataFrame, x: int, num: int, den: int) -> DataFrame:
     light = lists.where(F.col("c") <= LIGHT)
-    pairs = _sided(light, "a", "key").join(_sided(light, "b", "key"), "key").where("a_node < b_node").where(_possible(num, den, x)).select("a_node", "b_node")
+    return _sided(light, "a", "key").join(_sided(light, "b", "key"), "key").where("a_node < b_node").where(_possible(num, den, x)).select("a_node", "b_node")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...): links join documents whose sets of
+    k-word shingles have den * intersection >= num * union.
+
+    Null and empty texts have no set and stand alone; rows with a null doc_id stand alone with a null component. Rows that
+    repeat a doc_id count as one document: they share its component. An empty table gives an empty result; further
+    columns of docs are not read. doc_id is an integer column.
+    """
+    rows, classes, nodes, x, lists = _lists(docs, k, num, den)
+    pairs = _light_pairs(lists, x, num, den)
     heavy = lists.where(F.col("c") > LIGHT)
     star = heavy.where("node <> hub.node").select(F.least("node", "hub.node").alias("a_node"), F.greatest("node", "hub.node").alias("b_node"))
     links = materialise(_verified(pairs.unionByName(star).distinct(), nodes, num, den), "verified")
@@ -314,6 +324,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(named, (rows.node == named.node) & (rows.n_shingles > 0) & rows.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id"))
 
 
+def jaccard_link_counts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, n_links) of every row of docs: the number of other documents whose set is linked with the row's.
+
+    All candidate pairs are verified, those of heavy lists in blocks, so the cost grows with the number of links between
+    different sets; equal sets are counted without pairs. Rows that repeat a doc_id and a set count as one document, and
+    under another set as another one. Rows without a set or with a null doc_id have no links.
+    """
+    rows, classes, nodes, x, lists = _lists(docs, k, num, den)
+    heavy = _pairs_in_blocks(lists.where(F.col("c") > LIGHT).withColumn("comp", F.col("node")), x, num, den)
+    links = materialise(_verified(_light_pairs(lists, x, num, den).unionByName(heavy).distinct(), nodes, num, den, "node"), "verified")
+    held = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("node", "doc_id").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    held = materialise(held, "classes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(held.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("near"))
+    counts = held.join(near, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    counts = materialise(counts, "counts")
+    return rows.join(counts, (rows.node == counts.node) & (rows.n_shingles > 0) & rows.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
     """docs without those that have an equal or similar document with a smaller doc_id; one of each group stays."""
     gone = jaccard_components(docs, **options).where("component_id < doc_id").select("doc_id")

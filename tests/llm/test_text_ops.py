@@ -238,6 +238,27 @@ def test_token_files(spark):
     assert [r.doc_id for r in token_files.read_documents(*token_files.write_tokens(frame(spark, ["b", "a"], [None, 5]), path)).orderBy("start").collect()] == [None, 5]
 
 
+@pytest.mark.parametrize("bound", [0, 30])
+def test_link_counts_match_brute_force(spark, monkeypatch, bound):
+    """Every link of lists over LIGHT sets is counted, and each copy of a set."""
+    monkeypatch.setattr(ngram_join, "boundary", lambda _: bound)
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = [None, "", "alone here", "same few", "same few", *near_texts()[:40]]
+    for _ in range(70):
+        w = list(base)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 5))):
+            w[at] = f"x{rng.integers(0, 9)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = {i: (len(x), sum(linked(x, y) for j, y in enumerate(sets) if j != i)) for i, x in enumerate(sets)}
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in ngram_join.jaccard_link_counts(frame(spark, texts)).collect()}
+    assert got == want and max(n for _, n in want.values()) > ngram_join.LIGHT
+    t = "a b c d e f g"
+    assert sorted((r.doc_id or -1, r.n_links) for r in ngram_join.jaccard_link_counts(frame(spark, [t, t, t, t], [7, 7, None, 3])).collect()) == [(-1, 0), (3, 1), (7, 1), (7, 1)]
+
+
 def test_license_scan(spark):
     mit = license_scan.TEMPLATES["MIT-grant"]
     edited = mit.replace("restriction", "limits")
