@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one in local mode (tests).
+
+    On a cluster that names none it is an error, as other machines could not read a folder of the driver's.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="quern-"))
         atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
@@ -58,19 +65,26 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def materialise(df: DataFrame, label: str = "t", free: bool = True) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block; whatever was set before is set again after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
-    With free, shuffle files of the finished step are released once the driver has collected its garbage.
+    The shuffle files of the finished step are deleted with it.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        import gc
-
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
