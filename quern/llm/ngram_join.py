@@ -3,13 +3,16 @@
 Method (size-aware join after Deng, Tao and Li, 2018, on prefixes in rarest-first order):
 
 1. Each text becomes a set of shingle hashes. Equal sets are one node, so copies never meet each other again.
-2. Shingles are dealt out by hash range, of about BUCKET each at most, as packed sorted runs. Each range counts in how many sets a shingle occurs; those
-   of one set can't be in a link, and only the others go back to their sets, with that frequency.
+2. Shingles are dealt out by hash range, of about BUCKET each at most, as packed sorted runs. Each range counts in how many
+   sets a shingle occurs; those of one set can't be in a link, and only the others go back to their sets, with that frequency.
+   Shingles that runs show in many sets (hot_shingles) are dealt out by shingle and set instead, so that no range
+   gathers all sets of one; they are common to all orders as the most frequent.
 3. Rarest first, a set needs its first n - ceil(t n) + 1 shingles to share one with every partner, and one more to share
    two. Sets whose shared shingles are too few for any partner end here.
 4. Small sets enumerate the 2-subsets of their prefix; pairs of small sets must share one. Pairs with a large set are
    found by scanning inverted lists of single shingles. The boundary between small and large is where the counted costs of
-   both ways are least. A positional bound drops pairs that can't reach the threshold.
+   both ways are least: the rows that sets of each size write, counted in full, and the pairs within the lists of either
+   kind, counted in a sample of whole lists. A positional bound drops pairs that can't reach the threshold.
 5. Lists of up to LIGHT sets give all their pairs. A heavier list first gives a star around its most typical set; after
    components are known, only its pairs between different components are left, and are made in blocks of at most BLOCK
    sets by BLOCK, so no list meets in one task and no group of near copies is multiplied out.
@@ -24,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm import text as T
 from quern.llm.components import connected
 from quern.session import materialise, partitions
 
-LIGHT, BLOCK, RUN, BUCKET = 32, 8192, 1 << 21, 1 << 22
+LIGHT, BLOCK, RUN, BUCKET, OFTEN, HOT, MOST_HOT, COSTED = 32, 8192, 1 << 21, 1 << 22, 4, 1 << 18, 1 << 20, 1 << 20
 _U = np.uint64
 
 
@@ -42,18 +46,68 @@ def _digest(s: np.ndarray) -> int:
     return int(np.sum(T.mix(s ^ _U(0xA5A5A5A55A5A5A5A)), dtype=np.uint64, keepdims=True).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+_SETS = pa.schema([("n_shingles", pa.int64()), ("node", pa.int64()), ("often", pa.binary()), ("times", pa.binary())])
+
+
+def _often(held: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Shingles (48 bits) that OFTEN or more of the sets hold, and in how many."""
+    h = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]) >> _U(16))
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    times = np.diff(np.append(start, len(h)))
+    return h[start[times >= OFTEN]].tobytes(), times[times >= OFTEN].astype(np.uint32).tobytes()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([pa.field("doc_id", kind), *_SETS])
+    held: dict[int, np.ndarray] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        often, times = _often(list(held.values()))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([None], kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([often]), pa.array([times])], schema=schema)
+
     for b in T.slices(batches, 1):
         n, node = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         for row, s in T.shingle_sets(b.column(1), k):
             n[row], node[row] = len(s), _digest(s) if len(s) else 0
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(node)], names=["doc_id", "n_shingles", "node"])
+            if len(s) and node[row] not in held:
+                held[node[row]] = s
+                size += len(s)
+        none = pa.nulls(b.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(kind), pa.array(n), pa.array(node), none, none], schema=schema)
+        if size >= RUN:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def shingle_nodes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) of each row, node being a 64-bit digest of the set, 0 where it is empty; and, for each
+    run of about RUN shingles of different sets, the shingles that OFTEN or more of its sets hold (often, times). Both are
+    one written table.
+    """
+    field = docs.schema["doc_id"].dataType
+    kind = to_arrow_type(field)
+    out = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, kind), f"doc_id {field.simpleString()}, n_shingles long, node long, often binary, times binary")
+    out = materialise(out, "sets")
+    return out.where("n_shingles >= 0").select("doc_id", "n_shingles", "node"), out.where("n_shingles < 0").select("often", "times")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for often, times in zip(*(b.column(c).to_pylist() for c in (0, 1))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(often, np.uint64).view(np.int64)), pa.array(np.frombuffer(times, np.uint32).astype(np.int64))], names=["h", "times"])
 
 
-def shingle_nodes(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, node): node is a 64-bit digest of the set, 0 where it is empty."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k), f"doc_id {kind}, n_shingles long, node long")
+def hot_shingles(often: DataFrame, total: int) -> np.ndarray:
+    """Sorted shingles that the runs show in HOT sets or more (in more than a MOST_HOT-th of the total, where that is over HOT).
+
+    So there are MOST_HOT at most. A shingle left out is in under HOT + OFTEN * runs sets.
+    """
+    most = often.mapInArrow(_opened, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= max(HOT, total // MOST_HOT + 1))
+    return np.sort(np.array([r["h"] for r in most.select("h").collect()], np.int64).view(np.uint64))
 
 
 def _pack(h: np.ndarray) -> tuple[bytes, bytes]:
@@ -73,7 +127,7 @@ def _bucket(h48: np.ndarray, n: int) -> np.ndarray:
     return ((h48 >> _U(16)) * _U(n) >> _U(32)).astype(np.int64)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int, hot: np.ndarray, n_hot: int) -> Iterator[pa.RecordBatch]:
     nodes: dict[int, int] = {}
     held: list[np.ndarray] = []
 
@@ -81,9 +135,15 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int) -> Iterator
         names = np.fromiter(nodes, np.int64, len(nodes))
         h = np.concatenate(held) >> _U(16)
         owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-        order = np.argsort(h)
-        h, owner = h[order], owner[order]
-        cut = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1))
+        bucket = _bucket(h, n_buckets)
+        if len(hot):
+            at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+            bucket[at] = n_buckets + ((T.mix(h[at] * _U(0x9E3779B97F4A7C15) ^ names[owner[at]].view(np.uint64)) >> _U(32)) * _U(n_hot) >> _U(32)).astype(np.int64)
+            order = np.lexsort((h, bucket))
+        else:
+            order = np.argsort(h)
+        h, owner, bucket = h[order], owner[order], bucket[order]
+        cut = np.searchsorted(bucket, np.arange(n_buckets + n_hot + 1))
         rows: dict[str, list] = {"bucket": [], "names": [], "owner": [], "steps": [], "wide": []}
         for b in np.flatnonzero(np.diff(cut)):
             x, at = h[cut[b] : cut[b + 1]], owner[cut[b] : cut[b + 1]]
@@ -120,7 +180,11 @@ def _node_bucket(node: np.ndarray, n: int) -> np.ndarray:
 
 
 def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
-    """One range of shingles: (set, shingle, frequency) for those of two sets or more, dealt out by set."""
+    """One range of shingles: (set, shingle, frequency) for those of two sets or more, dealt out by set.
+
+    Ranges from n_buckets on hold parts of hot shingles, which all keep, with the highest frequency.
+    """
+    hot = t.column("bucket")[0].as_py() >= n_buckets
     hs, ns = [], []
     for names, owner, steps, wide in zip(*(t.column(c).to_pylist() for c in ("names", "owner", "steps", "wide"))):
         h = _unpack(steps, wide)
@@ -130,10 +194,11 @@ def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
     del hs, ns
     order = np.argsort(h)
     h, node = h[order], node[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    multi = ~new
-    multi[:-1] |= ~new[1:]
-    h, node = h[multi], node[multi]
+    if not hot:
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        multi = ~new
+        multi[:-1] |= ~new[1:]
+        h, node = h[multi], node[multi]
     order = np.lexsort((node, h))
     h, node = h[order], node[order]
     if len(h):  # the same set in two runs
@@ -141,7 +206,7 @@ def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
         h, node = h[fresh], node[fresh]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         freq = np.diff(np.append(start, len(h)))
-        freq = np.repeat(freq, freq)
+        freq = np.full(len(h), 65535) if hot else np.repeat(freq, freq)
         keep = freq > 1
         h, node, freq = h[keep], node[keep], freq[keep]
     if not len(h):
@@ -160,7 +225,12 @@ def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
     return pa.Table.from_pydict(rows, schema=_SHARED)
 
 
-_NODE = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("n1", pa.int64()), ("list_cost", pa.float64()), ("subset_cost", pa.float64()), ("items", pa.binary())])
+def _prefix(n: int, c: int, n1: int, held: int) -> tuple[int, int]:
+    """How many of a set's shared shingles, rarest first, one that it must share is among, and two."""
+    return min(max(0, n - c + 1 - n1), held), min(max(0, n - c + 2 - n1), held)
+
+
+_NODE = pa.schema([("node", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("n1", pa.int64()), ("list_rows", pa.int64()), ("subset_rows", pa.int64()), ("items", pa.binary())])
 
 
 def _assemble(shared: pa.Table, classes: pa.Table, num: int, den: int) -> pa.Table:
@@ -183,29 +253,74 @@ def _assemble(shared: pa.Table, classes: pa.Table, num: int, den: int) -> pa.Tab
     c = least_overlap(n, num, den)
     for i in np.flatnonzero((stop - start >= c) & (c >= 2)):
         n1 = int(n[i]) - int(stop[i] - start[i])
-        q = max(0, int(n[i] - c[i] + 1 - n1))
-        q2 = min(max(0, int(n[i] - c[i] + 2 - n1)), int(stop[i] - start[i]))
-        s = slice(start[i], stop[i])
-        met = 1 + np.minimum(freq[s][:q2], LIGHT) / 2  # a row, and the pairs that it is in
-        for k, v in zip(rows, (int(node[start[i]]), int(rep[i]), int(n[i]), n1, float(met[:q].sum()), float((met * np.arange(q2 - 1, -1, -1)).sum()), h[s].tobytes())):
+        q, q2 = _prefix(int(n[i]), int(c[i]), n1, int(stop[i] - start[i]))
+        for k, v in zip(rows, (int(node[start[i]]), int(rep[i]), int(n[i]), n1, q, q2 * (q2 - 1) // 2, h[start[i] : stop[i]].tobytes())):
             rows[k].append(v)
     return pa.Table.from_pydict(rows, schema=_NODE)
 
 
-def boundary(costs: list[tuple[int, float, float]]) -> int:
-    """The size from which sets are large. costs: (size, cost by lists, cost by subsets) of a class of sizes each.
+def boundary(costs: list[tuple[int, float, float, float, float]], num: int = 80, den: int = 100) -> int:
+    """The size from which sets are large.
 
-    Sets below it pay for subsets, and for lists too where a large partner is possible; sets above pay for lists.
+    costs: of a class of sizes each, the size, the rows of lists and of subsets that its sets write, and the pairs in lists
+    and in subsets' lists whose larger set is in the class. Sets below the boundary write subsets, and list rows too where a
+    large partner is possible; larger sets write list rows. Pairs of small sets come from subsets, others from lists.
     """
     costs = sorted(costs)
     best, at = None, 0
-    for x in [0, *(s for s, _, _ in costs), 1 << 60]:
-        cost = sum(b if s < x else 0 for s, _, b in costs) + sum(a for s, a, _ in costs if s * 5 >= x * 4)
+    for x in [0, *(c[0] for c in costs), 1 << 60]:
+        cost = sum(c[2] + c[4] if c[0] < x else c[3] for c in costs) + sum(c[1] for c in costs if c[0] * den >= x * num)
         if best is None or cost < best:
             best, at = cost, x
     return at
 
 
+def _subset_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all 2-subsets (marked by bit 62), and the place of each one's later shingle."""
+    i, j = np.triu_indices(len(h), 1)
+    return ((T.mix(h[i] * _U(0x9E3779B97F4A7C15) + h[j]) >> _U(2)) | _U(1 << 62)).view(np.int64), j
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], rate: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """(key, node, n) of list rows of either kind whose key falls in the sample.
+
+    Where over LIGHT + 2 shingles are to be paired, subsets are left out: their rows alone cost more than all lists could.
+    """
+    for b in batches:
+        keys, node, n = [], [], []
+        for name, size, n1, items in zip(*(b.column(c).to_pylist() for c in ("node", "n", "n1", "items"))):
+            h = np.frombuffer(items, np.uint64)
+            q, q2 = _prefix(size, (num * size + den - 1) // den, n1, len(h))
+            k = np.concatenate([h[:q].view(np.int64), *([_subset_keys(h[:q2])[0]] if q2 <= LIGHT + 2 else [])])
+            k = k[T.mix(k.view(np.uint64).copy()) % _U(rate) == 0]
+            keys.append(k)
+            node.append(np.full(len(k), name, np.int64))
+            n.append(np.full(len(k), size, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])) for a in (keys, node, n)], names=["key", "node", "n"])
+
+
+def costs(nodes: DataFrame, num: int, den: int) -> list[tuple[int, float, float, float, float]]:
+    """What boundary weighs, of sets in classes of similar sizes: pairs are counted in whole lists, of about COSTED rows.
+
+    A list of over LIGHT sets counts LIGHT / 2 pairs a set. The result of the join doesn't depend on these figures.
+    """
+    size = F.floor(F.log(1.1, F.col("n")))
+    few = F.when(F.col("subset_rows") <= (LIGHT + 2) * (LIGHT + 1) // 2, F.col("subset_rows")).otherwise(0)
+    rows = nodes.groupBy(size.alias("size")).agg(F.min("n").alias("s"), F.sum("list_rows").alias("lists"), F.sum("subset_rows").alias("subsets"), F.sum(few).alias("few")).collect()
+    rate = max(1, sum(r["lists"] + r["few"] for r in rows) // COSTED)
+    sample = nodes.select("node", "n", "n1", "items").mapInArrow(lambda it: _sampled(it, rate, num, den), "key long, node long, n long")
+    sample = materialise(sample, "sample")
+    met = materialise(sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "sample")
+    met = sample.join(met, "key").select("key", "c", "node", "n", size.alias("size"))
+    light, heavy = met.where(F.col("c") <= LIGHT), met.where(F.col("c") > LIGHT)
+    a, b = light.select("key", F.col("node").alias("a"), F.col("n").alias("a_n")), light.select("key", "size", F.col("node").alias("b"), F.col("n").alias("b_n"))
+    pairs = a.join(b, "key").where(f"struct(a_n, a) < struct(b_n, b) AND a_n * {den} >= b_n * {num}").select("key", "size", F.lit(1.0).alias("w"))
+    pairs = pairs.unionByName(heavy.select("key", "size", F.lit(LIGHT / 2).alias("w")))
+    got = pairs.groupBy("size", (F.col("key") >= 1 << 62).alias("two")).agg(F.sum("w").alias("w")).collect()
+    of = {(r["size"], r["two"]): r["w"] * rate for r in got}
+    return [(r["s"], r["lists"], r["subsets"], of.get((r["size"], False), 0.0), of.get((r["size"], True), 0.0)) for r in rows]
+
+
 _SIGN = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("n1", pa.int64()), ("seen", pa.int64())])
 
 
@@ -215,14 +330,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], x: int, num: int, den: int) -
         out: list[list[np.ndarray]] = []
         for node, n, n1, items in zip(*(b.column(c).to_pylist() for c in ("node", "n", "n1", "items"))):
             h = np.frombuffer(items, np.uint64)
-            c = (num * n + den - 1) // den
+            q, q2 = _prefix(n, (num * n + den - 1) // den, n1, len(h))
             if n * den >= x * num:
-                q = max(0, n - c + 1 - n1)
-                out.append([h[:q].view(np.int64), np.arange(1, min(q, len(h)) + 1) + n1, np.ones(min(q, len(h)), np.int64), (node, n, n1)])
+                out.append([h[:q].view(np.int64), np.arange(1, q + 1) + n1, np.ones(q, np.int64), (node, n, n1)])
             if n < x:
-                i, j = np.triu_indices(min(max(0, n - c + 2 - n1), len(h)), 1)
-                key = (T.mix(h[i] * _U(0x9E3779B97F4A7C15) + h[j]) >> _U(2)) | _U(1 << 62)
-                out.append([key.view(np.int64), j + 1 + n1, np.full(len(i), 2), (node, n, n1)])
+                key, j = _subset_keys(h[:q2])
+                out.append([key, j + 1 + n1, np.full(len(j), 2), (node, n, n1)])
             if sum(len(o[0]) for o in out[-64:]) > 1 << 16 or len(out) > 4096:
                 yield _rows(out)
                 out = []
@@ -255,10 +368,19 @@ def _overlaps(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int, name: str = "rep") -> DataFrame:
-    """pairs (a_node, b_node) -> links (a, b) between both sets, by default as their smallest doc_ids."""
+def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int, name: str = "rep", parts: int = 1) -> DataFrame:
+    """pairs (a_node, b_node) -> links (a, b) between both sets, by default as their smallest doc_ids.
+
+    With several parts, the pairs of one set are dealt out over so many, each with its own copy of the set's shingles.
+    """
     side = lambda s: nodes.select(*(F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "items")), F.col(name).alias(s))
-    j = pairs.join(side("a"), "a_node").join(side("b"), "b_node")
+    if parts > 1:
+        part = lambda s: F.pmod(F.xxhash64(f"{s}_node"), F.lit(parts)).cast("int")
+        pairs = materialise(pairs.withColumns({"a_part": part("b"), "b_part": part("a")}), "pairs")
+        a, b = (pairs.select(f"{s}_node", f"{s}_part").distinct().join(side(s), f"{s}_node") for s in "ab")
+        j = pairs.join(a, ["a_node", "a_part"]).join(b, ["b_node", "b_part"])
+    else:
+        j = pairs.join(side("a"), "a_node").join(side("b"), "b_node")
     return j.select("a", "b", "a_n", "b_n", "a_items", "b_items").mapInArrow(lambda it: _overlaps(it, num, den), "a long, b long")
 
 
@@ -276,21 +398,25 @@ def _pairs_in_blocks(rows: DataFrame, x: int, num: int, den: int) -> DataFrame:
 def _lists(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, int, DataFrame]:
     """Rows with their sets, classes of equal sets, their shared shingles, the boundary, and the inverted lists."""
     spark = docs.sparkSession
-    rows = materialise(shingle_nodes(docs, k), "sets")
+    rows, often = shingle_nodes(docs, k)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(partitions(spark), -(-total // BUCKET))
+    hot = hot_shingles(often, total)
+    parts = max(partitions(spark), -(-total // BUCKET))
+    n_hot = parts if len(hot) else 0
+    held = spark.sparkContext.broadcast(hot)  # at most MOST_HOT numbers
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
-    bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_node_bucket(b.column(0).to_numpy(), n_buckets).astype(np.int32)), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
-    runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, n_buckets), "bucket int, names binary, owner binary, steps binary, wide binary")
-    shared = runs.groupBy("bucket").applyInArrow(lambda t: _shared(t, n_buckets), "nb int, names binary, runs binary, high binary, low binary, freq binary")
-    nodes = shared.groupBy("nb").cogroup(bucketed.groupBy("nb")).applyInArrow(lambda s, c: _assemble(s, c, num, den), "node long, rep long, n long, n1 long, list_cost double, subset_cost double, items binary")
+    bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_node_bucket(b.column(0).to_numpy(), parts).astype(np.int32)), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
+    runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, parts, held.value, n_hot), "bucket int, names binary, owner binary, steps binary, wide binary")
+    # as many tasks as ranges, so that what one task reads doesn't grow with the input
+    shared = runs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, parts), "nb int, names binary, runs binary, high binary, low binary, freq binary")
+    nodes = shared.repartition(parts, "nb").groupBy("nb").cogroup(bucketed.repartition(parts, "nb").groupBy("nb")).applyInArrow(lambda s, c: _assemble(s, c, num, den), "node long, rep long, n long, n1 long, list_rows long, subset_rows long, items binary")
     nodes = materialise(nodes, "nodes")
-    size = F.floor(F.log(1.1, F.col("n")))
-    x = boundary([(r["s"], r["a"], r["b"]) for r in nodes.groupBy(size).agg(F.min("n").alias("s"), F.sum("list_cost").alias("a"), F.sum("subset_cost").alias("b")).collect()])
+    x = boundary(costs(nodes, num, den), num, den)
     signs = nodes.select("node", "n", "n1", "items").mapInArrow(lambda it: _signatures(it, x, num, den), "key long, node long, n long, pos long, n1 long, seen long")
-    signs = materialise(signs, "lists")
-    keys = signs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n1", "n", "node", "pos", "seen")).alias("hub")).where("c > 1")
-    lists = materialise(signs.join(keys, "key"), "lists")
+    signs = materialise(signs.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(partitions(spark))).cast("int")), "lists")
+    keys = signs.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n1", "n", "node", "pos", "seen")).alias("hub"))
+    keys = keys.groupBy("key").agg(F.sum("c").alias("c"), F.min("hub").alias("hub"), F.collect_set("part").alias("parts")).where("c > 1")
+    lists = materialise(signs.join(keys.select("key", "c", "hub", F.explode("parts").alias("part")), ["key", "part"]), "lists")
     return rows, classes, nodes, x, lists
 
 
@@ -311,13 +437,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     pairs = _light_pairs(lists, x, num, den)
     heavy = lists.where(F.col("c") > LIGHT)
     star = heavy.where("node <> hub.node").select(F.least("node", "hub.node").alias("a_node"), F.greatest("node", "hub.node").alias("b_node"))
-    links = materialise(_verified(pairs.unionByName(star).distinct(), nodes, num, den), "verified")
+    parts = partitions(docs.sparkSession)
+    links = _verified(pairs.distinct(), nodes, num, den).unionByName(_verified(star.distinct(), nodes, num, den, parts=parts))
+    links = materialise(links, "verified")
     comps = materialise(connected(links), "components")
     held = heavy.join(nodes.select("node", "rep"), "node").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    split = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(held.join(split, "key", "left_semi").select("key", "c", "node", "n", "pos", "seen", "comp"), "rest")
+    held = materialise(held.select("key", "part", "c", "node", "n", "pos", "seen", "comp"), "heavy")
+    split = held.groupBy("key", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    split = split.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("part").alias("parts")).where("lo <> hi")
+    rest = materialise(held.join(split.select("key", F.explode("parts").alias("part")), ["key", "part"], "left_semi").drop("part"), "rest")
     if rest.take(1):
-        more = materialise(_verified(_pairs_in_blocks(rest, x, num, den), nodes, num, den), "verified")
+        more = materialise(_verified(_pairs_in_blocks(rest, x, num, den), nodes, num, den, parts=parts), "verified")
         comps = materialise(connected(links.unionByName(more)), "components")
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     named = materialise(named, "classes")  # read anew, so that the join can be split where one set has very many copies
@@ -333,7 +463,7 @@ def jaccard_link_counts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
     """
     rows, classes, nodes, x, lists = _lists(docs, k, num, den)
     heavy = _pairs_in_blocks(lists.where(F.col("c") > LIGHT).withColumn("comp", F.col("node")), x, num, den)
-    links = materialise(_verified(_light_pairs(lists, x, num, den).unionByName(heavy).distinct(), nodes, num, den, "node"), "verified")
+    links = materialise(_verified(_light_pairs(lists, x, num, den).unionByName(heavy).distinct(), nodes, num, den, "node", partitions(docs.sparkSession)), "verified")
     held = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("node", "doc_id").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     held = materialise(held, "classes")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -344,6 +474,16 @@ def jaccard_link_counts(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
 
 
 def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without those that have an equal or similar document with a smaller doc_id; one of each group stays."""
-    gone = jaccard_components(docs, **options).where("component_id < doc_id").select("doc_id")
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti")
+    """docs without those that have an equal or similar document with a smaller doc_id; one row of each group stays.
+
+    Of rows that repeat the doc_id that stays, the one whose text has the least hash. Rows with a null doc_id stay, and so do
+    those without a set, once for each doc_id. An empty table gives an empty result; the columns are those of docs.
+    """
+    found = jaccard_components(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+    found = materialise(found.where("c < doc_id OR n > 1"), "gone")
+    kept = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("c >= doc_id").select("doc_id")
+    if not twice.take(1):
+        return kept
+    rows = docs.join(twice, "doc_id", "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"), F.struct(F.xxhash64("text"), "text").alias("by"))
+    return kept.unionByName(rows.groupBy("doc_id").agg(F.min_by("row", "by").alias("row")).select("row.*"))

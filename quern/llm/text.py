@@ -28,9 +28,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; n is rounded by the caller so that few sizes occur."""
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
     out = []
     for b in (_BASE, _INV):
         x = np.full(n, b, dtype=np.uint64)
@@ -39,6 +38,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = lru_cache(maxsize=1)(lambda: _make_powers(BLOCK_BYTES))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers; those of a longer text than a block are not kept, so that idle workers stay small."""
+    return _kept_powers() if n <= BLOCK_BYTES else _make_powers(n)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64 bits."""
     h = h ^ (h >> np.uint64(31))
@@ -110,8 +117,7 @@ class Words:
         self.start, self.end = np.flatnonzero(head), np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.start, offsets)
         if hashed:
-            size = 1 << max(16, int(max(n, 1) - 1).bit_length())
-            p, q = _powers(size)
+            p, q = _powers(n)
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum((_BYTE[_LOWER] if lower else _BYTE)[data] * p[:n], out=total[1:])
             self.hash = mix((total[self.end] - total[self.start]) * q[self.start])

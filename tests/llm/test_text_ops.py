@@ -82,7 +82,7 @@ def test_join_matches_brute_force(spark):
 @pytest.mark.parametrize("x", [0, 30, 1 << 60])
 def test_join_for_every_boundary_and_heavy_lists(spark, monkeypatch, x):
     """Subsets alone, lists alone and both; lists so heavy that stars and blocks do the work."""
-    monkeypatch.setattr(ngram_join, "boundary", lambda costs: x)
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: x)
     monkeypatch.setattr(ngram_join, "LIGHT", 3)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     check_groups(spark, near_texts(5))
@@ -106,7 +106,74 @@ def test_join_of_nothing_and_of_odd_rows(spark):
 
 def test_boundary_weighs_both_costs():
     assert ngram_join.boundary([]) == 0
-    assert ngram_join.boundary([(10, 100.0, 1.0), (50, 10.0, 1000.0)]) == 50
+    assert ngram_join.boundary([(10, 100.0, 1.0, 100.0, 0.0), (50, 10.0, 1000.0, 5.0, 0.0)]) == 50
+    assert ngram_join.boundary([(10, 5.0, 5.0, 50.0, 1.0)]) == 1 << 60 and ngram_join.boundary([(10, 5.0, 50.0, 0.0, 1.0)]) == 0
+
+
+def families(seed=11):
+    """Short texts over two words, of which most pairs share a shingle but few share two rare ones, and long texts over five."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for n, size, words_ in ((260, (9, 16), "ab"), (24, (300, 400), "vwxyz")):
+        for i in range(n):
+            texts.append(" ".join(rng.choice(list(words_), int(rng.integers(*size)))))
+            if i % 5 == 0:
+                texts += [texts[-1] + " " + words_[0], texts[-1]]
+    return texts
+
+
+def test_join_with_a_boundary_that_its_own_counts_choose(spark, monkeypatch):
+    """Sets on both sides of a positive, finite boundary: small ones meet by subsets, large ones by lists."""
+    seen = []
+    own = ngram_join.boundary
+    monkeypatch.setattr(ngram_join, "boundary", lambda *a: seen.append((own(*a), a[0])) or seen[-1][0])
+    texts = families()
+    check_groups(spark, texts)
+    (x, costs), sizes = seen[0], [len(shingles(t)) for t in texts]
+    assert min(sizes) < x < max(sizes)
+    by_lists, by_subsets = (sum(c[i] + c[i + 2] for c in costs if c[0] < x) for i in (1, 2))
+    assert by_subsets < by_lists
+
+
+def test_join_with_hot_shingles(spark, monkeypatch):
+    """One shingle in every set: it is dealt out by set, so no range holds all its sets, and the groups stay the same."""
+    for name, value in (("HOT", 50), ("OFTEN", 2), ("RUN", 4000), ("LIGHT", 3), ("BLOCK", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = ["a b c d e " + t for t in near_texts(9) + families(2)]
+    d = frame(spark, texts)
+    rows, often = ngram_join.shingle_nodes(d)
+    total = rows.agg({"n_shingles": "sum"}).first()[0]
+    hot = ngram_join.hot_shingles(often, total)
+    assert 1 <= len(hot) <= total // 50
+    runs = d.select("text").repartition(5).mapInArrow(lambda it: ngram_join._runs(it, 5, 4, hot, 4), "bucket int, names binary, owner binary, steps binary, wide binary")
+    held = Counter()
+    for r in runs.collect():
+        h = ngram_join._unpack(r.steps, r.wide)
+        held.update((int(x), r.bucket) for x in h[np.isin(h, hot)])
+    of = Counter()
+    for (x, b), n in held.items():
+        of[x] += n
+        assert b >= 4
+    top, n = of.most_common(1)[0]
+    assert n >= len({frozenset(shingles(t)) for t in texts}) and max(held[top, b] for b in range(4, 8)) < 0.5 * n
+    check_groups(spark, texts)
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 0)
+    pairs = [(i, i + 1) for i in range(40) if i % 9] + [(100, 5), (5, 100), (7, 7), (None, 3)]
+    d = spark.createDataFrame(pairs, "a long, b long")
+    rounds = sorted(tuple(r) for r in components.connected(d).collect())
+    monkeypatch.setattr(components, "FEW", 1 << 20)
+    assert rounds == sorted(tuple(r) for r in components.connected(d).collect()) and len(rounds) > 30
+
+
+def test_deduplicate_keeps_one_of_repeated_rows(spark):
+    """Rows that repeat a doc_id are one document; nulls stay; copies of a repeated document go with all their rows."""
+    t, u = "one two three four five six", "six five four three two one"
+    d = frame(spark, [t, t, t, u, u, None, None, None, t], [7, 7, 9, 4, 4, 5, 5, None, None])
+    got = sorted(((r.doc_id or -1, r.text or "") for r in ngram_join.deduplicate(d).collect()))
+    assert got == [(-1, ""), (-1, t), (4, u), (5, ""), (7, t)]
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
@@ -241,7 +308,7 @@ def test_token_files(spark):
 @pytest.mark.parametrize("bound", [0, 30])
 def test_link_counts_match_brute_force(spark, monkeypatch, bound):
     """Every link of lists over LIGHT sets is counted, and each copy of a set."""
-    monkeypatch.setattr(ngram_join, "boundary", lambda _: bound)
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: bound)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
     texts = [None, "", "alone here", "same few", "same few", *near_texts()[:40]]
