@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.groups import join_groups
 from quern.session import materialise
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE, SALTS = 50, 50, 0.5, 16
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE = 50, 50, 0.5
 
 
 def _words(text: Column) -> Column:
@@ -48,7 +49,10 @@ def _repeated(words: Column) -> Column:
 
 
 def with_measures(docs: DataFrame) -> DataFrame:
-    """docs (text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null text: no words."""
+    """docs (text, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. Null text: no words.
+
+    Columns of docs with one of these names are replaced; an empty table gives an empty result.
+    """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("[^\\x20\\x09-\\x0D]")))
 
@@ -79,32 +83,27 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
     return out.select("host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") <= MAX_HOST_RATE).alias("host_kept"))
 
 
-def join_hosts(docs: DataFrame, verdicts: DataFrame, key: str, host: str = "source") -> DataFrame:
-    """docs with their host's verdict; each host is dealt out over SALTS parts so that a hot one doesn't meet in one task.
-
-    verdicts is a written table: Spark broadcasts it by itself where its size is below the threshold for that.
-    """
-    salted = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    docs = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-    return docs.join(salted, docs[host].eqNullSafe(salted["host"]) & (docs["__salt"] == salted["__salt"]), "left").drop(docs["__salt"]).drop(salted["__salt"]).drop("host")
-
-
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate) of each row.
 
-    Null texts have no words and so fail; rows that repeat count each; further columns of docs are not read.
+    Null texts have no words and so fail; a null host is one of its own; rows that repeat count each; an empty table gives an
+    empty result; further columns of docs are not read.
     """
-    rows = materialise(with_measures(docs.select("doc_id", host, "text")).drop("text"), "measures")
-    verdicts = materialise(host_verdicts(rows, host), "hosts")
-    out = join_hosts(rows, verdicts, "doc_id", host)
+    rows = docs.select("doc_id", F.col(host).alias("__host"), "text")
+    rows = materialise(with_measures(rows).drop("text"), "measures")
+    verdicts = materialise(host_verdicts(rows, "__host"), "hosts")
+    out = join_groups(rows, verdicts, [("__host", "host")], "host_docs")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_kept")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs whose text and host pass, with the columns of docs."""
-    measured = with_measures(docs.select(F.col(host).alias("source"), "text"))
-    verdicts = materialise(host_verdicts(measured.select("source", "base_failed")), "hosts")
-    extra = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("source"), "text", F.xxhash64("text").alias("__key"))
-    judged = with_measures(held).where(~F.col("base_failed")).drop(*extra, "text")
-    return join_hosts(judged, verdicts, "__key").where("host_kept").select("__row.*")
+    """The rows of docs whose text and host pass, with the columns of docs, whatever their names.
+
+    Nulls, repeated rows and an empty table are taken as by judge: a row with a null or empty text fails. Each text is
+    measured once: rows that pass by themselves are written with their host, and the hosts' verdicts joined to them.
+    """
+    rows = with_measures(docs.select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("__host"), "text"))
+    rows = materialise(rows.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "__host", "base_failed"), "judged")
+    verdicts = materialise(host_verdicts(rows, "__host"), "hosts")
+    out = join_groups(rows.where(~F.col("base_failed")).select("__row", "__host"), verdicts, [("__host", "host")], "host_docs")
+    return out.where("host_kept").select("__row.*")

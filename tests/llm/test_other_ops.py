@@ -76,6 +76,66 @@ def test_quality_of_odd_rows(spark, sf):
     assert quality.classify(d.limit(0), none).count() == 0
 
 
+def prior_weight(m, rates):
+    v = float(np.var(rates))
+    return min(1e4, max(1.0, m * (1 - m) / v - 1)) if v > 0 else 1e4
+
+
+def test_quality_matches_brute_force(spark):
+    """Rates without the document itself, and how far they move it, by plain loops; one host holds most rows, some are null."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.normal()), ("big", "a", "b", None)[min(3, int(rng.exponential(0.5)))], ("en", "fr", None)[i % 3]) for i in range(400)]
+    d = spark.createDataFrame(rows, "i int, __logit double, h string, p string")
+    prob = {i: 1 / (1 + math.exp(-x)) for i, x, _, _ in rows}
+    by = lambda *c: {k: [r[0] for r in rows if tuple(r[j] for j in c) == k] for k in {tuple(r[j] for j in c) for r in rows}}
+    hosts, paths = by(2), by(2, 3)
+    mean = sum(prob.values()) / len(rows)
+    rate = lambda ids: sum(prob[i] for i in ids) / len(ids)
+    w0 = prior_weight(mean, [rate(x) for x in hosts.values()])
+    spread_ = float(np.mean([np.var([rate(x) for (h, _), x in paths.items() if h == k[0]]) for k in hosts]))
+    log_odds = lambda x: math.log(x / (1 - x))
+    got = {r.i: r for r in quality.judged(d, quality.materialise(quality.site_rates(d, "h", "p"), "t"), "h", "p").collect()}
+    assert len(got) == 400
+    for i, x, h, p in rows:
+        own, near = hosts[(h,)], paths[h, p]
+        whole = (sum(prob[j] for j in own) + w0 * mean) / (len(own) + w0)
+        w1 = min(1e4, max(1.0, whole * (1 - whole) / spread_ - 1))
+        host = (sum(prob[j] for j in own if j != i) + w0 * mean) / (len(own) - 1 + w0)
+        path = (sum(prob[j] for j in near if j != i) + w1 * host) / (len(near) - 1 + w1)
+        assert abs(got[i]["__host_rate"] - host) < 1e-9 and abs(got[i]["__path_rate"] - path) < 1e-9
+        assert abs(got[i]["__moved"] - (log_odds(path) - log_odds(mean))) < 1e-9
+
+
+def test_site_weight_has_the_highest_posterior():
+    rng = np.random.default_rng(2)
+    for true in (0.0, 0.4, 2.0):
+        logit, moved = rng.normal(size=4000) * 2, rng.normal(size=4000)
+        y = (rng.random(4000) < 1 / (1 + np.exp(-(logit + true * moved)))).astype(float)
+        loss = [-np.sum(np.log(np.where(y > 0, p := 1 / (1 + np.exp(-(logit + b * moved))), 1 - p))) + quality.SITE_PRIOR / 2 * (b - quality.SITE_WEIGHT) ** 2 for b in np.arange(0, 1.001, 0.01)]
+        assert abs(quality.fit_site_weight(logit, moved, y) - np.argmin(loss) / 100) < 0.011
+
+
+def test_quality_learns_words(spark):
+    """Documents alike in all but their words are told apart by these, where no label saw them."""
+    rng = np.random.default_rng(4)
+    say = lambda good: " ".join(rng.choice([f"{'g' if good and rng.random() < 0.5 else 'b' if rng.random() < 0.5 else 'c'}{i:02d}" for i in range(60)], 120))
+    rows = [(i, say(i % 2), "h", "en") for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality.classify(d, labels).collect()}
+    assert sum(got[i] == bool(i % 2) for i in range(800, 1200)) > 380
+
+
+def test_quality_of_long_and_clashing_rows(spark):
+    d = spark.createDataFrame([(i, ("word " * 400_000 if i == 3 else f"text {i} of words"), "h", "en", 1, 2.0, "n") for i in [*range(20), 5, 5]], "doc_id long, text string, source string, lang string, n int, s double, host string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(5, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    kept = quality.keep(d, labels)
+    assert kept.columns == d.columns
+    want = Counter(r.doc_id for r in quality.classify(d, labels).where("kept").collect())
+    assert Counter(r.doc_id for r in kept.collect()) == want and quality.classify(d, labels).count() == 22
+    assert quality.keep(d.limit(0), labels).count() == 0
+
+
 def test_sparse_sites_shrink(spark):
     rows = [(float(x), f"h{h}", "p") for h, n, x in ((0, 1000, 2.0), (1, 1000, -2.0), (2, 1, -2.0), (3, 500, 2.0)) for _ in range(n)]
     r = {x.host: x for x in quality.site_rates(spark.createDataFrame(rows, "__logit double, h string, p string"), "h", "p").collect()}
