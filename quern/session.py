@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: list[str] = []
+_scopes = threading.local()  # .open: for each open block of temporary_tables, the paths written in it
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -59,10 +62,43 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables that this application has written in the shared folder; results that read them are gone then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    delete(spark, own_dir(spark))
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written in the block are deleted at its end, but for those given to the function that it yields.
+
+    What is kept, and whatever else outlives the block, must not read the others.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append(written := set())
+
+    def keep(df: DataFrame) -> DataFrame:
+        written.discard(df._table_path)
+        for outer in scopes[-2:-1]:
+            outer.add(df._table_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        scopes.pop()
+        for path in written:
+            delete(spark, path)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of earlier results that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager
@@ -85,7 +121,11 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    for written in _scopes.__dict__.get("open", [])[-1:]:
+        written.add(path)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
