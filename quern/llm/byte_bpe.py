@@ -2,7 +2,8 @@
 
 For each prefix of a piece there is exactly one token that can stand last in the prefix's encoding. Storing it for every
 prefix gives the encoding of all prefixes at once: reading the stored tokens backwards from the end yields the ids, an
-append continues from the last prefix, and an edit restarts at its first byte. A token may follow the token before it if
+append continues from the last prefix, and an edit restarts at its first byte and ends where the stored tokens are the old
+ones again. A text's edit splits anew only around the change. A token may follow the token before it if
 merging the bytes of both gives just these two; that is remembered per pair of tokens.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -142,11 +144,23 @@ class PrefixEncoder:
         self.data += more
         self.v.extend(self.data, self.last)
 
-    def edit(self, start: int, stop: int, new: bytes) -> None:
-        """Replace bytes start to stop by new; prefixes before start stay as they are."""
-        tail = self.data[stop:]
-        self.data, self.last = self.data[:start], self.last[:start]
-        self.append(new + tail)
+    def edit(self, start: int, stop: int, new: bytes) -> int:
+        """Replace bytes start to stop by new; returns how many prefixes were worked out again.
+
+        Prefixes before start stay as they are. After the change, once as many stored tokens in a row as the longest
+        token has bytes are what they were, all later ones are too: each depends on no more than these.
+        """
+        before, after = self.last[:start], self.last[stop:]
+        self.data, longest = self.data[:start] + new + self.data[stop:], self.v.longest
+        self.last, tail = before, start + len(new)
+        while len(self.last) < len(self.data):
+            self.v.extend(self.data[: max(tail, len(self.last)) + longest], self.last)
+            done = len(self.last) - tail
+            if done >= longest and self.last[-longest:] == after[done - longest : done]:
+                done = len(self.last)
+                self.last += after[done - tail :]
+                return done - start
+        return len(self.last) - start
 
     def ids(self) -> list[int]:
         return self.v.read(self.last)
@@ -177,7 +191,8 @@ class Encoder:
     """Text to ids and back: each match of the pattern is a piece."""
 
     def __init__(self, lines: list[bytes], pattern: str):
-        self.v, self.find = Vocabulary(lines), regex.compile(pattern).findall
+        self.v, self.pattern = Vocabulary(lines), regex.compile(pattern)
+        self.find = self.pattern.findall
         self.pieces = Pieces(self.v)
         self.decimal = {i: str(i) for i in self.v.bytes}
 
@@ -192,6 +207,48 @@ class Encoder:
         return " ".join(map(self.decimal.__getitem__, ids))
 
 
+class TextEncoder:
+    """Encoding of a whole text that can grow and change: pieces far from a change keep their ids.
+
+    Splitting a text goes on from a piece's start whatever stands before it (the pattern looks back at nothing), and looks
+    AHEAD characters or a run of white space beyond a piece's end at most.
+    """
+
+    AHEAD = 4
+
+    def __init__(self, encoder: Encoder, text: str = ""):
+        self.e, self.text = encoder, ""
+        self.starts: list[int] = []
+        self.pieces: list[tuple[int, ...]] = []
+        self.edit(0, 0, text)
+
+    def append(self, more: str) -> int:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def edit(self, start: int, stop: int, new: str) -> int:
+        """Replace characters start to stop by new; returns how many pieces were found again."""
+        kept = self.text[:start].rstrip()
+        safe = max(0, bisect_right(self.starts, len(kept) - self.AHEAD) - 1)
+        begin = self.starts[safe] if self.starts else 0
+        old, moved = self.starts, len(new) - (stop - start)
+        self.text = self.text[:start] + new + self.text[stop:]
+        starts, pieces, join = [], [], len(old)
+        for m in self.e.pattern.finditer(self.text, begin):
+            if m.start() >= start + len(new):
+                at = bisect_left(old, m.start() - moved)
+                if at < len(old) and old[at] == m.start() - moved and old[at] >= stop:
+                    join = at
+                    break
+            starts.append(m.start())
+            pieces.append(self.e.pieces[m.group()])
+        self.starts = old[:safe] + starts + [x + moved for x in old[join:]]
+        self.pieces = self.pieces[:safe] + pieces + self.pieces[join:]
+        return len(pieces)
+
+    def ids(self) -> list[int]:
+        return [i for ids in self.pieces for i in ids]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker, so that its known pieces serve all tasks there."""
@@ -239,6 +296,10 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, without handing the ids themselves to Spark."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, without handing the ids themselves to Spark.
+
+    Null texts count as empty: no ids, and the digests of no bytes. Rows that repeat are encoded alike, an empty table gives
+    an empty result, and further columns are not read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(lambda it: _digests(it, path, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -72,7 +72,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
-    """rows: (language, buckets, weights). None without rows."""
+    """rows: (language, buckets, weights). None without rows; under 50 rows the temperature is 1 and nothing is rejected."""
     if not rows:
         return None
     labels = sorted({r[0] for r in rows})
@@ -131,21 +131,31 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
     for b in T.slices(batches, 1):
         n = b.num_rows
         lang, score = np.full(n, "und", object), np.zeros(n)
-        for i, j, data, off in T.blocks(b.column(1)) if model else ():
+        # so that the rows of the table for a block's subwords take 32 MB at most, whatever the number of languages
+        most = max(1 << 12, min(T.BLOCK_BYTES, (1 << 23) // len(model.labels))) if model else 0
+        for i, j, data, off in T.blocks(b.column(1), most) if model else ():
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             letters = letters[off[1:]] > letters[off[:-1]]
             for d in np.flatnonzero(~letters & (off[1:] > off[:-1])):
                 letters[d] = any(c.isalpha() for c in data[off[d] : off[d + 1]].tobytes().decode())
             total, seen = np.zeros((j - i, len(model.labels))), np.zeros(j - i)
             live = np.flatnonzero(off[1:] > off[:-1])
-            for w, g in enumerate(_grams(data)):
-                s, e = _spans(off, w + 2)
-                # rows between a document's last whole gram and the next document's start are summed apart and dropped
-                edges = np.stack([s[live], e[live]], 1).ravel()
-                last = len(edges) - 1 if len(edges) and edges[-1] >= len(g) else len(edges)
-                if len(live):
-                    total[live] += np.add.reduceat(model.table[g], edges[:last], axis=0)[::2]
-                seen[live] += (e - s)[live]
+            if len(data) > most:  # one long text: its subwords are counted, a chunk at a time
+                counts = np.zeros(BUCKETS, np.int64)
+                for a in range(0, len(data), most):
+                    for w, g in enumerate(_grams(data[a : a + most + 3])):
+                        _, e = _spans(np.array([0, len(data)]), w + 2)
+                        counts += np.bincount(g[: max(0, min(most, e[0] - a))], minlength=BUCKETS)
+                total[0], seen[0] = counts @ model.table.astype(np.float64), counts.sum()
+            else:
+                for w, g in enumerate(_grams(data)):
+                    s, e = _spans(off, w + 2)
+                    # rows between a document's last whole gram and the next document's start are summed apart and dropped
+                    edges = np.stack([s[live], e[live]], 1).ravel()
+                    last = len(edges) - 1 if len(edges) and edges[-1] >= len(g) else len(edges)
+                    if len(live):
+                        total[live] += np.add.reduceat(model.table[g], edges[:last], axis=0)[::2]
+                    seen[live] += (e - s)[live]
             p = _softmax((total / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature)
             best = p.argmax(1)
             lang[i:j] = np.where(letters, np.array(model.labels, object)[best], "und")
@@ -157,8 +167,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every row of docs; lang_pred is und and score 0 without text or letters.
 
-    accepted is false below the calibrated score. Texts alone decide: equal texts have equal predictions. Without a model
-    (nothing to learn from, an empty table) every prediction is und.
+    accepted is false below the calibrated score (with under 50 rows to learn from: never, but without a language). Texts
+    alone decide: equal texts have equal predictions, and rows that repeat are predicted each. Without a model (nothing to
+    learn from, an empty table) every prediction is und. Further columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MOST_LANGUAGES numbers

@@ -8,7 +8,8 @@ for each of its windows; windows of one shingle are found always. Candidates are
 
 Templates of fewer words than a shingle are looked up exactly, at every word of a text, by shingles of their own length.
 
-The work is one pass over whole texts in bounded blocks without a shuffle; templates are a fixed list of bounded size.
+The work is a pass over whole texts in bounded blocks without a shuffle. Templates go to the tasks in slices of SLICE_BYTES
+at most; more of them take more passes, which hand on what they found, and the last one chooses among all.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import text as T
 
-SHINGLE, ROWS, BANDS, CONTAINMENT, LARGEST, TABLE_BITS, MOST_TEMPLATE_BYTES = 5, 2, 16, 0.8, 64, 18, 8 << 20
+SHINGLE, ROWS, BANDS, CONTAINMENT, LARGEST, TABLE_BITS, SLICE_BYTES = 5, 2, 16, 0.8, 64, 18, 8 << 20
 HASHES = ROWS * BANDS
 
 # Public license notices and paragraphs.
@@ -122,12 +124,11 @@ def window_keys(shingles: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, i
 
 
 class Library:
-    """Templates with their shingle sets, and the band keys of their windows."""
+    """Templates with their shingle sets, and the band keys of their windows; they are numbered from first on."""
 
-    def __init__(self, templates: Mapping[str, str]):
-        if sum(len(t.encode()) for t in templates.values()) > MOST_TEMPLATE_BYTES:
-            raise ValueError(f"templates are larger than {MOST_TEMPLATE_BYTES} bytes")
-        self.names, self.sets, self.length = [], [], []
+    def __init__(self, templates: Mapping[str, str], first: int = 0):
+        self.first = first
+        self.names, self.sets, self.length, self.long = [], [], [], []
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.short: dict[int, list[tuple[int, int]]] = {}
         for name, text in sorted(templates.items()):
@@ -140,15 +141,19 @@ class Library:
                 self.names.append(name)
                 self.sets.append(sh)
                 self.length.append(1)
+                self.long.append(False)
                 continue
             t, size = len(self.names), min(LARGEST, 1 << (len(sh).bit_length() - 1))
             self.names.append(name)
             self.sets.append(np.unique(sh))
             self.length.append(len(sh))
+            self.long.append(True)
             starts = sorted({*range(0, len(sh) - size + 1, max(1, size // 2)), len(sh) - size})
             for s, band, key in window_keys(sh, [size]):
                 found.setdefault((s, band), []).extend((int(key[i]), t) for i in starts)
         self.sizes = sorted({s for s, _ in found})
+        long = [x for x, m in zip(self.sets, self.long) if m]
+        self.every = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
         self.keys, self.owner, self.table = {}, {}, {}
         for sb, rows in found.items():
             rows = sorted(set(rows))
@@ -180,24 +185,41 @@ class Library:
                     out.setdefault(int(d), []).append((1.0, int(p - begin[d]), t))
         return out
 
-    def verify(self, shingles: np.ndarray, starts: np.ndarray, t: int) -> list[tuple[float, int]]:
-        """(containment, first shingle) of each passage of one text around the starts that holds enough of template t."""
+    def verify(self, at: np.ndarray, shingles: np.ndarray, t: int) -> list[tuple[float, int]]:
+        """(containment, first shingle) of each passage of one text that holds enough of template t.
+
+        The text is given by its shingles that any template has, and their places.
+        """
         m, own = self.length[t], self.sets[t]
         reach = m + m // 4 + 1
-        near = np.unique(np.clip(np.concatenate([starts + d for d in range(-reach, reach + 1)]), 0, len(shingles) - 1)) if len(starts) < 64 else np.arange(len(shingles))
-        hits = near[np.isin(shingles[near], own)]
+        mine = np.isin(shingles, own)
+        hits, shingles = at[mine], shingles[mine]
         out: list[tuple[float, int]] = []
         i = 0
         while i < len(hits):
-            inside = hits[i : np.searchsorted(hits, hits[i] + reach)]
-            share = len(np.unique(shingles[inside])) / len(own)
+            stop = int(np.searchsorted(hits, hits[i] + reach))
+            share = len(np.unique(shingles[i:stop])) / len(own)
             if share >= CONTAINMENT:
                 out.append((share, int(hits[i])))
-                i += len(inside)
+                i = stop
             else:
                 i += 1
         return out
 
+    def passages(self, words: T.Words) -> dict[int, list[tuple[float, int, int]]]:
+        """(containment, start, template) of the passages that each text of a block holds."""
+        sh, begin = T.shingles(words, SHINGLE)
+        out = self.short_passages(words) if len(sh) else {}
+        if not len(sh) or not len(self.every):
+            return out
+        found = self.candidates(sh)
+        at = np.flatnonzero(self.every[np.minimum(np.searchsorted(self.every, sh), len(self.every) - 1)] == sh) if len(found) else found[:, 0]
+        doc = np.searchsorted(begin, found[:, 0], side="right") - 1
+        for d, t in np.unique(np.stack([doc, found[:, 1]], 1), axis=0):
+            own = at[np.searchsorted(at, begin[d]) : np.searchsorted(at, begin[d + 1])]
+            out.setdefault(int(d), []).extend((share, p, int(t)) for share, p in self.verify(own - begin[d], sh[own], t))
+        return {d: [(share, p, t + self.first) for share, p, t in x] for d, x in out.items()}
+
 
 def _best(found: list[tuple[float, int, int]], length: list[int]) -> list[tuple[float, int, int]]:
     """Passages (containment, start, template) without those that lie half or more in one that fits another template better."""
@@ -209,30 +231,52 @@ def _best(found: list[tuple[float, int, int]], length: list[int]) -> list[tuple[
     return kept
 
 
-def _scan(batches: Iterator[pa.RecordBatch], library: Library) -> Iterator[pa.RecordBatch]:
+_PASSAGE = np.dtype([("share", "f8"), ("start", "i8"), ("template", "i8")])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], library: Library, names: list[str], length: list[int], last: bool) -> Iterator[pa.RecordBatch]:
+    """One pass: rows with what this and earlier passes found (found), or from the last pass the results."""
     for b in T.slices(batches, 1):
-        rows: list[list] = [[], [], [], [], []]
+        found = [np.frombuffer(x, _PASSAGE).tolist() if x else [] for x in b.column(2).to_pylist()]
         for i, j, data, off in T.blocks(b.column(1)):
-            words = _words(data, off)
-            sh, begin = T.shingles(words, SHINGLE)
-            if not len(sh):
-                continue
-            short = library.short_passages(words)
-            found = library.candidates(sh)
-            doc = np.searchsorted(begin, found[:, 0], side="right") - 1
-            for d in np.union1d(doc, np.array(list(short), np.int64)):
-                own, passages = found[doc == d], list(short.get(int(d), ()))
-                for t in np.unique(own[:, 1]):
-                    passages += [(share, at, int(t)) for share, at in library.verify(sh[begin[d] : begin[d + 1]], own[own[:, 1] == t, 0] - begin[d], t)]
-                passages = _best(passages, library.length)
-                for t in sorted({p[2] for p in passages}):
-                    mine = [p for p in passages if p[2] == t]
-                    best = max(mine, key=lambda p: (p[0], -p[1]))
-                    for c, v in zip(rows, (i + int(d), library.names[t], round(best[0], 6), best[1], len(mine))):
-                        c.append(v)
+            for d, passages in library.passages(_words(data, off)).items():
+                found[i + d] += passages
+        if not last:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, _PASSAGE).tobytes() if x else None for x in found], pa.binary())], names=["doc_id", "text", "found"])
+            continue
+        rows: list[list] = [[], [], [], [], []]
+        for i, passages in enumerate(found):
+            passages = _best(passages, length)
+            for t in sorted({p[2] for p in passages}):
+                mine = [p for p in passages if p[2] == t]
+                best = max(mine, key=lambda p: (p[0], -p[1]))
+                for c, v in zip(rows, (i, names[t], round(best[0], 6), best[1], len(mine))):
+                    c.append(v)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())], names=["doc_id", "license", "containment", "start_word", "n_passages"])
 
 
+def libraries(templates: Mapping[str, str], most: int = SLICE_BYTES) -> list[Library]:
+    """Templates in sorted order, in slices of at most so many bytes (one template, where that is longer); one slice at least."""
+    parts: list[dict[str, str]] = [{}]
+    size = 0
+    for name, text in sorted(templates.items()):
+        n = len(text.encode())
+        if size + n > most and parts[-1]:
+            parts.append({})
+            size = 0
+        parts[-1][name] = text
+        size += n
+    out: list[Library] = []
+    for part in parts:
+        out.append(Library(part, out[-1].first + len(out[-1].names) if out else 0))
+    return out
+
+
+def templates_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Each file of a folder as a template named like the file, as for full license texts; any store that Spark reads."""
+    return {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]).decode(errors="replace") for r in spark.read.format("binaryFile").load(folder).select("path", "content").collect()}
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, start_word, n_passages): a row for each template that a row of docs holds.
 
@@ -240,8 +284,12 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
     passage. A passage that fits two templates, as versions of one license do, counts for the one that it holds more of.
     Null and empty texts hold nothing; rows that repeat are reported each; an empty table or no templates give an
     empty result; further columns are not read. A template of fewer words than a shingle is found wherever
-    a text holds exactly these words.
+    a text holds exactly these words. templates_in reads further templates, such as whole license texts, from files.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    library = Library(TEMPLATES | VARIANTS | SHORT if templates is None else templates)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, library), f"doc_id {kind}, license string, containment double, start_word long, n_passages long")
+    held = libraries(TEMPLATES | VARIANTS | SHORT if templates is None else templates)
+    names, length = [x for p in held for x in p.names], [x for p in held for x in p.length]
+    rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
+    for part in held[:-1]:
+        rows = rows.mapInArrow(lambda it, part=part: _scan(it, part, names, length, False), f"doc_id {kind}, text string, found binary")
+    return rows.mapInArrow(lambda it: _scan(it, held[-1], names, length, True), f"doc_id {kind}, license string, containment double, start_word long, n_passages long")

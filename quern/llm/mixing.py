@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import materialise, own_dir, partitions
+from quern.llm.groups import join_groups
+from quern.session import materialise, own_dir, partitions, temporary_tables
 
-BLOCK, SLICE, FRAME, MOST_SOURCES, ALPHA, CHUNK, TIES, EPS = 8, 2048, 1024, 100_000, 0.7, 1 << 18, 4096, 1e-6
+BLOCK, SLICE, FRAME, ALPHA, CHUNK, TIES, EPS = 8, 2048, 1024, 0.7, 1 << 18, 4096, 1e-6
 
 
 def shares(weights: Mapping[object, float], frame: int = FRAME) -> dict[object, int]:
@@ -113,21 +114,17 @@ def _plan(spark: SparkSession, numbers: list[int], counts: list[int], weights: l
 def _places(rows: DataFrame, weights: Mapping[object, float] | None, block: int) -> DataFrame:
     """The columns of rows (__row, doc_id, source), a table, with block, slot, position and in_mix; __row tells rows apart."""
     spark = rows.sparkSession
-    counts = sorted(((r["source"], r["count"]) for r in rows.groupBy("source").count().limit(MOST_SOURCES + 1).collect()), key=lambda x: str(x[0]))
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = sorted(((r["source"], r["count"]) for r in rows.groupBy("source").count().collect()), key=lambda x: str(x[0]))
     given = weights if weights is not None else {k: n**ALPHA for k, n in counts}
     live = [(i, n, float(given[k])) for i, (k, n) in enumerate(counts) if given.get(k) and given[k] > 0]
     plan = _plan(spark, *([x[c] for x in live] for c in range(3)), block)
     total = sum(w for _, _, w in live)
     horizon = min((int(-(-n // block) * (total / w) + EPS) for _, n, w in live), default=0)
     kind = rows.schema["source"].dataType.simpleString()
-    number = spark.createDataFrame([(k, i, max(1, -(-n // SLICE))) for i, (k, n) in enumerate(counts)], f"s_source {kind}, number long, slices long")
-    number = materialise(number.coalesce(1), "sources")
-    # copies of the small table for each salt, so that a hot source is joined in parts whether or not Spark broadcasts it
-    number = number.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    salted = rows.withColumn("__h", F.when(F.col("doc_id").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("doc_id"))).withColumn("__salt", F.pmod("__h", F.lit(16)).cast("int"))
-    dealt = salted.join(number, salted.source.eqNullSafe(number.s_source) & (F.col("__salt") == F.col("s_salt")))
+    number = spark.createDataFrame([(k, i, n, max(1, -(-n // SLICE))) for i, (k, n) in enumerate(counts)], f"s_source {kind}, number long, s_rows long, slices long")
+    number = materialise(number, "sources")
+    hashed = rows.withColumn("__h", F.when(F.col("doc_id").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("doc_id")))
+    dealt = join_groups(hashed, number, [("source", "s_source")], "s_rows")
     dealt = dealt.select("__row", "doc_id", "source", "number", F.pmod(F.shiftrightunsigned("__h", 8), "slices").alias("slice"))
     sizes = dealt.groupBy("number", "slice").count()
     before = F.sum("count").over(Window.partitionBy("number").orderBy("slice")) - F.col("count")
@@ -149,11 +146,12 @@ def mix(docs: DataFrame, weights: Mapping[object, float] | None = None, block: i
     first source runs dry, up to which all sources have their target weights to within a block. Weights of sources without
     rows are shared among the rest. Rows of sources without a weight have null slots and positions.
     Null sources are a source of their own. Rows that repeat a doc_id take neighbouring places of their own, and rows with a
-    null doc_id places of their own anywhere in their source. An empty table gives an empty result. More than MOST_SOURCES
-    sources are an error.
+    null doc_id places of their own anywhere in their source. An empty table gives an empty result. The driver holds one name
+    and a few numbers a source.
     """
-    rows = materialise(docs.select("doc_id", F.col(source).alias("source"), F.monotonically_increasing_id().alias("__row")), "rows")
-    return _places(rows, weights, block).drop("__row")
+    with temporary_tables(docs.sparkSession) as keep:
+        rows = materialise(docs.select("doc_id", F.col(source).alias("source"), F.monotonically_increasing_id().alias("__row")), "rows")
+        return keep(materialise(_places(rows, weights, block).drop("__row"), "mix"))
 
 
 def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, whole: bool = False) -> DataFrame:
@@ -161,11 +159,13 @@ def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block:
 
     With whole, every row of docs: those after the first source runs dry too, and last those of sources without a weight.
     Each row has its own place, as in mix: rows with a null doc_id stay, and rows that repeat one stay as often as they occur.
+    An empty table gives an empty result. Columns of docs may have any name that doesn't begin with __.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    places = _places(rows.select("__row", "doc_id", "source"), weights, block)
-    places = places if whole else places.where("in_mix")
-    places = materialise(places.select(F.col("__row").alias("__place"), F.col("position").alias("__position")), "places")
+    with temporary_tables(docs.sparkSession) as keep:
+        rows = keep(materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"))
+        places = _places(rows.select("__row", "doc_id", "source"), weights, block)
+        places = places if whole else places.where("in_mix")
+        places = keep(materialise(places.select(F.col("__row").alias("__place"), F.col("position").alias("__position")), "places"))
     order = F.col("__position").asc_nulls_last()
     out = rows.join(places.hint("merge"), F.col("__row") == F.col("__place")).repartitionByRange(partitions(docs.sparkSession), order)
     return out.sortWithinPartitions(order).select(*docs.columns)

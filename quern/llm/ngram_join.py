@@ -31,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm import text as T
 from quern.llm.components import connected
-from quern.session import materialise, partitions
+from quern.session import materialise, partitions, temporary_tables
 
-LIGHT, BLOCK, RUN, BUCKET, OFTEN, HOT, MOST_HOT, COSTED = 32, 8192, 1 << 21, 1 << 22, 4, 1 << 18, 1 << 20, 1 << 20
+LIGHT, BLOCK, RUN, BUCKET, OFTEN, HOT, MOST_HOT, COSTED = 32, 8192, 1 << 21, 1 << 21, 4, 1 << 18, 1 << 20, 1 << 20
 _U = np.uint64
 
 
@@ -92,7 +92,9 @@ def shingle_nodes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     kind = to_arrow_type(field)
     out = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, kind), f"doc_id {field.simpleString()}, n_shingles long, node long, often binary, times binary")
     out = materialise(out, "sets")
-    return out.where("n_shingles >= 0").select("doc_id", "n_shingles", "node"), out.where("n_shingles < 0").select("often", "times")
+    rows, often = out.where("n_shingles >= 0").select("doc_id", "n_shingles", "node"), out.where("n_shingles < 0").select("often", "times")
+    rows._table_path = out._table_path
+    return rows, often
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +181,12 @@ def _node_bucket(node: np.ndarray, n: int) -> np.ndarray:
     return ((T.mix(node.view(np.uint64).copy()) >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
 
 
+def _released(t: pa.Table) -> pa.Table:
+    """t, after the memory that its making took has gone back to the system."""
+    T.release()
+    return t
+
+
 def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
     """One range of shingles: (set, shingle, frequency) for those of two sets or more, dealt out by set.
 
@@ -408,8 +416,8 @@ def _lists(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_node_bucket(b.column(0).to_numpy(), parts).astype(np.int32)), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
     runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, parts, held.value, n_hot), "bucket int, names binary, owner binary, steps binary, wide binary")
     # as many tasks as ranges, so that what one task reads doesn't grow with the input
-    shared = runs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, parts), "nb int, names binary, runs binary, high binary, low binary, freq binary")
-    nodes = shared.repartition(parts, "nb").groupBy("nb").cogroup(bucketed.repartition(parts, "nb").groupBy("nb")).applyInArrow(lambda s, c: _assemble(s, c, num, den), "node long, rep long, n long, n1 long, list_rows long, subset_rows long, items binary")
+    shared = runs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _released(_shared(t, parts)), "nb int, names binary, runs binary, high binary, low binary, freq binary")
+    nodes = shared.repartition(parts, "nb").groupBy("nb").cogroup(bucketed.repartition(parts, "nb").groupBy("nb")).applyInArrow(lambda s, c: _released(_assemble(s, c, num, den)), "node long, rep long, n long, n1 long, list_rows long, subset_rows long, items binary")
     nodes = materialise(nodes, "nodes")
     x = boundary(costs(nodes, num, den), num, den)
     signs = nodes.select("node", "n", "n1", "items").mapInArrow(lambda it: _signatures(it, x, num, den), "key long, node long, n long, pos long, n1 long, seen long")
@@ -433,24 +441,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     repeat a doc_id count as one document: they share its component. An empty table gives an empty result; further
     columns of docs are not read. doc_id is an integer column.
     """
-    rows, classes, nodes, x, lists = _lists(docs, k, num, den)
-    pairs = _light_pairs(lists, x, num, den)
-    heavy = lists.where(F.col("c") > LIGHT)
-    star = heavy.where("node <> hub.node").select(F.least("node", "hub.node").alias("a_node"), F.greatest("node", "hub.node").alias("b_node"))
     parts = partitions(docs.sparkSession)
-    links = _verified(pairs.distinct(), nodes, num, den).unionByName(_verified(star.distinct(), nodes, num, den, parts=parts))
-    links = materialise(links, "verified")
-    comps = materialise(connected(links), "components")
-    held = heavy.join(nodes.select("node", "rep"), "node").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    held = materialise(held.select("key", "part", "c", "node", "n", "pos", "seen", "comp"), "heavy")
-    split = held.groupBy("key", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    split = split.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("part").alias("parts")).where("lo <> hi")
-    rest = materialise(held.join(split.select("key", F.explode("parts").alias("part")), ["key", "part"], "left_semi").drop("part"), "rest")
-    if rest.take(1):
-        more = materialise(_verified(_pairs_in_blocks(rest, x, num, den), nodes, num, den, parts=parts), "verified")
-        comps = materialise(connected(links.unionByName(more)), "components")
-    named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
-    named = materialise(named, "classes")  # read anew, so that the join can be split where one set has very many copies
+    with temporary_tables(docs.sparkSession) as keep:
+        rows, classes, nodes, x, lists = _lists(docs, k, num, den)
+        pairs = _light_pairs(lists, x, num, den)
+        heavy = lists.where(F.col("c") > LIGHT)
+        star = heavy.where("node <> hub.node").select(F.least("node", "hub.node").alias("a_node"), F.greatest("node", "hub.node").alias("b_node"))
+        links = _verified(pairs.distinct(), nodes, num, den).unionByName(_verified(star.distinct(), nodes, num, den, parts=parts))
+        links = materialise(links, "verified")
+        comps = materialise(connected(links), "components")
+        held = heavy.join(nodes.select("node", "rep"), "node").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        held = materialise(held.select("key", "part", "c", "node", "n", "pos", "seen", "comp"), "heavy")
+        split = held.groupBy("key", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        split = split.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("part").alias("parts")).where("lo <> hi")
+        rest = materialise(held.join(split.select("key", F.explode("parts").alias("part")), ["key", "part"], "left_semi").drop("part"), "rest")
+        if rest.take(1):
+            more = materialise(_verified(_pairs_in_blocks(rest, x, num, den), nodes, num, den, parts=parts), "verified")
+            comps = materialise(connected(links.unionByName(more)), "components")
+        named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+        named = keep(materialise(named, "classes"))  # read anew, so that the join can be split where one set has very many copies
+        keep(rows)
     return rows.join(named, (rows.node == named.node) & (rows.n_shingles > 0) & rows.doc_id.isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component", F.col("doc_id").cast("long")).alias("component_id"))
 
 
@@ -479,8 +489,9 @@ def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
     Of rows that repeat the doc_id that stays, the one whose text has the least hash. Rows with a null doc_id stay, and so do
     those without a set, once for each doc_id. An empty table gives an empty result; the columns are those of docs.
     """
-    found = jaccard_components(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    found = materialise(found.where("c < doc_id OR n > 1"), "gone")
+    with temporary_tables(docs.sparkSession) as keep:
+        found = jaccard_components(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
+        found = keep(materialise(found.where("c < doc_id OR n > 1"), "gone"))
     kept = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     twice = found.where("c >= doc_id").select("doc_id")
     if not twice.take(1):

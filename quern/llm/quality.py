@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import text as T
 from quern.llm.groups import join_groups
-from quern.session import materialise
+from quern.session import materialise, temporary_tables
 
 LABELLED, RIDGE, STEPS, GRAMS, SMOOTH, SITE_WEIGHT, SITE_PRIOR = 50_000, 1e-3, 30, 1 << 13, 0.1, 0.5, 16.0
 _SETS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"|", b"#*$%&", b"<>/\\", b"\n", b"@_=+~^", b"()[]{}\"'")
@@ -252,11 +252,19 @@ def site_weight(model: Model, known: DataFrame, sites: DataFrame) -> float:
     return fit_site_weight(logit[order], moved[order], (y[order] > 0).astype(float))
 
 
-def _quality(model: Model, known: DataFrame, sites: DataFrame) -> Column:
-    weight = site_weight(model, known, sites)
+def _quality(weight: float) -> Column:
     return F.round(1 / (1 + F.exp(-(F.col("__logit") + weight * F.col("__moved")))), 6)
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, host: str, path: str, text: bool = True) -> tuple[DataFrame, DataFrame, float]:
+    """docs with __logit and the rates of their sites, written, and the sites' weight."""
+    with temporary_tables(docs.sparkSession) as keep:
+        model, known = train(labelled(docs, labels, host, path))
+        rows = keep(materialise(scored(docs, model, text), "scored"))
+        sites = keep(materialise(site_rates(rows, host, path), "sites"))
+        return rows, sites, site_weight(model, known, sites)
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, doc_score, host_rate, path_rate, quality, kept) of every row of docs; the rates are those of the other documents.
 
@@ -265,10 +273,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     empty result; further columns are not read.
     """
     docs = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    model, known = train(labelled(docs, labels, "host", "path"))
-    rows = materialise(scored(docs, model, text=False), "scores")
-    sites = materialise(site_rates(rows, "host", "path"), "sites")
-    out = judged(rows, sites, "host", "path").withColumn("quality", _quality(model, known, sites))
+    rows, sites, weight = _fitted(docs, labels, "host", "path", text=False)
+    out = judged(rows, sites, "host", "path").withColumn("quality", _quality(weight))
     return out.select("doc_id", F.round(1 / (1 + F.exp(-F.col("__logit"))), 6).alias("doc_score"), F.round("__host_rate", 6).alias("host_rate"), F.round("__path_rate", 6).alias("path_rate"), "quality", (F.col("quality") >= 0.5).alias("kept"))
 
 
@@ -277,8 +283,6 @@ def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "
 
     Nulls, repeated rows, too few labels and an empty table are taken as by classify. Each text is scored once.
     """
-    model, known = train(labelled(docs, labels, host, path))
-    rows = materialise(scored(docs, model), "scored")
-    sites = materialise(site_rates(rows, host, path), "sites")
-    out = judged(rows, sites, host, path).withColumn("__quality", _quality(model, known, sites))
+    rows, sites, weight = _fitted(docs, labels, host, path)
+    out = judged(rows, sites, host, path).withColumn("__quality", _quality(weight))
     return out.where("__quality >= 0.5").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import byte_bpe, host_rules, language, license_scan, mixing, ngram_join, pivots, quality, token_files, url_rules
-from quern.session import small_batches
+from quern.session import free, small_batches
 from quern.session import table as read_table
 
 # The rules that the url query applies, and the rows that language training may read.
@@ -17,6 +17,7 @@ LEARNED = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    free(spark)
     small_batches(spark)
     return read_table(spark, sf_dir, name)
 

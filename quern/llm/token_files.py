@@ -9,6 +9,7 @@ in the shared folder, ascending by document, with a small table of each segment'
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -16,15 +17,20 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import text as T
 from quern.session import materialise, partitions
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MARKS = b".,;:!?|#$%&*)]}\"-+=~^_/@<>"
 MAGIC, END_ID, SEGMENT_TOKENS, CACHE_WORDS, RANK_BITS = b"DAC1", 1, 1 << 21, 1_000_000, 512
 
@@ -75,6 +81,23 @@ class Codes:
             i = int(ranks[block]) + int(head.sum())
         return value
 
+    def take(self, places: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Values at places, each by one step a level as in [], a chunk of places at a time."""
+        out = np.zeros(len(places), np.uint32)
+        for a in range(0, len(places), chunk):
+            i, at = np.asarray(places[a : a + chunk], np.int64), np.arange(a, min(a + chunk, len(places)))
+            for k, (chunks, bits, ranks) in enumerate(self.levels):
+                out[at] |= chunks[i].astype(np.uint32) << np.uint32(8 * k)
+                more = bits[i >> 3] >> (i & 7).astype(np.uint8) & 1 == 1
+                i, at = i[more], at[more]
+                if not len(i):
+                    break
+                block = i // RANK_BITS
+                near = np.minimum(block[:, None] * (RANK_BITS // 8) + np.arange(RANK_BITS // 8), len(bits) - 1)
+                before = np.unpackbits(bits[near], axis=1, bitorder="little") & (np.arange(RANK_BITS) < (i % RANK_BITS)[:, None])
+                i = ranks[block].astype(np.int64) + before.sum(1, dtype=np.int64)
+        return out
+
     def all(self) -> np.ndarray:
         at, out = None, np.zeros(self.n, np.uint32)
         for k, (chunks, bits, _) in enumerate(self.levels):
@@ -105,7 +128,7 @@ class Segment:
 
     def document(self, i: int) -> np.ndarray:
         """Ids of one document by random access."""
-        return np.array([self.codes[j] for j in range(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))], np.uint32)
+        return self.codes.take(np.arange(int(self.ends[i - 1]) if i else 0, int(self.ends[i])))
 
 
 def _one_piece(word: str) -> bool:
@@ -113,12 +136,39 @@ def _one_piece(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def drops_space(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer works on words apart: pieces end in </w>, and its own splitting leaves no white space in any piece.
+
+    Its settings must be ones for which that holds at every place: normalizers that keep white space apart, a first splitter
+    that removes all but matches, whose pattern can match no white space (in ASCII, where texts are taken apart), and added
+    tokens without white space.
+    """
+    d = json.loads(tokenizer.to_str())
+    parts = lambda x, many: [x] if x and many not in x else (x or {}).get(many, [])
+    kinds = [n["type"] for n in parts(d["normalizer"], "normalizers")]
+    replaced = [(n["pattern"], n["content"]) for n in parts(d["normalizer"], "normalizers") if n["type"] == "Replace"]
+    split = (parts(d["pre_tokenizer"], "pretokenizers") or [{}])[0]
+    pattern = split.get("pattern", {}).get("Regex", "\\s")
+    return (
+        d["model"]["type"] == "BPE"
+        and d["model"].get("end_of_word_suffix") == "</w>"
+        and set(kinds) <= {"NFC", "Lowercase", "Replace"}
+        and all(r == ({"Regex": "\\s+"}, " ") for r in replaced)
+        and split.get("type") == "Split"
+        and split.get("behavior") == "Removed"
+        and split.get("invert") is True
+        and not regex.search(pattern, " \t\n\v\f\r")
+        and all("<|" in t["content"] and not regex.search("\\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in d["added_tokens"])
+    )
+
+
 class WordCache(dict):
     """Words (as bytes) to numbers, whose ids lie in flat arrays; unseen words are encoded a block at a time.
 
     The first CACHE_WORDS words are kept; after that, unseen ones are held for their block alone.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.
+    The tokenizer must drop white space and never join across it (drops_space), so that a text's ids are those of its words
+    in turn; texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -128,6 +178,7 @@ class WordCache(dict):
         self.once: dict[bytes, int] = {}  # words of this block beyond those kept
         self.kept: tuple[int, int] | None = None  # lengths of the arrays when the cache was full
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.by_words = drops_space(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_piece[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -185,6 +236,9 @@ class WordCache(dict):
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and each text's number of ids."""
+        if not self.by_words:
+            got = [self.tokenizer.encode(x.decode(), add_special_tokens=False).ids + [self.end_id] for x in texts]
+            return np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got))), np.array([len(x) for x in got], np.int64)
         words = [x.split() for x in texts]
         counts = np.array([len(w) + 1 for w in words], np.int64)
         at = np.zeros(counts.sum(), np.int64)
@@ -271,6 +325,35 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(segments: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the segments."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the segments.
+
+    Documents without text have the end id alone; rows that repeat or have a null doc_id are listed each; without segments
+    the result is empty.
+    """
     rows = segments.select("part", "seq", "data").mapInArrow(_documents, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(index, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _taken(key: tuple, segment: pa.Table, places: pa.Table) -> pa.Table:
+    """Values at some places of one segment."""
+    if not segment.num_rows or not places.num_rows:
+        return pa.table({"position": pa.array([], pa.int64()), "token_id": pa.array([], pa.int64())})
+    within = places.column("within").to_numpy()
+    values = Segment(segment.column("data")[0].as_py()).codes.take(within)
+    return pa.table({"position": places.column("position").to_numpy(), "token_id": values.astype(np.int64)})
+
+
+def read_tokens(segments: DataFrame, index: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions (position, ...) with token_id, the id at that place of all files' ids, read without decoding a block.
+
+    Each position finds its segment by the stretches of SEGMENT_TOKENS that segments meet, and each segment is opened once
+    for all positions in it. A position that is null or out of range has a null token_id; positions may repeat, and other
+    columns stay (one named token_id is replaced).
+    """
+    size = segments.select("part", "seq", "n_tokens")
+    parts = index.join(size, ["part", "seq"]).withColumn("stretch", F.explode(F.sequence(F.expr(f"base div {SEGMENT_TOKENS}"), F.expr(f"(base + n_tokens - 1) div {SEGMENT_TOKENS}"))))
+    wanted = positions.select(F.col("position").cast("long").alias("position")).distinct().withColumn("stretch", F.expr(f"position div {SEGMENT_TOKENS}"))
+    wanted = wanted.join(parts, "stretch").where("position >= base AND position < base + n_tokens").select("part", "seq", "position", (F.col("position") - F.col("base")).alias("within"))
+    opened = segments.join(wanted.select("part", "seq").distinct(), ["part", "seq"], "left_semi").select("part", "seq", "data")
+    got = opened.groupBy("part", "seq").cogroup(wanted.groupBy("part", "seq")).applyInArrow(_taken, "position long, token_id long")
+    return positions.drop("token_id").join(got.withColumnRenamed("position", "__position"), F.col("position") == F.col("__position"), "left").drop("__position")

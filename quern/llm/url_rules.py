@@ -1,26 +1,31 @@
 """URL filters: a sort-merge range join of urls with nested host and path rules.
 
 A host's labels in reverse, each ended by a dot (com.example.www.), make a host and all its subdomains one interval of
-sorted keys; a path prefix is an interval of sorted paths. Sorted keys of urls and rules are swept together while a stack
-keeps the rules whose interval is open: rules that the next key leaves are popped. A second sweep over the paths of one
-host does the same with the path intervals of the rules that its host opened.
+sorted keys. Urls and rules are cut into ranges of (key, path, row), so that a host of many urls is cut too, and a rule goes
+to each of the neighbouring ranges that its interval meets. Each range is sorted, and one sweep over it keeps a stack of
+the hosts whose interval is open; those that the next key leaves are popped. The path prefixes of a host nest in the same
+way: when they are opened, each is linked to the next one around it, so that the longest that fits a path is found by a
+bisection and a walk outwards.
 
-Rules go to the tasks in slices of at most SLICE_BYTES, so what is sent has a fixed bound; more rules take more passes,
-each of which keeps the longest rule so far. Urls are never shuffled, so a hot host needs no special care.
+Where the ranges are cut follows from a bounded sample of urls, which decides on the sizes of tasks alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 32 << 20
+from quern.session import partitions
+
+RANGE_URLS, CUT_SAMPLE = 1 << 20, 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # host, path, verdict
+Cut = tuple[str, str, int]  # key, path, row
 
 
 def parse_rule(rule: str, verdict: str) -> Rule:
@@ -28,8 +33,8 @@ def parse_rule(rule: str, verdict: str) -> Rule:
     return host.translate(str.maketrans(UPPER, LOWER)), slash + path, verdict
 
 
-def host_key(host: str) -> str:
-    return "".join(label + "." for label in reversed(host.split("."))) if host else ""
+def host_key(host: Column) -> Column:
+    return F.when(host == "", "").otherwise(F.concat(F.concat_ws(".", F.reverse(F.split(host, "\\.", -1))), F.lit(".")))
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -39,90 +44,103 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-class RuleSweep:
-    """Rules sorted by host key; for each, all paths of that host."""
-
-    def __init__(self, rules: list[Rule]):
-        hosts: dict[str, list[tuple[str, tuple[int, int, str], str, str]]] = {}
-        for host, path, verdict in rules:
-            name = host + path
-            hosts.setdefault(host_key(host), []).append((path, (len(name), len(host), verdict), name, verdict))
-        self.hosts = sorted(hosts.items())
-
-    def match(self, urls: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[str, str]]:
-        """Distinct (host, path) -> (rule, verdict) of the longest rule that fits; absent where none does."""
-        out: dict[tuple[str, str], tuple[str, str]] = {}
-        by_host: dict[str, list[str]] = {}
-        for host, path in urls:
-            by_host.setdefault(host, []).append(path)
-        stack: list[tuple[str, list]] = []
-        at, hosts = 0, self.hosts
-        for key, host in sorted((host_key(h), h) for h in by_host):
-            while at < len(hosts) and hosts[at][0] <= key:
-                while stack and not hosts[at][0].startswith(stack[-1][0]):
-                    stack.pop()
-                stack.append(hosts[at])
-                at += 1
-            while stack and not key.startswith(stack[-1][0]):
-                stack.pop()
-            if stack and host:
-                self._paths(host, sorted(by_host[host]), sorted(r for _, rules in stack for r in rules), out)
-        return out
-
-    @staticmethod
-    def _paths(host: str, paths: list[str], rules: list, out: dict) -> None:
-        stack: list[tuple[str, tuple]] = []  # prefix, longest open rule
-        at = 0
-        for path in paths:
-            while at < len(rules) and rules[at][0] <= path:
-                rule = rules[at]
-                while stack and not rule[0].startswith(stack[-1][0]):
-                    stack.pop()
-                best = (rule[1], rule[2], rule[3])
-                stack.append((rule[0], max(best, stack[-1][1]) if stack else best))
-                at += 1
-            while stack and not path.startswith(stack[-1][0]):
-                stack.pop()
-            if stack:
-                out[host, path] = stack[-1][1][1:]
+class Host:
+    """The path prefixes of one host's rules, added in sorted order; each knows the next one around it."""
+
+    def __init__(self, key: str):
+        self.key = key
+        self.paths: list[str] = []
+        self.outer: list[int] = []
+        self.best: list[tuple[int, int, str, str]] = []
+        self.open: list[int] = []
+
+    def add(self, path: str, host: str, verdict: str) -> None:
+        name = host + path
+        while self.open and not path.startswith(self.paths[self.open[-1]]):
+            self.open.pop()
+        around = self.open[-1] if self.open else -1
+        best = (len(name), len(host), verdict, name)
+        self.paths.append(path)
+        self.outer.append(around)
+        self.best.append(max(best, self.best[around]) if around >= 0 else best)
+        self.open.append(len(self.paths) - 1)
+
+    def longest(self, path: str) -> tuple[int, int, str, str] | None:
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.outer[i]
+        return self.best[i] if i >= 0 else None
 
 
-def _swept(batches: Iterator[pa.RecordBatch], rules: list[Rule], at: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    sweep = RuleSweep(rules)
+def _part_of_urls(batches: Iterator[pa.RecordBatch], cuts: Sequence[Cut]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = list(zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist()))
-        found = sweep.match(list(set(keys)))
-        got = [found.get(k, (None, None)) for k in keys]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], names=[*b.schema.names, "__rule", "__verdict"])
-
-
-def slices(rules: list[Rule], most: int = SLICE_BYTES) -> list[list[Rule]]:
-    out: list[list[Rule]] = [[]]
-    size = 0
-    for r in rules:
-        n = sum(map(len, r)) + 200
-        if size + n > most and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append(r)
-        size += n
-    return out
-
-
-def judge_urls(pages: DataFrame, rules: list[Rule], keys: list[str], url: str = "url", default: str = "allow") -> DataFrame:
-    """(keys, host, path, rule, verdict) of every row of pages.
-
-    The longest rule text wins (then the longer host; then block before allow is decided by the verdict's text order). Null
-    urls have empty host and path, fit no rule and get the default. Rows that repeat are judged alike; an empty table or no
-    rules at all are fine; further columns are not read. Rules come as a list, as a rule file is read by the driver.
+        parts = [bisect_right(cuts, x) for x in zip(*(b.column(c).to_pylist() for c in ("key", "path", "row")))]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *b.columns], names=["part", *b.schema.names])
+
+
+def _parts_of_rules(batches: Iterator[pa.RecordBatch], cuts: Sequence[Cut]) -> Iterator[pa.RecordBatch]:
+    """A rule for each range that may hold keys from its own up to where keys no longer begin with it (a slash follows a dot)."""
+    for b in batches:
+        rows, parts = [], []
+        for i, key in enumerate(b.column("key").to_pylist()):
+            own = range(bisect_left(cuts, (key,)), bisect_left(cuts, (key[:-1] + "/",)) + 1)
+            parts += own
+            rows += [i] * len(own)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(c.take(at) for c in b.columns)], names=["part", *b.schema.names])
+
+
+def _swept(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """Sorted ranges of rules and urls, one after the other; the stack goes on from batch to batch."""
+    stack: list[Host] = []
+    part, last, got = -1, None, (None, default)
+    for b in batches:
+        urls, rules, verdicts = [], [], []
+        for i, (p, key, is_url, path, host, verdict) in enumerate(zip(*(b.column(c).to_pylist() for c in ("part", "key", "is_url", "path", "host", "verdict")))):
+            if p != part:
+                stack, part, last = [], p, None
+            if not is_url or (key, path) != last:
+                while stack and not key.startswith(stack[-1].key):
+                    stack.pop()
+            if not is_url:
+                if not stack or stack[-1].key != key:
+                    stack.append(Host(key))
+                stack[-1].add(path, host, verdict)
+                continue
+            if (key, path) != last:
+                best = max((x for x in (h.longest(path) for h in stack) if x), default=None)
+                last, got = (key, path), (best[3], best[2]) if best else (None, default)
+            urls.append(i)
+            rules.append(got[0])
+            verdicts.append(got[1])
+        if urls:
+            held = [b.column(c).take(pa.array(urls, pa.int64())) for c in ("id", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["id", "host", "path", "rule", "verdict"])
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, keys: list[str], url: str = "url", default: str = "allow") -> DataFrame:
+    """(keys, host, path, rule, verdict) of every row of pages; rules are a list or a table (host, path, verdict).
+
+    The longest rule text wins (then the longer host, then the verdict that comes later in text order: block before allow).
+    Null urls have empty host and path, fit no rule and get the default. Rules without a host fit nothing. Rows that repeat
+    are judged alike; an empty table or no rules at all are fine; further columns are not read.
     """
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "host string, path string, verdict string")
     host, path = host_and_path(url)
-    out = pages.select(*keys, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    at = (len(keys), len(keys) + 1)
-    for part in slices(rules):
-        if part:
-            out = out.mapInArrow(lambda it, part=part: _swept(it, part, at), f"{kinds}, __rule string, __verdict string")
-            better = F.col("__rule").isNotNull() & (F.col("rule").isNull() | (F.length("__rule") > F.length("rule")))
-            out = out.select(*keys, "host", "path", F.when(better, F.col("__rule")).otherwise(F.col("rule")).alias("rule"), F.when(better, F.col("__verdict")).otherwise(F.col("verdict")).alias("verdict"))
-    return out
+    urls = pages.select(F.struct(*keys).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    urls = urls.withColumn("key", host_key(F.col("host")))
+    parts = max(partitions(spark), -(-pages.count() // RANGE_URLS))
+    sample = urls.select("key", "path", "row").orderBy(F.xxhash64("key", "path", "row")).limit(CUT_SAMPLE).collect()
+    sample = sorted(map(tuple, sample))
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    kind = urls.schema["id"].dataType.simpleString()
+    names = "part int, key string, is_url boolean, path string, row long, host string, verdict string"
+    table = urls.select("key", F.lit(True).alias("is_url"), "path", "row", "host", F.lit(None).cast("string").alias("verdict"), "id")
+    table = table.mapInArrow(lambda it: _part_of_urls(it, cuts), f"{names}, id {kind}")
+    known = rules.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
+    known = known.select(host_key(F.col("host")).alias("key"), F.lit(False).alias("is_url"), "path", F.lit(0).cast("long").alias("row"), "host", "verdict", F.lit(None).cast(kind).alias("id"))
+    table = table.unionByName(known.mapInArrow(lambda it: _parts_of_rules(it, cuts), f"{names}, id {kind}"))
+    ranges = table.repartition(parts, "part").sortWithinPartitions("part", "key", "is_url", "path", "row")
+    return ranges.mapInArrow(lambda it: _swept(it, default), f"id {kind}, host string, path string, rule string, verdict string").select("id.*", "host", "path", "rule", "verdict")

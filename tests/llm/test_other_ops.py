@@ -26,14 +26,38 @@ def brute(url, rules):
     return host, path, best and best[3], best[2] if best else "allow"
 
 
-@pytest.mark.parametrize("most", [url_rules.SLICE_BYTES, 250])
-def test_url_rules(spark, monkeypatch, most):
-    parts = url_rules.slices
-    monkeypatch.setattr(url_rules, "slices", lambda rules: parts(rules, most))
+@pytest.mark.parametrize("parts", [1, 7])
+def test_url_rules(spark, monkeypatch, parts):
+    monkeypatch.setattr(url_rules, "partitions", lambda _: parts)
     d = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     got = {r.page_id: tuple(r)[1:] for r in url_rules.judge_urls(d, [url_rules.parse_rule(*r) for r in RULES], ["page_id"]).collect()}
     assert got == {i: brute(u, RULES) for i, u in enumerate(URLS)}
     assert url_rules.judge_urls(d.limit(0), [], ["page_id"]).count() == 0
+    assert {r.rule for r in url_rules.judge_urls(d, [], ["page_id"]).collect()} == {None}
+
+
+def test_url_ranges_share_open_rules(spark, monkeypatch):
+    """Random nested rules, of which many are open over several ranges; one host has most urls, which several ranges share."""
+    monkeypatch.setattr(url_rules, "partitions", lambda _: 9)
+    rng = np.random.default_rng(8)
+    label = lambda: rng.choice(["a", "b", "c", "a-b", "xn", "com", "net"])
+    host = lambda n: ".".join([*(label() for _ in range(int(rng.integers(0, n)))), rng.choice(["com", "net"])])
+    path = lambda n: "/" + "".join(rng.choice(["p/", "q", "r/", "é", "p"]) for _ in range(int(rng.integers(0, n))))
+    rules = list({(host(3) + path(4), rng.choice(["allow", "block"])) for _ in range(300)})
+    urls = [f"http://{host(4)}{path(6)}" for _ in range(600)] + [f"https://hot.a.com{path(6)}" for _ in range(900)] + ["http://hot.a.com/p/q"] * 300
+    urls += ["http://a.com/" + "p/" * 100_000, "http://" + "a." * 5000 + "com/p/"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    table_ = spark.createDataFrame([(*url_rules.parse_rule(r, v)[:2], v) for r, v in rules] + [("", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: tuple(r)[1:] for r in url_rules.judge_urls(d, table_, ["page_id"]).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}
+
+
+def test_many_rules_under_one_host(spark):
+    """100,000 path rules of one host, which every host below it is held against."""
+    rules = [("com", f"/{i:05d}/", "block" if i % 2 else "allow") for i in range(100_000)]
+    d = spark.createDataFrame([(i, f"http://h{i % 700}.com/{i * 37 % 120_000:05d}/x") for i in range(20_000)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_rules.judge_urls(d, rules, ["page_id"]).collect()}
+    assert got == {i: f"com/{k:05d}/" if (k := i * 37 % 120_000) < 100_000 else None for i in range(20_000)}
 
 
 def test_language(spark, sf):

@@ -381,3 +381,101 @@ def test_license_scan_matches_brute_force(spark, sf):
             if any(len({sh[j] for j in at if i <= j < i + m + m // 4 + 1}) >= 0.8 * len(own) for i in at):
                 want.add((r.doc_id, k))
     assert {(r.doc_id, r.license) for r in license_scan.scan(d, some).collect()} == want and len(want) > 10
+
+
+def test_license_scan_with_templates_in_slices(spark, monkeypatch, tmp_path):
+    """One template a pass gives what one pass gives; whole texts come from files; many passages count in full."""
+    library = license_scan.TEMPLATES | license_scan.VARIANTS | license_scan.SHORT
+    filler = " ".join(f"f{i}" for i in range(40))
+    texts = [None, "", *(f"{filler} {t} {filler}" for t in library.values()), " ".join([library["MIT-notice"]] * 90)]
+    d = frame(spark, texts)
+    one = sorted(map(tuple, license_scan.scan(d).collect()))
+    parts = license_scan.libraries(library, 300)
+    assert len(parts) > 10 and [x for p in parts for x in p.names] == sorted(library)
+    monkeypatch.setattr(license_scan, "libraries", lambda t: parts)
+    assert sorted(map(tuple, license_scan.scan(d).collect())) == one
+    assert [r[4] for r in one if r[0] == len(texts) - 1] == [90]
+    monkeypatch.undo()
+    (tmp_path / "own").write_text(" ".join(f"clause{i}" for i in range(3000)))
+    files = license_scan.templates_in(spark, f"file://{tmp_path}")
+    got = license_scan.scan(frame(spark, [f"{filler} {files['own']} {filler}", filler]).withColumnsRenamed({"position": "license", "n": "found"}), files).collect()
+    assert [(r.doc_id, r.license, r.containment, r.start_word) for r in got] == [(0, "own", 1.0, 40)]
+
+
+def test_codes_taken_at_places():
+    rng = np.random.default_rng(6)
+    values = rng.choice([5, 300, 70_000, 2**31], 9000).astype(np.uint32)
+    c = token_files.Codes(token_files.encode_codes(values))
+    at = rng.integers(0, len(values), 10_000)
+    assert (c.take(at) == values[at]).all() and c.take(np.zeros(0, np.int64)).tolist() == []
+    assert [c[int(i)] for i in at[:50]] == values[at[:50]].tolist()
+
+
+def test_read_tokens_by_position(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 16)
+    texts = EDGES[:8] + ["some more words of text here"] * 30
+    written = token_files.write_tokens(frame(spark, texts), P.path("word_bpe_49k.json"))
+    want = []
+    for r in written[0].join(written[1], ["part", "seq"]).orderBy("base").collect():
+        want += token_files.Segment(bytes(r.data)).codes.all().tolist()
+    at = [0, 1, len(want) - 1, len(want), -1, None, *range(0, len(want), 3), 5, 5]
+    d = spark.createDataFrame([(p, i) for i, p in enumerate(at)], "position long, n int")
+    got = {r.n: r.token_id for r in token_files.read_tokens(*written, d).collect()}
+    assert [got[i] for i in range(len(at))] == [want[p] if p is not None and 0 <= p < len(want) else None for p in at]
+    assert written[0].count() > 2
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    """A tokenizer whose pieces hold white space, or of which that isn't known, isn't given words apart."""
+    from tokenizers import Tokenizer
+
+    assert token_files.drops_space(Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    path = P.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    assert not token_files.drops_space(t)
+    texts = [x for x in EDGES if x] + ["two  spaces\nand lines", ""]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.read_documents(*token_files.write_tokens(frame(spark, texts), path)).collect()}
+    ids = [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in texts]
+    assert got == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids)}
+
+
+def test_bpe_edits_stop_where_tokens_agree(bpe):
+    own, _ = bpe
+    rng = np.random.default_rng(1)
+    data = bytes(rng.choice(list(b"abcdeinorst"), 4000).tolist())
+    e = byte_bpe.PrefixEncoder(own.v, data)
+    for _ in range(40):
+        a = int(rng.integers(0, len(e.data)))
+        b = min(len(e.data), a + int(rng.integers(0, 6)))
+        new = bytes(rng.choice(list(b"aeinrst"), int(rng.integers(0, 6))).tolist())
+        redone = e.edit(a, b, new)
+        assert e.last == byte_bpe.PrefixEncoder(own.v, e.data).last
+        assert redone <= len(new) + 8 * own.v.longest or a + redone == len(e.data)
+
+
+@given(st.text(alphabet="abt's \n1.é ", max_size=40), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 8), st.text(alphabet="lvs' \n2x!", max_size=5)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_bpe_text_edits(bpe, start, edits):
+    own, ref = bpe
+    e = byte_bpe.TextEncoder(own, start)
+    for at, n, new in edits:
+        a = min(at, len(e.text))
+        e.edit(a, min(a + n, len(e.text)), new)
+        assert e.ids() == ref.encode_ordinary(e.text)
+    e.append("'ll  \n")
+    e.append("\n x")
+    assert e.ids() == ref.encode_ordinary(e.text)
+
+
+def test_bpe_text_edit_is_local(bpe):
+    own, ref = bpe
+    e = byte_bpe.TextEncoder(own, "some words and 12 more, it's a text. " * 500)
+    assert e.edit(9000, 9003, "changed") < 12 and e.append(" end") < 12
+    assert e.ids() == ref.encode_ordinary(e.text)
+
+
+def test_bpe_digests_of_repeated_rows(spark):
+    d = frame(spark, ["a b", "a b", None], [3, 3, None]).withColumnsRenamed({"n": "n_tokens", "position": "token_ids"})
+    got = byte_bpe.encoding_digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert len(got) == 3 and got[0] == got[1] and [r.n_tokens for r in got if r.doc_id is None] == [0]
+    assert byte_bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).columns == ["doc_id", "text", "lang", "source", "n_tokens", "token_ids"]
