@@ -4,17 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Default personalisation strings of the digests; pass those of an existing dataset to get its ids byte for byte.
-ROW_PERSON, DOC_PERSON = b"row-id-v1", b"doc-v1"
-
-
 def seeded(*parts: Column | str | int) -> Column:
     """A uniform 60-bit number from its parts: the first 15 hex digits of the md5 of their '|'-joined text."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
@@ -34,21 +29,29 @@ def unit_seed(seed: int, profile: str, unit: str) -> int:
     return int.from_bytes(hashlib.blake2b(canonical_json([seed, profile, unit]).encode(), digest_size=8).digest(), "big")
 
 
-def _framed(value: str) -> bytes:
-    raw = value.encode()
-    return struct.pack(">I", len(raw)) + raw
+def normal_path(path: str) -> str:
+    """A relative path with slashes; absolute and empty paths, and those with a .. in them, are errors."""
+    out = path.replace("\\", "/")
+    if not out or out.startswith("/") or ".." in out.split("/"):
+        raise ValueError(f"bad path {path!r}")
+    return out
 
 
-def row_id(release: str, path: str, row: int, person: bytes = ROW_PERSON) -> bytes:
-    return hashlib.blake2b(_framed(release) + _framed(path) + struct.pack(">Q", row), digest_size=16, person=person).digest()
+def row_id(release: str, path: str, row: int, person: bytes) -> bytes:
+    """16 bytes that name a physical row: BLAKE2b, personalised, of release and normal path, each after its length in 4 bytes,
+    and the row in 8, all big-endian. person is that of the dataset whose ids are wanted."""
+    parts = [x.encode() for x in (release, normal_path(path))]
+    framed = b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+    return hashlib.blake2b(framed + row.to_bytes(8, "big"), digest_size=16, person=person).digest()
 
 
-def document_id(text: str, person: bytes = DOC_PERSON) -> bytes:
-    return hashlib.blake2b(text.encode(), digest_size=16, person=person).digest()
+def shard_id(path: str, person: bytes) -> bytes:
+    """8 bytes that name a shard: personalised BLAKE2b of its path as the catalogue has it."""
+    return hashlib.blake2b(path.encode(), digest_size=8, person=person).digest()
 
 
-def joined_seed(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b(b"\x1f".join(str(p).encode() for p in parts), digest_size=8).digest(), "big")
+def document_id(text: str, person: bytes) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16, person=person).digest()
 
 
 def with_digest(df: DataFrame, name: str, columns: list[str], digest: Callable[..., bytes]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,9 @@ def pool(tokens: Column, mask: Column, mode: str) -> Column:
 def truncate(v: Column, dim: int) -> Column:
     """First dim components, scaled to length 1 again."""
     return normalise(F.slice(v, 1, dim))
+
+
+def invalid_scores(rows: DataFrame, scores: str, n: int) -> DataFrame:
+    """rows whose scores aren't n numbers, with problem: shape, or nan where one at any place is."""
+    problem = F.when(F.size(scores) != n, "shape").when(F.exists(scores, F.isnan), "nan")
+    return rows.withColumn("problem", problem).where("problem IS NOT NULL")

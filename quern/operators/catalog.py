@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.checks import ConstraintError, assert_empty
 from quern.operators.corpus import ranged
 
 
@@ -86,3 +89,61 @@ def islands(df: DataFrame, key: str, order: str) -> DataFrame:
     before = F.coalesce(F.lag(key).over(Window.partitionBy("__part").orderBy("__o")), "__before")
     change = F.coalesce((before != F.col(key)).cast("int"), F.lit(1))
     return dealt.join(last, "__part").withColumn("__c", change).groupBy(key).agg(F.sum("__c").alias("n_islands"))
+
+
+def side_pairs(df: DataFrame, prefix: str, side: str, value: str) -> DataFrame:
+    """(prefix, a, b, problem) from rows that hold one side (a or b) of a pair each; problem names what is missing or repeated."""
+    one = lambda x: F.max(F.when(F.col(side) == x, F.col(value))).alias(x)
+    n = lambda x: F.count_if(F.col(side) == x).alias(f"n_{x}")
+    out = df.groupBy(prefix).agg(one("a"), one("b"), n("a"), n("b"))
+    problem = F.when(F.col("n_a") == 0, "no a").when(F.col("n_b") == 0, "no b").when((F.col("n_a") > 1) | (F.col("n_b") > 1), "repeated")
+    return out.select(prefix, "a", "b", problem.alias("problem"))
+
+
+def complete_pairs(df: DataFrame, prefix: str, side: str, value: str) -> DataFrame:
+    """(prefix, a, b); an incomplete or repeated pair is an error, and so is a table without pairs."""
+    pairs = side_pairs(df, prefix, side, value)
+    assert_empty(pairs.where("problem IS NOT NULL").select(prefix, "problem"), "pairs")
+    if not pairs.take(1):
+        raise ConstraintError("no pairs")
+    return pairs.drop("problem")
+
+
+def stale_units(wanted: DataFrame, stored: DataFrame, files: DataFrame, unit: str, keys: list[str], needed: list[str]) -> DataFrame:
+    """(unit, reason) of wanted units (unit, keys) that can't be taken from what is stored.
+
+    A unit is missing if stored (unit, keys) lacks it, stale by the first of its keys that differs, and incomplete if files
+    (unit, file) lacks one of the needed files.
+    """
+    s = stored.select(F.col(unit).alias("__unit"), *(F.col(k).alias(f"__{k}") for k in keys))
+    there = files.where(F.col("file").isin(needed)).groupBy(F.col(unit).alias("__of")).agg(F.countDistinct("file").alias("__files"))
+    j = wanted.join(s, F.col(unit) == F.col("__unit"), "left").join(there, F.col(unit) == F.col("__of"), "left")
+    reason = F.when(F.col("__unit").isNull(), "missing")
+    for k in keys:
+        reason = reason.when(~F.col(k).eqNullSafe(F.col(f"__{k}")), f"stale {k}")
+    reason = reason.when(F.coalesce("__files", F.lit(0)) < len(needed), "incomplete")
+    return j.select(unit, reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def manifest_units(metadata: DataFrame, text: str, required: list[str], optional: list[str]) -> DataFrame:
+    """Fixed columns from the JSON text of each unit's metadata: paths follow from unit_id, optional numbers may be null.
+
+    A row without a unit id or one of the required numbers is an error.
+    """
+    m = F.from_json(text, "map<string,string>")
+    get = lambda k, kind="long": F.try_element_at(m, F.lit(k)).cast(kind).alias(k)
+    out = metadata.select(get("unit_id", "string"), get("source_id", "string"), get("language", "string"), *(get(k) for k in required), *(get(k) for k in optional))
+    missing = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in ("unit_id", *required)))
+    assert_empty(out.where(missing), "metadata")
+    path = lambda f: F.concat(F.lit("units/"), "unit_id", F.lit(f)).alias
+    return out.select("*", F.lit(True).alias("enabled"), path("")("directory"), path("/queries.arrow")("queries_path"), path("/corpus.arrow")("corpus_path"))
+
+
+MOST_PAIRED = 4096
+
+
+def unordered_pairs(df: DataFrame, key: str) -> DataFrame:
+    """(i, j), i < j, of all keys: for small sets such as models to compare; over MOST_PAIRED of them are an error."""
+    if (n := df.count()) > MOST_PAIRED:
+        raise ConstraintError(f"{n} keys give too many pairs")
+    return df.select(F.col(key).alias("i")).join(df.select(F.col(key).alias("j")), F.col("i") < F.col("j"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.corpus import lagged
+
 TASK_TYPES = ("retrieval", "clustering", "classification")
 
 
@@ -37,9 +39,9 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def index_violations(df: DataFrame, shard: str, index: str, ordinal: str, rows: Column | None = None) -> DataFrame:
-    """Rows whose index isn't above the one before in the shard, or is out of range."""
+    """Rows whose index isn't above the one before in the shard, or is out of range; previous is that one."""
     bad = (F.col(index) < 0) | (F.col("previous").isNotNull() & (F.col(index) <= F.col("previous")))
-    return df.withColumn("previous", F.lag(index).over(Window.partitionBy(shard).orderBy(ordinal))).where(bad | (F.col(index) >= rows) if rows is not None else bad)
+    return lagged(df, [shard], [ordinal], previous=index).where(bad | (F.col(index) >= rows) if rows is not None else bad)
 
 
 def dense_id_report(df: DataFrame, *ids: str) -> DataFrame:
@@ -52,3 +54,49 @@ def dense_id_report(df: DataFrame, *ids: str) -> DataFrame:
 def schema_summary(df: DataFrame) -> DataFrame:
     """(ordinal, name, type, nullable), a row a column."""
     return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)], "ordinal int, name string, type string, nullable boolean")
+
+
+def audit(df: DataFrame, source: str, expected_sources: int, expected_rows: DataFrame) -> DataFrame:
+    """(source, n, expected, warning): rows of each source against expected_rows (source, expected); warning where they differ.
+
+    Another number of sources than expected is an error.
+    """
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    if (have := counts.count()) != expected_sources:
+        raise ConstraintError(f"{have} sources, not {expected_sources}")
+    out = counts.join(expected_rows, source, "left")
+    return out.select(source, "n", "expected", (~F.col("n").eqNullSafe(F.col("expected"))).alias("warning"))
+
+
+def batch_problems(configs: DataFrame) -> DataFrame:
+    """(dataset, problem), a row for each rule that a dataset's settings break.
+
+    configs: (dataset, sample_factor, sample_size, group_size). A negative sample_size means none is set; a factor of 1 neither.
+    """
+    rules = {
+        "the factor must be positive": "sample_factor <= 0",
+        "both a size and a factor": "sample_size >= 0 AND sample_factor <> 1",
+        "a group needs two passages": "group_size < 2",
+    }
+    found = F.array_compact(F.array(*(F.when(F.expr(c), n) for n, c in rules.items())))
+    return configs.select("dataset", F.explode(found).alias("problem"))
+
+
+def record_problems(rows: DataFrame, key: str, positives: str, negatives: str) -> DataFrame:
+    """(key, problem) of records with a missing or empty list of positives or of negatives."""
+    empty = lambda c: F.col(c).isNull() | (F.size(c) == 0)
+    found = F.array_compact(F.array(F.when(empty(positives), "no positive passages"), F.when(empty(negatives), "no negative passages")))
+    return rows.select(key, F.explode(found).alias("problem"))
+
+
+def manifest_problems(manifests: DataFrame, version: int, dataset: str, revision: str) -> DataFrame:
+    """manifests (format_version, source_dataset, source_revision, ...) that aren't of this format, dataset and revision, with problem."""
+    wrong = lambda c, want: ~F.col(c).eqNullSafe(F.lit(want))
+    problem = F.when(wrong("format_version", version), "format version").when(wrong("source_dataset", dataset), "dataset").when(wrong("source_revision", revision), "revision")
+    return manifests.withColumn("problem", problem).where("problem IS NOT NULL")
+
+
+def assert_manifest(manifests: DataFrame, version: int, dataset: str, revision: str) -> DataFrame:
+    """manifests, after none of them is of another format, dataset or revision."""
+    assert_empty(manifest_problems(manifests, version, dataset, revision), "manifest")
+    return manifests

@@ -68,6 +68,61 @@ def dense_ids(df: DataFrame, order: list[str], name: str, unit: list[str] | None
     return out.join(starts, unit).withColumn(name, F.col(name) - F.col("__start")).drop("__start")
 
 
+def running(df: DataFrame, unit: list[str], order: list[str], **sums: Column) -> DataFrame:
+    """df with running sums in order within each unit, the row itself included.
+
+    Sums run inside ranges, and what the ranges before hold of the unit is added, so no task sees more than a range.
+    """
+    dealt = ranged(df.withColumns({f"__{n}": c for n, c in sums.items()}), [*unit, *order])
+    totals = dealt.groupBy("__part", *unit).agg(*(F.sum(f"__{n}").alias(f"__t_{n}") for n in sums))
+    w = Window.partitionBy(*unit).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    carried = totals.select("__part", *(F.col(u).alias(f"__u_{i}") for i, u in enumerate(unit)), *(F.coalesce(F.sum(f"__t_{n}").over(w), F.lit(0)).alias(f"__c_{n}") for n in sums))
+    inner = Window.partitionBy("__part", *unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({f"__r_{n}": F.sum(f"__{n}").over(inner) for n in sums}).withColumnRenamed("__part", "__at")
+    same = F.col("__at") == F.col("__part")
+    for i, u in enumerate(unit):
+        same &= F.col(u).eqNullSafe(F.col(f"__u_{i}"))
+    return out.join(carried, same).select(*df.columns, *((F.coalesce(f"__r_{n}", F.lit(0)) + F.col(f"__c_{n}")).alias(n) for n in sums))
+
+
+def lagged(df: DataFrame, unit: list[str], order: list[str], **values: str) -> DataFrame:
+    """df with values of the row before in its unit (null for the first one), found inside ranges of the order.
+
+    A range's first row is given the last row of the range before.
+    """
+    dealt = ranged(df, [*unit, *order])
+    held = F.struct(*(F.col(u).alias(f"u{i}") for i, u in enumerate(unit)), *(F.col(c).alias(n) for n, c in values.items()))
+    last = dealt.groupBy("__part").agg(F.max_by(held, F.struct(*unit, *order)).alias("__last"))
+    last = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__last"))  # one row a range
+    near = dealt.withColumn("__near", F.lag(held).over(Window.partitionBy("__part").orderBy(*unit, *order)))
+    out = near.join(last, "__part").withColumn("__before", F.coalesce("__near", "__last"))
+    same = F.col("__before").isNotNull()
+    for i, u in enumerate(unit):
+        same &= F.col(f"__before.u{i}").eqNullSafe(F.col(u))
+    return out.select(*df.columns, *(F.when(same, F.col(f"__before.{n}")).alias(n) for n in values))
+
+
+FAN = 1024
+
+
+def fingerprint(df: DataFrame, unit: list[str], order: list[str], value: str) -> DataFrame:
+    """(unit, fingerprint): sha256 of the unit's values in order, joined by commas.
+
+    Over FAN values, that of the digests of each FAN in turn, and so on, so no task sees a whole unit.
+    """
+    rows = df.select(*unit, *dict.fromkeys([*order, value]))
+    d = dense_ids(rows, order, "__i", unit).select(*unit, "__i", F.col(value).cast("string").alias("__v"))
+    n, first = None, True
+    while n is None or n > 1:
+        listed = F.sort_array(F.collect_list(F.struct("__i", "__v")))
+        d = d.groupBy(*unit, F.expr(f"__i div {FAN}").alias("__b")).agg(listed.alias("__l"))
+        digest = F.sha2(F.array_join(F.transform("__l", lambda x: x["__v"]), ","), 256)
+        d = d.select(*unit, F.col("__b").alias("__i"), (digest if first else F.when(F.size("__l") == 1, F.get("__l", F.lit(0))["__v"]).otherwise(digest)).alias("__v"))
+        d, first = materialise(d, "digests"), False
+        n = (d.agg(F.max("__i")).first()[0] or 0) + 1
+    return d.select(*unit, F.col("__v").alias("fingerprint"))
+
+
 def dedup(df: DataFrame, text: str, ordinal: str, unit: list[str] | None = None) -> DataFrame:
     """Distinct texts with dense doc_id by first occurrence, their digest and number of uses."""
     unit = unit or []

@@ -2,41 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.corpus import dense_ids
 
-QUERY_BLOCK, DOC_BLOCK = 512, 4096
+QUERY_BLOCK = 4096
 
 
 def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v), in blocks of both.
+    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v).
 
-    With k, each pair of blocks keeps its k best documents a query (ties by document), which hold the k best of all. Blocks
-    are dealt by hash; a pair of blocks is one task's matrix product, whatever the sizes of the tables.
+    Queries are dealt by hash into blocks of about QUERY_BLOCK, so what is sent to the tasks is of bounded size; docs stay
+    where they are and are read once a block, each batch as one matrix product. With k, a task keeps the k best documents of
+    each query so far (ties by document), among which the k best of all are.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    nq, nd = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERY_BLOCK), (docs, DOC_BLOCK)))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(block("query_id", nq).alias("qb"), every(nd).alias("db"), F.col("query_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    d = docs.select(every(nq).alias("qb"), block("doc_id", nd).alias("db"), F.col("doc_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        x, y = (np.array(t.column("v").to_pylist(), np.float64) for t in (a, b))
-        s, ids = x @ y.T, b.column("id").to_numpy()
-        keep = np.argsort(ids)
-        s, ids = s[:, keep], ids[keep]
-        n = len(ids) if k is None else min(k, len(ids))
-        at = np.argsort(-s, axis=1, kind="stable")[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(s), 1))
-        return pa.table([np.repeat(a.column("id").to_numpy(), n), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel()], schema=schema)
-
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(score, "query_id long, doc_id long, score double")
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    parts = []
+    for i in range(n):
+        own = q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toArrow()
+        ids = own.column("id").to_numpy()
+        x = np.array(own.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
+        held = docs.sparkSession.sparkContext.broadcast((ids, x))  # about QUERY_BLOCK vectors
+        d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+        parts.append(d.mapInArrow(lambda it, held=held: _scored(it, *held.value, k), "query_id long, doc_id long, score double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray, x: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
+    best, at = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
+    rows = lambda ids, s: pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, s.shape[1])), pa.array(ids.ravel()), pa.array(s.ravel())], names=["query_id", "doc_id", "score"])
+    for b in batches:
+        if not b.num_rows or not len(queries):
+            continue
+        ids, y = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
+        s = x @ y.T
+        if k is None:
+            yield rows(np.tile(ids, (len(queries), 1)), s)
+            continue
+        best, at = np.concatenate([best, s], 1), np.concatenate([at, np.tile(ids, (len(queries), 1))], 1)
+        order = np.lexsort((at, -best), axis=1)[:, :k]
+        best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
+    if k is not None:
+        yield rows(at, best)
 
 
 def top_k(scores: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
@@ -101,8 +115,13 @@ def latest(attempts: DataFrame, key: str, seq: str, row: list[str], **conditions
 
 
 def smoothed(df: DataFrame, run: str, order: str, value: str, alpha: float) -> DataFrame:
-    """(run, n, ema): exponential smoothing in order, from the first value."""
-    values = F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value])
-    start = F.struct(F.lit(None).cast("double").alias("v"))
-    ema = F.aggregate(values, start, lambda a, x: F.struct(F.when(a["v"].isNull(), x).otherwise(alpha * x + (1 - alpha) * a["v"]).alias("v")), lambda a: a["v"])
-    return df.groupBy(run).agg(F.count(F.lit(1)).alias("n"), ema.alias("ema"))
+    """(run, n, ema): exponential smoothing in order, from the first value.
+
+    The result is a weighted sum: the weight of a value follows from its place, which dense ids give, so a run of any length
+    is summed in parts.
+    """
+    rows = dense_ids(df.select(run, order, value), [order], "__i", [run])
+    n = df.groupBy(F.col(run).alias("__run")).agg(F.count(F.lit(1)).alias("n"))
+    j = rows.join(n, F.col(run).eqNullSafe(F.col("__run")))
+    weight = F.pow(F.lit(1.0 - alpha), F.col("n") - 1 - F.col("__i")) * F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
+    return j.groupBy(run).agg(F.first("n").alias("n"), F.sum(weight * F.col(value)).alias("ema"))

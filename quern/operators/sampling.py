@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.hashing import seeded_md5
+from quern.functions.hashing import seeded_md5, unit_seed
 from quern.operators.corpus import dense_ids
 
 
@@ -59,3 +62,19 @@ def pcg64_indices(n: int, limit: int, seed: int) -> list[int]:
     if n <= limit:
         return list(range(n))
     return sorted(int(i) for i in np.random.Generator(np.random.PCG64(seed)).choice(n, size=limit, replace=False))
+
+
+def pcg64_units(units: DataFrame, unit: str, n: str, limit: int, seed: int, profile: str) -> DataFrame:
+    """(unit, logical): for each unit (unit, n) the sorted logical rows that PCG64 draws with the unit's own seed.
+
+    Units are drawn where they lie; a draw holds a unit's row numbers in memory, as the generator needs them.
+    """
+    kind = units.schema[unit].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (u, rows) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                at = pa.array(pcg64_indices(rows, limit, unit_seed(seed, profile, u)), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(at), pa.int64())), at], names=[unit, "logical"])
+
+    return units.select(unit, F.col(n).cast("long").alias(n)).mapInArrow(run, f"`{unit}` {kind}, logical long")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators import batching, corpus
-from quern.plans.declare import PAIRS, Tables, md5_number, pairs, query
+from quern.operators import batching, checks, corpus
+from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, wide
 
 _PLAN = "r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', '0', source, doc_id)), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents), p AS (SELECT source, doc_id, r // 8 AS batch_ordinal, r % 8 AS position FROM r WHERE r // 8 < n // 8)"
 _STEPS = "st AS (SELECT source, batch_ordinal, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '0', source, batch_ordinal // {b})), source, batch_ordinal) - 1 AS step FROM (SELECT DISTINCT source, batch_ordinal FROM p))"
@@ -45,8 +45,12 @@ def w07(t: Tables) -> DataFrame:
 
 @query("w08_neighbour_negative", "SELECT doc_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS negative FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def w08(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.documents.select("doc_id", F.coalesce(F.lead("text").over(w), F.first("text").over(w)).alias("negative"))
+    """Documents of a source are numbered; each takes the text of the next number, the last one that of the first."""
+    ids = corpus.dense_ids(t.documents.select("source", "doc_id"), ["doc_id"], "k", ["source"])
+    n = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    following = ids.join(n, "source").select("source", "doc_id", F.expr("(k + 1) % n").alias("k"))
+    near = following.join(ids.withColumnRenamed("doc_id", "near"), ["source", "k"]).select("doc_id", "near")
+    return near.join(t.documents.select(F.col("doc_id").alias("near"), F.col("text").alias("negative")), "near").select("doc_id", "negative")
 
 
 @query("w09_rank_band_negative", "WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents), b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, doc_id)), doc_id) AS k FROM s WHERE rk BETWEEN 10 AND 40) SELECT source, doc_id FROM b WHERE k <= 10")
@@ -122,9 +126,20 @@ def f07(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", seeded("a", F.col("doc_id"), F.col("lang")).alias("seed"))
 
 
-@query("p22_batch_validity", f"WITH {PAIRS} SELECT query_id, CASE WHEN passage = '' THEN 'empty positive' END AS problem FROM qp WHERE passage = ''")
+_CONFIGS = "cf AS (SELECT source AS dataset, (substr(source, 4)::INT % 4 - 1)::DOUBLE AS sample_factor, substr(source, 4)::INT % 3 - 1 AS sample_size, 1 + substr(source, 4)::INT % 2 AS group_size FROM documents GROUP BY source)"
+
+
+@query("p22_batch_validity", f"WITH {_CONFIGS} SELECT dataset, 'the factor must be positive' AS problem FROM cf WHERE sample_factor <= 0 UNION ALL SELECT dataset, 'both a size and a factor' FROM cf WHERE sample_size >= 0 AND sample_factor <> 1 UNION ALL SELECT dataset, 'a group needs two passages' FROM cf WHERE group_size < 2")
 def p22(t: Tables) -> DataFrame:
-    return pairs(t).where(~corpus.is_text(F.col("passage"))).select("query_id", F.lit("empty positive").alias("problem"))
+    n = F.substring("source", 4, 9).cast("int")
+    configs = t.documents.select("source").distinct().select(F.col("source").alias("dataset"), (n % 4 - 1).cast("double").alias("sample_factor"), (n % 3 - 1).alias("sample_size"), (1 + n % 2).alias("group_size"))
+    return checks.batch_problems(configs)
+
+
+@query("p22_record_validity", f"WITH {WIDE}, r AS (SELECT row_index, len(list_filter([passage], lambda x: x IS NOT NULL AND x <> '')) AS p, len(list_filter([negative_1, negative_2], lambda x: x IS NOT NULL AND x <> '')) AS n FROM wide) SELECT row_index, 'no positive passages' AS problem FROM r WHERE p = 0 UNION ALL SELECT row_index, 'no negative passages' FROM r WHERE n = 0")
+def p22b(t: Tables) -> DataFrame:
+    rows = wide(t).select("row_index", F.filter(F.array("passage"), corpus.is_text).alias("pos"), F.filter(F.array("negative_1", "negative_2"), corpus.is_text).alias("neg"))
+    return checks.record_problems(rows, "row_index", "pos", "neg")
 
 
 @query("st3_ordered_delivery", f"WITH {_PLAN}, {_STEPS.format(b=1)} SELECT step, position, doc_id, row_number() OVER (ORDER BY step, position) - 1 AS delivered FROM p JOIN st USING (source, batch_ordinal)")
@@ -134,6 +149,8 @@ def st3(t: Tables) -> DataFrame:
     return corpus.dense_ids(rows, ["step", "position"], "delivered")
 
 
-@query("v11_group_layout", f"WITH {_PLAN} SELECT source, batch_ordinal, count(*) AS n FROM p GROUP BY source, batch_ordinal HAVING count(*) % 4 <> 0 OR count(*) = 0")
+@query("v11_group_layout", "WITH b AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch_ordinal FROM documents) SELECT source, batch_ordinal, count(*) AS n FROM b GROUP BY ALL HAVING count(*) % 4 <> 0")
 def v11(t: Tables) -> DataFrame:
-    return _plan(t).groupBy("source", "batch_ordinal").agg(F.count(F.lit(1)).alias("n")).where("n % 4 <> 0 OR n = 0")
+    """Batches, the last partial ones among them, whose passages don't make whole groups of four."""
+    rows = corpus.dense_ids(t.documents.select("source", "doc_id"), ["doc_id"], "k", ["source"])
+    return rows.groupBy("source", F.expr("k div 8").alias("batch_ordinal")).agg(F.count(F.lit(1)).alias("n")).where("n % 4 <> 0")

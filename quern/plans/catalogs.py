@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.hashing import seeded
@@ -18,11 +18,13 @@ def _shards(t: Tables) -> DataFrame:
     return t.supplier.select(k.alias("shard_id"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("path"), F.when(k % 9 > 0, k * 10).alias("row_start"), F.when(k % 9 > 0, k * 10 + 200).alias("row_stop"))
 
 
-@query("s23_catalog_explode", "WITH r AS (SELECT source, lang, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY lang) - 1 AS u, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS s FROM documents) SELECT source AS source_id, u::INT AS unit_ordinal, lang AS unit_id, s::INT AS shard_ordinal, doc_id::VARCHAR AS path FROM r")
+@query("s23_catalog_explode", "SELECT o_custkey::VARCHAR AS source_id, (dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS unit_ordinal, o_orderkey::VARCHAR AS unit_id, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1)::INT AS shard_ordinal, l_linenumber::VARCHAR AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def s23(t: Tables) -> DataFrame:
-    shards = t.documents.groupBy("source", "lang").agg(F.transform(F.sort_array(F.collect_list("doc_id")), lambda d: F.struct(d.cast("string").alias("path"))).alias("shards"))
-    nested = shards.groupBy("source").agg(F.sort_array(F.collect_list(F.struct(F.col("lang").alias("unit_id"), "shards"))).alias("units"))
-    return catalog.explode_catalog(nested.withColumnRenamed("source", "source_id"))
+    """A catalogue of customers, their orders and the lines of these, nested as a catalogue document is."""
+    shards = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda d: F.struct(d.cast("string").alias("path"))).alias("shards"))
+    units = F.sort_array(F.collect_list(F.struct("o_orderkey", "shards")))
+    nested = t.orders.select("o_orderkey", "o_custkey").join(shards, "o_orderkey").groupBy(F.col("o_custkey").cast("string").alias("source_id"))
+    return catalog.explode_catalog(nested.agg(F.transform(units, lambda u: F.struct(u["o_orderkey"].cast("string").alias("unit_id"), u["shards"].alias("shards"))).alias("units")))
 
 
 @query("j01_selected_rows", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT DISTINCT item_id * 7 FROM benchmark)")
@@ -49,11 +51,13 @@ _LISTS = "a AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)
 
 @query("j04_lockstep_mismatch", f"WITH {_LISTS} SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.x IS NULL THEN 'left missing' WHEN b.x IS NULL THEN 'right missing' ELSE 'differs' END AS problem FROM a FULL JOIN b ON a.source = b.source WHERE a.x IS DISTINCT FROM b.x")
 def j04(t: Tables) -> DataFrame:
-    listed = lambda d, n: d.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias(n))
+    """Both lists row by row: the k-th of one against the k-th of the other, however long they are."""
+    listed = lambda d, n: corpus.dense_ids(d.select("source", F.col("doc_id").alias(n)), [n], "k", ["source"])
     a = listed(t.documents.where("source <> 'src3'"), "x")
     b = listed(t.documents.where("source <> 'src8' AND NOT (source = 'src5' AND doc_id % 2 = 1)"), "y")
-    problem = F.when(F.col("x").isNull(), "left missing").when(F.col("y").isNull(), "right missing").otherwise("differs")
-    return a.join(b, "source", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("source", problem.alias("problem"))
+    j = a.join(b, ["source", "k"], "full_outer").groupBy("source").agg(F.count("x").alias("n_x"), F.count("y").alias("n_y"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("n_differ"))
+    problem = F.when(F.col("n_x") == 0, "left missing").when(F.col("n_y") == 0, "right missing").otherwise("differs")
+    return j.where("n_differ > 0").select("source", problem.alias("problem"))
 
 
 @query("j05_content_keys", f"WITH {PAIRS} SELECT query_id, sha256(query) AS query_key FROM qp")
@@ -113,7 +117,7 @@ def w02(t: Tables) -> DataFrame:
 
 @query("j13_logical_row_location", f"WITH {_OFF}, q AS (SELECT source AS unit, row_number() OVER (PARTITION BY source ORDER BY doc_id) * 3 - 3 AS logical FROM documents) SELECT q.unit, logical, shard_id, logical - lo AS inner_row FROM q JOIN o ON q.unit = o.unit AND logical >= lo AND logical < hi")
 def j13(t: Tables) -> DataFrame:
-    q = t.documents.select(F.col("source").alias("unit"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long") * 3 - 3).alias("logical"))
+    q = corpus.dense_ids(t.documents.select(F.col("source").alias("unit"), "doc_id"), ["doc_id"], "k", ["unit"]).select("unit", (F.col("k") * 3).alias("logical"))
     return catalog.locate(q, _offsets(t), "unit", "logical")
 
 
@@ -159,10 +163,11 @@ def j19(t: Tables) -> DataFrame:
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n_models"), F.countDistinct("shape").alias("n_shapes")).where("n_models < 3 OR n_shapes > 1")
 
 
-@query("j20_side_pairing", "SELECT o_custkey AS prefix, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) AS a, max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END) AS b FROM orders GROUP BY o_custkey")
+@query("j20_side_pairing", "SELECT o_custkey AS prefix, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) AS a, max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END) AS b, CASE WHEN count(*) FILTER (o_orderkey % 2 = 0) = 0 THEN 'no a' WHEN count(*) FILTER (o_orderkey % 2 = 1) = 0 THEN 'no b' WHEN count(*) > 2 THEN 'repeated' END AS problem FROM orders GROUP BY o_custkey")
 def j20(t: Tables) -> DataFrame:
+    """Pairs with what is wrong with them; complete_pairs makes that an error."""
     o = t.orders.select(F.col("o_custkey").alias("prefix"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("side"), "o_orderkey")
-    return o.groupBy("prefix").pivot("side", ["a", "b"]).agg(F.max("o_orderkey"))
+    return catalog.side_pairs(o, "prefix", "side", "o_orderkey")
 
 
 @query("j21_prioritised_keys", "WITH c AS (SELECT doc_id, unnest([doc_id * 3, doc_id + 7, doc_id]) AS cand, unnest([1, 2, 3]) AS pri FROM documents) SELECT c.doc_id, min_by(cand, pri) AS resolved FROM c JOIN labels l ON l.doc_id = cand GROUP BY c.doc_id")
@@ -174,8 +179,7 @@ def j21(t: Tables) -> DataFrame:
 
 @query("j22_unordered_pairs", "SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
 def j22(t: Tables) -> DataFrame:
-    a, b = t.nation.select(F.col("n_nationkey").alias("i")), t.nation.select(F.col("n_nationkey").alias("j"))
-    return a.join(b, F.col("i") < F.col("j"))
+    return catalog.unordered_pairs(t.nation, "n_nationkey")
 
 
 @query("j23_result_comparison", "WITH a AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_type <> 'error' GROUP BY event_type), b AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY event_type) SELECT coalesce(a.k, b.k) AS k, a.n AS left_n, b.n AS right_n, a.n IS NOT DISTINCT FROM b.n AS same FROM a FULL JOIN b ON a.k = b.k")
@@ -210,8 +214,15 @@ def w01(t: Tables) -> DataFrame:
     return corpus.dense_ids(v, ["row_index"], "query_id", ["unit"])
 
 
-@query("p24_manifest_gate")
+_MANIFESTS = "m AS (SELECT source, 1 + (substr(source, 4)::INT % 5 = 4)::INT AS format_version, CASE WHEN substr(source, 4)::INT % 3 = 2 THEN 'other' ELSE 'compact' END AS source_dataset, CASE WHEN substr(source, 4)::INT % 2 = 0 THEN 'r1' END AS source_revision FROM documents GROUP BY source)"
+
+
+@query("p24_manifest_gate", f"WITH {_MANIFESTS} SELECT source, CASE WHEN format_version <> 1 THEN 'format version' WHEN source_dataset <> 'compact' THEN 'dataset' WHEN source_revision IS DISTINCT FROM 'r1' THEN 'revision' END AS problem FROM m WHERE format_version <> 1 OR source_dataset <> 'compact' OR source_revision IS DISTINCT FROM 'r1'")
 def p24(t: Tables) -> DataFrame:
-    m = t.spark.createDataFrame([(1, "compact", "r1")], "format_version int, dataset string, revision string")
-    checks.assert_empty(m.where("format_version <> 1 OR dataset <> 'compact' OR revision <> 'r1'"), "manifest")
-    return m
+    """Manifests that the gate turns away, and why; those that remain pass it."""
+    n = F.substring("source", 4, 9).cast("int")
+    m = t.documents.select("source").distinct()
+    m = m.select("source", (1 + (n % 5 == 4).cast("int")).alias("format_version"), F.when(n % 3 == 2, "other").otherwise("compact").alias("source_dataset"), F.when(n % 2 == 0, "r1").alias("source_revision"))
+    bad = checks.manifest_problems(m, 1, "compact", "r1").select("source", "problem")
+    checks.assert_manifest(m.join(bad, "source", "left_anti"), 1, "compact", "r1")
+    return bad

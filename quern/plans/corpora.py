@@ -12,6 +12,10 @@ from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, w
 _SAMPLE = "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', 'default', source, doc_id)), doc_id) AS rk FROM documents) WHERE rk <= 20)"
 
 
+# sha256 of ids in order, of a unit of up to 1024 values; above that of the digests of each 1024.
+_UNIT_DIGEST = "{n}0 AS (SELECT source, k // 1024 AS b, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS d FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents WHERE {where}) GROUP BY source, b), {n} AS (SELECT source, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, ',' ORDER BY b)) END AS f FROM {n}0 GROUP BY source)"
+
+
 def _sample(t: Tables) -> DataFrame:
     return sampling.capped(t.documents, ["source"], F.col("doc_id"), 20)
 
@@ -32,9 +36,11 @@ def t01(t: Tables) -> DataFrame:
 
 @query("t01_pcg64_sample")
 def t01_pcg(t: Tables) -> DataFrame:
-    n = t.documents.count()
-    rows = sampling.pcg64_indices(n, 100, 42)
-    return t.spark.createDataFrame([(r,) for r in rows], "row_index long")
+    """At most 20 rows of each source, drawn by PCG64 with the source's own seed, and read at their places."""
+    sizes = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    drawn = sampling.pcg64_units(sizes, "source", "n", 20, 42, "default")
+    rows = corpus.dense_ids(t.documents.select("source", "doc_id"), ["doc_id"], "logical", ["source"])
+    return rows.join(drawn, ["source", "logical"]).select("source", "logical", "doc_id")
 
 
 @query("t02_absolute_cap", "SELECT doc_id FROM documents ORDER BY md5(concat_ws('|', '42', doc_id)), doc_id LIMIT 100")
@@ -215,16 +221,24 @@ def p19(t: Tables) -> DataFrame:
     return t.documents.join(t.labels.where("quality > 0"), "doc_id", "left_semi").select("doc_id")
 
 
-@query("p20_stale_units", "WITH a AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS f FROM documents GROUP BY source), b AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS f FROM documents WHERE NOT (source = 'src2' AND doc_id % 2 = 0) AND source <> 'src6' GROUP BY source) SELECT source FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.source = b.source AND a.f = b.f)")
+@query(
+    "p20_stale_units",
+    f"WITH {_UNIT_DIGEST.format(n='a', where='true')}, {_UNIT_DIGEST.format(n='b', where="NOT (source = 'src2' AND doc_id % 2 = 0)")} SELECT a.source, CASE WHEN a.source IN ('src6', 'src16') OR b.f IS NULL THEN 'missing' WHEN a.source = 'src3' THEN 'stale profile' WHEN a.source = 'src4' THEN 'stale release' WHEN a.f <> b.f THEN 'stale fingerprint' ELSE 'incomplete' END AS reason FROM a LEFT JOIN b USING (source) WHERE a.source IN ('src3', 'src4', 'src5', 'src6', 'src16') OR a.f IS DISTINCT FROM b.f",
+)
 def p20(t: Tables) -> DataFrame:
-    f = lambda d: d.groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")).alias("f"))
-    a, b = f(t.documents), f(t.documents.where("NOT (source = 'src2' AND doc_id % 2 = 0) AND source <> 'src6'"))
-    return a.join(b, ["source", "f"], "left_anti").select("source")
+    """Units to build again: one has other rows, others another profile, release, no metadata or not all files."""
+    src = F.col("source")
+    f = lambda d: corpus.fingerprint(d, ["source"], ["doc_id"], "doc_id")
+    wanted = f(t.documents).withColumns({"profile": F.lit("p"), "release": F.lit("r2")})
+    stored = f(t.documents.where("NOT (source = 'src2' AND doc_id % 2 = 0)")).where(~src.isin("src6", "src16"))
+    stored = stored.withColumns({"profile": F.when(src == "src3", "q").otherwise("p"), "release": F.when(src == "src4", "r1").otherwise("r2")})
+    files = t.documents.select("source").distinct().withColumn("file", F.explode(F.when(src == "src5", F.array(F.lit("queries"))).otherwise(F.array(F.lit("queries"), F.lit("corpus")))))
+    return catalog.stale_units(wanted, stored, files, "source", ["profile", "release", "fingerprint"], ["queries", "corpus"])
 
 
-@query("p23_schema_summary")
+@query("p23_schema_summary", "SELECT * FROM (VALUES (0, 'row_index', 'bigint'), (1, 'unit', 'string'), (2, 'lang', 'string'), (3, 'query', 'string'), (4, 'passage', 'string'), (5, 'negative_1', 'string'), (6, 'negative_10', 'string'), (7, 'negative_2', 'string')) AS v(ordinal, name, type)")
 def p23(t: Tables) -> DataFrame:
-    return checks.schema_summary(wide(t))
+    return checks.schema_summary(wide(t)).drop("nullable")
 
 
 @query("p25_missing_candidates", "SELECT c.doc_id FROM (SELECT doc_id * 2 AS doc_id FROM documents) c WHERE c.doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -232,15 +246,23 @@ def p25(t: Tables) -> DataFrame:
     return t.documents.select((F.col("doc_id") * 2).alias("doc_id")).join(t.documents.select("doc_id"), "doc_id", "left_anti")
 
 
-@query("p26_manifest_projection", "SELECT source AS unit_id, count(*) AS query_count, count(DISTINCT text) AS corpus_count, NULL::VARCHAR AS revision FROM documents GROUP BY source")
+@query(
+    "p26_manifest_projection",
+    "WITH u AS (SELECT source, count(*) AS n, count(DISTINCT text) AS c, substr(source, 4)::INT % 2 = 0 AS whole FROM documents GROUP BY source) SELECT source AS unit_id, 'all' AS source_id, CASE WHEN whole THEN 'en' END AS language, n AS query_count, c AS corpus_count, CASE WHEN whole THEN n + 1 END AS selected_query_count, CASE WHEN whole THEN 1 END::BIGINT AS dropped_count, true AS enabled, 'units/' || source AS directory, 'units/' || source || '/queries.arrow' AS queries_path, 'units/' || source || '/corpus.arrow' AS corpus_path FROM u",
+)
 def p26(t: Tables) -> DataFrame:
-    return t.documents.groupBy(F.col("source").alias("unit_id")).agg(F.count(F.lit(1)).alias("query_count"), F.countDistinct("text").alias("corpus_count")).withColumn("revision", F.lit(None).cast("string"))
+    u = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("c"))
+    base = [F.col("source").alias("unit_id"), F.lit("all").alias("source_id"), F.col("n").alias("query_count"), F.col("c").alias("corpus_count")]
+    more = [F.lit("en").alias("language"), (F.col("n") + 1).alias("selected_query_count"), F.lit(1).alias("dropped_count")]
+    text = F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, F.to_json(F.struct(*base, *more))).otherwise(F.to_json(F.struct(*base)))
+    return catalog.manifest_units(u.select(text.alias("text")), "text", ["query_count", "corpus_count"], ["selected_query_count", "dropped_count"])
 
 
-@query("p27_candidate_ids", "SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
+@query("p27_candidate_ids", "SELECT conv_id, string_agg(conv_id || '-' || turn, ',' ORDER BY conv_id || '-' || turn) AS ids FROM conversations GROUP BY conv_id")
 def p27(t: Tables) -> DataFrame:
-    m = t.documents.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "n_chars"))).alias("m"))
-    return m.select("source", F.array_join(F.transform(F.sort_array(F.map_keys("m")), lambda x: x.cast("string")), ",").alias("ids"))
+    """Candidates given as the keys of a mapping, as an ordered list; a mapping is one query's."""
+    m = t.conversations.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "role"))).alias("m"))
+    return m.select("conv_id", F.array_join(F.sort_array(F.map_keys("m")), ",").alias("ids"))
 
 
 @query("a01_unit_counts", f"WITH {_SAMPLE}, n AS (SELECT source, lang, count(*) AS n_rows FROM documents GROUP BY ALL), k AS (SELECT source, lang, count(*) AS n_selected FROM s GROUP BY ALL) SELECT source, lang, n_rows, coalesce(n_selected, 0) AS n_selected FROM n LEFT JOIN k USING (source, lang)")
@@ -328,10 +350,9 @@ def a22(t: Tables) -> DataFrame:
     return corpus.dedup(t.documents, "text", "doc_id").drop("text")
 
 
-@query("a23_selection_fingerprint", "SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
+@query("a23_selection_fingerprint", f"WITH {_UNIT_DIGEST.format(n='a', where='true')} SELECT source, f AS fingerprint FROM a")
 def a23(t: Tables) -> DataFrame:
-    ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(ids, ","), 256).alias("fingerprint"))
+    return corpus.fingerprint(t.documents, ["source"], ["doc_id"], "doc_id")
 
 
 @query("a27_ordered_distinct", "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators import metrics
 from quern.plans.declare import Tables, query
+from quern.session import materialise
 
 # Scores of every fiftieth vector as a query against all other vectors; relevant: the same label.
 _SCORES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0), sc AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv, embedding::DOUBLE[]), 6) AS score, (label = ql)::INT AS rel FROM q, embeddings WHERE vec_id <> query_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), nr AS (SELECT query_id, sum(rel)::BIGINT AS n_relevant FROM sc GROUP BY query_id)"
@@ -60,9 +61,14 @@ def a30(t: Tables) -> DataFrame:
 
 @query("a31_proxy_eval", f"WITH {_SCORES}, m AS (SELECT query_id, max(CASE WHEN rel = 1 THEN score END) AS pos, max(CASE WHEN rel = 0 THEN score END) AS neg, min(CASE WHEN rel = 1 THEN rank END) AS first FROM rk GROUP BY query_id) SELECT round(avg((first = 1)::INT), 6) AS hit_at_1, round(avg(1 / first), 6) AS mrr, round(avg(pos - neg), 6) AS margin FROM m")
 def a31(t: Tables) -> DataFrame:
-    s = _scores(t).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    best = lambda r: F.max(F.when(F.col("rel") == r, F.col("score")))
-    m = s.groupBy("query_id").agg(best(1).alias("pos"), best(0).alias("neg"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"))
+    """The rank of the best positive is one more than the number of documents before it, so nothing is sorted."""
+    s = _scores(t)
+    top = F.max(F.when(F.col("rel") == 1, F.struct("score", (-F.col("doc_id")).alias("d"))))
+    m = s.groupBy("query_id").agg(top.alias("p"), F.max(F.when(F.col("rel") == 0, F.col("score"))).alias("neg"))
+    m = materialise(m.select("query_id", F.col("p.score").alias("pos"), (-F.col("p.d")).alias("pos_doc"), "neg"), "best")
+    before = (F.col("score") > F.col("pos")) | ((F.col("score") == F.col("pos")) & (F.col("doc_id") < F.col("pos_doc")))
+    first = s.join(m, "query_id").groupBy("query_id").agg((F.count_if(before) + 1).alias("first"))
+    m = m.join(first, "query_id").withColumn("first", F.when(F.col("pos").isNotNull(), F.col("first")))
     return m.agg(F.round(F.avg((F.col("first") == 1).cast("int")), 6).alias("hit_at_1"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"), F.round(F.avg(F.col("pos") - F.col("neg")), 6).alias("margin"))
 
 

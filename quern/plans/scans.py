@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import hashing
+from quern.operators import checks, tensors
 from quern.plans.declare import Tables, query
 from quern.sources import records
 
@@ -22,6 +23,14 @@ def s02(t: Tables) -> DataFrame:
     return records.inventory(t.spark, f"{t.sf_dir}/documents.parquet").drop("schema")
 
 
+@query("s02_footer_totals", "SELECT count(*) AS n_rows, true AS groups_add_up, 5 AS n_columns FROM documents")
+def s02b(t: Tables) -> DataFrame:
+    """What footers say of a table against the table itself."""
+    rows = records.inventory(t.spark, f"{t.sf_dir}/documents.parquet")
+    groups = F.aggregate("row_group_rows", F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.agg(F.sum("n_rows").alias("n_rows"), F.every(groups == F.col("n_rows")).alias("groups_add_up"), F.max(F.json_array_length("schema")).alias("n_columns"))
+
+
 @query("s03_positional_scan", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def s03(t: Tables) -> DataFrame:
     path = f"{t.sf_dir}/documents.parquet"
@@ -98,7 +107,7 @@ def s15(t: Tables) -> DataFrame:
     return t.spark.read.schema("event_id long, event_type string, value double").json(path)
 
 
-@query("s16_markdown_report")
+@query("s16_markdown_report", "WITH r AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT '| lang | count |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || lang || ' | ' || n || ' |', chr(10) ORDER BY lang) AS report FROM r")
 def s16(t: Tables) -> DataFrame:
     text = records.markdown_table(t.documents.groupBy("lang").count().orderBy("lang"))
     return t.spark.createDataFrame([(text,)], "report string")
@@ -109,11 +118,13 @@ def s19(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.md5("text").alias("digest"), "text").agg(F.count(F.lit(1)).alias("n")).drop("text")
 
 
-@query("s20_tensor_table", "SELECT vec_id, sum(i * x)::BIGINT AS s FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(range(0, 64)) % 7 AS x FROM embeddings) GROUP BY vec_id")
+@query("s20_tensor_table", "SELECT vec_id, round(sum(i * x), 4) AS s FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY vec_id")
 def s20(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "tensors")
-    t.embeddings.select("vec_id", F.posexplode(F.transform("embedding", lambda x, i: (i % 7).cast("long"))).alias("i", "x")).write.parquet(path)
-    return t.spark.read.parquet(path).groupBy("vec_id").agg(F.sum(F.col("i") * F.col("x")).alias("s"))
+    values = t.embeddings.select(F.col("vec_id").cast("string").alias("key"), F.lit(0).cast("long").alias("i"), F.posexplode("embedding").alias("j", "x"))
+    tensors.write_tensors(values.withColumns({"j": F.col("j").cast("long"), "x": F.col("x").cast("double")}), path)
+    back = tensors.read_tensors(t.spark, path)
+    return back.groupBy(F.col("key").cast("long").alias("vec_id")).agg(F.round(F.sum(F.col("j") * F.col("x")), 4).alias("s"))
 
 
 @query("s22_capped_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, k::INT AS k, line FROM l WHERE k <= 3 AND trim(line) <> ''")
@@ -122,10 +133,14 @@ def s22(t: Tables) -> DataFrame:
     return l.select("doc_id", (F.col("k") + 1).alias("k"), "line").where("k <= 3 AND trim(line) <> ''")
 
 
+# Ids need their data set's personalisation; these are this engine's own.
+ROW_PERSON, SHARD_PERSON = b"quern-row", b"quern-shard"
+
+
 @query("f01_row_ids")
 def f01(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "source")
-    return hashing.with_digest(d, "sample_id", ["source", "doc_id"], lambda s, r: hashing.row_id("release", s, r))
+    d = t.documents.select("doc_id", F.concat(F.lit("raw\\"), "source").alias("path"))
+    return hashing.with_digest(d, "sample_id", ["path", "doc_id"], lambda p, r: hashing.row_id("release", p, r, ROW_PERSON))
 
 
 @query("f02_unit_seeds")
@@ -133,9 +148,10 @@ def f02(t: Tables) -> DataFrame:
     return hashing.with_digest(t.documents.select("source").distinct(), "seed", ["source"], lambda s: hashing.unit_seed(42, "default", s).to_bytes(8, "big"))
 
 
-@query("f03_document_ids")
+@query("f03_shard_ids")
 def f03(t: Tables) -> DataFrame:
-    return hashing.with_digest(t.documents.select("doc_id", "text"), "digest", ["text"], hashing.document_id).drop("text")
+    d = t.documents.select(F.concat_ws("/", "source", "lang").alias("path")).distinct()
+    return hashing.with_digest(d, "shard_id", ["path"], lambda p: hashing.shard_id(p, SHARD_PERSON))
 
 
 @query("f05_content_sha256", "SELECT doc_id, sha256(text) AS query_key FROM documents")
@@ -181,13 +197,6 @@ def f04(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(F.to_json(F.struct("lang", "source"))).alias("digest"))
 
 
-@query("st6_ema_state", "WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.5 * o.value + 0.5 * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1) SELECT event_type, round(arg_max(ema, k), 6) AS ema FROM r GROUP BY event_type")
-def st6(t: Tables) -> DataFrame:
-    from quern.operators import metrics
-
-    return metrics.smoothed(t.events, "event_type", "event_id", "value", 0.5).select("event_type", F.round("ema", 6).alias("ema"))
-
-
 @query("s07_checked_reader", "SELECT vec_id, label FROM embeddings")
 def s07(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "checked")
@@ -196,25 +205,40 @@ def s07(t: Tables) -> DataFrame:
     return records.open_table(t.spark, path, df.schema, df.count())
 
 
-@query("s12_catalog_document")
+@query("s12_catalog_document", "SELECT source AS source_id, lang AS unit_id, source || '/' || lang || '.parquet' AS path, CASE WHEN min(doc_id) % 2 = 0 THEN min(doc_id) END AS row_start, CASE WHEN min(doc_id) % 2 = 0 THEN max(doc_id) + 1 END AS row_stop FROM documents GROUP BY source, lang")
 def s12(t: Tables) -> DataFrame:
-    from quern.plans.workflow import parse_catalog
-
-    text = "schema_version: 1\nsources:\n- source_id: a\n  sampling_units:\n  - sampling_unit_id: u\n    shards: [x.parquet, {path: y.parquet, row_start: 0, row_stop: 5}]\n"
-    try:
-        doc = parse_catalog(text)
-    except RuntimeError:  # without the yaml package, the same document in JSON
-        doc = parse_catalog('{"schema_version": 1, "sources": [{"source_id": "a", "sampling_units": [{"sampling_unit_id": "u", "shards": ["x.parquet", {"path": "y.parquet", "row_start": 0, "row_stop": 5}]}]}]}')
-    rows = [(s["source_id"], u["sampling_unit_id"], *((x["path"], x["row_start"], x["row_stop"]) if isinstance(x, dict) else (x, None, None))) for s in doc["sources"] for u in s["sampling_units"] for x in u["shards"]]
-    return t.spark.createDataFrame(rows, "source_id string, unit_id string, path string, row_start long, row_stop long")
-
-
-@query("s17_atomic_document", "SELECT 7 AS version, 'done' AS state")
+    """A catalogue in YAML, written and read again, with a shard as a path alone or with its rows."""
+    from quern.plans.workflow import catalog_shards, parse_catalog
+
+    units = t.documents.groupBy("source", "lang").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("source", "lang").collect()
+    lines, last = ["schema_version: 1", "sources:"], None
+    for r in units:
+        if r["source"] != last:
+            last = r["source"]
+            lines += [f"- source_id: {last}", "  sampling_units:"]
+        shard = f"{r['source']}/{r['lang']}.parquet"
+        lines += [f"  - sampling_unit_id: {r['lang']}", f"    shards: [{{path: {shard}, row_start: {r['lo']}, row_stop: {r['hi'] + 1}}}]" if r["lo"] % 2 == 0 else f"    shards: [{shard}]"]
+    path = records.scratch(t.spark, "catalogue") + ".yaml"
+    records.write_text(t.spark, path, "\n".join(lines) + "\n")
+    text = t.spark.read.text(path, wholetext=True).first()[0]
+    return t.spark.createDataFrame(catalog_shards(parse_catalog(text)), "source_id string, unit_id string, path string, row_start long, row_stop long")
+
+
+@query("s17_atomic_document", "SELECT count(*) AS version, 'done' AS state FROM documents")
 def s17(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "state") + ".json"
-    records.write_text(t.spark, path, '{"version": 6, "state": "begun"}')
-    records.write_text(t.spark, path, '{"version": 7, "state": "done"}')
-    return t.spark.read.schema("version int, state string").json(path)
+    records.write_text(t.spark, path, '{"version": 0, "state": "begun"}')
+    records.write_text(t.spark, path, f'{{"version": {t.documents.count()}, "state": "done"}}')
+    return t.spark.read.schema("version long, state string").json(path)
+
+
+@query("s17_replaced_table", "SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 1")
+def s17b(t: Tables) -> DataFrame:
+    """A published table that a newer one takes the place of."""
+    path = records.scratch(t.spark, "swapped")
+    for k in (0, 1):
+        records.publish(t.documents.select("doc_id", "lang").where(F.col("doc_id") % 2 == k), path, replace=True)
+    return t.spark.read.parquet(path)
 
 
 @query("s18_zstd_tables", "SELECT item_id, text FROM benchmark")
@@ -231,6 +255,8 @@ def t13(t: Tables) -> DataFrame:
     return dense_ids(t.documents.select("source", "lang").distinct(), ["source", "lang"], "ordinal")
 
 
-@query("p21_count_audit", "SELECT source, count(*) AS n, 50 AS expected, count(*) <> 50 AS warning FROM documents GROUP BY source")
+@query("p21_count_audit", "SELECT source, count(*) AS n, count(l.doc_id) AS expected, count(*) <> count(l.doc_id) AS warning FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY source")
 def p21(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", "n", F.lit(50).alias("expected"), (F.col("n") != 50).alias("warning"))
+    """Rows of each source against a stated number, here its labelled ones; another number of sources would be an error."""
+    expected = t.documents.join(t.labels.select(F.col("doc_id").alias("known")), F.col("doc_id") == F.col("known"), "left").groupBy("source").agg(F.count("known").alias("expected"))
+    return checks.audit(t.documents, "source", expected.count(), expected)

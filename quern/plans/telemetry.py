@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import metrics
+from quern.operators import corpus, metrics
 from quern.plans.declare import Tables, query
+from quern.session import materialise
+from quern.sources import attempts, records
 from quern.streaming import telemetry as S
 
 _P95 = "list_sort(list({0}))[greatest(1, ceil(count(*) * 0.95))::INT]"
@@ -38,7 +40,12 @@ def a25(t: Tables) -> DataFrame:
 
 @query("s21_attempt_log", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def s21(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("r")).select("user_id", "r.*")
+    """Three writers append to one log; the view is the latest row of each key."""
+    log = records.scratch(t.spark, "attempts")
+    rows = t.events.select("user_id", "event_id", "event_type")
+    for k in range(3):
+        attempts.append(log, rows.where(F.col("event_id") % 3 == k))
+    return attempts.latest(attempts.read(t.spark, log, rows.schema), "user_id", "event_id")
 
 
 @query("a28_smoothed_steps", "WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), r AS (SELECT user_id, k, n, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.n, 0.3 * o.value + 0.7 * r.ema FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT user_id, n, round(ema, 6) AS ema FROM r WHERE k = n")
@@ -59,14 +66,19 @@ def a33(t: Tables) -> DataFrame:
 
 @query("w10_log_deltas", "SELECT event_id, event_id - lag(event_id) OVER w AS delta_id, round(value - lag(value) OVER w, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def w10(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", (F.col("event_id") - F.lag("event_id").over(w)).alias("delta_id"), F.round(F.col("value") - F.lag("value").over(w), 6).alias("delta"))
+    e = corpus.lagged(t.events.select("user_id", "event_id", "value"), ["user_id"], ["event_id"], last_id="event_id", last_value="value")
+    return e.select("event_id", (F.col("event_id") - F.col("last_id")).alias("delta_id"), F.round(F.col("value") - F.col("last_value"), 6).alias("delta"))
 
 
 @query("w11_bounded_window", "SELECT event_id, list_sort(list(value) OVER r)[ceil(count(*) OVER r * 0.95)::INT] AS recent_p95, round(avg(value) OVER a + 1e-9, 6) AS lifetime_mean FROM events WINDOW r AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def w11(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return t.events.select("event_id", metrics.nearest_rank_of(F.collect_list("value").over(w.rowsBetween(-15, 0)), 0.95).alias("recent_p95"), F.round(F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1e-9, 6).alias("lifetime_mean"))
+    """Each row is handed on to the 15 after it, so a window is a group of 16 rows however many a user has."""
+    e = corpus.running(t.events.select("user_id", "event_id", "value"), ["user_id"], ["event_id"], total=F.col("value"), place=F.lit(1))
+    e = materialise(e, "places")
+    near = e.select("user_id", F.explode(F.sequence(F.col("place"), F.col("place") + 15)).alias("place"), F.col("value").alias("x"))
+    recent = near.groupBy("user_id", "place").agg(metrics.nearest_rank_of(F.collect_list("x"), 0.95).alias("recent_p95"))
+    mean = F.round(F.col("total") / F.col("place") + 1e-9, 6).alias("lifetime_mean")
+    return e.join(recent, ["user_id", "place"]).select("event_id", "recent_p95", mean)
 
 
 @query("w12_logging_windows", "SELECT event_type, event_id // 100 AS log_window, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
@@ -77,8 +89,9 @@ def w12(t: Tables) -> DataFrame:
 _HOURS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
 
 
-@query("st1_windowed_stream", _HOURS)
+@query("st1_windowed_stream", f"SELECT * FROM ({_HOURS}) WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def st1(t: Tables) -> DataFrame:
+    """Windows that the watermark has passed: those are written once, and forgotten."""
     return S.run_to_table(S.windowed(S.event_stream(t.spark, f"{t.sf_dir}/events.parquet")))
 
 
@@ -108,3 +121,22 @@ def f24(t: Tables) -> DataFrame:
 @query("f23_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, substr(props, 1, 2000) AS clipped FROM events")
 def f23(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"), F.substring("props", 1, 2000).alias("clipped"))
+
+
+@query(
+    "st5_open_units",
+    "WITH e AS (SELECT user_id AS worker, event_id AS step, event_type || event_id % 4 AS unit, lag(event_id) OVER (PARTITION BY user_id, event_type, event_id % 4 ORDER BY event_id) AS before FROM events), n AS (SELECT a.worker, a.step, count(DISTINCT b.unit) AS between_ FROM e a LEFT JOIN e b ON b.worker = a.worker AND b.step > a.before AND b.step < a.step GROUP BY ALL) SELECT worker, step, unit AS opened FROM e JOIN n USING (worker, step) WHERE before IS NULL OR between_ >= 3",
+)
+def st5(t: Tables) -> DataFrame:
+    """A unit is opened unless fewer than the capacity of others were used since its last use."""
+    e = S.event_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    e = e.select(F.col("user_id").alias("worker"), F.col("event_id").alias("step"), F.concat("event_type", (F.col("event_id") % 4).cast("string")).alias("unit"))
+    return S.run_to_table(S.open_units(e, "worker", "step", "unit", 3)).select("worker", "step", "opened")
+
+
+@query("st6_ema_state", "WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.5 * o.value + 0.5 * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1) SELECT event_type, round(arg_max(ema, k), 6) AS ema FROM r GROUP BY event_type")
+def st6(t: Tables) -> DataFrame:
+    """Smoothing as streaming state; the view is the last row of each run."""
+    e = S.event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("event_type", "event_id", "value")
+    out = S.run_to_table(S.smoothed(e, "event_type", "event_id", "value", 0.5), "update")
+    return out.groupBy("event_type").agg(F.round(F.max_by("ema", "n"), 6).alias("ema"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
+from quern.operators import corpus, tensors
 from quern.plans.declare import Tables, query
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -46,12 +47,13 @@ def v03(t: Tables) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(V.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
 
 
-@query("v04_pooling", f"WITH {_E} SELECT vec_id, round(v[1], 6) AS cls, round((v[1] + v[9] + CASE WHEN vec_id % 2 = 0 THEN v[17] ELSE 0 END) / (2 + (vec_id % 2 = 0)::INT), 6) AS mean, round(CASE WHEN vec_id % 2 = 0 THEN v[17] ELSE v[9] END, 6) AS last FROM e")
+@query("v04_pooling", f"WITH {_E} SELECT vec_id, round(list_sum(v[1:8]), 6) AS cls, round(list_sum(v[1:56 + CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 0 END]) / (7 + (vec_id % 2 = 0)::INT), 6) AS mean, round(CASE WHEN vec_id % 2 = 0 THEN list_sum(v[57:64]) ELSE list_sum(v[49:56]) END, 6) AS last FROM e")
 def v04(t: Tables) -> DataFrame:
-    tokens = F.array(*(F.slice("v", i, 8) for i in (1, 9, 17)))
-    mask = F.array(F.lit(1), F.lit(1), (F.col("vec_id") % 2 == 0).cast("int"))
-    first = lambda m: F.round(F.get(V.pool(tokens, mask, m), F.lit(0)), 6).alias(m)
-    return _e(t).select("vec_id", first("cls"), first("mean"), first("last"))
+    """Vectors as eight tokens of eight components, the last one masked in every other; sums of the pooled components."""
+    tokens = F.array(*(F.slice("v", i, 8) for i in range(1, 65, 8)))
+    mask = F.array(*[F.lit(1)] * 7, (F.col("vec_id") % 2 == 0).cast("int"))
+    of = lambda m: F.round(V.total(V.pool(tokens, mask, m)), 6).alias(m)
+    return _e(t).select("vec_id", of("cls"), of("mean"), of("last"))
 
 
 @query("v05_mean_nll", f"WITH {_G} SELECT round(avg({_LSE.format('s')} - s[1]), 6) AS loss FROM g")
@@ -84,6 +86,7 @@ def v07(t: Tables) -> DataFrame:
 
 @query("v08_two_term_loss", f"WITH {_G}, h AS (SELECT avg({_LSE.format('s')} - s[1]) AS hard FROM g), {_BATCH}, p AS (SELECT avg({_LSE.format('s')} - s[vec_id % 8 + 1]) AS pos FROM b) SELECT round(hard, 6) AS hard, round(pos, 6) AS positives, round(hard + pos, 6) AS loss FROM h, p")
 def v08(t: Tables) -> DataFrame:
+    # both sides of the cross join are one row
     h = _groups(t).agg(F.avg(V.nll(F.col("s"), F.lit(0))).alias("hard"))
     p = _batch(t).agg(F.avg(V.nll(F.col("s"), (F.col("vec_id") % 8).cast("int"))).alias("pos"))
     return h.crossJoin(p).select(F.round("hard", 6).alias("hard"), F.round("pos", 6).alias("positives"), F.round(F.col("hard") + F.col("pos"), 6).alias("loss"))
@@ -102,9 +105,13 @@ def v10(t: Tables) -> DataFrame:
     return z.select("vec_id", F.round(-V.total(F.zip_with("t", F.transform("s", lambda x: x - F.col("z")), lambda p, q: p * q)), 6).alias("loss"))
 
 
-@query("v12_invalid_scores", f"WITH {_E} SELECT vec_id FROM e WHERE isnan(v[1]) OR len(v) <> 64")
+@query("v12_invalid_scores", f"WITH {_E}, x AS (SELECT vec_id, CASE WHEN vec_id % 19 = 0 THEN v[1:60] WHEN vec_id % 17 = 0 THEN [CASE WHEN i = vec_id % 64 + 1 THEN 'nan'::DOUBLE ELSE v[i] END FOR i IN range(1, 65)] ELSE v END AS s FROM e) SELECT vec_id, CASE WHEN len(s) <> 64 THEN 'shape' ELSE 'nan' END AS problem FROM x WHERE len(s) <> 64 OR len(list_filter(s, lambda z: isnan(z))) > 0")
 def v12(t: Tables) -> DataFrame:
-    return _e(t).where(F.exists("v", F.isnan) | (F.size("v") != 64)).select("vec_id")
+    """Score rows of another length, or with a NaN at any place; some are made so here."""
+    k = F.col("vec_id")
+    broken = F.transform("v", lambda x, i: F.when(i == k % 64, F.lit(float("nan"))).otherwise(x))
+    rows = _e(t).select("vec_id", F.when(k % 19 == 0, F.slice("v", 1, 60)).when(k % 17 == 0, broken).otherwise(F.col("v")).alias("s"))
+    return V.invalid_scores(rows, "s", 64).select("vec_id", "problem")
 
 
 @query("a24_global_dot_norm_cosine", f"WITH {_E} SELECT a.label AS i, b.label AS j, round(sum(list_dot_product(a.v, b.v)), 6) AS dot, round(sum(list_dot_product(a.v, b.v)) / nullif(sqrt(sum(list_dot_product(a.v, a.v))) * sqrt(sum(list_dot_product(b.v, b.v))), 0), 6) AS cosine FROM e a JOIN e b ON a.vec_id // 10 = b.vec_id // 10 AND a.label < b.label GROUP BY a.label, b.label")
@@ -130,10 +137,10 @@ def v13(t: Tables) -> DataFrame:
 
 @query("w14_prefix_weights", "SELECT vec_id, round(label / sum(label + 1) OVER w, 6) AS fraction, round(avg(label) OVER (PARTITION BY vec_id % 10 ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS before FROM embeddings WINDOW w AS (PARTITION BY vec_id % 10 ORDER BY vec_id ROWS UNBOUNDED PRECEDING)")
 def w14(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.col("vec_id") % 10).orderBy("vec_id")
-    return t.embeddings.select("vec_id", F.round(F.col("label") / F.sum(F.col("label") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("fraction"), F.round(F.avg("label").over(w.rowsBetween(Window.unboundedPreceding, -1)), 6).alias("before"))
+    e = t.embeddings.select("vec_id", "label", (F.col("vec_id") % 10).alias("part"))
+    r = corpus.running(e, ["part"], ["vec_id"], weight=F.col("label") + 1, labels=F.col("label"), n=F.lit(1))
+    before = F.when(F.col("n") > 1, (F.col("labels") - F.col("label")) / (F.col("n") - 1))
+    return r.select("vec_id", F.round(F.col("label") / F.col("weight"), 6).alias("fraction"), F.round(before, 6).alias("before"))
 
 
 @query("v14_iterative_merge", f"WITH {_E} SELECT a.vec_id, round((a.v[1] + 2 * b.v[1] + 3 * c.v[1]) / 6 * 0.5, 6) AS first FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2")
@@ -167,11 +174,26 @@ def v15(t: Tables) -> DataFrame:
     return j.select("vec_id", F.round("n", 5).alias("step"), F.round(back, 5).alias("first"))
 
 
-@query("v16_low_rank_product", "WITH b AS (SELECT l_orderkey % 50 AS i, l_linenumber AS r, sum(l_quantity) AS x FROM lineitem GROUP BY ALL), a AS (SELECT l_linenumber AS r, l_partkey % 40 AS j, sum(l_discount) AS y FROM lineitem GROUP BY ALL) SELECT i, j, round(sum(x * y) * 0.5, 4) AS delta FROM b JOIN a USING (r) GROUP BY i, j")
+_LOW = "b AS (SELECT l_returnflag AS key, l_orderkey % 50 AS i, l_linenumber AS r, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY ALL), a AS (SELECT l_returnflag AS key, l_linenumber AS r, l_partkey % 40 AS j, sum(l_discount)::DOUBLE AS y FROM lineitem GROUP BY ALL)"
+
+
+def _low_rank(t: Tables) -> DataFrame:
+    side = lambda i, j, x: t.lineitem.groupBy(F.col("l_returnflag").alias("key"), i.alias("i"), j.alias("j")).agg(F.sum(x).cast("double").alias("x"))
+    r = F.col("l_linenumber").cast("long")
+    return tensors.low_rank_delta(side(F.col("l_orderkey") % 50, r, "l_quantity"), side(r, F.col("l_partkey") % 40, "l_discount"), 0.5, transpose=True)
+
+
+@query("v16_low_rank_product", f"WITH {_LOW} SELECT key, j AS i, i AS j, round(sum(x * y) * 0.5, 3) AS delta FROM b JOIN a USING (key, r) GROUP BY key, i, j")
 def v16(t: Tables) -> DataFrame:
-    b = t.lineitem.groupBy((F.col("l_orderkey") % 50).alias("i"), F.col("l_linenumber").alias("r")).agg(F.sum("l_quantity").alias("x"))
-    a = t.lineitem.groupBy(F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 40).alias("j")).agg(F.sum("l_discount").alias("y"))
-    return b.join(a, "r").groupBy("i", "j").agg(F.round(F.sum(F.col("x") * F.col("y")) * 0.5, 4).alias("delta"))
+    """Scaled products of each key's factors, transposed, as a layer stored the other way round needs them."""
+    return _low_rank(t).select("key", "i", "j", F.round("x", 3).alias("delta"))
+
+
+@query("v16_shape_check", f"WITH {_LOW}, s AS (SELECT b.key, max(j) + 1 AS rows, max(i) + 1 AS cols FROM b JOIN a USING (key, r) GROUP BY b.key) SELECT key, CASE WHEN key = 'A' THEN 'no base' ELSE 'shape' END AS problem FROM s WHERE key = 'A' OR rows <> 40 OR cols <> CASE WHEN key = 'N' THEN 49 ELSE 50 END")
+def v16b(t: Tables) -> DataFrame:
+    """Deltas against base tensors of 40 by 50: one key has none, one another shape."""
+    base = t.spark.createDataFrame([("N", 39, 48, 0.0), ("R", 39, 49, 0.0)], "key string, i long, j long, x double")
+    return tensors.shape_problems(_low_rank(t), base)
 
 
 @query("v18_truncated_dims", f"WITH {_E}, d AS (SELECT vec_id, v, unnest([8, 16, 32, 64]) AS dim FROM e) SELECT vec_id, dim::INT AS dim, round(v[1] / sqrt(list_dot_product(v[1:dim], v[1:dim])), 6) AS first, round(1 / (4 * sqrt(64 / dim)), 6) AS weight FROM d")
@@ -181,17 +203,15 @@ def v18(t: Tables) -> DataFrame:
     return d.select("vec_id", "dim", F.round(F.get(cut, F.lit(0)), 6).alias("first"), F.round(1 / (4 * F.sqrt(64 / F.col("dim"))), 6).alias("weight"))
 
 
-@query("v20_probe_loss", f"WITH {_B} SELECT round(avg({_LSE.format('s')} - s[vec_id % 8 + 1]), 6) AS loss FROM b WHERE vec_id % 4 = 0")
+@query("v20_probe_loss", f"WITH {_B} SELECT round(avg({_LSE.format('s')} - s[vec_id % 8 + 1]), 6) AS loss FROM b")
 def v20(t: Tables) -> DataFrame:
-    return _batch(t).where("vec_id % 4 = 0").agg(F.round(F.avg(V.nll(F.col("s"), (F.col("vec_id") % 8).cast("int"))), 6).alias("loss"))
+    return _batch(t).agg(F.round(F.avg(V.nll(F.col("s"), (F.col("vec_id") % 8).cast("int"))), 6).alias("loss"))
 
 
 @query("f17_weight_normalisation", f"WITH {_E} SELECT vec_id, round((label + 1) / sum(label + 1) OVER (PARTITION BY vec_id % 10), 6) AS weight FROM e")
 def f17(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = F.col("label") + 1
-    return t.embeddings.select("vec_id", F.round(w / F.sum(w).over(Window.partitionBy(F.col("vec_id") % 10)), 6).alias("weight"))
+    e = t.embeddings.select("vec_id", (F.col("label") + 1).alias("w"), (F.col("vec_id") % 10).alias("part"))
+    return e.join(e.groupBy("part").agg(F.sum("w").alias("total")), "part").select("vec_id", F.round(F.col("w") / F.col("total"), 6).alias("weight"))
 
 
 @query("f19_softplus", "SELECT event_id, round(ln(1 + exp(value / 100)), 6) AS softplus FROM events")

@@ -36,6 +36,12 @@ def parse_catalog(text: str) -> dict:
     return doc
 
 
+def catalog_shards(doc: dict) -> list[tuple[str, str, str, int | None, int | None]]:
+    """(source_id, unit_id, path, row_start, row_stop) of a catalogue's shards; those without a range have nulls."""
+    entries = ((s["source_id"], u["sampling_unit_id"], x if isinstance(x, dict) else {"path": x}) for s in doc["sources"] for u in s["sampling_units"] for x in u["shards"])
+    return [(s, u, x["path"], x.get("row_start"), x.get("row_stop")) for s, u, x in entries]
+
+
 @dataclass
 class Selection:
     """What to plan: a profile, the cap and seed (null: the profile's), and units to take in or leave out."""
@@ -47,6 +53,7 @@ class Selection:
     exclude: Sequence[str] = ()
     only: Sequence[str] = ()
     include_contaminated: bool = False
+    person: bytes = b"quern-row"  # personalisation of the rows' ids
 
 
 def bind(spark: SparkSession, doc: dict, root: str, sel: Selection) -> DataFrame:
@@ -74,9 +81,7 @@ def bind(spark: SparkSession, doc: dict, root: str, sel: Selection) -> DataFrame
             units.add(u["sampling_unit_id"])
             for k, shard in enumerate(u["shards"]):
                 x = shard if isinstance(shard, dict) else {"path": shard}
-                path = x["path"].replace("\\", "/")
-                if not path or path.startswith("/") or ".." in path.split("/"):
-                    raise ValueError(f"bad path {path!r}")
+                path = hashing.normal_path(x["path"])
                 if path not in counts:
                     counts[path] = records.inventory(spark, f"{root}/{path}").first()["n_rows"]
                 lo, hi = x.get("row_start"), x.get("row_stop")
@@ -107,7 +112,7 @@ def draw(spark: SparkSession, doc: dict, shards: DataFrame, root: str, sel: Sele
     rows = at.join(live.select("unit_id", "path", "row_start", "row_stop"), "path").where("row_index >= coalesce(row_start, 0) AND row_index < coalesce(row_stop, 9223372036854775807)")
     picked = sampling.capped(rows.select("unit_id", "path", "row_index"), ["unit_id"], F.concat_ws(":", "path", F.col("row_index").cast("string")), limit, seed, sel.profile)
     release = doc["dataset_release_id"]
-    return materialise(hashing.with_digest(picked, "sample_id", ["path", "row_index"], lambda p, r: hashing.row_id(release, p, r)), "index")
+    return materialise(hashing.with_digest(picked, "sample_id", ["path", "row_index"], lambda p, r: hashing.row_id(release, p, r, sel.person)), "index")
 
 
 def report(shards: DataFrame, index: DataFrame) -> DataFrame:
@@ -155,7 +160,8 @@ def compile_units(spark: SparkSession, shards: DataFrame, index: DataFrame, root
     records.publish(docs, f"{out}/corpus")
     made = Compiled(spark.read.parquet(f"{out}/queries"), spark.read.parquet(f"{out}/corpus"), rows)
     counts = rows.groupBy("unit_id").agg(F.count(F.lit(1)).alias("selected"), F.sum("n_removed").alias("negatives_removed"))
-    counts = counts.join(made.queries.groupBy("unit_id").agg(F.count(F.lit(1)).alias("query_count"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.hex("sample_id"))), ","), 256).alias("fingerprint")), "unit_id", "left")
+    counts = counts.join(made.queries.groupBy("unit_id").agg(F.count(F.lit(1)).alias("query_count")), "unit_id", "left")
+    counts = counts.join(corpus.fingerprint(made.queries.withColumn("sample", F.hex("sample_id")), ["unit_id"], ["sample"], "sample"), "unit_id", "left")
     counts = counts.join(made.corpus.groupBy("unit_id").agg(F.count(F.lit(1)).alias("corpus_count")), "unit_id", "left").fillna(0, ["query_count", "corpus_count"]).withColumn("dropped", F.col("selected") - F.col("query_count"))
     records.publish(counts, f"{out}/manifest")
     made.manifest = spark.read.parquet(f"{out}/manifest")
@@ -215,6 +221,17 @@ def open_units(sizes: Sequence[str], capacity: int) -> list[tuple[int, str, str
     return out
 
 
+def resume(c: Compiled, doc: dict, sel: Selection, index: DataFrame, files: DataFrame) -> DataFrame:
+    """(unit_id, reason) of units that have to be built again: missing, of another profile, release or selection, or incomplete.
+
+    files (unit_id, file) lists what of each unit is there: queries and corpus are needed.
+    """
+    of_run = {"profile": F.lit(sel.profile), "release": F.lit(doc["dataset_release_id"])}
+    wanted = corpus.fingerprint(index, ["unit_id"], ["sample_id"], "sample_id").withColumns(of_run)
+    stored = c.manifest if {"profile", "release", "fingerprint"} <= set(c.manifest.columns) else c.manifest.withColumns(of_run)
+    return catalog.stale_units(wanted, stored, files, "unit_id", ["profile", "release", "fingerprint"], ["queries", "corpus"])
+
+
 def ordered_batches(rows: DataFrame) -> DataFrame:
     """Rows by step and position, whatever order tasks end in: ranges of steps, sorted inside."""
     return rows.repartitionByRange("step", "position").sortWithinPartitions("step", "position")

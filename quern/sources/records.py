@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.functions.hashing import canonical_json
 from quern.operators.checks import assert_count, assert_schema
 from quern.session import own_dir
 
+FOOTER_TASKS = 200
+
 RECORD = "query STRING, pos ARRAY<STRING>, neg ARRAY<STRING>, prompt STRING, type STRING, pos_scores ARRAY<DOUBLE>, neg_scores ARRAY<DOUBLE>"
 
 
@@ -59,33 +65,122 @@ def first_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where("_metadata.row_index = 0")
 
 
+def _footer(path: str, handle) -> tuple:
+    """What a Parquet footer says of its file, with a digest of the schema and one of all of it."""
+    import pyarrow.parquet as pq
+
+    f = pq.ParquetFile(handle)
+    meta = f.metadata
+    groups = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    schema = [{"name": x.name, "type": str(x.type), "nullable": x.nullable} for x in f.schema_arrow]
+    size = handle.size()
+    digest = lambda x: hashlib.sha256(canonical_json(x).encode()).hexdigest()
+    whole = {"path": path, "size": size, "n_rows": meta.num_rows, "row_group_rows": groups, "schema": schema, "created_by": meta.created_by}
+    return path, size, meta.num_rows, len(groups), groups, meta.created_by, json.dumps(schema), digest(schema), digest(whole)
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for b in batches:
+        rows = []
+        for uri in b.column(0).to_pylist():
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as handle:
+                rows.append(_footer(uri.rpartition("/")[2], handle))
+        yield pa.RecordBatch.from_pylist([dict(zip(_INVENTORY.names, r)) for r in rows], schema=_INVENTORY)
+
+
+_INVENTORY = pa.schema([("path", pa.string()), ("size", pa.int64()), ("n_rows", pa.int64()), ("row_groups", pa.int32()), ("row_group_rows", pa.list_(pa.int64())), ("created_by", pa.string()), ("schema", pa.string()), ("schema_fingerprint", pa.string()), ("metadata_fingerprint", pa.string())])
+_INVENTORY_DDL = "path string, size long, n_rows long, row_groups int, row_group_rows array<long>, created_by string, schema string, schema_fingerprint string, metadata_fingerprint string"
+
+
+class _HadoopFile:
+    """A file of a store that only Spark's own file systems can open, for reading its footer on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        p, fs = hadoop_path(spark, path)
+        self.length, self.stream, self.at, self.closed = fs.getFileStatus(p).getLen(), fs.open(p), 0, False
+        self.jvm = spark._jvm
+
+    def size(self) -> int:
+        return self.length
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = offset + (0, self.at, self.length)[whence]
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def read(self, n: int = -1) -> bytes:
+        n = self.length - self.at if n < 0 else min(n, self.length - self.at)
+        self.stream.seek(self.at)
+        out = bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(self.stream, n)) if n else b""
+        self.at += len(out)
+        return out
+
+    def close(self) -> None:
+        self.closed = True
+        self.stream.close()
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, n_rows, row_groups, created_by, schema) from footers alone; no data page is read."""
-    jvm, rows = spark._jvm, []
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    p, fs = hadoop_path(spark, path)
-    for f in [p.toString()] if fs.getFileStatus(p).isFile() else list_files(spark, path, (".parquet",)):
-        hp = jvm.org.apache.hadoop.fs.Path(f)
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(hp, conf))
-        try:
-            meta = reader.getFooter()
-            rows.append((f.rpartition("/")[2], fs.getFileStatus(hp).getLen(), reader.getRecordCount(), meta.getBlocks().size(), meta.getFileMetaData().getCreatedBy(), meta.getFileMetaData().getSchema().toString()))
-        finally:
-            reader.close()
-    return spark.createDataFrame(rows, "path string, size long, n_rows long, row_groups int, created_by string, schema string")
-
-
-def publish(df: DataFrame, path: str, records_per_file: int = 0, compression: str = "zstd") -> None:
-    """Write beside the target and rename, so readers see all or nothing; an existing target is an error."""
+    """(path, size, n_rows, row_groups, row_group_rows, created_by, schema, schema_fingerprint, metadata_fingerprint) of the
+    Parquet files of a folder from footers alone; no data page is read.
+
+    Footers are read in tasks, each file once. Where pyarrow doesn't know the store, the driver reads them.
+    """
+    from pyarrow import fs
+
+    p, store = hadoop_path(spark, path)
+    files = [store.makeQualified(p).toString()] if store.getFileStatus(p).isFile() else list_files(spark, path, (".parquet",))
+    uris = ["file://" + f.removeprefix("file:") if f.startswith("file:/") and not f.startswith("file://") else f for f in files]
+    try:
+        if uris:
+            fs.FileSystem.from_uri(uris[0])
+    except (pa.ArrowInvalid, OSError):
+        rows = []
+        for f in files:
+            handle = _HadoopFile(spark, f)
+            rows.append(_footer(f.rpartition("/")[2], handle))
+            handle.close()
+        return spark.createDataFrame(rows, _INVENTORY_DDL)
+    listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, min(len(uris), FOOTER_TASKS)))
+    return listed.mapInArrow(_footers, _INVENTORY_DDL)
+
+
+def publish(df: DataFrame, path: str, records_per_file: int = 0, compression: str = "zstd", replace: bool = False) -> None:
+    """Write beside the target and rename, so readers see all or nothing.
+
+    An existing target is an error, or with replace it is set aside, and deleted once the new one is in its place; if that
+    fails it is put back. Whatever fails, what was staged is deleted.
+    """
     spark = df.sparkSession
     target, fs = hadoop_path(spark, path)
-    if fs.exists(target):
+    if not replace and fs.exists(target):
         raise FileExistsError(path)
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    w = df.write.mode("errorifexists").option("compression", compression)
-    (w.option("maxRecordsPerFile", records_per_file) if records_per_file else w).parquet(staged)
-    if not fs.rename(hadoop_path(spark, staged)[0], target):
-        raise OSError(f"can't publish {path}")
+    mark = uuid.uuid4().hex
+    staged, backup = hadoop_path(spark, f"{path}.staged-{mark}")[0], hadoop_path(spark, f"{path}.old-{mark}")[0]
+    try:
+        w = df.write.mode("errorifexists").option("compression", compression)
+        (w.option("maxRecordsPerFile", records_per_file) if records_per_file else w).parquet(staged.toString())
+        aside = fs.exists(target)
+        if aside and not (replace and fs.rename(target, backup)):
+            raise FileExistsError(path)
+        if not _renamed(fs, staged, target):
+            if aside:
+                fs.rename(backup, target)
+            raise OSError(f"can't publish {path}")
+        if aside:
+            fs.delete(backup, True)
+    finally:
+        fs.delete(staged, True)
+
+
+def _renamed(fs, source, target) -> bool:
+    """Whether source is now target; a target that has come up meanwhile isn't renamed into."""
+    return not fs.exists(target) and fs.rename(source, target)
 
 
 def open_table(spark: SparkSession, path: str, schema: StructType, rows: int | None = None) -> DataFrame:
@@ -95,16 +190,22 @@ def open_table(spark: SparkSession, path: str, schema: StructType, rows: int | N
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small report or JSON document, renamed into place."""
+    """A small report or JSON document, which takes the place of an older one in one step: readers find either of them."""
     staged, fs = hadoop_path(spark, f"{path}.staged-{uuid.uuid4().hex}")
-    out = fs.create(staged)
-    out.write(bytearray(text.encode()))
-    out.hsync()
-    out.close()
     target = hadoop_path(spark, path)[0]
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(staged, target)
+    try:
+        out = fs.create(staged)
+        out.write(bytearray(text.encode()))
+        out.hsync()
+        out.close()
+        jvm = spark._jvm
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri() if staged.toUri().getScheme() else fs.getUri(), fs.getConf())
+        context.rename(fs.makeQualified(staged), fs.makeQualified(target), over)
+    finally:
+        if fs.exists(staged):
+            fs.delete(staged, False)
 
 
 def read_manifest(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
@@ -125,7 +226,8 @@ def manifest_text(units: list[dict], version: int = 1) -> str:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small aggregate as a Markdown table; rows beyond the limit are counted in its last line."""
+    rows = df.limit(limit + 1).collect()
     line = lambda r: "| " + " | ".join("" if v is None else str(v) for v in r) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    more = [line([f"and {df.count() - limit} more", *[""] * (len(df.columns) - 1)])] if len(rows) > limit else []
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:limit]), *more])

@@ -6,11 +6,15 @@ Event times without a zone are read as TIMESTAMP_NTZ, which watermarks don't tak
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quern.session import own_dir
+from quern.sources import attempts
 
 WINDOW, LATENESS = "1 hour", "10 minutes"
 
@@ -40,32 +44,83 @@ def consumed(events: DataFrame, epoch: str) -> DataFrame:
     return events.where(epoch).withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drain an available-now stream; its last complete result (or all appended rows) as a table in the shared folder."""
+def run_to_table(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Drain an available-now stream; its appended rows (or last complete result) as a table in the shared folder.
+
+    In append mode a window is written once, when the watermark has passed its end, and its state is dropped then. Each
+    micro-batch writes a folder of its own, so one that is repeated after a failure replaces itself. Given the base of an
+    earlier run, the stream goes on where that one ended.
+    """
     spark = stream.sparkSession
-    base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        df.write.mode("overwrite").parquet(f"{base}/out/{'complete' if mode == 'complete' else f'epoch={epoch}'}")
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
 
+def upsert_latest(stream: DataFrame, key: str, seq: str, base: str | None = None) -> DataFrame:
+    """The latest row of each key after the stream.
 
-def upsert_latest(stream: DataFrame, key: str, seq: str) -> DataFrame:
-    """The latest row of each key after the stream: each micro-batch is merged with the view before it."""
+    A micro-batch appends its own latest rows to a log under its number; every FOLD of them the log is folded into one part.
+    Nothing is kept in memory, so a stream that is started again on the same base goes on with all earlier rows.
+    """
     spark = stream.sparkSession
-    base = f"{own_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    columns = stream.columns
-    state = {"path": None}
+    base = base or f"{own_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    log, schema = f"{base}/log", stream.schema
 
     def merge(df: DataFrame, epoch: int) -> None:
-        old = df if state["path"] is None else df.unionByName(spark.read.schema(df.schema).parquet(state["path"]))
-        path = f"{base}/view-{epoch}"
-        old.groupBy(key).agg(F.max_by(F.struct(*columns), seq).alias("r")).select("r.*").write.mode("overwrite").parquet(path)
-        state["path"] = path
+        attempts.append(log, attempts.latest(df, key, seq), f"epoch{epoch}")
+        if epoch % attempts.FOLD == attempts.FOLD - 1:
+            attempts.fold(spark, log, schema, key, seq, epoch)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(state["path"])
+    return attempts.latest(attempts.read(spark, log, schema), key, seq)
+
+
+def smoothed(stream: DataFrame, run: str, order: str, value: str, alpha: float) -> DataFrame:
+    """(run, n, ema) after each micro-batch: exponential smoothing whose state is a count and a number for each run.
+
+    Values of a micro-batch are taken in order; a later batch must hold later ones.
+    """
+    kind = stream.schema[run].dataType.simpleString()
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, ema = state.get if state.exists else (0, 0.0)
+        for x in pd.concat(list(parts)).sort_values(order)[value]:
+            ema = x if n == 0 else alpha * x + (1 - alpha) * ema
+            n += 1
+        state.update((n, float(ema)))
+        yield pd.DataFrame({run: [key[0]], "n": [n], "ema": [float(ema)]})
+
+    return stream.groupBy(run).applyInPandasWithState(step, f"`{run}` {kind}, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
+
+
+def open_units(stream: DataFrame, worker: str, order: str, unit: str, capacity: int) -> DataFrame:
+    """(worker, order, opened, evicted): for each worker's schedule, the units that it has to open, and which it closes for them.
+
+    A worker holds capacity units at most and closes the one least recently used; its state is their list.
+    """
+    if capacity <= 0:
+        raise ValueError("the capacity must be positive")
+    kinds = ", ".join(f"`{c}` {stream.schema[c].dataType.simpleString()}" for c in (worker, order))
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict.fromkeys(state.get[0]) if state.exists else {}
+        rows = []
+        for at, u in pd.concat(list(parts)).sort_values(order)[[order, unit]].itertuples(index=False):
+            known = u in held
+            held.pop(u, None)
+            gone = next(iter(held)) if not known and len(held) >= capacity else None
+            held.pop(gone, None)
+            held[u] = None
+            if not known:
+                rows.append((key[0], at, u, gone))
+        state.update((list(held),))
+        yield pd.DataFrame(rows, columns=[worker, order, "opened", "evicted"])
+
+    return stream.groupBy(worker).applyInPandasWithState(step, f"{kinds}, opened string, evicted string", "held array<string>", "append", GroupStateTimeout.NoTimeout)

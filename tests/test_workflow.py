@@ -49,7 +49,7 @@ def test_plan(spark, root):
     assert all(5 <= r < 9 for u, _, r in got if u == "b1") and all(r < 5 for u, p, r in got if u == "a1" and p == "y.parquet")
     assert keys(plan(spark, root)[1]) == got != keys(plan(spark, root, seed=2)[1])
     r = index.first()
-    assert r.sample_id == hashing.row_id("rel", r.path, r.row_index).hex()
+    assert r.sample_id == hashing.row_id("rel", r.path, r.row_index, b"quern-row").hex()
     assert {r.unit_id: r.reason for r in shards.collect()} == {"a1": None, "b1": None, "c1": "contaminated"}
     assert keys(plan(spark, root, include=["c1"], only=["c1"])[1]) == [("c1", "z.parquet", i) for i in range(6)]
     total = W.report(shards, index).where("task_type = 'total'").first()
@@ -94,6 +94,11 @@ def test_compile_and_batches(spark, root, tmp_path):
     assert {(r[2], r[3]) for r in two} == {(p, p // 2) for p in range(4)}
     assert all(len(r[5]) == 3 and r[4].startswith("Instruct: find\nQuery: ") for r in one)
     assert len(one) == 4 * sum(r.query_count // 4 for r in m.values())
+    files = spark.createDataFrame([(u, f) for u in m for f in ("queries", "corpus")], "unit_id string, file string")
+    fresh = W.Compiled(c.queries, c.corpus, W.corpus.fingerprint(index, ["unit_id"], ["sample_id"], "sample_id"))
+    assert W.resume(fresh, DOC, W.Selection("p"), index, files).count() == 0
+    stale = lambda x, f=files: {(r.unit_id, r.reason) for r in W.resume(fresh, DOC, W.Selection("p"), x, f).collect()}
+    assert stale(index.where("row_index <> 1")) <= {("a1", "stale fingerprint"), ("b1", "stale fingerprint")} and stale(index, files.where("file = 'corpus' OR unit_id = 'a1'")) == {("b1", "incomplete")}
     broken = W.Compiled(c.queries, c.corpus.where("doc_id <> 1"), c.manifest)
     assert {r.problem for r in W.verify(broken).collect()} >= {"document ids"}
 
