@@ -120,7 +120,7 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path
     for written in _scopes.__dict__.get("open", [])[-1:]:
