@@ -256,9 +256,14 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder(f.read().splitlines(), pattern)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    yield from T.slices(batches, column)
+    T.forget_later(encoder.cache_clear)
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, column: int, decode: bool) -> Iterator[pa.RecordBatch]:
     e = encoder(path, pattern)
-    for b in T.slices(batches, column):
+    for b in _slices(batches, column):
         ids: list[np.ndarray] = []
         back: list[bytes] = []
         for x in b.column(column):
@@ -285,7 +290,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = Fa
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     e = encoder(path, pattern)
-    for b in T.slices(batches, 1):
+    for b in _slices(batches, 1):
         n, ids_hex, decoded_hex = [], [], []
         for x in b.column(1):
             ids = e.encode(x.as_py() or "")

@@ -7,14 +7,15 @@ bounded by the block (or by one document, where that is longer).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES, IDLE_SECONDS = 1 << 21, 4.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _rng = np.random.default_rng(20240229)
@@ -97,6 +98,23 @@ def release() -> None:
         trim(0)
 
 
+_timers: dict[Callable[[], None], threading.Timer] = {}
+
+
+def forget_later(clear: Callable[[], None], seconds: float = IDLE_SECONDS) -> None:
+    """Clear a worker's cache once it hasn't been used for some seconds: idle workers count into the memory of other stages."""
+
+    def run() -> None:
+        clear()
+        release()
+
+    if clear in _timers:
+        _timers[clear].cancel()
+    _timers[clear] = threading.Timer(seconds, run)
+    _timers[clear].daemon = True
+    _timers[clear].start()
+
+
 class Words:
     """Words of a block of documents: hash, first and past-last byte, and the first word of each document (n + 1)."""
 

@@ -294,6 +294,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
                 held, lengths, docs, size, seq = [], [], [], 0, seq + 1
     if docs:
         yield flush()
+    T.forget_later(word_cache.cache_clear)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
