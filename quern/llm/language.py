@@ -45,6 +45,14 @@ def _spans(off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return off[:-1], np.maximum(off[1:] - width + 1, np.minimum(off[:-1] + 1, off[1:]))
 
 
+def _own(data: np.ndarray) -> np.ndarray:
+    """Buckets of one text's grams; of a text shorter than a gram, its first byte's with zeros after."""
+    return np.concatenate([g[: max(len(data) - w - 1, 1)] for w, g in enumerate(_grams(data))])
+
+
+SHORT = 4  # texts of fewer bytes are taken by themselves, as their grams would reach into the next text of a block
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in T.slices(batches, 1):
         ids, values = [], []
@@ -52,9 +60,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = list(_grams(data))
             for d in range(j - i):
                 counts = np.zeros(BUCKETS, np.int64)
-                for w, g in enumerate(grams):
-                    s, e = (x[d] for x in _spans(off, w + 2))
-                    counts += np.bincount(g[s:e], minlength=BUCKETS)
+                own = data[off[d] : off[d + 1]]
+                if 0 < len(own) < SHORT:
+                    counts += np.bincount(_own(own), minlength=BUCKETS)
+                else:
+                    for w, g in enumerate(grams):
+                        s, e = (x[d] for x in _spans(off, w + 2))
+                        counts += np.bincount(g[s:e], minlength=BUCKETS)
                 at = np.flatnonzero(counts)
                 ids.append(at.astype(np.int32))
                 values.append((counts[at] / max(1, counts.sum())).astype(np.float32))
@@ -139,7 +151,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             for d in np.flatnonzero(~letters & (off[1:] > off[:-1])):
                 letters[d] = any(c.isalpha() for c in data[off[d] : off[d + 1]].tobytes().decode())
             total, seen = np.zeros((j - i, len(model.labels))), np.zeros(j - i)
-            live = np.flatnonzero(off[1:] > off[:-1])
+            size = off[1:] - off[:-1]
+            live = np.flatnonzero(size >= SHORT)
+            for d in np.flatnonzero((size > 0) & (size < SHORT)):
+                own = _own(data[off[d] : off[d + 1]])
+                total[d], seen[d] = model.table[own].sum(0), len(own)
             if len(data) > most:  # one long text: its subwords are counted, a chunk at a time
                 counts = np.zeros(BUCKETS, np.int64)
                 for a in range(0, len(data), most):

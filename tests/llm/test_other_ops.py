@@ -1,14 +1,20 @@
 """Url rules, language, quality, mixing, pivots and the pipeline against brute force, with odd rows."""
 
+import base64
 import math
+import re
 import sys
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tiktoken
 
 from quern.llm import language, mixing, pivots, quality, url_rules
+from quern.llm import text as T
 from quern.llm.queries import LEARNED, ORACLES, QUERIES, URL_RULES
 from quern.session import table
 
@@ -75,6 +81,40 @@ def test_language(spark, sf):
     assert language.predict(odd.limit(0), model).count() == 0
 
 
+def plain_prediction(text, model):
+    """Language and score by loops over bytes, with the hash written out in whole numbers."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    fold = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    x, m, total, seen = [*fold, 0, 0, 0], 1 << 32, np.zeros(len(model.labels)), 0
+    for width, salt in ((2, 0x2545F491), (3, 0x9E3779B1), (4, 0x85EBCA77)):
+        for i in range(max(len(fold) - width + 1, 1)):
+            key = sum(x[i + j] << 8 * j for j in range(width))
+            h = (key * salt % m ^ (key >> 7) * 0x27D4EB2F % m) * 0x165667B1 % m
+            total += model.table[h >> (33 - language.BUCKETS.bit_length())]
+            seen += 1
+    z = (total / seen + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return model.labels[int(z.argmax())], float((e / e.sum()).max())
+
+
+def test_language_matches_brute_force(spark, sf):
+    """Whole texts in any block: short, long (more than a block), repeated ones, and columns named like the results."""
+    d = table(spark, sf, "documents")
+    model = language.train(d, LEARNED)
+    long = "the quick brown fox " * 120_000
+    texts = [r.text for r in d.collect()] + [None, "", "7", "é", "ab", "abc d", long]
+    rows = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate([*texts, texts[0], texts[0]])], "doc_id long, text string, lang_pred string, score double")
+    got = {r.doc_id: r for r in language.predict(rows, model).collect()}
+    for i, t in enumerate(texts):
+        want = plain_prediction(t[:200_000] if t == long else t, model)
+        if t == long:
+            assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-3
+        else:
+            assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-5, i
+    assert {got[i][1:] for i in (0, len(texts), len(texts) + 1)} == {got[0][1:]}
+
+
 def test_language_never_sees_held_out_labels(spark, sf):
     d = table(spark, sf, "documents")
     a = language.train(d, LEARNED)
@@ -210,6 +250,49 @@ def test_schedule_keeps_exact_weights(n):
         assert np.abs(np.cumsum(order[:upto] == k) - np.arange(1, upto + 1) * w[k]).max() < 1 + mixing.EPS
 
 
+def plain_schedule(blocks, weights):
+    """Earliest deadline first, slot by slot, from exact fractions of the ideal mix."""
+    n, w = len(blocks), [Fraction(x) for x in weights]
+    done, now, edge = [Fraction(0)] * n, Fraction(0), [[Fraction(0)] for _ in range(n)]
+    while any(d < b for d, b in zip(done, blocks)):  # to the next end of a block of any source
+        live = [k for k in range(n) if done[k] < blocks[k]]
+        rate = {k: w[k] / sum(w[j] for j in live) for k in live}
+        step = min((math.floor(done[k]) + 1 - done[k]) / rate[k] for k in live)
+        now += step
+        for k in live:
+            done[k] += step * rate[k]
+            if done[k].denominator == 1:
+                edge[k].append(now)
+    placed, out = [0] * n, []
+    for slot in range(sum(blocks)):
+        ready = [(math.ceil(edge[k][j + 1]), edge[k][j + 1], k) for k, j in enumerate(placed) if j < blocks[k] and math.floor(edge[k][j]) <= slot]
+        k = min(ready)[2]
+        assert slot < math.ceil(edge[k][placed[k] + 1])
+        placed[k] += 1
+        out.append(k)
+    return out
+
+
+@pytest.mark.parametrize("blocks,weights", [([40, 30, 3], [3, 2, 1]), ([7, 7, 7], [1, 1, 1]), ([60, 1], [1, 5]), ([25, 9, 13, 2, 1], [8, 4, 2, 1, 1]), ([5], [2]), ([0, 4], [1, 1])])
+def test_schedule_matches_brute_force(blocks, weights):
+    assert np.concatenate([*mixing.interleave(blocks, weights, chunk=7), np.zeros(0, int)]).tolist() == plain_schedule(blocks, weights)
+
+
+def test_mixing_places_blocks_as_the_plain_schedule(spark):
+    """Blocks stand in the plain schedule's order; inside, a block's rows have consecutive positions."""
+    counts, weights = {"a": 90, "b": 47, None: 5}, {"a": 3.0, "b": 2.0, None: 1.0}
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))], "doc_id long, source string")
+    rows = sorted(mixing.mix(d, weights, block=4).collect(), key=lambda r: r.position)
+    names = sorted(counts, key=str)
+    order = [names[k] for k in plain_schedule([-(-counts[k] // 4) for k in names], [int(weights[k]) for k in names])]
+    seen, want = Counter(), []
+    for slot, k in enumerate(order):
+        size = min(4, counts[k] - 4 * seen[k])
+        want += [(k, seen[k], slot)] * size
+        seen[k] += 1
+    assert [(r.source, r.block, r.slot) for r in rows] == want and [r.position for r in rows] == list(range(142))
+
+
 def test_mixing_keeps_every_row(spark):
     """A source of one document, null ids and repeated ids cost no row; each row has a place of its own."""
     rows = [(i, "big" if i % 10 else "small", i) for i in range(900)]
@@ -278,6 +361,15 @@ def at_cosine(rng, x, c):
     return c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
 
 
+def test_pivots_of_odd_rows(spark):
+    """Columns named like the results, rows repeated under one vec_id, one vec_id with two vectors, null ids."""
+    v, u = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    rows = [(1, v), (1, v), (2, [2.0, 0.0, 0.41]), (3, u), (3, v), (None, v), (4, None), (9, [0.0] * 3)]
+    d = spark.createDataFrame([(i, x, 7, 7, True) for i, x in rows], "vec_id long, embedding array<double>, n_links int, component_id int, kept boolean")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True)] * 2 + [(2, 3, 1, False)] + [(3, 3, 1, False)] * 2 + [(-1, 0, None, False), (4, 0, 4, True), (9, 0, 9, True)], key=str)
+
+
 def test_pivot_recall_near_the_limit(spark):
     """5,600 vectors: pairs of cosine 0.88 to 0.92 and at 0.9 itself, a hot group, and the rest apart; no false link."""
     rng = np.random.default_rng(17)
@@ -303,7 +395,7 @@ def test_queries_with_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, sf)
@@ -314,6 +406,58 @@ def test_queries_with_sql(spark, sf):
         assert got.astype(object).where(got.notna(), None).equals(want.astype(object).where(want.notna(), None)) or (got.fillna("") == want.fillna("")).all().all(), name
 
 
+def plain_features(text, ratios):
+    """The classifier's numbers for one text, word by word."""
+    data = (text or "").encode()
+    words = [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    n, lines = len(words), data.split(b"\n")
+    part = [sum(data.count(bytes([c])) for c in s) / max(1, len(data)) for s in quality._SETS]
+    part += [sum(a == b for a, b in zip(words, words[1:])) / max(1, n), 1 - len(set(words)) / max(1, n) if n else 1.0, min(40, sum(map(len, words)) / max(1, n)) / 40]
+    part += [sum(w[-1:] in b"#*$%&!|" for w in words) / max(1, n), 1 - len(set(lines)) / len(lines), min(1, len(lines) / 200), float(n < 50)]
+    h = [int(T.Words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash[0]) for w in words]
+    shift = 65 - quality.GRAMS.bit_length()
+    pair = [int(T.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h, h[1:])]
+    evidence = sum(ratios[x >> shift] for x in h + pair) / max(1, 2 * n - 1)
+    return [*part, *(max(0, x) ** 0.5 for x in part), math.log1p(n) / 10, evidence]
+
+
+def plain_quality(rows, model, weight):
+    """doc_id of the rows kept, from plain features and rates by loops."""
+    logit = {i: float(model.logit(np.array([plain_features(r.text, model.ratios)]))[0]) for i, r in enumerate(rows)}
+    prob = {i: 1 / (1 + math.exp(-x)) for i, x in logit.items()}
+    mean = sum(prob.values()) / len(rows)
+    hosts, paths = {}, {}
+    for i, r in enumerate(rows):
+        hosts.setdefault(r.source, []).append(i)
+        paths.setdefault((r.source, r.lang), []).append(i)
+    rate = lambda ids: sum(prob[i] for i in ids) / len(ids)
+    w0 = prior_weight(mean, [rate(x) for x in hosts.values()])
+    spread_ = float(np.mean([np.var([rate(x) for (h, _), x in paths.items() if h == k]) for k in hosts]))
+    kept = []
+    for i, r in enumerate(rows):
+        own, near = hosts[r.source], paths[r.source, r.lang]
+        whole = (sum(prob[j] for j in own) + w0 * mean) / (len(own) + w0)
+        w1 = min(1e4, max(1.0, whole * (1 - whole) / spread_ - 1)) if spread_ > 0 else 1e4
+        host = (sum(prob[j] for j in own if j != i) + w0 * mean) / (len(own) - 1 + w0)
+        path = (sum(prob[j] for j in near if j != i) + w1 * host) / (len(near) - 1 + w1)
+        moved = math.log(path / (1 - path)) - math.log(mean / (1 - mean))
+        if 1 / (1 + math.exp(-(logit[i] + weight * moved))) >= 0.5:
+            kept.append(r.doc_id)
+    return kept
+
+
+def test_features_match_plain_code(spark, sf):
+    ratios = np.random.default_rng(0).normal(size=quality.GRAMS)
+    texts = [r.text for r in table(spark, sf, "documents").limit(60).collect()] + [None, "", "A b A b", "x\n\nx", "é " * 70]
+    got = quality.features(pa.array(texts, pa.string()), ratios)
+    assert np.allclose(got, [plain_features(t, ratios) for t in texts], atol=1e-5)
+    total = np.zeros(quality.GRAMS)
+    for x in quality.word_counts(pa.array(texts, pa.string())):
+        assert abs(x.sum() - (x.sum() > 0)) < 1e-9
+        total += x
+    assert total.sum() > 60
+
+
 def test_pipeline(spark, sf):
     """Each stage against the plain reading of its own input."""
     import corpus_pipeline
@@ -331,11 +475,61 @@ def test_pipeline(spark, sf):
         assert after <= set(before) and len(after) == len(rows)
         assert docs.columns == (columns if k < 4 else [*columns, "token_ids"])
         if name == "quality_classifier":
-            bad = {r.doc_id for r in table(spark, sf, "labels").where("quality = 0").collect()}
+            labels = table(spark, sf, "labels")
+            model, known = quality.train(quality.labelled(table(spark, sf, "documents"), labels, "source", "lang"))
+            _, _, weight = quality._fitted(table(spark, sf, "documents"), labels, "source", "lang")
+            assert sorted(after) == sorted(plain_quality(list(before.values()), model, weight))
+            bad = {r.doc_id for r in labels.where("quality = 0").collect()}
             assert not bad & after
         elif name == "quality_rules":
             assert after == {i for i, r in before.items() if not measures(r.text)[5]}
         elif name == "ngram_jaccard_join":
             assert after == {i for i, (_, c) in groups({i: r.text for i, r in before.items()}).items() if i == c}
+        elif name == "mixing_sources":
+            assert after == set(before)
+            n = Counter(r.source for r in before.values())
+            names = sorted(n, key=str)
+            order = np.concatenate(list(mixing.interleave([-(-n[k] // mixing.BLOCK) for k in names], [n[k] ** mixing.ALPHA for k in names]))).tolist()
+            seen, want = Counter(), []
+            for k in (names[x] for x in order):
+                want += [k] * min(mixing.BLOCK, n[k] - mixing.BLOCK * seen[k])
+                seen[k] += 1
+            assert [r.source for r in rows] == want
+        elif name == "byte_level_bpe":
+            import public_tokenizers as P
+
+            with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+            ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            assert after == set(before) and all(r.token_ids == ref.encode_ordinary(r.text or "") for r in rows)
         docs = spark.createDataFrame(rows, docs.schema)
     assert sys.modules["corpus_pipeline"].run(spark, sf).count() == len(rows)
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and a column more; then empty tables."""
+    import corpus_pipeline
+
+    good = [r.text for r in table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1"), "doc_id").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, t, "en", f"s{i % 3}", len(t), 1) for i, t in enumerate(good)]
+    rows += [(100, None, "en", "s1", 0, 2), (101, "", None, None, 0, 3), (None, good[0] + " and more " * 3, None, "s1", None, 4), (None, good[1], "en", None, None, 5)]
+    rows += [(2, good[2], "en", "s2", len(good[2]), 6), (102, "long words here " * 60_000, "en", "s1", 0, 7)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, block int"
+    for name, part in (("some", rows), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(part, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1) for i in range(10)] if part else [], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "block", "token_ids"]
+        left = out.collect()
+        # labels of one class reject nothing; texts without words fail the rules, as does one that repeats itself; of the rows of document 2 one stays
+        gone = {measures_failed(r) for r in left}
+        assert gone <= {False} and len({(r.doc_id, r.text) for r in left}) == len(left)
+        if part:
+            assert {r.doc_id for r in left} >= {0, 2, None} and not {100, 101, 102} & {r.doc_id for r in left} and sum(r.doc_id is None for r in left) == 2
+
+
+def measures_failed(r):
+    from test_text_ops import measures
+
+    return measures(r.text)[5]
