@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quern.llm.components import connected
 from quern.session import materialise
 
-NEAR, SHARED, BLOCK, MOST_PIVOTS, COSINE, APART = 8, 2, 1024, 4096, 0.9, 0.7
+NEAR, SHARED, BLOCK, MOST_PIVOTS, PIVOT_BYTES, COSINE, APART = 8, 2, 1024, 4096, 64 << 20, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
@@ -64,32 +64,37 @@ def spread(sample: np.ndarray, most: int) -> np.ndarray:
     return taken[:n]
 
 
-_ENTRY = "pivot int, node long, weight long, near array<int>, v binary"
+_ENTRY = "length int, pivot int, node long, weight long, near array<int>, v binary"
 
 
-def _described(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, near: int, shared: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], near: int, shared: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw = b.column(2).to_pylist()
-        ok = [i for i, x in enumerate(raw) if len(x) == 8 * pivots.shape[1]]
-        for c in range(0, len(ok), 512):
-            at = ok[c : c + 512]
-            x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-            s = x @ pivots.T
-            k = min(near, s.shape[1])
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            m = max(1, k - shared + 1)
-            least = np.sort(top, axis=1)[:, :m]
-            n = np.repeat(np.array(at), m)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(top, m, axis=0).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(least.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), lists, b.column(2).take(pa.array(n))], names=["pivot", "node", "weight", "near", "v"])
+        of: dict[int, list[int]] = {}
+        for i, x in enumerate(raw):
+            of.setdefault(len(x), []).append(i)
+        for length, at in of.items():
+            own = pivots[length]
+            for c in range(0, len(at), 512):
+                rows = at[c : c + 512]
+                s = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1) @ own.T
+                k = min(near, s.shape[1])
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                m = max(1, k - min(shared, len(own)) + 1)
+                least = np.sort(top, axis=1)[:, :m]
+                n = np.repeat(np.array(rows), m)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(top, m, axis=0).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), length, np.int32)), pa.array(least.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), lists, b.column(2).take(pa.array(n))], names=["length", "pivot", "node", "weight", "near", "v"])
 
 
 _FOUND = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
-def _compare(t: pa.Table, n_pivots: int, shared: int, least: float) -> pa.Table:
+def _compare(t: pa.Table, sizes: dict[int, int], shared: int, least: float) -> pa.Table:
     """One pair of blocks of one pivot's list: numbers of links by vector (other null), and a star forest of links."""
+    n_pivots = sizes[t.column("length")[0].as_py()]
+    shared = min(shared, n_pivots)
     key = t.column("pivot")[0].as_py()
     i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
     block = t.column("block").to_numpy()
@@ -129,8 +134,36 @@ def _compare(t: pa.Table, n_pivots: int, shared: int, least: float) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.concatenate([node[live], np.array([s[0] for s in stars], np.int64)])), pa.array([None] * len(live) + [s[1] for s in stars], pa.int64()), pa.array(np.concatenate([count[live], np.zeros(len(stars), np.int64)]))], schema=_FOUND)
 
 
-def _comparing(n_pivots: int, shared: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    return lambda t: _compare(t, n_pivots, shared, least)
+def _comparing(sizes: dict[int, int], shared: int, least: float) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: _compare(t, sizes, shared, least)
+
+
+def _batches(lengths: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """(bytes of a vector, number of vectors) in batches whose pivots take PIVOT_BYTES at most (or one length's, if that is more)."""
+    out, size = [], 0
+    for length, n in lengths:
+        more = n_pivots(n) * length
+        if out and size + more > PIVOT_BYTES:
+            yield out
+            out, size = [], 0
+        out.append((length, n))
+        size += more
+    if out:
+        yield out
+
+
+def _sample(own: DataFrame, lengths: list[tuple[int, int]]) -> dict[int, np.ndarray]:
+    """For each length the vectors of least hash, twice as many as pivots are wanted (a few more are read), in hash order."""
+    quota = {length: 2 * n_pivots(n) for length, n in lengths}
+    share = F.create_map(*(F.lit(x) for length, n in lengths for x in (length, min(1.0, (quota[length] + 6 * quota[length] ** 0.5) / n))))
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    got = own.where(place / float(1 << 30) < share[F.length("v")]).select(place.alias("place"), "v").toArrow()
+    rows = sorted(zip(got.column("place").to_pylist(), got.column("v").to_pylist()))
+    out: dict[int, list[bytes]] = {}
+    for _, v in rows:
+        if len(held := out.setdefault(len(v), [])) < quota[len(v)]:
+            held.append(v)
+    return {length: np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1) for length, x in out.items()}
 
 
 def _forest(link: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -163,18 +196,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR
     classes = materialise(classes.select("node", "weight", "v"), "classes")
     counts = None
     links = None
-    for (length,) in [tuple(r) for r in classes.select(F.length("v")).distinct().orderBy(F.length("v")).collect()]:
-        own = classes.where(F.length("v") == length)
-        n = own.count()
-        sample = own.select("v").orderBy(F.xxhash64("v"), "v").limit(2 * n_pivots(n)).toArrow().column("v").to_pylist()
-        pivots = spread(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), -1), n_pivots(n))
-        need = min(shared, len(pivots))
-        held = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
-        entries = materialise(own.mapInArrow(lambda it, held=held, need=need: _described(it, held.value, near, need), _ENTRY), "index")
-        sizes = entries.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        dealt = entries.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    lengths = [tuple(r) for r in classes.groupBy(F.length("v").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()]
+    for batch in _batches(lengths):
+        own = classes.where(F.length("v").between(batch[0][0], batch[-1][0]))
+        pivots = {length: spread(x, n_pivots(n)) for (length, n), (_, x) in zip(batch, sorted(_sample(own, batch).items()))}
+        held = spark.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most, or MOST_PIVOTS vectors
+        sizes = {length: len(x) for length, x in pivots.items()}
+        entries = materialise(own.mapInArrow(lambda it, held=held: _described(it, held.value, near, shared), _ENTRY), "index")
+        of_list = entries.groupBy("length", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("length", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        dealt = entries.join(of_list, ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        found = dealt.groupBy("pivot", "i", "j").applyInArrow(_comparing(len(pivots), need, cosine), "node long, other long, n long")
+        found = dealt.groupBy("length", "pivot", "i", "j").applyInArrow(_comparing(sizes, shared, cosine), "node long, other long, n long")
         found = materialise(found, "found")
         part = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
         counts = part if counts is None else counts.unionByName(part)

@@ -354,6 +354,26 @@ def test_pivots(spark, monkeypatch, block):
     assert pivots.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_pivots_of_ragged_vectors(spark, monkeypatch):
+    """Many lengths go through few jobs, and vectors link within their length as they do alone."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(3, 33):
+        base = rng.normal(size=(12, n))
+        rows += [x.tolist() for x in base] + [(x * 3).tolist() for x in base[:4]] + [(x + rng.normal(size=n) * 0.02).tolist() for x in base[:6]]
+    d = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(pivots, "_sample", lambda own, lengths, f=pivots._sample: seen.append(len(lengths)) or f(own, lengths))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(d).collect()}
+    assert seen == [30] and [len(x) for x in pivots._batches([(8 * k, 10) for k in range(1000, 30_000, 500)])] > [1]
+    for n in range(3, 33):
+        own = [(i, np.array(x)) for i, x in enumerate(rows) if len(x) == n]
+        x = np.array([v / np.linalg.norm(v) for _, v in own])
+        want = (x @ x.T >= 0.9).sum(1) - 1
+        have = np.array([got[i][0] for i, _ in own])
+        assert (have <= want).all() and have.sum() >= 0.95 * want.sum()
+
+
 def at_cosine(rng, x, c):
     """A vector whose cosine with the unit vector x is c."""
     y = rng.normal(size=len(x))
