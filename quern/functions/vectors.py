@@ -92,6 +92,34 @@ def truncate(v: Column, dim: int) -> Column:
     return normalise(F.slice(v, 1, dim))
 
 
+def merged(vectors: list[Column], weights: list[float], factor: float = 1.0) -> Column:
+    """Vectors folded in one at a time: the running mean moves by each weight's share of the sum so far; scaled at the end."""
+    m = as_double(vectors[0])
+    for k in range(1, len(vectors)):
+        share = weights[k] / sum(weights[: k + 1])
+        m = add(scale(m, F.lit(1 - share)), scale(vectors[k], F.lit(share)))
+    return scale(m, F.lit(factor))
+
+
+def multi_slerp(df: DataFrame, vectors: list[str], weights: list[float], eps: float = 1e-8) -> DataFrame:
+    """df with step and merged: the weighted mean on the sphere of unit vectors, and how far it is from their linear mean.
+
+    Vectors are mapped to the tangent space at the normalised linear mean, averaged there, and mapped back; where a vector or
+    the step is that mean itself (to within eps), the linear parts are taken.
+    """
+    total = sum(weights)
+    share = [w / total for w in weights]
+    df = df.withColumn("__u", normalise(add(*(scale(F.col(c), F.lit(w)) for c, w in zip(vectors, share)))))
+    df = df.withColumns({f"__c{i}": dot(F.col(c), F.col("__u")) for i, c in enumerate(vectors)})
+    sine = lambda i: F.sqrt(1 - F.col(f"__c{i}") * F.col(f"__c{i}"))
+    df = df.withColumns({f"__k{i}": F.when(sine(i) > eps, w * F.acos(f"__c{i}") / sine(i)).otherwise(w) for i, w in enumerate(share)})
+    side = lambda i, c: F.zip_with(as_double(F.col(c)), "__u", lambda x, z: F.col(f"__k{i}") * (x - F.col(f"__c{i}") * z))
+    df = df.withColumn("__g", add(*(side(i, c) for i, c in enumerate(vectors)))).withColumn("step", norm(F.col("__g")))
+    turn = F.when(F.col("step") > eps, F.sin("step") / F.col("step")).otherwise(0.0)
+    out = df.withColumn("__turn", turn).withColumn("merged", F.zip_with("__u", "__g", lambda z, g: F.cos("step") * z + F.col("__turn") * g))
+    return out.drop("__u", "__g", "__turn", *(f"__{x}{i}" for x in "ck" for i in range(len(vectors))))
+
+
 def invalid_scores(rows: DataFrame, scores: str, n: int) -> DataFrame:
     """rows whose scores aren't n numbers, with problem: shape, or nan where one at any place is."""
     problem = F.when(F.size(scores) != n, "shape").when(F.exists(scores, F.isnan), "nan")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.checks import ConstraintError, assert_empty
-from quern.operators.corpus import ranged
+from quern.operators.corpus import dense_ids, ranged
 
 
 def explode_catalog(sources: DataFrame) -> DataFrame:
@@ -91,6 +91,22 @@ def islands(df: DataFrame, key: str, order: str) -> DataFrame:
     return dealt.join(last, "__part").withColumn("__c", change).groupBy(key).agg(F.sum("__c").alias("n_islands"))
 
 
+def lockstep_mismatch(a: DataFrame, b: DataFrame, unit: str, value: str) -> DataFrame:
+    """(unit, problem) where the ordered values of a unit differ between both sides, compared place by place."""
+    listed = lambda d, n: dense_ids(d.select(unit, F.col(value).alias(n)), [n], "__k", [unit])
+    j = listed(a, "__x").join(listed(b, "__y"), [unit, "__k"], "full_outer")
+    j = j.groupBy(unit).agg(F.count("__x").alias("n_x"), F.count("__y").alias("n_y"), F.count_if(~F.col("__x").eqNullSafe(F.col("__y"))).alias("n_differ"))
+    problem = F.when(F.col("n_x") == 0, "left missing").when(F.col("n_y") == 0, "right missing").otherwise("differs")
+    return j.where("n_differ > 0").select(unit, problem.alias("problem"))
+
+
+def first_match(df: DataFrame, key: str, candidates: str, known: DataFrame, name: str) -> DataFrame:
+    """(key, resolved): the first of a row's ordered candidates that is known (known has a column of that name)."""
+    c = df.select(key, F.posexplode(candidates).alias("__pri", "__cand"))
+    found = c.join(known.select(F.col(name).alias("__cand")).distinct(), "__cand")
+    return found.groupBy(key).agg(F.min_by("__cand", "__pri").alias("resolved"))
+
+
 def side_pairs(df: DataFrame, prefix: str, side: str, value: str) -> DataFrame:
     """(prefix, a, b, problem) from rows that hold one side (a or b) of a pair each; problem names what is missing or repeated."""
     one = lambda x: F.max(F.when(F.col(side) == x, F.col(value))).alias(x)

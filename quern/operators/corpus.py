@@ -138,6 +138,22 @@ def dereference(df: DataFrame, ids: str, corpus: DataFrame, key: str, doc_id: st
     return found.groupBy(key).agg(F.transform(listed, lambda x: x["text"]).alias("texts"))
 
 
+def neighbours(df: DataFrame, unit: list[str], order: str) -> DataFrame:
+    """(order, near): for each row the next one of its unit in order, for the last one the first."""
+    ids = dense_ids(df.select(*unit, order), [order], "__k", unit)
+    n = df.groupBy(*unit).agg(F.count(F.lit(1)).alias("__n"))
+    following = ids.join(n, unit).select(*unit, order, F.expr("(__k + 1) % __n").alias("__k"))
+    return following.join(ids.withColumnRenamed(order, "near"), [*unit, "__k"]).select(order, "near")
+
+
+def known_lists(df: DataFrame, key: str, ids: str, corpus: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(key, n) of the rows whose listed documents are all in the corpus, with their number; other rows are left out."""
+    e = df.select(key, F.explode(ids).alias("__ref"))
+    known = corpus.select(F.col(doc_id).alias("__ref"), F.lit(True).alias("__known"))
+    found = e.join(known, "__ref", "left").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.every(F.col("__known").isNotNull()).alias("__ok"))
+    return found.where("__ok").drop("__ok")
+
+
 def reference_counts(df: DataFrame, ids: str) -> DataFrame:
     return df.select(F.explode(ids).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_refs"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.hashing import seeded_md5, unit_seed
+from quern.functions.hashing import seeded, seeded_md5, unit_seed
 from quern.operators.corpus import dense_ids
 
 
@@ -35,6 +35,26 @@ def reservoir(df: DataFrame, key: Column, k: int, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_md5(seed, key), key).limit(k)
 
 
+def rank_band(df: DataFrame, unit: list[str], order: list[Column], key: Column, lo: int, hi: int, k: int, seed: int = 42) -> DataFrame:
+    """k rows of each unit, by seeded hash, of those at places lo to hi of the order."""
+    w = Window.partitionBy(*unit)
+    band = df.withColumn("__rank", F.row_number().over(w.orderBy(*order))).where(F.col("__rank").between(lo, hi))
+    h = seeded_md5(seed, *(F.col(u) for u in unit), key)
+    return band.withColumn("__pick", F.row_number().over(w.orderBy(h, key))).where(F.col("__pick") <= k).drop("__rank", "__pick")
+
+
+def partition_negatives(df: DataFrame, unit: str, key: str, draws: int) -> DataFrame:
+    """(key, negative): seeded draws from the row's own unit that are never the row itself, each of a unit of two rows or more.
+
+    A draw is a step from the row's dense number in the unit, so no pairs are made.
+    """
+    r = dense_ids(df.select(unit, key), [key], "__i", [unit])
+    n = df.groupBy(unit).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    d = r.join(n, unit).withColumn("__d", F.explode(F.array(*map(F.lit, range(draws))))).withColumn("__h", seeded(F.col("__d"), F.col(key)))
+    d = d.select(key, unit, F.expr("(__i + 1 + __h % (__n - 1)) % __n").alias("__i"))
+    return d.join(r.withColumnRenamed(key, "negative"), [unit, "__i"]).select(key, "negative").distinct()
+
+
 def choose(items: Column, seed: Column) -> Column:
     """One element by a seeded index."""
     return F.get(items, F.pmod(seed, F.size(items)).cast("int"))

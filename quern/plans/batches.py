@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import batching, checks, corpus
+from quern.functions import texts
+from quern.operators import batching, checks, corpus, sampling
 from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, wide
 
 _PLAN = "r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', '0', source, doc_id)), doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM documents), p AS (SELECT source, doc_id, r // 8 AS batch_ordinal, r % 8 AS position FROM r WHERE r // 8 < n // 8)"
@@ -45,20 +46,14 @@ def w07(t: Tables) -> DataFrame:
 
 @query("w08_neighbour_negative", "SELECT doc_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS negative FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def w08(t: Tables) -> DataFrame:
-    """Documents of a source are numbered; each takes the text of the next number, the last one that of the first."""
-    ids = corpus.dense_ids(t.documents.select("source", "doc_id"), ["doc_id"], "k", ["source"])
-    n = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    following = ids.join(n, "source").select("source", "doc_id", F.expr("(k + 1) % n").alias("k"))
-    near = following.join(ids.withColumnRenamed("doc_id", "near"), ["source", "k"]).select("doc_id", "near")
+    near = corpus.neighbours(t.documents, ["source"], "doc_id")
     return near.join(t.documents.select(F.col("doc_id").alias("near"), F.col("text").alias("negative")), "near").select("doc_id", "negative")
 
 
 @query("w09_rank_band_negative", "WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents), b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '42', source, doc_id)), doc_id) AS k FROM s WHERE rk BETWEEN 10 AND 40) SELECT source, doc_id FROM b WHERE k <= 10")
 def w09(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source")
-    s = t.documents.select("source", "doc_id", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rk")).where("rk BETWEEN 10 AND 40")
-    h = F.md5(F.concat_ws("|", F.lit("42"), "source", F.col("doc_id").cast("string")))
-    return s.withColumn("k", F.row_number().over(w.orderBy(h, "doc_id"))).where("k <= 10").select("source", "doc_id")
+    d = t.documents.select("source", "doc_id", "n_chars")
+    return sampling.rank_band(d, ["source"], [F.desc("n_chars"), F.col("doc_id")], F.col("doc_id"), 10, 40, 10).select("source", "doc_id")
 
 
 @query("w15_slice_reconstruction", f"WITH {_PLAN}, {_STEPS.format(b=1)} SELECT step, string_agg(doc_id::VARCHAR, ',' ORDER BY position) AS ids, true AS same FROM p JOIN st USING (source, batch_ordinal) GROUP BY step")
@@ -79,43 +74,38 @@ def a26(t: Tables) -> DataFrame:
 
 @query("f10_instruction_templates", f"WITH {PAIRS} SELECT query_id, 'Instruct: find' || chr(10) || 'Query: ' || query AS a, 'find' || query AS b, '<instruct>find' || chr(10) || '<query>' || query AS c FROM qp")
 def f10(t: Tables) -> DataFrame:
-    p, i = pairs(t), F.lit("find")
-    return p.select("query_id", F.format_string("Instruct: %s\nQuery: %s", i, "query").alias("a"), F.concat(i, "query").alias("b"), F.format_string("<instruct>%s\n<query>%s", i, "query").alias("c"))
+    of = lambda style: texts.instructed(style, F.lit("find"), F.col("query"))
+    return pairs(t).select("query_id", of("lines").alias("a"), of("joined").alias("b"), of("tags").alias("c"))
 
 
 @query("f11_prompt_precedence", "SELECT doc_id, coalesce(CASE WHEN doc_id % 5 = 0 THEN 'name' END, CASE WHEN doc_id % 3 = 0 THEN 'type' END, CASE WHEN lang = 'en' THEN 'role' END, 'class') AS prompt FROM documents")
 def f11(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    return t.documents.select("doc_id", F.coalesce(F.when(d % 5 == 0, "name"), F.when(d % 3 == 0, "type"), F.when(F.col("lang") == "en", "role"), F.lit("class")).alias("prompt"))
+    return t.documents.select("doc_id", texts.first_prompt(F.when(d % 5 == 0, "name"), F.when(d % 3 == 0, "type"), F.when(F.col("lang") == "en", "role"), F.lit("class")).alias("prompt"))
 
 
 @query("f12_block_shuffle_text", f"WITH b AS (SELECT doc_id, text, length(text) // 3 + 1 AS n FROM documents), k AS (SELECT doc_id, substr(text, (i * n + 1)::BIGINT, n::BIGINT) AS part, md5(concat_ws('|', doc_id, i)) AS h FROM b, (SELECT unnest([0, 1, 2]) AS i) WHERE length(text) > 100) SELECT doc_id, string_agg(part, ' ' ORDER BY h) AS text FROM k GROUP BY doc_id UNION ALL SELECT doc_id, text FROM documents WHERE length(text) <= 100")
 def f12(t: Tables) -> DataFrame:
-    n = F.expr("length(text) div 3 + 1").cast("int")
-    parts = F.transform(F.array(*(F.lit(i) for i in range(3))), lambda i: F.struct(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), i.cast("string"))).alias("h"), F.substring(F.col("text"), i * n + 1, n).alias("p")))
-    mixed = F.array_join(F.transform(F.sort_array(parts), lambda x: x["p"]), " ")
-    return t.documents.select("doc_id", F.when(F.length("text") > 100, mixed).otherwise(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", texts.shuffled_blocks(F.col("text"), F.col("doc_id")).alias("text"))
 
 
 @query("f20_truncate_and_pad", "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS x FROM documents) SELECT doc_id, array_to_string(list_concat(x[1:least(len(x), 15)], ['</s>']), ' ') AS tokens, (ceil((least(len(x), 15) + 1) / 8) * 8)::INT AS padded FROM w")
 def f20(t: Tables) -> DataFrame:
-    w = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    cut = F.concat(F.slice(w, 1, 15), F.array(F.lit("</s>")))
-    return t.documents.select("doc_id", F.array_join(cut, " ").alias("tokens"), (F.ceil(F.size(cut) / 8) * 8).cast("int").alias("padded"))
+    cut = texts.truncated(texts.words(F.col("text")), 16, "</s>")
+    return t.documents.select("doc_id", F.array_join(cut, " ").alias("tokens"), texts.padded(F.size(cut), 8).alias("padded"))
 
 
 @query("f21_padded_cost", f"WITH {_PLAN} SELECT source, batch_ordinal, max(n_chars) * count(*) AS cost, greatest(20000 // max(n_chars), 1) AS micro, ceil(count(*) / greatest(20000 // max(n_chars), 1))::BIGINT AS forwards FROM p JOIN documents USING (source, doc_id) GROUP BY source, batch_ordinal")
 def f21(t: Tables) -> DataFrame:
     p = _plan(t).join(t.documents.select("doc_id", "n_chars"), "doc_id").groupBy("source", "batch_ordinal").agg(F.max("n_chars").alias("m"), F.count(F.lit(1)).alias("n"))
-    micro = F.expr("greatest(20000 div m, 1L)")
+    micro = texts.micro_batch(20000, F.col("m"))
     return p.select("source", "batch_ordinal", (F.col("m") * F.col("n")).alias("cost"), micro.alias("micro"), F.ceil(F.col("n") / micro).alias("forwards"))
 
 
 @query("f22_trim_padding", "SELECT doc_id, array_to_string(list_transform(range(doc_id % 3, 6 - doc_id % 2), lambda x: x::VARCHAR), ',') AS kept FROM documents")
 def f22(t: Tables) -> DataFrame:
     mask = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((i >= F.col("doc_id") % 3) & (i < 6 - F.col("doc_id") % 2)).cast("int"))
-    places = F.filter(F.transform(mask, lambda m, i: F.when(m > 0, i)), lambda i: i.isNotNull())
-    kept = F.slice(F.sequence(F.lit(0), F.lit(5)), F.array_min(places) + 1, F.array_max(places) - F.array_min(places) + 1)
+    kept = texts.unpadded(F.sequence(F.lit(0), F.lit(5)), mask)
     return t.documents.select("doc_id", F.array_join(F.transform(kept, lambda x: x.cast("string")), ",").alias("kept"))
 
 

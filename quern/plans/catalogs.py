@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.hashing import seeded
-from quern.operators import catalog, checks, corpus
+from quern.operators import catalog, checks, corpus, sampling
 from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, wide
 
 # Shards made from suppliers: a path per nation, ranges by key, one in nine without a range.
@@ -51,13 +50,8 @@ _LISTS = "a AS (SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)
 
 @query("j04_lockstep_mismatch", f"WITH {_LISTS} SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.x IS NULL THEN 'left missing' WHEN b.x IS NULL THEN 'right missing' ELSE 'differs' END AS problem FROM a FULL JOIN b ON a.source = b.source WHERE a.x IS DISTINCT FROM b.x")
 def j04(t: Tables) -> DataFrame:
-    """Both lists row by row: the k-th of one against the k-th of the other, however long they are."""
-    listed = lambda d, n: corpus.dense_ids(d.select("source", F.col("doc_id").alias(n)), [n], "k", ["source"])
-    a = listed(t.documents.where("source <> 'src3'"), "x")
-    b = listed(t.documents.where("source <> 'src8' AND NOT (source = 'src5' AND doc_id % 2 = 1)"), "y")
-    j = a.join(b, ["source", "k"], "full_outer").groupBy("source").agg(F.count("x").alias("n_x"), F.count("y").alias("n_y"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("n_differ"))
-    problem = F.when(F.col("n_x") == 0, "left missing").when(F.col("n_y") == 0, "right missing").otherwise("differs")
-    return j.where("n_differ > 0").select("source", problem.alias("problem"))
+    a, b = t.documents.where("source <> 'src3'"), t.documents.where("source <> 'src8' AND NOT (source = 'src5' AND doc_id % 2 = 1)")
+    return catalog.lockstep_mismatch(a, b, "source", "doc_id")
 
 
 @query("j05_content_keys", f"WITH {PAIRS} SELECT query_id, sha256(query) AS query_key FROM qp")
@@ -139,9 +133,7 @@ def j16(t: Tables) -> DataFrame:
 @query("j17_ranked_documents", "WITH x AS (SELECT doc_id, [doc_id + 1, doc_id + 2, doc_id * 2] AS ids FROM documents), e AS (SELECT doc_id, unnest(ids) AS ref FROM x) SELECT e.doc_id, count(*) AS n FROM e LEFT JOIN documents d ON d.doc_id = ref GROUP BY e.doc_id HAVING bool_and(d.doc_id IS NOT NULL)")
 def j17(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    e = t.documents.select("doc_id", F.explode(F.array(d + 1, d + 2, d * 2)).alias("ref"))
-    known = t.documents.select(d.alias("ref"), F.lit(True).alias("known"))
-    return e.join(known, "ref", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("known").isNotNull()).alias("ok")).where("ok").drop("ok")
+    return corpus.known_lists(t.documents.select("doc_id", F.array(d + 1, d + 2, d * 2).alias("ids")), "doc_id", "ids", t.documents)
 
 
 @query(
@@ -149,12 +141,7 @@ def j17(t: Tables) -> DataFrame:
     f"WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents), d AS (SELECT doc_id, lang, (i + 1 + {md5_number("concat_ws('|', k, doc_id)")} % (n - 1)) % n AS j FROM r, (SELECT unnest([0, 1]) AS k) WHERE n > 1) SELECT DISTINCT d.doc_id, r.doc_id AS negative FROM d JOIN r ON r.lang = d.lang AND r.i = j",
 )
 def j18(t: Tables) -> DataFrame:
-    """Two seeded draws from the document's partition that are never itself: steps from its own dense number."""
-    r = corpus.dense_ids(t.documents.select("lang", "doc_id"), ["doc_id"], "i", ["lang"])
-    n = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    d = r.join(n, "lang").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("h", seeded(F.col("k"), F.col("doc_id")))
-    d = d.select("doc_id", "lang", F.expr("(i + 1 + h % (n - 1)) % n").alias("i"))
-    return d.join(r.withColumnRenamed("doc_id", "negative"), ["lang", "i"]).select("doc_id", "negative").distinct()
+    return sampling.partition_negatives(t.documents, "lang", "doc_id", 2)
 
 
 @query("j19_state_alignment", "WITH k AS (SELECT l_returnflag AS model, l_linenumber AS key, count(*) AS shape FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7) GROUP BY ALL) SELECT key::INT AS key, count(*) AS n_models, count(DISTINCT shape) AS n_shapes FROM k GROUP BY key HAVING count(*) < 3 OR count(DISTINCT shape) > 1")
@@ -173,8 +160,7 @@ def j20(t: Tables) -> DataFrame:
 @query("j21_prioritised_keys", "WITH c AS (SELECT doc_id, unnest([doc_id * 3, doc_id + 7, doc_id]) AS cand, unnest([1, 2, 3]) AS pri FROM documents) SELECT c.doc_id, min_by(cand, pri) AS resolved FROM c JOIN labels l ON l.doc_id = cand GROUP BY c.doc_id")
 def j21(t: Tables) -> DataFrame:
     d = F.col("doc_id")
-    c = t.documents.select("doc_id", F.posexplode(F.array(d * 3, d + 7, d)).alias("pri", "cand"))
-    return c.join(t.labels.select(d.alias("cand")), "cand").groupBy("doc_id").agg(F.min_by("cand", "pri").alias("resolved"))
+    return catalog.first_match(t.documents.select("doc_id", F.array(d * 3, d + 7, d).alias("c")), "doc_id", "c", t.labels, "doc_id")
 
 
 @query("j22_unordered_pairs", "SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")

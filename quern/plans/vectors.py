@@ -145,14 +145,11 @@ def w14(t: Tables) -> DataFrame:
 
 @query("v14_iterative_merge", f"WITH {_E} SELECT a.vec_id, round((a.v[1] + 2 * b.v[1] + 3 * c.v[1]) / 6 * 0.5, 6) AS first FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2")
 def v14(t: Tables) -> DataFrame:
-    """Three task vectors folded in one at a time: the running mean moves by each weight's share of the sum so far."""
+    """Three task vectors folded in one at a time."""
     parts = [_e(t).select((F.col("vec_id") - k).alias("vec_id"), F.col("v").alias(f"v{k}")) for k in range(3)]
     j = reduce(lambda a, b: a.join(b, "vec_id"), parts)
-    m, weights = F.col("v0"), [1.0, 2.0, 3.0]
-    for k in (1, 2):
-        share = weights[k] / sum(weights[: k + 1])
-        m = V.add(V.scale(m, F.lit(1 - share)), V.scale(F.col(f"v{k}"), F.lit(share)))
-    return j.select("vec_id", F.round(F.get(V.scale(m, F.lit(0.5)), F.lit(0)), 6).alias("first"))
+    m = V.merged([F.col(f"v{k}") for k in range(3)], [1.0, 2.0, 3.0], 0.5)
+    return j.select("vec_id", F.round(F.get(m, F.lit(0)), 6).alias("first"))
 
 
 _M = f"{_E}, m AS (SELECT a.vec_id, a.v AS x, b.v AS y, [0.25 * a.v[i] + 0.75 * b.v[i] FOR i IN range(1, 65)] AS b0 FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), n AS (SELECT vec_id, x, y, list_transform(b0, lambda z: z / {_N.format('b0')}) AS u FROM m), o AS (SELECT *, list_dot_product(x, u) AS cx, list_dot_product(y, u) AS cy FROM n), k AS (SELECT *, CASE WHEN sqrt(1 - cx * cx) > 1e-8 THEN 0.25 * acos(cx) / sqrt(1 - cx * cx) ELSE 0.25 END AS kx, CASE WHEN sqrt(1 - cy * cy) > 1e-8 THEN 0.75 * acos(cy) / sqrt(1 - cy * cy) ELSE 0.75 END AS ky FROM o), tg AS (SELECT vec_id, u, [kx * (x[i] - cx * u[i]) + ky * (y[i] - cy * u[i]) FOR i IN range(1, 65)] AS g FROM k)"
@@ -160,18 +157,10 @@ _M = f"{_E}, m AS (SELECT a.vec_id, a.v AS x, b.v AS y, [0.25 * a.v[i] + 0.75 *
 
 @query("v15_multislerp_stats", f"WITH {_M} SELECT vec_id, round({_N.format('g')}, 5) AS step, round(cos({_N.format('g')}) * u[1] + CASE WHEN {_N.format('g')} > 1e-8 THEN sin({_N.format('g')}) / {_N.format('g')} * g[1] ELSE 0 END, 5) AS first FROM tg")
 def v15(t: Tables) -> DataFrame:
-    """Weighted mean on the sphere: log-map both vectors at their normalised linear mean, average, map back."""
+    """Weighted mean on the sphere of each vector and the next."""
     a, b = _e(t), _e(t).select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
-    j = a.join(b, "vec_id").withColumn("u", V.normalise(F.zip_with("v", "w", lambda x, y: 0.25 * x + 0.75 * y)))
-    for c, s in (("v", "cv"), ("w", "cw")):
-        j = j.withColumn(s, V.dot(F.col(c), F.col("u")))
-    part = lambda c, k: F.when(F.sqrt(1 - F.col(c) * F.col(c)) > 1e-8, k * F.acos(c) / F.sqrt(1 - F.col(c) * F.col(c))).otherwise(k)
-    j = j.withColumns({"kv": part("cv", 0.25), "kw": part("cw", 0.75)})
-    side = lambda c, s, k: F.zip_with(c, "u", lambda x, z: F.col(k) * (x - F.col(s) * z))
-    j = j.withColumn("g", V.add(side("v", "cv", "kv"), side("w", "cw", "kw"))).withColumn("n", V.norm(F.col("g")))
-    first = lambda c: F.get(c, F.lit(0))
-    back = F.cos("n") * first("u") + F.when(F.col("n") > 1e-8, F.sin("n") / F.col("n") * first("g")).otherwise(0.0)
-    return j.select("vec_id", F.round("n", 5).alias("step"), F.round(back, 5).alias("first"))
+    j = V.multi_slerp(a.join(b, "vec_id").select("vec_id", "v", "w"), ["v", "w"], [0.25, 0.75])
+    return j.select("vec_id", F.round("step", 5).alias("step"), F.round(F.get("merged", F.lit(0)), 5).alias("first"))
 
 
 _LOW = "b AS (SELECT l_returnflag AS key, l_orderkey % 50 AS i, l_linenumber AS r, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY ALL), a AS (SELECT l_returnflag AS key, l_linenumber AS r, l_partkey % 40 AS j, sum(l_discount)::DOUBLE AS y FROM lineitem GROUP BY ALL)"

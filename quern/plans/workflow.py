@@ -56,6 +56,17 @@ class Selection:
     person: bytes = b"quern-row"  # personalisation of the rows' ids
 
 
+def _paths(unit: dict) -> list[str]:
+    return [x["path"] if isinstance(x, dict) else x for x in unit["shards"]]
+
+
+def _row_counts(spark: SparkSession, root: str, paths: list[str]) -> dict[str, int]:
+    """Rows of each file by its path below the root: all footers in one job."""
+    prefix = records.hadoop_path(spark, root)[0].toUri().getPath().rstrip("/") + "/"
+    found = records.inventory(spark, [f"{root}/{p}" for p in paths]).select("uri", "n_rows").collect()
+    return {r["uri"].partition(prefix)[2]: r["n_rows"] for r in found}
+
+
 def bind(spark: SparkSession, doc: dict, root: str, sel: Selection) -> DataFrame:
     """Shards of the profile's sources with their footers' row counts, exclusion status and checked row ranges."""
     profile = doc["profiles"][sel.profile]
@@ -65,7 +76,9 @@ def bind(spark: SparkSession, doc: dict, root: str, sel: Selection) -> DataFrame
         raise ValueError(f"sources are repeated or unknown: {sorted(enabled - known)}")
     if (n := profile.get("expected_source_count")) is not None and n != len(enabled):
         raise ValueError(f"{len(enabled)} sources, not {n}")
-    overrides, rows, units, counts = profile.get("source_unit_overrides") or {}, [], set(), {}
+    overrides, rows, units = profile.get("source_unit_overrides") or {}, [], set()
+    paths = sorted({hashing.normal_path(p) for s in doc["sources"] if s["source_id"] in enabled for u in s["sampling_units"] for p in _paths(u)})
+    counts = _row_counts(spark, root, paths)
     for s in doc["sources"]:
         if s["source_id"] not in enabled:
             continue
@@ -82,8 +95,6 @@ def bind(spark: SparkSession, doc: dict, root: str, sel: Selection) -> DataFrame
             for k, shard in enumerate(u["shards"]):
                 x = shard if isinstance(shard, dict) else {"path": shard}
                 path = hashing.normal_path(x["path"])
-                if path not in counts:
-                    counts[path] = records.inventory(spark, f"{root}/{path}").first()["n_rows"]
                 lo, hi = x.get("row_start"), x.get("row_stop")
                 if (lo is not None or hi is not None) and not 0 <= (lo or 0) < (counts[path] if hi is None else hi) <= counts[path]:
                     raise ValueError(f"bad row range of {path}")

@@ -87,12 +87,12 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri in b.column(0).to_pylist():
             store, path = fs.FileSystem.from_uri(uri)
             with store.open_input_file(path) as handle:
-                rows.append(_footer(uri.rpartition("/")[2], handle))
+                rows.append((uri, *_footer(uri.rpartition("/")[2], handle)))
         yield pa.RecordBatch.from_pylist([dict(zip(_INVENTORY.names, r)) for r in rows], schema=_INVENTORY)
 
 
-_INVENTORY = pa.schema([("path", pa.string()), ("size", pa.int64()), ("n_rows", pa.int64()), ("row_groups", pa.int32()), ("row_group_rows", pa.list_(pa.int64())), ("created_by", pa.string()), ("schema", pa.string()), ("schema_fingerprint", pa.string()), ("metadata_fingerprint", pa.string())])
-_INVENTORY_DDL = "path string, size long, n_rows long, row_groups int, row_group_rows array<long>, created_by string, schema string, schema_fingerprint string, metadata_fingerprint string"
+_INVENTORY = pa.schema([("uri", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("n_rows", pa.int64()), ("row_groups", pa.int32()), ("row_group_rows", pa.list_(pa.int64())), ("created_by", pa.string()), ("schema", pa.string()), ("schema_fingerprint", pa.string()), ("metadata_fingerprint", pa.string())])
+_INVENTORY_DDL = "uri string, path string, size long, n_rows long, row_groups int, row_group_rows array<long>, created_by string, schema string, schema_fingerprint string, metadata_fingerprint string"
 
 
 class _HadoopFile:
@@ -125,16 +125,18 @@ class _HadoopFile:
         self.stream.close()
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, n_rows, row_groups, row_group_rows, created_by, schema, schema_fingerprint, metadata_fingerprint) of the
-    Parquet files of a folder from footers alone; no data page is read.
+def inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(uri, path, size, n_rows, row_groups, row_group_rows, created_by, schema, schema_fingerprint, metadata_fingerprint) of the
+    Parquet files of a folder, or of listed files, from footers alone; no data page is read.
 
     Footers are read in tasks, each file once. Where pyarrow doesn't know the store, the driver reads them.
     """
     from pyarrow import fs
 
-    p, store = hadoop_path(spark, path)
-    files = [store.makeQualified(p).toString()] if store.getFileStatus(p).isFile() else list_files(spark, path, (".parquet",))
+    files = []
+    for x in [path] if isinstance(path, str) else path:
+        p, store = hadoop_path(spark, x)
+        files += [store.makeQualified(p).toString()] if store.getFileStatus(p).isFile() else list_files(spark, x, (".parquet",))
     uris = ["file://" + f.removeprefix("file:") if f.startswith("file:/") and not f.startswith("file://") else f for f in files]
     try:
         if uris:
@@ -143,7 +145,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
         rows = []
         for f in files:
             handle = _HadoopFile(spark, f)
-            rows.append(_footer(f.rpartition("/")[2], handle))
+            rows.append((f, *_footer(f.rpartition("/")[2], handle)))
             handle.close()
         return spark.createDataFrame(rows, _INVENTORY_DDL)
     listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, min(len(uris), FOOTER_TASKS)))
