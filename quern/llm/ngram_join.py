@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -33,7 +33,7 @@ from quern.llm import text as T
 from quern.llm.components import connected
 from quern.session import materialise, partitions, temporary_tables
 
-LIGHT, BLOCK, RUN, BUCKET, OFTEN, HOT, MOST_HOT, COSTED = 32, 8192, 1 << 21, 1 << 21, 4, 1 << 18, 1 << 20, 1 << 20
+LIGHT, BLOCK, RUN, BUCKET, OFTEN, HOT, MOST_HOT, COSTED, MOST_TASKS = 32, 8192, 1 << 21, 1 << 21, 4, 1 << 18, 1 << 20, 1 << 20, 20_000
 _U = np.uint64
 
 
@@ -129,7 +129,19 @@ def _bucket(h48: np.ndarray, n: int) -> np.ndarray:
     return ((h48 >> _U(16)) * _U(n) >> _U(32)).astype(np.int64)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int, hot: np.ndarray, n_hot: int) -> Iterator[pa.RecordBatch]:
+def spread_names(spark: SparkSession, n: int, tasks: int) -> np.ndarray:
+    """n numbers of which Spark deals the i-th to partition i % tasks, so that every partition has its equal part of them."""
+    each = -(-n // tasks)
+    width = tasks * (2 * each + int(np.log(tasks)) + 12)
+    while True:
+        found = spark.range(width).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(tasks)).alias("p")).agg(F.slice(F.sort_array(F.collect_list("x")), 1, each).alias("x"))
+        names = {r["p"]: r["x"] for r in found.collect()}  # n numbers
+        if len(names) == tasks and all(len(x) == each for x in names.values()):
+            return np.array([names[i % tasks][i // tasks] for i in range(n)], np.int32)
+        width *= 2
+
+
+def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int, hot: np.ndarray, n_hot: int, called: np.ndarray) -> Iterator[pa.RecordBatch]:
     nodes: dict[int, int] = {}
     held: list[np.ndarray] = []
 
@@ -146,14 +158,14 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int, hot: np.nda
             order = np.argsort(h)
         h, owner, bucket = h[order], owner[order], bucket[order]
         cut = np.searchsorted(bucket, np.arange(n_buckets + n_hot + 1))
-        rows: dict[str, list] = {"bucket": [], "names": [], "owner": [], "steps": [], "wide": []}
+        rows: dict[str, list] = {"bucket": [], "hot": [], "names": [], "owner": [], "steps": [], "wide": []}
         for b in np.flatnonzero(np.diff(cut)):
             x, at = h[cut[b] : cut[b + 1]], owner[cut[b] : cut[b + 1]]
             used = np.zeros(len(names), bool)
             used[at] = True
             where = np.cumsum(used, dtype=np.int64) - 1
             steps, wide = _pack(x)
-            for c, v in zip(rows, (int(b), names[used].tobytes(), where[at].astype(np.uint16 if used.sum() < 65536 else np.uint32).tobytes(), steps, wide)):
+            for c, v in zip(rows, (int(called[b]), bool(b >= n_buckets), names[used].tobytes(), where[at].astype(np.uint16 if used.sum() < 65536 else np.uint32).tobytes(), steps, wide)):
                 rows[c].append(v)
         nodes.clear()
         held.clear()
@@ -173,7 +185,7 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int, n_buckets: int, hot: np.nda
         yield flush()
 
 
-_RUN = pa.schema([("bucket", pa.int32()), ("names", pa.binary()), ("owner", pa.binary()), ("steps", pa.binary()), ("wide", pa.binary())])
+_RUN = pa.schema([("bucket", pa.int32()), ("hot", pa.bool_()), ("names", pa.binary()), ("owner", pa.binary()), ("steps", pa.binary()), ("wide", pa.binary())])
 _SHARED = pa.schema([("nb", pa.int32()), ("names", pa.binary()), ("runs", pa.binary()), ("high", pa.binary()), ("low", pa.binary()), ("freq", pa.binary())])
 
 
@@ -187,12 +199,12 @@ def _released(t: pa.Table) -> pa.Table:
     return t
 
 
-def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
+def _shared(t: pa.Table, n_buckets: int, called: np.ndarray) -> pa.Table:
     """One range of shingles: (set, shingle, frequency) for those of two sets or more, dealt out by set.
 
-    Ranges from n_buckets on hold parts of hot shingles, which all keep, with the highest frequency.
+    Hot ranges hold parts of hot shingles, which all stay, with the highest frequency.
     """
-    hot = t.column("bucket")[0].as_py() >= n_buckets
+    hot = t.column("hot")[0].as_py()
     hs, ns = [], []
     for names, owner, steps, wide in zip(*(t.column(c).to_pylist() for c in ("names", "owner", "steps", "wide"))):
         h = _unpack(steps, wide)
@@ -228,7 +240,7 @@ def _shared(t: pa.Table, n_buckets: int) -> pa.Table:
         s = slice(cut[b], cut[b + 1])
         x = node[s]
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-        for c, v in zip(rows, (int(b), x[first].tobytes(), np.diff(np.append(first, len(x))).astype(np.uint32).tobytes(), (h[s] >> _U(16)).astype(np.uint32).tobytes(), (h[s] & _U(0xFFFF)).astype(np.uint16).tobytes(), freq[s].tobytes())):
+        for c, v in zip(rows, (int(called[b]), x[first].tobytes(), np.diff(np.append(first, len(x))).astype(np.uint32).tobytes(), (h[s] >> _U(16)).astype(np.uint32).tobytes(), (h[s] & _U(0xFFFF)).astype(np.uint16).tobytes(), freq[s].tobytes())):
             rows[c].append(v)
     return pa.Table.from_pydict(rows, schema=_SHARED)
 
@@ -412,12 +424,14 @@ def _lists(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     parts = max(partitions(spark), -(-total // BUCKET))
     n_hot = parts if len(hot) else 0
     held = spark.sparkContext.broadcast(hot)  # at most MOST_HOT numbers
+    tasks = min(parts, MOST_TASKS)
+    called = spark.sparkContext.broadcast(spread_names(spark, 2 * parts, tasks))  # two numbers a range
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.first("n_shingles").alias("n"))
-    bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(_node_bucket(b.column(0).to_numpy(), parts).astype(np.int32)), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
-    runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, parts, held.value, n_hot), "bucket int, names binary, owner binary, steps binary, wide binary")
-    # as many tasks as ranges, so that what one task reads doesn't grow with the input
-    shared = runs.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: _released(_shared(t, parts)), "nb int, names binary, runs binary, high binary, low binary, freq binary")
-    nodes = shared.repartition(parts, "nb").groupBy("nb").cogroup(bucketed.repartition(parts, "nb").groupBy("nb")).applyInArrow(lambda s, c: _released(_assemble(s, c, num, den)), "node long, rep long, n long, n1 long, list_rows long, subset_rows long, items binary")
+    bucketed = classes.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(called.value[_node_bucket(b.column(0).to_numpy(), parts)]), *b.columns], names=["nb", "node", "rep", "n"]) for b in it), "nb int, node long, rep long, n long")
+    runs = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(lambda it: _runs(it, k, parts, held.value, n_hot, called.value), "bucket int, hot boolean, names binary, owner binary, steps binary, wide binary")
+    # a task for each range (or MOST_TASKS, each for its equal part), so that what one task reads hardly grows with the input
+    shared = runs.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: _released(_shared(t, parts, called.value)), "nb int, names binary, runs binary, high binary, low binary, freq binary")
+    nodes = shared.repartition(tasks, "nb").groupBy("nb").cogroup(bucketed.repartition(tasks, "nb").groupBy("nb")).applyInArrow(lambda s, c: _released(_assemble(s, c, num, den)), "node long, rep long, n long, n1 long, list_rows long, subset_rows long, items binary")
     nodes = materialise(nodes, "nodes")
     x = boundary(costs(nodes, num, den), num, den)
     signs = nodes.select("node", "n", "n1", "items").mapInArrow(lambda it: _signatures(it, x, num, den), "key long, node long, n long, pos long, n1 long, seen long")

@@ -153,13 +153,15 @@ def _featured(batches: Iterator[pa.RecordBatch], ratios: np.ndarray) -> Iterator
 
 
 def labelled(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFrame:
-    """(quality, host, path, half, text) of the rows that labels (doc_id, quality) cover, written; beyond LABELLED, those of least hash.
+    """(quality, host, path, half, text) of the rows that labels (doc_id, quality) cover, written; of more than LABELLED labels, those of least hash.
 
     Of several labels of a document the highest counts. Rows that repeat a labelled doc_id count each, up to LABELLED rows.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc_id")).agg(F.max("quality").cast("double").alias("__quality"))
-    known = known.orderBy(F.xxhash64("__doc_id"), "__doc_id").limit(LABELLED)
-    rows = docs.join(F.broadcast(known), docs.doc_id == F.col("__doc_id"))  # at most LABELLED pairs of numbers
+    known = materialise(known, "labels")
+    share = (LABELLED - 4 * LABELLED**0.5) / max(1, known.count())
+    known = known.where(F.pmod(F.xxhash64("__doc_id"), F.lit(1 << 30)) / float(1 << 30) < share) if share < 1 else known
+    rows = docs.join(F.broadcast(known), docs.doc_id == F.col("__doc_id"))  # about LABELLED pairs of numbers
     half = F.pmod(F.xxhash64(F.concat_ws("|", F.lit("half"), F.col("__doc_id"))), F.lit(2)).cast("int")
     rows = rows.select(F.col("__quality").alias("quality"), F.col(host).alias("host"), F.col(path).alias("path"), half.alias("half"), "text")
     rows = materialise(rows, "labelled")

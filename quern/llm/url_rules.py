@@ -7,7 +7,7 @@ the hosts whose interval is open; those that the next key leaves are popped. The
 way: when they are opened, each is linked to the next one around it, so that the longest that fits a path is found by a
 bisection and a walk outwards.
 
-Where the ranges are cut follows from a bounded sample of urls, which decides on the sizes of tasks alone.
+Where the ranges are cut follows from a sample of about CUT_SAMPLE urls, which decides on the sizes of tasks alone.
 """
 
 from __future__ import annotations
@@ -131,9 +131,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, keys: list[s
     host, path = host_and_path(url)
     urls = pages.select(F.struct(*keys).alias("id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     urls = urls.withColumn("key", host_key(F.col("host")))
-    parts = max(partitions(spark), -(-pages.count() // RANGE_URLS))
-    sample = urls.select("key", "path", "row").orderBy(F.xxhash64("key", "path", "row")).limit(CUT_SAMPLE).collect()
-    sample = sorted(map(tuple, sample))
+    n = pages.count()
+    parts = max(partitions(spark), min(CUT_SAMPLE // 8, -(-n // RANGE_URLS)))
+    share = F.pmod(F.xxhash64("key", "path", "row"), F.lit(1 << 30)) / float(1 << 30)
+    sample = sorted(map(tuple, urls.where(share < CUT_SAMPLE / max(1, n)).select("key", "path", "row").collect()))  # about CUT_SAMPLE rows
     cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     kind = urls.schema["id"].dataType.simpleString()
     names = "part int, key string, is_url boolean, path string, row long, host string, verdict string"

@@ -145,7 +145,7 @@ def test_join_with_hot_shingles(spark, monkeypatch):
     total = rows.agg({"n_shingles": "sum"}).first()[0]
     hot = ngram_join.hot_shingles(often, total)
     assert 1 <= len(hot) <= total // 50
-    runs = d.select("text").repartition(5).mapInArrow(lambda it: ngram_join._runs(it, 5, 4, hot, 4), "bucket int, names binary, owner binary, steps binary, wide binary")
+    runs = d.select("text").repartition(5).mapInArrow(lambda it: ngram_join._runs(it, 5, 4, hot, 4, np.arange(8)), "bucket int, hot boolean, names binary, owner binary, steps binary, wide binary")
     held = Counter()
     for r in runs.collect():
         h = ngram_join._unpack(r.steps, r.wide)
@@ -159,6 +159,14 @@ def test_join_with_hot_shingles(spark, monkeypatch):
     check_groups(spark, texts)
 
 
+@pytest.mark.parametrize("n,tasks", [(2, 1), (6, 3), (120, 60), (1000, 100)])
+def test_names_are_spread_over_all_partitions(spark, n, tasks):
+    names = ngram_join.spread_names(spark, n, tasks)
+    d = spark.createDataFrame([(int(x),) for x in names], "x int").repartition(tasks, "x").selectExpr("x", "spark_partition_id() AS p")
+    of = {r.x: r.p for r in d.collect()}
+    assert [of[x] for x in names.tolist()] == [i % tasks for i in range(n)] and len(of) == n
+
+
 def test_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "FEW", 0)
     pairs = [(i, i + 1) for i in range(40) if i % 9] + [(100, 5), (5, 100), (7, 7), (None, 3)]
