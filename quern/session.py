@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_dir: list[str] = []
 _scopes = threading.local()  # .open: for each open block of temporary_tables, the paths written in it
@@ -121,7 +122,12 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return written_table(spark, path, df.schema)
+
+
+def written_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A table of own_dir, which belongs to the block of temporary_tables that is open."""
+    out = spark.read.schema(schema).parquet(path)
     out._table_path = path
     for written in _scopes.__dict__.get("open", [])[-1:]:
         written.add(path)

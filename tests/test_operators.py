@@ -376,3 +376,19 @@ def test_clean_deletes_own_tables(spark):
     session.clean(spark)
     with pytest.raises(Exception):
         spark.read.parquet(session.own_dir(spark)).count()
+
+
+def test_temporary_tables_are_deleted(spark):
+    from quern import session
+
+    with session.temporary_tables(spark) as keep:
+        a = keep(session.materialise(spark.range(3), "a"))
+        with session.temporary_tables(spark) as inner:
+            b = session.materialise(spark.range(4), "b")
+            c = inner(session.materialise(spark.range(5), "c"))
+        assert c.count() == 5
+        with pytest.raises(Exception):
+            b.count()
+    assert a.count() == 3
+    with pytest.raises(Exception):
+        c.count()
