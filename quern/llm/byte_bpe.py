@@ -262,6 +262,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, column: int, decode: bool) -> Iterator[pa.RecordBatch]:
+    T.in_use(encoder.cache_clear)
     e = encoder(path, pattern)
     for b in _slices(batches, column):
         ids: list[np.ndarray] = []
@@ -289,6 +290,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = Fa
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    T.in_use(encoder.cache_clear)
     e = encoder(path, pattern)
     for b in _slices(batches, 1):
         n, ids_hex, decoded_hex = [], [], []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.groups import join_groups
-from quern.session import materialise, own_dir, partitions, temporary_tables
+from quern.session import materialise, own_dir, partitions, temporary_tables, written_table
 
 BLOCK, SLICE, FRAME, ALPHA, CHUNK, TIES, EPS = 8, 2048, 1024, 0.7, 1 << 18, 4096, 1e-6
 
@@ -108,7 +108,7 @@ def _plan(spark: SparkSession, numbers: list[int], counts: list[int], weights: l
         part = pa.table({"p_number": number[k], "p_block": j, "p_slot": slot + np.arange(len(k)), "p_start": start + np.cumsum(size) - size})
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
         seen, slot, start = seen + times, slot + len(k), start + int(size.sum())
-    return spark.read.schema(kind).parquet(path)
+    return written_table(spark, path, kind)
 
 
 def _places(rows: DataFrame, weights: Mapping[object, float] | None, block: int) -> DataFrame:

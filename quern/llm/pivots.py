@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from quern.llm.components import connected
 from quern.session import materialise
 
-NEAR, SHARED, BLOCK, MOST_PIVOTS, PIVOT_BYTES, COSINE, APART = 8, 2, 1024, 4096, 64 << 20, 0.9, 0.7
+NEAR, SHARED, BLOCK, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 8, 2, 1024, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
-    """Grows with the root of the rows, so lists grow no faster than that: 64 at least, MOST_PIVOTS at most."""
+    """Grows with the root of the rows, so lists grow no faster than that: 64 at least, MOST_PIVOTS (for 10^9 rows) at most."""
     return int(min(MOST_PIVOTS, max(64, 2 * n**0.5)))
 
 
@@ -75,8 +75,9 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
             of.setdefault(len(x), []).append(i)
         for length, at in of.items():
             own = pivots[length]
-            for c in range(0, len(at), 512):
-                rows = at[c : c + 512]
+            step = max(1, min(512, SCORES // len(own)))
+            for c in range(0, len(at), step):
+                rows = at[c : c + step]
                 s = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1) @ own.T
                 k = min(near, s.shape[1])
                 top = np.argpartition(-s, k - 1, axis=1)[:, :k]
@@ -100,17 +101,19 @@ def _compare(t: pa.Table, sizes: dict[int, int], shared: int, least: float) -> p
     block = t.column("block").to_numpy()
     node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
     x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(len(node), -1)
-    has = np.zeros((len(node), n_pivots), np.float32)
     near = np.array(t.column("near").to_pylist())
-    has[np.arange(len(node))[:, None], near] = 1
+    ids, places = np.unique(near, return_inverse=True)  # those that the block's descriptions name
+    has = np.zeros((len(node), len(ids)), np.float32)
+    has[np.arange(len(node))[:, None], places.reshape(near.shape)] = 1
+    before = int(np.searchsorted(ids, key))
     a = np.flatnonzero(block == i)
     b = a if i == j else np.flatnonzero(block == j)
     if not len(a) or not len(b):
         return _FOUND.empty_table()
     link = x[a] @ x[b].T >= least
     link &= has[a] @ has[b].T >= shared
-    if key:
-        link &= has[np.ix_(a, range(key))] @ has[np.ix_(b, range(key))].T == 0
+    if before:
+        link &= has[a, :before] @ has[b, :before].T == 0
     if i == j:
         np.fill_diagonal(link, False)
     count = np.zeros(len(node), np.int64)

@@ -101,6 +101,12 @@ def release() -> None:
 _timers: dict[Callable[[], None], threading.Timer] = {}
 
 
+def in_use(clear: Callable[[], None]) -> None:
+    """A cache that was to be cleared later is wanted again."""
+    if (timer := _timers.pop(clear, None)) is not None:
+        timer.cancel()
+
+
 def forget_later(clear: Callable[[], None], seconds: float = IDLE_SECONDS) -> None:
     """Clear a worker's cache once it hasn't been used for some seconds: idle workers count into the memory of other stages."""
 
@@ -108,8 +114,7 @@ def forget_later(clear: Callable[[], None], seconds: float = IDLE_SECONDS) -> No
         clear()
         release()
 
-    if clear in _timers:
-        _timers[clear].cancel()
+    in_use(clear)
     _timers[clear] = threading.Timer(seconds, run)
     _timers[clear].daemon = True
     _timers[clear].start()

@@ -270,6 +270,7 @@ _SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.i
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    T.in_use(word_cache.cache_clear)
     part, cache = TaskContext.get().partitionId(), word_cache(path, end_id)
     held: list[np.ndarray] = []
     lengths: list[np.ndarray] = []

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -487,3 +488,16 @@ def test_bpe_digests_of_repeated_rows(spark):
     got = byte_bpe.encoding_digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert len(got) == 3 and got[0] == got[1] and [r.n_tokens for r in got if r.doc_id is None] == [0]
     assert byte_bpe.encode_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).columns == ["doc_id", "text", "lang", "source", "n_tokens", "token_ids"]
+
+
+def test_idle_caches_are_cleared_once():
+    seen = []
+    clear = lambda: seen.append(1)
+    text.forget_later(clear, 0.05)
+    text.in_use(clear)
+    time.sleep(0.2)
+    assert seen == []
+    text.forget_later(clear, 0.05)
+    text.forget_later(clear, 0.05)
+    time.sleep(0.3)
+    assert seen == [1]
