@@ -113,7 +113,7 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, label: str = "t") -> DataFrame:
+def materialise(df: DataFrame, label: str = "t", compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
     The shuffle files of the finished step are deleted with it.
@@ -121,7 +121,7 @@ def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return written_table(spark, path, df.schema)
 
 
