@@ -131,9 +131,9 @@ class Segment:
         return self.codes.take(np.arange(int(self.ends[i - 1]) if i else 0, int(self.ends[i])))
 
 
-def _one_piece(word: str) -> bool:
-    """Whether a word is letters alone, also once it is normalised and lower-cased."""
-    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+def _stays_letters(word: str) -> bool:
+    """Whether a word of letters is one of letters once it is normalised and lower-cased as well."""
+    return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
 
 
 def drops_space(tokenizer: Tokenizer) -> bool:
@@ -199,10 +199,10 @@ class WordCache(dict):
 
     def _learn(self) -> None:
         """Ids of the new words; those that end in marks are made of the letters before and the marks, which part there."""
-        plain = [w.decode() for w in self.new if isinstance(w, bytes)]
-        simple = np.fromiter(map(_one_piece, plain), bool, len(plain))
+        plain = [w.decode() for w in self.new if type(w) is bytes]
+        simple = np.array([w.isalpha() and _stays_letters(w) for w in plain], bool)
         first, n_new = len(self.start), len(self.new)
-        own = np.fromiter((isinstance(w, bytes) for w in self.new), bool, n_new)
+        own = np.array([type(w) is bytes for w in self.new], bool)
         start, length = np.zeros(n_new, np.int64), np.zeros(n_new, np.int64)
         for which, encode in ((simple, self._encode_joined), (~simple, self._encode_each)):
             flat, n = encode([w for w, x in zip(plain, which) if x])
@@ -211,7 +211,7 @@ class WordCache(dict):
             self.flat = np.concatenate([self.flat, flat])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
         if not own.all():
-            parts = np.array([w for w in self.new if not isinstance(w, bytes)], np.int64).ravel()
+            parts = np.array([w for w in self.new if type(w) is not bytes], np.int64).ravel()
             n = self.length[parts]
             stop = np.cumsum(n)
             joined = self.flat[np.repeat(self.start[parts] - (stop - n), n) + np.arange(stop[-1])]
@@ -308,7 +308,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple
     spark = docs.sparkSession
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text"))
     made = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(lambda it: _segments(it, tokenizer, end_id), "part int, seq int, n_docs long, n_tokens long, data binary")
-    segments = materialise(made, "segments")
+    segments = materialise(made, "segments", "snappy")  # codes hardly shrink further
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
     index = segments.select("part", "seq", inner.alias("within"), "n_tokens").join(totals, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
