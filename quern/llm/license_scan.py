@@ -198,10 +198,11 @@ class Library:
         i = 0
         while i < len(hits):
             stop = int(np.searchsorted(hits, hits[i] + reach))
-            share = len(np.unique(shingles[i:stop])) / len(own)
+            kinds, firsts = np.unique(shingles[i:stop], return_index=True)
+            share = len(kinds) / len(own)
             if share >= CONTAINMENT:
                 out.append((share, int(hits[i])))
-                i = stop
+                i += int(firsts.max()) + 1  # what comes after its last new shingle may begin another passage
             else:
                 i += 1
         return out
