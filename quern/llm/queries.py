@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, host_rules, language, license_scan, mixing, ngram_join, pivots, quality, token_files, url_rules
+from quern.llm import byte_bpe, host_rules, language, license_scan, mixing, negatives, ngram_join, packing, pivots, quality, resample, token_files, url_rules
 from quern.session import free, small_batches
 from quern.session import table as read_table
 
-# The rules that the url query applies, and the rows that language training may read.
+# The rules that the url query applies, the labels of negative mining, and the rows that language training may read.
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+MOVED_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
 LEARNED = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1"
 
 
@@ -66,9 +67,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), label=MOVED_LABEL)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))[0].drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_ngram_jaccard_join, op3_url_filters, op4_language_id, op5_token_files, op6_source_mixing, op7_quality_classifier, op8_host_rules, op9_byte_bpe, op10_embedding_near_dedup)
+    for f in (op1_license_scan, op2_ngram_jaccard_join, op3_url_filters, op4_language_id, op5_token_files, op6_source_mixing, op7_quality_classifier, op8_host_rules, op9_byte_bpe, op10_embedding_near_dedup, op11_importance_resampling, op12_hard_negatives, op13_packing)
 }
 
 _OP3 = """
@@ -113,4 +126,28 @@ r(vec_id, reach) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.vec_id, l.b FRO
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, min(reach) AS component_id, min(reach) = vec_id AS kept FROM r GROUP BY vec_id
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op3_url_filters": _OP3, "op8_host_rules": _OP8, "op10_embedding_near_dedup": _OP10}
+# CRC-32 by its bits: the list holds each byte and then seven zeros, and a step takes in one number and one bit.
+_OP11 = r"""
+WITH w AS (SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+r AS (SELECT side, doc_id, words[i] AS f FROM (SELECT side, doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) UNION ALL SELECT side, doc_id, words[i] || ' ' || words[i + 1] FROM (SELECT side, doc_id, words, unnest(range(1, len(words))) AS i FROM w) UNION ALL SELECT side, doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FROM (SELECT side, doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+u AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM r),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, 4 * len(h)::BIGINT), lambda i: CASE WHEN i % 8 = 0 THEN ('0x' || substr(h, i // 4 + 1, 2))::BIGINT ELSE 0 END)), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 10000 AS b FROM u),
+k AS (SELECT side, doc_id, b FROM r JOIN c USING (f)),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM k GROUP BY b),
+g AS (SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + 10000)) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + 10000))))::BIGINT AS gain FROM n),
+d AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM k JOIN g USING (b) WHERE side = 0 GROUP BY doc_id),
+x AS (SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (doc_id) WHERE side = 0),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_words >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM z) // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)
+"""
+
+_OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.*, s.b, s.score, row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, s.b) AS k FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT a AS anchor_id, positive_id, k::INT AS rank, b AS negative_id, positive_score, score AS negative_score FROM n WHERE k <= 10
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op3_url_filters": _OP3, "op8_host_rules": _OP8, "op10_embedding_near_dedup": _OP10, "op11_importance_resampling": _OP11, "op12_hard_negatives": _OP12}
