@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.checks import ConstraintError, assert_empty
 from quern.operators.corpus import dense_ids, ranged
+from quern.session import materialise
 
 
 def explode_catalog(sources: DataFrame) -> DataFrame:
@@ -28,16 +32,39 @@ def exclusion_status(units: DataFrame, contaminated: Column, include_contaminate
 def overlaps(shards: DataFrame) -> DataFrame:
     """Pairs of shards of one path whose row ranges overlap; a missing range is the whole file.
 
-    Sorted by start, a range overlaps an earlier one if it starts before the largest stop so far, so non-overlapping
-    catalogues cost a window; pairs are made only within paths where that happens.
+    Shards are dealt in ranges of (path, start), so one path may fill many tasks. A shard that reaches beyond the last start
+    of its own range is also sent to the later ranges that it meets, and each range is swept once: a pair is found where the
+    later of both starts, so the work is the sort, the pairs found, and what reaches over. Shards without rows or a path
+    overlap nothing, nor do rows that share a shard_id; a null shard_id is left out.
     """
-    r = shards.withColumn("start", F.coalesce("row_start", F.lit(0).cast("long"))).withColumn("stop", F.coalesce("row_stop", F.lit((1 << 62)).cast("long")))
-    w = Window.partitionBy("path").orderBy("start", "stop", "shard_id").rowsBetween(Window.unboundedPreceding, -1)
-    bad = r.withColumn("reach", F.max("stop").over(w)).where("start < reach").select("path").distinct()
-    r = r.join(bad, "path", "left_semi")
-    a, b = (r.select("path", *(F.col(c).alias(f"{s}_{c}") for c in ("shard_id", "start", "stop"))) for s in "ab")
-    hit = (F.col("a_shard_id") < F.col("b_shard_id")) & (F.greatest("a_start", "b_start") < F.least("a_stop", "b_stop"))
-    return a.join(b, "path").where(hit).select("path", F.col("a_shard_id").alias("shard_a"), F.col("b_shard_id").alias("shard_b"))
+    r = shards.select("path", "shard_id", F.coalesce("row_start", F.lit(0)).cast("long").alias("start"), F.coalesce("row_stop", F.lit(1 << 62)).cast("long").alias("stop"))
+    dealt = ranged(r.where("start < stop AND shard_id IS NOT NULL AND path IS NOT NULL"), ["path", "start"])
+    bounds = dealt.groupBy("path", "__part").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    cut = bounds.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("path")
+    bounds = materialise(bounds.join(cut, "path", "left_semi"), "bounds")  # paths in several ranges: two rows a range at most
+    own, later = bounds.select("path", "__part", "hi"), bounds.select("path", F.col("__part").alias("at"), "lo")
+    over = dealt.join(own, ["path", "__part"]).where("stop > hi").join(later, "path").where("at > __part AND lo < stop")
+    kind = shards.schema["shard_id"].dataType.simpleString()
+    rows = lambda d, part, starts: d.select(F.col(part).alias("part"), "path", "shard_id", "start", "stop", F.lit(starts).alias("here"))
+    swept = rows(dealt, "__part", True).unionByName(rows(over, "at", False)).groupBy("part", "path").applyInArrow(_sweep, f"path string, shard_a {kind}, shard_b {kind}")
+    return swept.select(F.col("path").cast(shards.schema["path"].dataType), "shard_a", "shard_b")
+
+
+def _sweep(t: pa.Table) -> pa.Table:
+    """Pairs of ranges that overlap, the later of which starts here, from one path's ranges in order of their starts."""
+    t = t.sort_by([("here", "ascending"), ("start", "ascending")])
+    starts, stops, here = (t.column(c).to_numpy() for c in ("start", "stop", "here"))
+    open_, left, right = np.flatnonzero(~here), [], []
+    for i in np.flatnonzero(here):
+        open_ = open_[stops[open_] > starts[i]]  # each one is dropped once, and gives a pair until then
+        left.append(open_)
+        right.append(np.full(len(open_), i))
+        open_ = np.append(open_, i)
+    ids = t.column("shard_id")
+    a, b = ids.take(pa.array(np.concatenate(left or [[]]).astype(np.int64))), ids.take(pa.array(np.concatenate(right or [[]]).astype(np.int64)))
+    first = pc.less(a, b)
+    out = pa.table({"path": pa.array([t.column("path")[0].as_py()] * len(a), pa.string()), "shard_a": pc.if_else(first, a, b), "shard_b": pc.if_else(first, b, a)})
+    return out.filter(pc.not_equal(a, b))
 
 
 def offsets(shards: DataFrame, unit: str, order: list[str], rows: str) -> DataFrame:

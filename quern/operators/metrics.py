@@ -3,54 +3,77 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import quantiles
 from quern.operators.corpus import dense_ids
+from quern.session import materialise
 
-QUERY_BLOCK = 4096
+BLOCK_BYTES, TILE = 16 << 20, 1 << 21
 
 
-def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
-    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v).
+def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v) in double precision.
 
-    Queries are dealt by hash into blocks of about QUERY_BLOCK, so what is sent to the tasks is of bounded size; docs stay
-    where they are and are read once a block, each batch as one matrix product. With k, a task keeps the k best documents of
-    each query so far (ties by document), among which the k best of all are.
+    Both sides are dealt by hash into blocks of about block_bytes, and each pair of blocks is one task's matrix product, in
+    tiles of TILE scores; neither side passes the driver, and neither is broadcast. A query block is sent once for each block
+    of documents and the other way round. With k, a task returns the k best documents of each of its queries (ties by
+    document), and the k best of all tasks are kept. Ids are integers and don't repeat; vectors are of one length, and those
+    that are null, or hold a null, are left out. Scores that are no number come last.
     """
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.col("query_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    parts = []
-    for i in range(n):
-        own = q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toArrow()
-        ids = own.column("id").to_numpy()
-        x = np.array(own.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
-        held = docs.sparkSession.sparkContext.broadcast((ids, x))  # about QUERY_BLOCK vectors
-        d = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-        parts.append(d.mapInArrow(lambda it, held=held: _scored(it, *held.value, k), "query_id long, doc_id long, score double"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _scored(batches: Iterator[pa.RecordBatch], queries: np.ndarray, x: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
-    best, at = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
-    rows = lambda ids, s: pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, s.shape[1])), pa.array(ids.ravel()), pa.array(s.ravel())], names=["query_id", "doc_id", "score"])
-    for b in batches:
-        if not b.num_rows or not len(queries):
-            continue
-        ids, y = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), np.float64)
-        s = x @ y.T
-        if k is None:
-            yield rows(np.tile(ids, (len(queries), 1)), s)
-            continue
-        best, at = np.concatenate([best, s], 1), np.concatenate([at, np.tile(ids, (len(queries), 1))], 1)
-        order = np.lexsort((at, -best), axis=1)[:, :k]
-        best, at = np.take_along_axis(best, order, 1), np.take_along_axis(at, order, 1)
-    if k is not None:
-        yield rows(at, best)
+    sides = []
+    for df, name in ((queries, "query_id"), (docs, "doc_id")):
+        v = F.col("v").cast("array<double>")
+        rows = df.select(F.col(name).cast("long").alias("id"), v.alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+        size = rows.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
+        n = max(1, -(-size // block_bytes))
+        sides.append((rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n))
+    (q, n_q), (d, n_d) = sides
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select(F.col("own").alias("i"), every(n_d).alias("j"), F.lit(True).alias("query"), "id", "v")
+    d = d.select(every(n_q).alias("i"), F.col("own").alias("j"), F.lit(False).alias("query"), "id", "v")
+    out = q.unionByName(d).groupBy("i", "j").applyInArrow(_scoring(k), "query_id long, doc_id long, score double")
+    return out if k is None or n_d == 1 else top_k(out, "query_id", "doc_id", "score", k).drop("rank")
+
+
+def _scoring(k: int | None):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {True: ([], []), False: ([], [])}
+        for b in batches:
+            of = b.column("query").to_numpy(zero_copy_only=False)
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 0))
+            for side in (True, False):
+                if (of == side).any():
+                    held[side][0].append(b.column("id").to_numpy()[of == side])
+                    held[side][1].append(x[of == side])
+        if not held[True][0] or not held[False][0]:
+            return
+        queries, x, ids, y = (np.concatenate(part) for side in (True, False) for part in held[side])
+        order = np.argsort(ids)  # ties go to the smaller document
+        ids, y = ids[order], y[order]
+        step = max(1, TILE // len(ids))
+        for a in range(0, len(queries), step):
+            s = x[a : a + step] @ y.T
+            n = len(s)
+            if k is None or len(ids) <= k:
+                rows, cols = np.repeat(np.arange(n), len(ids)), np.tile(np.arange(len(ids)), n)
+            else:
+                falling = -np.where(np.isnan(s), -np.inf, s)
+                limit = np.partition(falling, k - 1, axis=1)[:, k - 1 : k]
+                rows, cols = np.nonzero(falling <= limit)
+                best = np.lexsort((cols, falling[rows, cols], rows))
+                rows, cols = rows[best], cols[best]
+                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                rows, cols = rows[first], cols[first]
+            yield pa.RecordBatch.from_arrays([pa.array(queries[a + rows]), pa.array(ids[cols]), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
+
+    # the iterator form of applyInArrow is chosen by these annotations, which must be classes
+    scored.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return scored
 
 
 def top_k(scores: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
@@ -95,11 +118,17 @@ def nearest_rank_of(values: Column, q: float) -> Column:
 
 
 def length_profile(df: DataFrame, length: Column, by: list[str]) -> DataFrame:
-    """n, mean, interpolated p50, p90, p95, p99 (cut to whole numbers), max, and shares over 256 and 512."""
-    p = F.percentile("__len", F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    out = df.withColumn("__len", length).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("__len"), 6).alias("mean_len"), p.alias("__p"), F.max("__len").cast("long").alias("max_len"), *(F.round(F.avg((F.col("__len") > n).cast("double")), 6).alias(f"share_over_{n}") for n in (256, 512)))
-    cut = lambda i: F.floor(F.round(F.get("__p", i), 6))
-    return out.withColumns({f"p{n}": cut(i) for i, n in enumerate((50, 90, 95, 99))}).drop("__p")
+    """n, mean, interpolated p50, p90, p95, p99 (cut to whole numbers), max, and shares over 256 and 512.
+
+    Lengths are counted by value first, so df is read once and a group's quantiles come from its distinct lengths in ranges.
+    """
+    counts = materialise(df.select(*by, length.alias("__len")).groupBy(*by, "__len").agg(F.count(F.lit(1)).alias("__c")), "lengths")
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    p = quantiles.interpolated(counts, by, "__len", "__c", **shares).drop("n")
+    total = F.sum("__c")
+    share = lambda n: F.round(F.sum(F.when(F.col("__len") > n, F.col("__c")).otherwise(0)) / total, 6).alias(f"share_over_{n}")
+    out = counts.groupBy(*by).agg(total.alias("n"), F.round(F.sum(F.col("__len") * F.col("__c")) / total, 6).alias("mean_len"), F.max("__len").cast("long").alias("max_len"), share(256), share(512))
+    return quantiles.join_groups(out, p, by).withColumns({name: F.floor(F.round(name, 6)) for name in shares})
 
 
 def category_scores(results: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -125,3 +154,42 @@ def smoothed(df: DataFrame, run: str, order: str, value: str, alpha: float) -> D
     j = rows.join(n, F.col(run).eqNullSafe(F.col("__run")))
     weight = F.pow(F.lit(1.0 - alpha), F.col("n") - 1 - F.col("__i")) * F.when(F.col("__i") == 0, 1.0).otherwise(alpha)
     return j.groupBy(run).agg(F.first("n").alias("n"), F.sum(weight * F.col(value)).alias("ema"))
+
+
+RATES = tuple(i / 10 for i in range(10))
+
+
+def confidences(ranked: DataFrame, query: str, score: str) -> DataFrame:
+    """(query, max, std, diff1) of each query's scores: the best, their population deviation, the best less the second best."""
+    two = ranked.where(F.col("rank") <= 2).groupBy(query).agg(F.max(score).alias("max"), F.when(F.count(F.lit(1)) > 1, F.max(score) - F.min(score)).otherwise(0.0).alias("diff1"))
+    return ranked.groupBy(query).agg(F.stddev_pop(score).alias("std")).join(two, query).select(query, "max", "std", "diff1")
+
+
+def _abstention(df: DataFrame, order: list[str], values: list[str], cuts: list[int]) -> dict[str, list[float]]:
+    """For each value its means over all rows but the first so many in order, from one pass over the ranked rows."""
+    ranked = dense_ids(df.select(*dict.fromkeys([*order, *values])), order, "__place")
+    row = ranked.agg(*(F.avg(F.when(F.col("__place") >= c, F.col(v))).alias(f"{v}__{i}") for v in values for i, c in enumerate(cuts))).first()
+    return {v: [row[f"{v}__{i}"] for i in range(len(cuts))] for v in values}
+
+
+def nauc(per_query: DataFrame, query: str, metrics: list[str], confidence: list[str]) -> DataFrame:
+    """(metric, confidence, nauc): how much of the possible gain comes from leaving out the queries of least confidence.
+
+    The abstention curve has a metric's mean over the queries left when the RATES least confident ones are out. The area
+    under it, less that of the flat curve, is divided by what the best order (by the metric itself) gains; null where nothing
+    can be gained. Queries are ranked in ranges and the curves' means are aggregates, so no task or driver holds them; ties
+    go to the smaller query. Null metrics count as 0; an empty table gives nulls.
+    """
+    rows = materialise(per_query.select(query, *confidence, *(F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics)), "per_query")
+    n = rows.count()
+    cuts = [min(round(r * n), n - 1) for r in RATES]
+    area = lambda curve: sum((b - a) * (x + y) / 2 for a, b, x, y in zip(RATES, RATES[1:], curve, curve[1:]))
+    best = {m: _abstention(rows, [m, query], [m], cuts)[m] for m in metrics} if n else {}
+    out = []
+    for c in confidence:
+        curves = _abstention(rows, [c, query], metrics, cuts) if n else {}
+        for m in metrics:
+            flat = best[m][0] * (RATES[-1] - RATES[0]) if n else 0.0
+            gain = area(best[m]) - flat if n else 0.0
+            out.append((m, c, round((area(curves[m]) - flat) / gain, 6) if abs(gain) > 1e-12 else None))
+    return per_query.sparkSession.createDataFrame(out, "metric string, confidence string, nauc double")

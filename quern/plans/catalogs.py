@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import catalog, checks, corpus, sampling
 from quern.plans.declare import PAIRS, WIDE, Tables, md5_number, pairs, query, wide
+from quern.sources import records
 
 # Shards made from suppliers: a path per nation, ranges by key, one in nine without a range.
 _SHARDS = "sh AS (SELECT s_suppkey AS shard_id, 'p' || s_nationkey AS path, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 10 END AS row_start, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 10 + 200 END AS row_stop FROM supplier)"
@@ -28,7 +29,11 @@ def s23(t: Tables) -> DataFrame:
 
 @query("j01_selected_rows", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT DISTINCT item_id * 7 FROM benchmark)")
 def j01(t: Tables) -> DataFrame:
-    return t.documents.join(t.benchmark.select((F.col("item_id") * 7).alias("doc_id")), "doc_id", "left_semi").select("doc_id", "source")
+    """Rows by position: a narrow scan finds where the selected ids lie, and only their row groups are read for the rest."""
+    path = f"{t.sf_dir}/documents.parquet"
+    at = t.spark.read.parquet(path).select("doc_id", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+    chosen = at.join(t.benchmark.select((F.col("item_id") * 7).alias("doc_id")), "doc_id", "left_semi")
+    return records.read_selected(t.spark, path, chosen.drop("doc_id"), ["doc_id", "source"]).select("doc_id", "source")
 
 
 @query("j02_deref_docs", f"WITH {WIDE}, x AS (SELECT row_index, unnest([row_index, row_index + 3, 5]) AS ref, unnest([0, 1, 2]) AS pos FROM wide) SELECT row_index, md5(string_agg(coalesce(text, '?'), '/' ORDER BY pos)) AS texts FROM x LEFT JOIN documents ON doc_id = ref GROUP BY row_index")

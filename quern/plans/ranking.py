@@ -44,6 +44,27 @@ def a29(t: Tables) -> DataFrame:
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "map", "recall", "precision", "mrr")), "hit")
 
 
+_AUC = "(" + " + ".join(f"0.05 * ({{0}}[{i}] + {{0}}[{i + 1}])" for i in range(1, 10)) + ")"
+_CURVE = "list(v ORDER BY k)"
+
+
+@query(
+    "a29_nauc",
+    f"WITH {_SCORES}, tp AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS h FROM rk WHERE rank <= 10), pq AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, sum(rel * h / rank) AS ap, sum(rel) AS hits, min(CASE WHEN rel > 0 THEN rank END) AS first, max(score) AS max, stddev_pop(score) AS std, max(score) - max(CASE WHEN rank = 2 THEN score END) AS diff1 FROM tp GROUP BY query_id), ideal AS (SELECT query_id, n_relevant, (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 11)) AS i) WHERE i <= n_relevant) AS idcg FROM nr WHERE n_relevant > 0), m AS (SELECT query_id, max, std, diff1, round(dcg / idcg, 6) AS ndcg, round(ap / least(n_relevant, 10), 6) AS map, round(hits / n_relevant, 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr FROM ideal JOIN pq USING (query_id)), "
+    "u AS (UNPIVOT m ON ndcg, map, recall, mrr INTO NAME metric VALUE y), x AS (UNPIVOT (SELECT query_id, metric, y, max, std, diff1, y AS self FROM u) ON max, std, diff1, self INTO NAME confidence VALUE c), r AS (SELECT metric, confidence, y, row_number() OVER (PARTITION BY metric, confidence ORDER BY c, query_id) - 1 AS place, count(*) OVER (PARTITION BY metric, confidence) AS n FROM x), "
+    "cv AS (SELECT metric, confidence, k, avg(y) AS v FROM r, (SELECT unnest(range(0, 10)) AS k) WHERE place >= least(round_even(k / 10.0 * n, 0), n - 1) GROUP BY ALL), l AS (SELECT metric, confidence, " + _CURVE + " AS v FROM cv GROUP BY ALL), "
+    "b AS (SELECT metric, v[1] * 0.9 AS flat, " + _AUC.format("v") + " AS best FROM l WHERE confidence = 'self') SELECT metric, confidence, CASE WHEN abs(best - flat) > 1e-12 THEN round((" + _AUC.format("v") + " - flat) / (best - flat), 6) END AS nauc FROM l JOIN b USING (metric) WHERE confidence <> 'self'",
+)
+def a29c(t: Tables) -> DataFrame:
+    """Normalised area under the abstention curve of each metric at 10, for three confidences of a query's scores."""
+    top = materialise(metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10), "top")
+    of_label = t.embeddings.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
+    n = t.embeddings.where("vec_id % 50 = 0").join(of_label, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+    names = ["ndcg", "map", "recall", "mrr"]
+    per = metrics.ranking(top, "query_id", "rel", n, 10).select("query_id", *(F.round(c, 6).alias(c) for c in names))
+    return metrics.nauc(per.join(metrics.confidences(top, "query_id", "score"), "query_id"), "query_id", names, ["max", "std", "diff1"])
+
+
 @query("a29_best_subquery", f"WITH {_SCORES} SELECT query_id // 150 AS base_id, max(CASE WHEN rel = 1 THEN 1 / rank ELSE 0 END) AS best_rr FROM (SELECT query_id, rel, rank FROM rk WHERE rank <= 10) GROUP BY query_id // 150")
 def a29b(t: Tables) -> DataFrame:
     r = metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10)

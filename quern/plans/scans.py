@@ -20,7 +20,7 @@ def s01(t: Tables) -> DataFrame:
 
 @query("s02_footer_inventory")
 def s02(t: Tables) -> DataFrame:
-    return records.inventory(t.spark, f"{t.sf_dir}/documents.parquet").drop("schema", "uri")
+    return records.inventory(t.spark, f"{t.sf_dir}/documents.parquet").drop("schema", "uri", "column_bytes")
 
 
 @query("s02_footer_totals", "SELECT count(*) AS n_rows, true AS groups_add_up, 5 AS n_columns FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import corpus, metrics
+from quern.operators import corpus, metrics, quantiles
 from quern.plans.declare import Tables, query
 from quern.session import materialise
 from quern.sources import attempts, records
@@ -22,7 +22,8 @@ def a15(t: Tables) -> DataFrame:
 
 @query("a16_wait_p95", f"SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, {_P95.format('value')} AS p95, sum(event_id % 9)::BIGINT AS n_instances FROM events GROUP BY user_id")
 def a16(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), metrics.nearest_rank("value", 0.95).alias("p95"), F.sum(F.col("event_id") % 9).alias("n_instances"))
+    out = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.sum(F.col("event_id") % 9).alias("n_instances"))
+    return quantiles.join_groups(out, quantiles.nearest_ranks(t.events, ["user_id"], "value", p95=0.95).drop("n"), ["user_id"])
 
 
 @query("a17_throughput", "SELECT user_id, round(sum(event_id % 9) * 8 / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 6) AS per_second, round((epoch(max(ts)) - epoch(min(ts))) / nullif(count(*), 0), 4) AS step_seconds FROM events GROUP BY user_id")

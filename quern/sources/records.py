@@ -7,16 +7,18 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions.hashing import canonical_json
-from quern.operators.checks import assert_count, assert_schema
-from quern.session import own_dir
+from quern.operators.checks import ConstraintError, assert_count, assert_schema
+from quern.session import materialise, own_dir
 
-FOOTER_TASKS = 200
+FOOTER_TASKS, GROUP_BYTES = 200, 64 << 20
 
 RECORD = "query STRING, pos ARRAY<STRING>, neg ARRAY<STRING>, prompt STRING, type STRING, pos_scores ARRAY<DOUBLE>, neg_scores ARRAY<DOUBLE>"
 
@@ -53,11 +55,87 @@ def read_records(spark: SparkSession, path: str, schema: str | StructType = RECO
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def selected_groups(spark: SparkSession, paths: str | list[str], index: DataFrame, columns: list[str]) -> DataFrame:
+    """(uri, file_name, row_group, first_row, bytes, rows) of the row groups that hold the rows of an index (file_name, row_index).
+
+    bytes are the compressed bytes of the columns in the group; rows the sorted places inside it, each once. Footers alone are
+    read. A file that isn't among the paths, or whose name occurs twice there, and a place beyond a file's end are errors.
+    """
+    files = inventory(spark, paths).select("uri", F.col("path").alias("__file"), "row_group_rows", "column_bytes")
+    files = materialise(files, "footers")
+    if twice := files.groupBy("__file").count().where("count > 1").limit(10).collect():
+        raise ValueError(f"several files of one name: {[r['__file'] for r in twice]}")
+    wanted = index.select("file_name", F.col("row_index").cast("long").alias("row_index"))
+    j = wanted.join(files.select("__file", "uri", "row_group_rows"), F.col("file_name") == F.col("__file"), "left")
+    # running ends of a file's row groups; a row lies in the first group that ends after it
+    ends = F.transform(F.sequence(F.lit(1), F.size("row_group_rows")), lambda k: F.aggregate(F.slice("row_group_rows", F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x))
+    ends = F.when(F.size("row_group_rows") > 0, ends).otherwise(F.array().cast("array<long>"))
+    located = files.select(F.col("__file"), F.posexplode(F.arrays_zip(ends.alias("stop"), F.col("row_group_rows").alias("size"))).alias("row_group", "g"))
+    located = located.select("__file", "row_group", F.col("g.stop").alias("stop"), (F.col("g.stop") - F.col("g.size")).alias("first_row"))
+    total = F.aggregate("row_group_rows", F.lit(0).cast("long"), lambda a, x: a + x)
+    bad = F.col("uri").isNull() | F.col("row_index").isNull() | (F.col("row_index") < 0) | (F.col("row_index") >= total)
+    if missing := j.where(F.coalesce(bad, F.lit(True))).select("file_name", "row_index").limit(10).collect():
+        raise ConstraintError(f"no such row: {[tuple(r) for r in missing]}")
+    checked = j.select("file_name", "uri", "row_index")
+    near = checked.join(located, (F.col("file_name") == F.col("__file")) & (F.col("row_index") < F.col("stop")) & (F.col("row_index") >= F.col("first_row")))
+    grouped = near.groupBy("uri", "file_name", "row_group", "first_row").agg(F.sort_array(F.collect_set(F.col("row_index") - F.col("first_row"))).alias("rows"))
+    cost = files.select(F.col("uri").alias("__uri"), "column_bytes")
+    size = F.aggregate(F.array(*(F.coalesce(F.get(F.col("column_bytes")[c], F.col("row_group")), F.lit(0).cast("long")) for c in columns)) if columns else F.array().cast("array<long>"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return grouped.join(cost, F.col("uri") == F.col("__uri")).select("uri", "file_name", "row_group", "first_row", size.alias("bytes"), "rows")
+
+
+def _read_groups(batches: Iterator[pa.RecordBatch], columns: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of the given row groups, a batch at a time: nothing else of a file is read."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for b in batches:
+        for uri, name, group, first, rows in zip(*(b.column(c).to_pylist() for c in ("uri", "file_name", "row_group", "first_row", "rows"))):
+            store, path = fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as handle:
+                places, before = np.array(rows, np.int64), 0
+                for part in pq.ParquetFile(handle).iter_batches(row_groups=[group], columns=columns or None):
+                    inside = places[(places >= before) & (places < before + part.num_rows)]
+                    if len(inside):
+                        own = part.take(pa.array(inside - before))
+                        found = [own.column(own.schema.get_field_index(f.name)).cast(f.type) for f in schema if f.name in columns]
+                        yield pa.RecordBatch.from_arrays([*found, pa.array([name] * len(inside), pa.string()), pa.array(first + inside)], schema=schema)
+                    before += part.num_rows
+
+
 def read_selected(spark: SparkSession, paths: str | list[str], index: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of Parquet files by position: index (file_name, row_index). Columns are pruned in the scan; a missing row raises
-    when counted with assert_count."""
-    rows = spark.read.parquet(*([paths] if isinstance(paths, str) else paths)).select(*columns, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-    return rows.join(index, ["file_name", "row_index"], "left_semi")
+    """(columns, file_name, row_index): rows of Parquet files by position; index has file_name and row_index.
+
+    Only the columns of those row groups that hold a wanted row are read, one group a task at a time and in batches, so the
+    bytes read follow the selection (selected_groups tells them beforehand). A row that an index names several times comes
+    once; a file or row that isn't there is an error. Where pyarrow doesn't know the store, files are scanned by Spark and
+    joined with the index.
+    """
+    files = [paths] if isinstance(paths, str) else paths
+    table = spark.read.parquet(*files)
+    if not known_store(spark, files[0]):
+        rows = table.select(*columns, F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+        return rows.join(index, ["file_name", "row_index"], "left_semi")
+    schema = StructType([*(table.schema[c] for c in columns), StructField("file_name", StringType()), StructField("row_index", LongType())])
+    groups = materialise(selected_groups(spark, paths, index, columns), "groups")
+    # a row group is the unit of work; groups are dealt by their bytes
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    dealt = groups.repartition(max(1, min(groups.count(), -(-total // GROUP_BYTES))), "uri", "row_group")
+    arrow = to_arrow_schema(schema)
+    return dealt.mapInArrow(lambda it: _read_groups(it, columns, arrow), schema)
+
+
+def known_store(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can open a path's store by pyarrow."""
+    from pyarrow import fs
+
+    p, store = hadoop_path(spark, path)
+    uri = store.makeQualified(p).toString()
+    try:
+        fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    except (pa.ArrowInvalid, OSError):
+        return False
+    return True
 
 
 def first_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +154,16 @@ def _footer(path: str, handle) -> tuple:
     size = handle.size()
     digest = lambda x: hashlib.sha256(canonical_json(x).encode()).hexdigest()
     whole = {"path": path, "size": size, "n_rows": meta.num_rows, "row_group_rows": groups, "schema": schema, "created_by": meta.created_by}
-    return path, size, meta.num_rows, len(groups), groups, meta.created_by, json.dumps(schema), digest(schema), digest(whole)
+    sizes: dict[str, list[int]] = {}
+    for i in range(meta.num_row_groups):
+        own: dict[str, int] = {}
+        for j in range(meta.row_group(i).num_columns):
+            c = meta.row_group(i).column(j)
+            top = c.path_in_schema.split(".")[0]
+            own[top] = own.get(top, 0) + c.total_compressed_size
+        for name, n in own.items():
+            sizes.setdefault(name, [0] * i).append(n)
+    return path, size, meta.num_rows, len(groups), groups, meta.created_by, json.dumps(schema), digest(schema), digest(whole), list(sizes.items())
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +178,8 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([dict(zip(_INVENTORY.names, r)) for r in rows], schema=_INVENTORY)
 
 
-_INVENTORY = pa.schema([("uri", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("n_rows", pa.int64()), ("row_groups", pa.int32()), ("row_group_rows", pa.list_(pa.int64())), ("created_by", pa.string()), ("schema", pa.string()), ("schema_fingerprint", pa.string()), ("metadata_fingerprint", pa.string())])
-_INVENTORY_DDL = "uri string, path string, size long, n_rows long, row_groups int, row_group_rows array<long>, created_by string, schema string, schema_fingerprint string, metadata_fingerprint string"
+_INVENTORY = pa.schema([("uri", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("n_rows", pa.int64()), ("row_groups", pa.int32()), ("row_group_rows", pa.list_(pa.int64())), ("created_by", pa.string()), ("schema", pa.string()), ("schema_fingerprint", pa.string()), ("metadata_fingerprint", pa.string()), ("column_bytes", pa.map_(pa.string(), pa.list_(pa.int64())))])
+_INVENTORY_DDL = "uri string, path string, size long, n_rows long, row_groups int, row_group_rows array<long>, created_by string, schema string, schema_fingerprint string, metadata_fingerprint string, column_bytes map<string,array<long>>"
 
 
 class _HadoopFile:
@@ -126,8 +213,8 @@ class _HadoopFile:
 
 
 def inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(uri, path, size, n_rows, row_groups, row_group_rows, created_by, schema, schema_fingerprint, metadata_fingerprint) of the
-    Parquet files of a folder, or of listed files, from footers alone; no data page is read.
+    """(uri, path, size, n_rows, row_groups, row_group_rows, created_by, schema, schema_fingerprint, metadata_fingerprint,
+    column_bytes: compressed bytes of each column by row group) of the Parquet files of a folder, or of listed files, from footers alone; no data page is read.
 
     Footers are read in tasks, each file once. Where pyarrow doesn't know the store, the driver reads them.
     """
@@ -145,7 +232,8 @@ def inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
         rows = []
         for f in files:
             handle = _HadoopFile(spark, f)
-            rows.append((f, *_footer(f.rpartition("/")[2], handle)))
+            *found, sizes = _footer(f.rpartition("/")[2], handle)
+            rows.append((f, *found, dict(sizes)))
             handle.close()
         return spark.createDataFrame(rows, _INVENTORY_DDL)
     listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, min(len(uris), FOOTER_TASKS)))

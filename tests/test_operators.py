@@ -145,14 +145,13 @@ def test_pairs_and_deltas_are_checked(spark):
         checks.audit(d, "k", 3, spark.createDataFrame([], "k string, expected long"))
 
 
-def test_scores_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "QUERY_BLOCK", 7)
+def test_scores_in_blocks(spark):
     x = np.random.default_rng(0).normal(size=(300, 5)).round(1)
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, v array<double>").repartition(5)
     q = d.where("doc_id < 30").withColumnRenamed("doc_id", "query_id")
-    got = {(r.query_id, r.doc_id): r.score for r in metrics.blocked_scores(q, d).collect()}
+    got = {(r.query_id, r.doc_id): r.score for r in metrics.blocked_scores(q, d, block_bytes=300).collect()}
     assert len(got) == 9000 and all(abs(got[i, j] - x[i] @ x[j]) < 1e-9 for i, j in got)
-    top = metrics.top_k(metrics.blocked_scores(q, d, 4), "query_id", "doc_id", "score", 4).collect()
+    top = metrics.top_k(metrics.blocked_scores(q, d, 4, 3000), "query_id", "doc_id", "score", 4).collect()
     want = {(i, int(j)) for i in range(30) for j in np.lexsort((np.arange(300), -(x[i] @ x.T)))[:4]}
     assert len(top) == 120 and len({(r.query_id, r.doc_id) for r in top} & want) >= 118  # ties in the last digit
 
@@ -302,7 +301,8 @@ def test_inventory_reads_footers(spark, tmp_path):
     assert len({r.schema_fingerprint for r in got.values()}) == 1 and len({r.metadata_fingerprint for r in got.values()}) == 3
     assert all(r.size == (tmp_path / r.path).stat().st_size and r.n_rows == sum(r.row_group_rows) for r in got.values())
     handle = records._HadoopFile(spark, f"file://{tmp_path}/f1.parquet")
-    assert records._footer("f1.parquet", pa.PythonFile(handle, mode="r")) == tuple(got["f1.parquet"])[1:]
+    *found, sizes = records._footer("f1.parquet", pa.PythonFile(handle, mode="r"))
+    assert (*found, dict(sizes)) == tuple(got["f1.parquet"])[1:] and [len(n) for n in dict(sizes).values()] == [3, 3]
 
 
 def test_reports_say_what_they_leave_out(spark):
