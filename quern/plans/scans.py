@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import hashing
 from quern.operators import checks, tensors
 from quern.plans.declare import Tables, query
-from quern.sources import records
+from quern.sources import files, records
 
 
 @query("s01_json_records", "SELECT text AS query, lang || ',' || source AS pos, CASE WHEN doc_id % 2 = 0 THEN lang END AS prompt FROM documents")
@@ -260,3 +260,52 @@ def p21(t: Tables) -> DataFrame:
     """Rows of each source against a stated number, here its labelled ones; another number of sources would be an error."""
     expected = t.documents.join(t.labels.select(F.col("doc_id").alias("known")), F.col("doc_id") == F.col("known"), "left").groupBy("source").agg(F.count("known").alias("expected"))
     return checks.audit(t.documents, "source", expected.count(), expected)
+
+
+@query("s01_record_ordinals", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, text AS query FROM documents")
+def s01b(t: Tables) -> DataFrame:
+    """Records of several files with their number over all of them."""
+    out = records.scratch(t.spark, "numbered")
+    t.documents.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").select(F.col("text").alias("query")).write.json(out)
+    return records.numbered_records(t.spark, out).select("ordinal", "query")
+
+
+@query("s06_record_batches", "SELECT event_id, user_id, event_type, value, props FROM events")
+def s06b(t: Tables) -> DataFrame:
+    """A table in bounded Arrow record batches, whose sizes, numbers and digests are checked when it is read."""
+    out = records.scratch(t.spark, "batches")
+    files.write_batches(t.events.select("event_id", "user_id", "event_type", "value", "props"), out)
+    return files.read_batches(t.spark, out, verify=True)
+
+
+@query("s13_archive_files", "SELECT source AS shard, doc_id AS value FROM documents")
+def s13b(t: Tables) -> DataFrame:
+    out = records.scratch(t.spark, "archive")
+    files.write_index_archive(t.documents, "source", "doc_id", out)
+    return files.read_index_archive(t.spark, out)
+
+
+@query("s18_sealed_table", "SELECT doc_id, lang, text FROM documents")
+def s18b(t: Tables) -> DataFrame:
+    """A table that is published with digests of its files and opened after these were checked."""
+    out, df = records.scratch(t.spark, "sealed"), t.documents.select("doc_id", "lang", "text")
+    files.publish_sealed(df, out, records_per_file=4096)
+    return files.open_sealed(t.spark, out, df.schema)
+
+
+@query("s20_tensor_files", "SELECT vec_id, round(sum(i * x), 4) AS s FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY vec_id")
+def s20b(t: Tables) -> DataFrame:
+    out = records.scratch(t.spark, "tensors")
+    values = t.embeddings.select(F.col("vec_id").cast("string").alias("key"), F.lit(0).cast("long").alias("i"), F.posexplode("embedding").alias("j", "x"))
+    names = files.write_tensors(values.withColumns({"j": F.col("j").cast("long"), "x": F.col("x").cast("double")}), out, shard_bytes=64 << 20)
+    back = files.read_tensors(t.spark, [f"{out}/{n}" for n in names])
+    return back.groupBy(F.col("key").cast("long").alias("vec_id")).agg(F.round(F.sum(F.col("j") * F.col("x")), 4).alias("s"))
+
+
+@query("s22_source_lines", "SELECT lang, line, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line FROM documents) WHERE line < 100")
+def s22b(t: Tables) -> DataFrame:
+    """The first hundred lines of each source file."""
+    out = records.scratch(t.spark, "lines")
+    t.documents.repartition("lang").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("value"), "lang").write.partitionBy("lang").text(out)
+    lines = records.capped_lines(t.spark, [f"{out}/lang=*/*.txt"], 100)
+    return lines.select(F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang"), "line", F.col("value").cast("long").alias("doc_id"))

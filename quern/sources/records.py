@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions.hashing import canonical_json
 from quern.operators.checks import ConstraintError, assert_count, assert_schema
+from quern.operators.corpus import dense_ids
 from quern.session import materialise, own_dir
 
 FOOTER_TASKS, GROUP_BYTES = 200, 64 << 20
@@ -55,6 +56,35 @@ def read_records(spark: SparkSession, path: str, schema: str | StructType = RECO
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, ordinal, value) of the lines of text files: line counts from 0 in its file, ordinal over all files in sorted order.
+
+    Files are read in splits, twice: the first time each split's lines are counted, and the counts of those before it number
+    its own, so one large file is many tasks. Compressed files are one split each.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    order = Window.orderBy("file", "__block")  # a row a split
+    splits = splits.withColumn("__all", F.sum("__n").over(order) - F.col("__n")).withColumn("__own", F.sum("__n").over(Window.partitionBy("file").orderBy("__block")) - F.col("__n"))
+    place = F.col("__id") - F.col("__first")
+    return lines.join(splits, ["file", "__block"]).select("file", (F.col("__own") + place).alias("line"), (F.col("__all") + place).alias("ordinal"), "value")
+
+
+def numbered_records(spark: SparkSession, path: str | list[str], schema: str | StructType = RECORD) -> DataFrame:
+    """JSON lines with ordinal, their number over all files in sorted order, blank lines not counted; malformed ones are errors."""
+    lines = numbered_lines(spark, path)
+    full = lines.where("trim(value) <> ''")
+    if lines.where("trim(value) = ''").limit(1).count():
+        full = dense_ids(full.select("ordinal", "value"), ["ordinal"], "__o").select(F.col("__o").alias("ordinal"), "value")
+    return full.select("ordinal", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("ordinal", "r.*")
+
+
+def capped_lines(spark: SparkSession, path: str | list[str], most: int) -> DataFrame:
+    """The first so many lines of each file, as numbered_lines has them."""
+    return numbered_lines(spark, path).where(F.col("line") < most)
+
+
 def selected_groups(spark: SparkSession, paths: str | list[str], index: DataFrame, columns: list[str]) -> DataFrame:
     """(uri, file_name, row_group, first_row, bytes, rows) of the row groups that hold the rows of an index (file_name, row_index).
 
