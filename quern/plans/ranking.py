@@ -74,9 +74,9 @@ def a29b(t: Tables) -> DataFrame:
 @query("a30_leaderboard", "WITH r AS (SELECT source AS model, lang AS type, avg(quality) AS s FROM documents JOIN labels USING (doc_id) GROUP BY ALL), p AS (SELECT model, max(CASE WHEN type = 'de' THEN s END) AS de, max(CASE WHEN type = 'en' THEN s END) AS en, max(CASE WHEN type = 'es' THEN s END) AS es, max(CASE WHEN type = 'fr' THEN s END) AS fr, avg(s) AS mean FROM r GROUP BY model) SELECT model, round(de, 6) AS de, round(en, 6) AS en, round(es, 6) AS es, round(fr, 6) AS fr, round(mean, 6) AS mean, rank() OVER (ORDER BY round(mean, 6) DESC)::INT AS rank FROM p")
 def a30(t: Tables) -> DataFrame:
     r = t.documents.join(t.labels, "doc_id").groupBy(F.col("source").alias("model"), "lang").agg(F.avg("quality").alias("s"))
-    p = r.groupBy("model").pivot("lang", ["de", "en", "es", "fr"]).agg(F.first("s"))
+    p = r.groupBy("model").pivot("lang").agg(F.first("s"))  # a column for each type that results name
     p = p.join(r.groupBy("model").agg(F.avg("s").alias("mean")), "model")
-    p = p.select("model", *(F.round(c, 6).alias(c) for c in ("de", "en", "es", "fr", "mean")))
+    p = p.select("model", *(F.round(c, 6).alias(c) for c in p.columns if c != "model"))
     return p.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean"))))
 
 
@@ -137,16 +137,20 @@ def a12(t: Tables) -> DataFrame:
     return _results(t).groupBy("task").agg(F.round(F.avg("score"), 6).alias("score"), F.when(F.count("seconds") == F.count(F.lit(1)), F.sum("seconds")).otherwise(99.0).alias("seconds"))
 
 
-@query("a13_category_scores", f"WITH {_RES}, m AS (SELECT task, avg(score) AS score, sum(seconds) AS seconds FROM res GROUP BY task), tk AS (SELECT 'src' || i AS task, 'c' || (i % 3) AS category FROM (SELECT unnest(range(0, 24)) AS i)) SELECT category, count(*) AS n_tasks, count(*) FILTER (score IS NULL) AS n_missing, round(avg(coalesce(score, 0)), 6) AS score, round(sum(coalesce(seconds, 0)), 6) AS seconds FROM tk LEFT JOIN m USING (task) GROUP BY category")
+@query("a13_category_scores", f"WITH {_RES}, m AS (SELECT task, avg(score) AS score, sum(seconds) AS seconds FROM res GROUP BY task), tk AS (SELECT source AS task, 'c' || (regexp_extract(source, '([0-9]+)$', 1)::INT % 3) AS category FROM documents GROUP BY source UNION ALL SELECT source || '-new', 'new' FROM documents GROUP BY source) SELECT category, count(*) AS n_tasks, count(*) FILTER (score IS NULL) AS n_missing, round(avg(coalesce(score, 0)), 6) AS score, round(sum(coalesce(seconds, 0)), 6) AS seconds FROM tk LEFT JOIN m USING (task) GROUP BY category")
 def a13(t: Tables) -> DataFrame:
-    tasks = t.spark.range(24).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("task"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("category"))
+    """Tasks are those that documents name, and as many that have no result yet."""
+    source = t.documents.select(F.col("source").alias("task")).distinct()
+    number = F.regexp_extract("task", "([0-9]+)$", 1).cast("int")
+    tasks = source.withColumn("category", F.concat(F.lit("c"), (number % 3).cast("string"))).unionByName(source.select(F.concat("task", F.lit("-new")).alias("task"), F.lit("new").alias("category")))
     m = _results(t).groupBy("task").agg(F.avg("score").alias("score"), F.sum("seconds").alias("seconds"))
     return metrics.category_scores(m, tasks)
 
 
-@query("a14_subset_pivot", f"WITH {_RES} SELECT task, round(coalesce(max(CASE WHEN subset = 'en' THEN score END), 0), 6) AS en, round(coalesce(max(CASE WHEN subset = 'es' THEN score END), 0), 6) AS es FROM res GROUP BY task")
+@query("a14_subset_pivot", f"WITH {_RES} SELECT task, round(coalesce(max(CASE WHEN subset = 'de' THEN score END), 0), 6) AS de, round(coalesce(max(CASE WHEN subset = 'en' THEN score END), 0), 6) AS en, round(coalesce(max(CASE WHEN subset = 'es' THEN score END), 0), 6) AS es, round(coalesce(max(CASE WHEN subset = 'fr' THEN score END), 0), 6) AS fr FROM res GROUP BY task")
 def a14(t: Tables) -> DataFrame:
-    return _results(t).groupBy("task").pivot("subset", ["en", "es"]).agg(F.round(F.max("score"), 6)).fillna(0.0, ["en", "es"])
+    """A column for each subset that results name."""
+    return _results(t).groupBy("task").pivot("subset").agg(F.round(F.max("score"), 6)).fillna(0.0)
 
 
 @query("f14_formats", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KiB', n_chars / 1024.0) ELSE printf('%.1f MiB', n_chars / 1048576.0) END AS size, printf('%02d:%02d:%02d', n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS time FROM documents")

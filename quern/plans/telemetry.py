@@ -138,6 +138,6 @@ def st5(t: Tables) -> DataFrame:
 @query("st6_ema_state", "WITH RECURSIVE o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events), r AS (SELECT event_type, k, value AS ema FROM o WHERE k = 1 UNION ALL SELECT o.event_type, o.k, 0.5 * o.value + 0.5 * r.ema FROM r JOIN o ON o.event_type = r.event_type AND o.k = r.k + 1) SELECT event_type, round(arg_max(ema, k), 6) AS ema FROM r GROUP BY event_type")
 def st6(t: Tables) -> DataFrame:
     """Smoothing as streaming state; the view is the last row of each run."""
-    e = S.event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("event_type", "event_id", "value")
-    out = S.run_to_table(S.smoothed(e, "event_type", "event_id", "value", 0.5), "update")
+    e = S.event_stream(t.spark, f"{t.sf_dir}/events.parquet").select("event_type", "event_id", "value", "ts")
+    out = S.run_to_table(S.smoothed(e, "event_type", "event_id", "value", 0.5, "ts"), "update")
     return out.groupBy("event_type").agg(F.round(F.max_by("ema", "n"), 6).alias("ema"))

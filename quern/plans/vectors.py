@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
-from quern.operators import corpus, tensors
+from quern.operators import corpus, merging, tensors
 from quern.plans.declare import Tables, query
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -227,3 +227,27 @@ def v19(t: Tables) -> DataFrame:
     whole = parts.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("part", "x"))).alias("p"))
     v = F.flatten(F.transform("p", lambda z: z["x"]))
     return whole.select("vec_id", F.round(F.get(v, F.lit(0)) + F.get(v, F.lit(63)), 6).alias("ends"), F.size("p").alias("n_parts"))
+
+
+_FOLD = "SELECT CASE WHEN abs(c) > 0.9995 THEN 1 - t ELSE sin((1 - t) * acos(c)) / sin(acos(c)) END AS p, CASE WHEN abs(c) > 0.9995 THEN t ELSE sin(t * acos(c)) / sin(acos(c)) END AS q"
+
+
+@query(
+    "v14_state_merge",
+    f"WITH {_E}, s AS (SELECT a.vec_id // 3 AS key, unnest(range(64)) AS j, unnest(a.v) AS x, unnest(b.v) AS y, unnest(c.v) AS z FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 JOIN e c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 3 = 0), "
+    f"w AS ({_FOLD} FROM (SELECT 2.0 / 3 AS t, sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)) AS c FROM s)), m AS (SELECT key, j, x, z, p * x + q * y AS m FROM s, w), "
+    f"w2 AS ({_FOLD} FROM (SELECT 3.0 / 4.5 AS t, sum(m * z) / sqrt(sum(m * m)) / sqrt(sum(z * z)) AS c FROM m)) SELECT key, round(sum((j + 1) * (x + 0.5 * (p * m + q * z))), 4) AS s FROM m, w2 GROUP BY key",
+)
+def v14b(t: Tables) -> DataFrame:
+    """Three states, each one vector of all its tensors, folded on the great circle with the mean weight of those before."""
+    e = _e(t).join(_e(t).where("vec_id % 3 = 2").select(F.expr("vec_id div 3").alias("full")), F.expr("vec_id div 3") == F.col("full"))
+    state = lambda k: e.where(F.col("vec_id") % 3 == k).select(F.expr("vec_id div 3").cast("string").alias("key"), F.lit(0).cast("long").alias("i"), F.posexplode("v").alias("j", "x")).withColumn("j", F.col("j").cast("long"))
+    out = merging.merge_states(state(0), [state(k) for k in range(3)], [1.0, 2.0, 3.0], 0.5)
+    return out.groupBy(F.col("key").cast("long").alias("key")).agg(F.round(F.sum((F.col("j") + 1) * F.col("x")), 4).alias("s"))
+
+
+@query("v17_gradient_search", f"WITH {_G}, a AS (SELECT unnest(range(0, 1001)) / 1000 AS alpha), l AS (SELECT alpha, avg({_LSE.format('m')} - m[1]) AS loss FROM (SELECT alpha, [alpha * s[i] + (1 - alpha) * s[i % 4 + 1] FOR i IN [1, 2, 3, 4]] AS m FROM g, a) GROUP BY alpha) SELECT round(min(loss), 3) AS loss FROM l")
+def v17b(t: Tables) -> DataFrame:
+    """The least loss that gradient steps find, against a fine grid."""
+    g = _groups(t).select("s", F.concat(F.slice("s", 2, 3), F.slice("s", 1, 1)).alias("turned"), F.lit(0).alias("target"))
+    return merging.gradient_search(g, ["s", "turned"], "target").agg(F.round(F.min("loss"), 3).alias("loss"))

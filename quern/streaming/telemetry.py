@@ -82,22 +82,36 @@ def upsert_latest(stream: DataFrame, key: str, seq: str, base: str | None = None
     return attempts.latest(attempts.read(spark, log, schema), key, seq)
 
 
-def smoothed(stream: DataFrame, run: str, order: str, value: str, alpha: float) -> DataFrame:
+def smoothed(stream: DataFrame, run: str, order: str, value: str, alpha: float, event_time: str | None = None, idle: float = 86_400.0) -> DataFrame:
     """(run, n, ema) after each micro-batch: exponential smoothing whose state is a count and a number for each run.
 
-    Values of a micro-batch are taken in order; a later batch must hold later ones.
+    Values of a micro-batch are taken in order; a later batch must hold later ones. With event_time, a run's state is dropped
+    once the watermark is idle seconds past its last event, so the store holds live runs alone; a run that comes back after
+    that begins anew. Without it state is kept for good, for runs whose number is bounded.
     """
     kind = stream.schema[run].dataType.simpleString()
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, ema = state.get if state.exists else (0, 0.0)
-        for x in pd.concat(list(parts)).sort_values(order)[value]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, ema, last = state.get if state.exists else (0, 0.0, 0)
+        rows = pd.concat(list(parts)).sort_values(order)
+        for x in rows[value]:
             ema = x if n == 0 else alpha * x + (1 - alpha) * ema
             n += 1
-        state.update((n, float(ema)))
+        if event_time:
+            last = max(last, int(rows[event_time].max().timestamp() * 1000))
+            state.update((n, float(ema), last))
+            state.setTimeoutTimestamp(max(last + int(1000 * idle), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.update((n, float(ema), last))
         yield pd.DataFrame({run: [key[0]], "n": [n], "ema": [float(ema)]})
 
-    return stream.groupBy(run).applyInPandasWithState(step, f"`{run}` {kind}, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
+    if event_time:
+        stream = stream.withWatermark(event_time, LATENESS)
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    return stream.groupBy(run).applyInPandasWithState(step, f"`{run}` {kind}, n long, ema double", "n long, ema double, last long", "update", timeout)
 
 
 def open_units(stream: DataFrame, worker: str, order: str, unit: str, capacity: int) -> DataFrame:
