@@ -5,11 +5,12 @@
    taken before, so a group of near copies gives one. Each vector is described by its NEAR nearest pivots in order. Every
    vector is indexed, in the inverted lists of its pivots of least number, all but SHARED - 1: the smallest of SHARED shared
    pivots is always among these.
-3. A list is compared block by block (blocks of BLOCK, pairs of blocks dealt out as tasks). Two vectors are candidates if
-   their descriptions share SHARED pivots or more; they are looked at in the list of the smallest pivot they share, and so
-   once. Candidates are verified by cosine in double precision.
-4. Links are counted in place; what leaves a task is each vector's number of links and a star forest of the block's links,
-   so a group of near copies costs its comparisons but no rows for its pairs.
+3. Lists hold descriptions alone, never vectors. A list is counted in tiles: bitmaps of two descriptions bound the number of
+   pivots that they share, and pairs that pass are counted exactly. Two vectors are candidates if they share SHARED pivots
+   or more; they are looked at in the list of the smallest pivot they share, and so once.
+4. A tile hands on its candidates as a matrix of bits over the vectors in it, to which these are joined once each; they are
+   verified there by cosine in double precision. Links are counted in place; what leaves a task is each vector's number of
+   links and a star forest of the tile's links, so a group of near copies costs its comparisons but no rows for its pairs.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected
-from quern.session import materialise
+from quern.session import materialise, temporary_tables
 
-NEAR, SHARED, BLOCK, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 8, 2, 1024, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
+NEAR, SHARED, BLOCK, TILE, BITS, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 16, 5, 1 << 15, 1024, 256, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
@@ -32,26 +34,22 @@ def n_pivots(n: int) -> int:
     return int(min(MOST_PIVOTS, max(64, 2 * n**0.5)))
 
 
-def _unit(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Rows of usable vectors and the vectors, scaled to length 1 in double precision."""
-    rows, out = [], []
-    for i, v in enumerate(col):
-        v = v.as_py()
-        if v and None not in v:
-            x = np.array(v, np.float64)
-            with np.errstate(all="ignore"):
-                x = x / np.abs(x).max()
-                x = x / np.sqrt(x @ x)
-            if np.isfinite(x).all():
-                rows.append(i)
-                out.append(x)
-    return np.array(rows, np.int64), out
-
-
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Usable vectors, scaled to length 1 in double precision."""
     for b in batches:
-        rows, vectors = _unit(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in vectors], pa.binary())], names=["vec_id", "v"])
+        b = b.filter(pc.is_valid(b.column(1)))
+        n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        stop, full = np.cumsum(n), np.flatnonzero(n)
+        ok = np.zeros(len(n), bool)
+        if len(full):
+            begin = (stop - n)[full]
+            with np.errstate(all="ignore"):
+                x = x / np.repeat(np.maximum.reduceat(np.abs(x), begin), n[full])
+                x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, begin)), n[full])
+                ok[full] = np.isfinite(np.add.reduceat(x, begin))
+        rows = np.flatnonzero(ok)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([x[stop[i] - n[i] : stop[i]].tobytes() for i in rows], pa.binary())], names=["vec_id", "v"])
 
 
 def spread(sample: np.ndarray, most: int) -> np.ndarray:
@@ -64,7 +62,7 @@ def spread(sample: np.ndarray, most: int) -> np.ndarray:
     return taken[:n]
 
 
-_ENTRY = "length int, pivot int, node long, weight long, near array<int>, v binary"
+_ENTRY = "length int, pivot int, node long, near binary"
 
 
 def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], near: int, shared: int) -> Iterator[pa.RecordBatch]:
@@ -80,65 +78,109 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
                 rows = at[c : c + step]
                 s = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1) @ own.T
                 k = min(near, s.shape[1])
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1).astype(np.uint16)
                 m = max(1, k - min(shared, len(own)) + 1)
-                least = np.sort(top, axis=1)[:, :m]
-                n = np.repeat(np.array(rows), m)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(top, m, axis=0).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), length, np.int32)), pa.array(least.ravel()), b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), lists, b.column(2).take(pa.array(n))], names=["length", "pivot", "node", "weight", "near", "v"])
+                packed = [t.tobytes() for t in top]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows) * m, length, np.int32)), pa.array(top[:, :m].ravel().astype(np.int32)), b.column(0).take(pa.array(np.repeat(np.array(rows), m))), pa.array([x for x in packed for _ in range(m)], pa.binary())], names=["length", "pivot", "node", "near"])
+
+
+def _bitmaps(near: np.ndarray) -> np.ndarray:
+    """A bit for each pivot number modulo BITS: two descriptions share no more pivots than bits, but for those that meet."""
+    out = np.zeros((len(near), BITS // 64), np.uint64)
+    at = near % BITS
+    for k in range(near.shape[1]):
+        out[np.arange(len(near)), at[:, k] // 64] |= np.uint64(1) << (at[:, k] % 64).astype(np.uint64)
+    return out
+
+
+_CANDIDATES = "length int, left binary, right binary, bits binary"
+
+
+def _counting(sizes: dict[int, int], shared: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of a pair of blocks of one list, a tile at a time."""
+        t = pa.Table.from_batches(list(batches))
+        length, key, i, j = (t.column(c)[0].as_py() for c in ("length", "pivot", "i", "j"))
+        least = min(shared, sizes[length])
+        block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(len(node), -1).astype(np.int64)
+        slack = np.zeros(len(node), np.int64)  # pivots of a description that meet in a bit hide behind each other
+        maps = _bitmaps(near)
+        slack[:] = near.shape[1] - np.bitwise_count(maps).sum(1)
+        sides = [np.flatnonzero(block == i), np.flatnonzero(block == j)]
+        for p in range(0, len(sides[0]), TILE):
+            a = sides[0][p : p + TILE]
+            for q in range(p if i == j else 0, len(sides[1]), TILE):
+                b = sides[1][q : q + TILE]
+                common = np.zeros((len(a), len(b)), np.uint8)
+                for w in range(maps.shape[1]):
+                    common += np.bitwise_count(maps[a, w][:, None] & maps[b, w])
+                rows, cols = np.nonzero(common + np.minimum(slack[a][:, None], slack[b]) >= least)
+                if i == j and p == q:
+                    keep = rows < cols
+                    rows, cols = rows[keep], cols[keep]
+                found = np.zeros((len(a), len(b)), bool)
+                for c in range(0, len(rows), 1 << 16):
+                    r, s = rows[c : c + (1 << 16)], cols[c : c + (1 << 16)]
+                    x, y = near[a[r]], near[b[s]]
+                    has = (x[:, :, None] == y[:, None, :]).any(2)
+                    first = x[np.arange(len(x)), has.argmax(1)]  # the smallest one shared: descriptions are sorted
+                    found[r, s] = (has.sum(1) >= least) & (first == key)
+                left, right = np.flatnonzero(found.any(1)), np.flatnonzero(found.any(0))
+                if len(left):
+                    bits = np.packbits(found[np.ix_(left, right)]).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), pa.array([node[a[left]].tobytes()], pa.binary()), pa.array([node[b[right]].tobytes()], pa.binary()), pa.array([bits], pa.binary())], names=["length", "left", "right", "bits"])
+
+    counted.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}  # the form of applyInArrow follows these
+    return counted
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors that a tile needs, each once for either side."""
+    for b in batches:
+        for tile, left, right in zip(*(b.column(c).to_pylist() for c in ("tile", "left", "right"))):
+            nodes = np.unique(np.concatenate([np.frombuffer(left, np.int64), np.frombuffer(right, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), tile)), pa.array(nodes)], names=["tile", "node"])
 
 
 _FOUND = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
 
-def _compare(t: pa.Table, sizes: dict[int, int], shared: int, least: float) -> pa.Table:
-    """One pair of blocks of one pivot's list: numbers of links by vector (other null), and a star forest of links."""
-    n_pivots = sizes[t.column("length")[0].as_py()]
-    shared = min(shared, n_pivots)
-    key = t.column("pivot")[0].as_py()
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    block = t.column("block").to_numpy()
-    node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
-    x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(len(node), -1)
-    near = np.array(t.column("near").to_pylist())
-    ids, places = np.unique(near, return_inverse=True)  # those that the block's descriptions name
-    has = np.zeros((len(node), len(ids)), np.float32)
-    has[np.arange(len(node))[:, None], places.reshape(near.shape)] = 1
-    before = int(np.searchsorted(ids, key))
-    a = np.flatnonzero(block == i)
-    b = a if i == j else np.flatnonzero(block == j)
-    if not len(a) or not len(b):
-        return _FOUND.empty_table()
-    link = x[a] @ x[b].T >= least
-    link &= has[a] @ has[b].T >= shared
-    if before:
-        link &= has[a, :before] @ has[b, :before].T == 0
-    if i == j:
-        np.fill_diagonal(link, False)
-    count = np.zeros(len(node), np.int64)
-    count[a] += link @ weight[b]
-    if i != j:
-        count[b] += weight[a] @ link
-    stars: list[tuple[int, int]] = []
-    root: dict[int, int] = {}
-
-    def find(p: int) -> int:
-        while root.get(p, p) != p:
-            p = root[p]
-        return p
-
-    for p, q in zip(*np.nonzero(link)) if link.sum() < 4 * len(node) else _forest(link):
-        u, v = find(int(a[p])), find(int(b[q]))
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            stars.append((int(node[a[p]]), int(node[b[q]])))
-    live = np.flatnonzero(count)
-    return pa.Table.from_arrays([pa.array(np.concatenate([node[live], np.array([s[0] for s in stars], np.int64)])), pa.array([None] * len(live) + [s[1] for s in stars], pa.int64()), pa.array(np.concatenate([count[live], np.zeros(len(stars), np.int64)]))], schema=_FOUND)
-
-
-def _comparing(sizes: dict[int, int], shared: int, least: float) -> Callable[[pa.Table], pa.Table]:
-    return lambda t: _compare(t, sizes, shared, least)
+def _verifying(least: float) -> Callable[[pa.Table], pa.Table]:
+    def verified(t: pa.Table) -> pa.Table:
+        """One tile: numbers of links by vector (other null), and a star forest of links."""
+        given = [r for r in t.select(["left", "right", "bits"]).filter(pc.is_valid(t.column("bits"))).to_pylist()]
+        if not given:
+            return _FOUND.empty_table()
+        t = t.filter(pc.is_valid(t.column("node")))
+        node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
+        order = np.argsort(node)
+        node, weight = node[order], weight[order]
+        raw = t.column("v").to_pylist()
+        x = np.frombuffer(b"".join(raw[k] for k in order), np.float64).reshape(len(node), -1)
+        a, b = (np.searchsorted(node, np.frombuffer(given[0][c], np.int64)) for c in ("left", "right"))
+        bits = np.unpackbits(np.frombuffer(given[0]["bits"], np.uint8), count=len(a) * len(b)).reshape(len(a), len(b)).astype(bool)
+        link = bits & (x[a] @ x[b].T >= least)
+        count = np.zeros(len(node), np.int64)
+        np.add.at(count, a, link @ weight[b])
+        np.add.at(count, b, weight[a] @ link)
+        stars: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def find(p: int) -> int:
+            while root.get(p, p) != p:
+                p = root[p]
+            return p
+
+        for p, q in zip(*np.nonzero(link)) if link.sum() < 4 * len(node) else _forest(link):
+            u, v = find(int(a[p])), find(int(b[q]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                stars.append((int(node[a[p]]), int(node[b[q]])))
+        live = np.flatnonzero(count)
+        return pa.Table.from_arrays([pa.array(np.concatenate([node[live], np.array([s[0] for s in stars], np.int64)])), pa.array([None] * len(live) + [s[1] for s in stars], pa.int64()), pa.array(np.concatenate([count[live], np.zeros(len(stars), np.int64)]))], schema=_FOUND)
+
+    return verified
 
 
 def _batches(lengths: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -187,37 +229,47 @@ def _forest(link: np.ndarray) -> Iterator[tuple[int, int]]:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR, shared: int = SHARED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
-    Vectors that are null or zero, hold null or non-finite components, or differ in length from the others link with
-    nothing: vectors link within their length only. Rows that repeat a vector link with each other whatever their vec_id; a
-    null vec_id is left out of links, and its component is null. An empty table gives an empty result; further columns are not
-    read.
+    Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; others link within their
+    length only. Rows that repeat a vector link with each other whatever their vec_id; a null vec_id is left out of links, and
+    its component is null. An empty table gives an empty result; further columns are not read.
     """
     spark = vectors.sparkSession
+    with temporary_tables(spark) as keep:
+        return keep(materialise(_near_duplicates(vectors, cosine, near, shared), "near_duplicates"))
+
+
+def _links(own: DataFrame, lengths: list[tuple[int, int]], cosine: float, near: int, shared: int) -> DataFrame:
+    """(node, other, n) of the nodes of some lengths: numbers of links (other null), and links that join what is linked."""
+    spark = own.sparkSession
+    pivots = {length: spread(x, n_pivots(n)) for (length, n), (_, x) in zip(lengths, sorted(_sample(own, lengths).items()))}
+    held = spark.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most, or MOST_PIVOTS vectors
+    sizes = {length: len(x) for length, x in pivots.items()}
+    entries = materialise(own.mapInArrow(lambda it: _described(it, held.value, near, shared), _ENTRY), "index")
+    of_list = entries.groupBy("length", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("length", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(of_list, ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    tiles = materialise(dealt.groupBy("length", "pivot", "i", "j").applyInArrow(_counting(sizes, shared), _CANDIDATES).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    needed = tiles.select("tile", "left", "right").mapInArrow(_members, "tile long, node long")
+    nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rows = needed.join(own, "node").select("tile", "node", "weight", "v", *(nothing(c, "binary") for c in ("left", "right", "bits")))
+    rows = rows.unionByName(tiles.select("tile", nothing("node", "long"), nothing("weight", "long"), nothing("v", "binary"), "left", "right", "bits"))
+    return materialise(rows.groupBy("tile").applyInArrow(_verifying(cosine), "node long, other long, n long"), "found")
+
+
+def _near_duplicates(vectors: DataFrame, cosine: float, near: int, shared: int) -> DataFrame:
     usable = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable, "vec_id long, v binary")
     usable = materialise(usable, "vectors")
     classes = usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
     classes = materialise(classes.select("node", "weight", "v"), "classes")
-    counts = None
-    links = None
     lengths = [tuple(r) for r in classes.groupBy(F.length("v").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()]
+    found = None
     for batch in _batches(lengths):
-        own = classes.where(F.length("v").between(batch[0][0], batch[-1][0]))
-        pivots = {length: spread(x, n_pivots(n)) for (length, n), (_, x) in zip(batch, sorted(_sample(own, batch).items()))}
-        held = spark.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most, or MOST_PIVOTS vectors
-        sizes = {length: len(x) for length, x in pivots.items()}
-        entries = materialise(own.mapInArrow(lambda it, held=held: _described(it, held.value, near, shared), _ENTRY), "index")
-        of_list = entries.groupBy("length", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("length", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        dealt = entries.join(of_list, ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        found = dealt.groupBy("length", "pivot", "i", "j").applyInArrow(_comparing(sizes, shared, cosine), "node long, other long, n long")
-        found = materialise(found, "found")
-        part = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
-        counts = part if counts is None else counts.unionByName(part)
-        part = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        links = part if links is None else links.unionByName(part)
-    if counts is None:
+        part = _links(classes.where(F.length("v").between(batch[0][0], batch[-1][0])), batch, cosine, near, shared)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    comps = connected(links)
+    counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    comps = connected(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "node", "left").join(comps, "node", "left")
     named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
     named = usable.join(named, "v").groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))

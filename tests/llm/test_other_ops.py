@@ -329,6 +329,7 @@ def vectors(seed=1):
 @pytest.mark.parametrize("block", [1024, 16])
 def test_pivots(spark, monkeypatch, block):
     monkeypatch.setattr(pivots, "BLOCK", block)
+    monkeypatch.setattr(pivots, "TILE", block // 2)
     vs = vectors()
     ids = [5 * i + 3 for i in range(len(vs))]
     d = spark.createDataFrame(list(zip(ids, vs, [0] * len(vs))), "vec_id long, embedding array<double>, label int")
