@@ -3,11 +3,11 @@
 1. Equal vectors are one node with a multiplicity, so copies are never compared.
 2. Reference points are taken from the vectors of least hash (a bounded sample), leaving out any closer than APART to one
    taken before, so a group of near copies gives one. Each vector is described by its NEAR nearest pivots in order. Every
-   vector is indexed, in the inverted lists of its pivots of least number, all but SHARED - 1: the smallest of SHARED shared
-   pivots is always among these.
+   vector is indexed, in the inverted lists of its pivots of least number, all but k - 1 where k is the number to be shared:
+   the smallest of k shared pivots is always among these.
 3. Lists hold descriptions alone, never vectors. A list is counted in tiles: bitmaps of two descriptions bound the number of
-   pivots that they share, and pairs that pass are counted exactly. Two vectors are candidates if they share SHARED pivots
-   or more; they are looked at in the list of the smallest pivot they share, and so once.
+   pivots that they share, and pairs that pass are counted exactly. Two vectors are candidates if they share k pivots or
+   more; they are looked at in the list of the smallest pivot they share, and so once.
 4. A tile hands on its candidates as a matrix of bits over the vectors in it, to which these are joined once each; they are
    verified there by cosine in double precision. Links are counted in place; what leaves a task is each vector's number of
    links and a star forest of the tile's links, so a group of near copies costs its comparisons but no rows for its pairs.
@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.components import connected
 from quern.session import materialise, temporary_tables
 
-NEAR, SHARED, BLOCK, TILE, BITS, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 16, 5, 1 << 15, 1024, 256, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
+NEAR, BLOCK, TILE, BITS, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 16, 1 << 15, 1024, 256, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
@@ -34,6 +35,15 @@ def n_pivots(n: int) -> int:
     return int(min(MOST_PIVOTS, max(64, 2 * n**0.5)))
 
 
+def n_shared(pivots: int) -> int:
+    """How many of NEAR pivots vectors must share: fewer where there are more pivots, as near ones then differ more often.
+
+    Of pairs of cosine 0.9 to 0.91 in 64 dimensions 0.98 and more share so many, from 64 to 40,000 pivots; in more dimensions
+    it is no fewer.
+    """
+    return int(min(7, max(3, 10.2 - 0.42 * math.log2(max(1, pivots)))))
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Usable vectors, scaled to length 1 in double precision."""
     for b in batches:
@@ -65,7 +75,7 @@ def spread(sample: np.ndarray, most: int) -> np.ndarray:
 _ENTRY = "length int, pivot int, node long, near binary"
 
 
-def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], near: int, shared: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], near: int, least: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw = b.column(2).to_pylist()
         of: dict[int, list[int]] = {}
@@ -79,7 +89,7 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
                 s = np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1) @ own.T
                 k = min(near, s.shape[1])
                 top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1).astype(np.uint16)
-                m = max(1, k - min(shared, len(own)) + 1)
+                m = k - least[length] + 1
                 packed = [t.tobytes() for t in top]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows) * m, length, np.int32)), pa.array(top[:, :m].ravel().astype(np.int32)), b.column(0).take(pa.array(np.repeat(np.array(rows), m))), pa.array([x for x in packed for _ in range(m)], pa.binary())], names=["length", "pivot", "node", "near"])
 
@@ -96,12 +106,12 @@ def _bitmaps(near: np.ndarray) -> np.ndarray:
 _CANDIDATES = "length int, left binary, right binary, bits binary"
 
 
-def _counting(sizes: dict[int, int], shared: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counting(least_of: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Candidates of a pair of blocks of one list, a tile at a time."""
         t = pa.Table.from_batches(list(batches))
         length, key, i, j = (t.column(c)[0].as_py() for c in ("length", "pivot", "i", "j"))
-        least = min(shared, sizes[length])
+        least = least_of[length]
         block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
         near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(len(node), -1).astype(np.int64)
         slack = np.zeros(len(node), np.int64)  # pivots of a description that meet in a bit hide behind each other
@@ -226,7 +236,7 @@ def _forest(link: np.ndarray) -> Iterator[tuple[int, int]]:
                 queue.append((int(q), not is_row))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR, shared: int = SHARED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR, shared: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, ...).
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; others link within their
@@ -238,17 +248,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, near: int = NEAR
         return keep(materialise(_near_duplicates(vectors, cosine, near, shared), "near_duplicates"))
 
 
-def _links(own: DataFrame, lengths: list[tuple[int, int]], cosine: float, near: int, shared: int) -> DataFrame:
+def _links(own: DataFrame, lengths: list[tuple[int, int]], cosine: float, near: int, shared: int | None) -> DataFrame:
     """(node, other, n) of the nodes of some lengths: numbers of links (other null), and links that join what is linked."""
     spark = own.sparkSession
     pivots = {length: spread(x, n_pivots(n)) for (length, n), (_, x) in zip(lengths, sorted(_sample(own, lengths).items()))}
     held = spark.sparkContext.broadcast(pivots)  # PIVOT_BYTES at most, or MOST_PIVOTS vectors
-    sizes = {length: len(x) for length, x in pivots.items()}
-    entries = materialise(own.mapInArrow(lambda it: _described(it, held.value, near, shared), _ENTRY), "index")
+    least = {length: min(len(x), near, shared or n_shared(len(x))) for length, x in pivots.items()}
+    entries = materialise(own.mapInArrow(lambda it: _described(it, held.value, near, least), _ENTRY), "index")
     of_list = entries.groupBy("length", "pivot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("length", "pivot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     dealt = entries.join(of_list, ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tiles = materialise(dealt.groupBy("length", "pivot", "i", "j").applyInArrow(_counting(sizes, shared), _CANDIDATES).withColumn("tile", F.monotonically_increasing_id()), "tiles")
+    tiles = materialise(dealt.groupBy("length", "pivot", "i", "j").applyInArrow(_counting(least), _CANDIDATES).withColumn("tile", F.monotonically_increasing_id()), "tiles")
     needed = tiles.select("tile", "left", "right").mapInArrow(_members, "tile long, node long")
     nothing = lambda c, kind: F.lit(None).cast(kind).alias(c)
     rows = needed.join(own, "node").select("tile", "node", "weight", "v", *(nothing(c, "binary") for c in ("left", "right", "bits")))
@@ -256,7 +266,7 @@ def _links(own: DataFrame, lengths: list[tuple[int, int]], cosine: float, near:
     return materialise(rows.groupBy("tile").applyInArrow(_verifying(cosine), "node long, other long, n long"), "found")
 
 
-def _near_duplicates(vectors: DataFrame, cosine: float, near: int, shared: int) -> DataFrame:
+def _near_duplicates(vectors: DataFrame, cosine: float, near: int, shared: int | None) -> DataFrame:
     usable = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_usable, "vec_id long, v binary")
     usable = materialise(usable, "vectors")
     classes = usable.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
