@@ -34,6 +34,36 @@ def assert_count(df: DataFrame, expected: int) -> DataFrame:
     return df
 
 
+def differences(tables: dict[str, DataFrame], key: str, values: list[str]) -> DataFrame:
+    """(key, problem) where tables of a row a key don't agree: who lacks the key, or whose value differs from the first one's.
+
+    All tables are stacked and grouped by key once, whatever their number. A key that repeats in a table is a problem too.
+    """
+    names = list(tables)
+    rows = [df.select(F.col(key), F.struct(*(F.col(v).cast("string").alias(v) for v in values)).alias("__v"), F.lit(n).alias("__of")) for n, df in tables.items()]
+    stacked = rows[0]
+    for r in rows[1:]:
+        stacked = stacked.unionByName(r)
+    one = stacked.groupBy(key, "__of").agg(F.min("__v").alias("__v"), F.count(F.lit(1)).alias("__n"))
+    per = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__of", F.struct("__v", "__n")))).alias("__m"))  # an entry a table
+    at = lambda n: F.try_element_at("__m", F.lit(n))
+    base = F.coalesce(*(at(n)["__v"] for n in names))
+    problem = F.lit(None).cast("string")
+    for n in reversed(names):
+        own = F.when(at(n).isNull(), F.lit(f"{n} lacks it")).when(at(n)["__n"] > 1, F.lit(f"{n} repeats it"))
+        for v in values:
+            own = own.when(~at(n)["__v"][v].eqNullSafe(base[v]), F.concat(F.lit(f"{n} has {v} "), F.coalesce(at(n)["__v"][v], F.lit("null")), F.lit(", not "), F.coalesce(base[v], F.lit("null"))))
+        problem = F.coalesce(own, problem)
+    return per.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def assert_aligned(tables: dict[str, DataFrame], key: str, values: list[str]) -> None:
+    """An error with the first ten differences by key, and their number, unless all tables agree."""
+    bad = differences(tables, key, values)
+    if first := bad.orderBy(key).limit(10).collect():
+        raise ConstraintError(f"{bad.count()} keys differ: " + "; ".join(f"{r[0]}: {r[1]}" for r in first))
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -155,6 +155,13 @@ def j19(t: Tables) -> DataFrame:
     return k.groupBy("key").agg(F.count(F.lit(1)).alias("n_models"), F.countDistinct("shape").alias("n_shapes")).where("n_models < 3 OR n_shapes > 1")
 
 
+@query("j19_first_differences", "WITH k AS (SELECT l_returnflag AS m, l_linenumber AS key, count(*) AS shape FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7) GROUP BY ALL), a AS (SELECT l.key, (SELECT shape FROM k WHERE m = 'N' AND key = l.key) AS n, (SELECT shape FROM k WHERE m = 'A' AND key = l.key) AS a, (SELECT shape FROM k WHERE m = 'R' AND key = l.key) AS r FROM (SELECT DISTINCT key FROM k) l) SELECT key::INT AS key, CASE WHEN n IS NULL THEN 'N lacks it' WHEN a IS NULL THEN 'A lacks it' WHEN a <> n THEN 'A has shape ' || a || ', not ' || n WHEN r IS NULL THEN 'R lacks it' WHEN r <> n THEN 'R has shape ' || r || ', not ' || n END AS problem FROM a WHERE n IS NULL OR a IS NULL OR r IS NULL OR a <> n OR r <> n")
+def j19b(t: Tables) -> DataFrame:
+    """Where three states don't agree with the first of them, and how."""
+    state = lambda m: t.lineitem.where(F.col("l_returnflag") == m).where("NOT (l_returnflag = 'A' AND l_linenumber = 7)").groupBy(F.col("l_linenumber").alias("key")).agg(F.count(F.lit(1)).alias("shape"))
+    return checks.differences({m: state(m) for m in ("N", "A", "R")}, "key", ["shape"])
+
+
 @query("j20_side_pairing", "SELECT o_custkey AS prefix, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) AS a, max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END) AS b, CASE WHEN count(*) FILTER (o_orderkey % 2 = 0) = 0 THEN 'no a' WHEN count(*) FILTER (o_orderkey % 2 = 1) = 0 THEN 'no b' WHEN count(*) > 2 THEN 'repeated' END AS problem FROM orders GROUP BY o_custkey")
 def j20(t: Tables) -> DataFrame:
     """Pairs with what is wrong with them; complete_pairs makes that an error."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,21 @@ def s10(t: Tables) -> DataFrame:
     return t.events.select("event_id", j.alias("j")).select("event_id", "j.k", F.col("j._corrupt_record").isNotNull().alias("corrupt"))
 
 
+@query(
+    "s10_result_files",
+    "WITH s AS (SELECT source, count(*) AS n, regexp_extract(source, '([0-9]+)$', 1)::INT AS k FROM documents GROUP BY source) SELECT source AS task, CASE WHEN k % 3 > 0 THEN n END AS n, CASE WHEN k % 3 = 0 THEN 'corrupt' END AS problem FROM s WHERE k % 5 > 0 UNION ALL SELECT source, NULL, 'missing' FROM s WHERE k % 5 = 0",
+)
+def s10b(t: Tables) -> DataFrame:
+    """A result document a source, some of them broken, against all sources as expected tasks."""
+    out = records.scratch(t.spark, "results")
+    k = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    n = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(k % 5 > 0)
+    text = F.when(k % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("n")))
+    n.select(F.col("source").alias("task"), text.alias("value")).write.partitionBy("task").text(out)
+    found = records.read_results(t.spark, out, "n long", "/task=([^/]*)/", "*.txt")
+    return records.expected_results(found, t.documents.select(F.col("source").alias("task"))).select("task", "result.n", "problem")
+
+
 @query("s11_result_listing", "SELECT 'lang=' || lang AS folder FROM (SELECT DISTINCT lang FROM documents)")
 def s11(t: Tables) -> DataFrame:
     path = records.scratch(t.spark, "listing")
@@ -143,12 +161,22 @@ def f01(t: Tables) -> DataFrame:
     return hashing.with_digest(d, "sample_id", ["path", "doc_id"], lambda p, r: hashing.row_id("release", p, r, ROW_PERSON))
 
 
-@query("f02_unit_seeds")
+def _values(pairs: Iterable[tuple[str, bytes]]) -> str:
+    return ", ".join(f"('{k}', '{v.hex()}')" for k, v in pairs)
+
+
+# Known ids of all sources and languages that the tables may hold, straight from their definition.
+_SOURCES = [f"src{i}" for i in range(32)]
+_SEEDS = _values((s, hashlib.blake2b(f'[42,"default","{s}"]'.encode(), digest_size=8).digest()) for s in _SOURCES)
+_SHARD_IDS = _values((f"{s}/{g}", hashlib.blake2b(f"{s}/{g}".encode(), digest_size=8, person=SHARD_PERSON).digest()) for s in _SOURCES for g in ("de", "en", "es", "fr"))
+
+
+@query("f02_unit_seeds", f"WITH k(source, h) AS (VALUES {_SEEDS}) SELECT source, h AS seed FROM k WHERE source IN (SELECT source FROM documents)")
 def f02(t: Tables) -> DataFrame:
     return hashing.with_digest(t.documents.select("source").distinct(), "seed", ["source"], lambda s: hashing.unit_seed(42, "default", s).to_bytes(8, "big"))
 
 
-@query("f03_shard_ids")
+@query("f03_shard_ids", f"WITH k(path, h) AS (VALUES {_SHARD_IDS}) SELECT path, h AS shard_id FROM k WHERE path IN (SELECT source || '/' || lang FROM documents)")
 def f03(t: Tables) -> DataFrame:
     d = t.documents.select(F.concat_ws("/", "source", "lang").alias("path")).distinct()
     return hashing.with_digest(d, "shard_id", ["path"], lambda p: hashing.shard_id(p, SHARD_PERSON))

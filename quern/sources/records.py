@@ -309,6 +309,26 @@ def open_table(spark: SparkSession, path: str, schema: StructType, rows: int | N
     return assert_count(df, rows) if rows is not None else df
 
 
+def read_results(spark: SparkSession, path: str, schema: str, task: str = r"([^/]*)\.json$", names: str = "*.json") -> DataFrame:
+    """(task, file, result, problem): result documents, one a file, parsed with the schema; task is the first group of a pattern over the file's path.
+
+    A document that doesn't parse has a null result and the problem corrupt, and none stops the others; an empty file gives no row.
+    """
+    raw = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", names).option("recursiveFileLookup", True).load(path)
+    j = F.from_json("value", f"{schema}, __corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), task, 1).alias("task"), F.col("_metadata.file_path").alias("file"), j.alias("j"))
+    bad = F.col("j.__corrupt").isNotNull() | F.col("j").isNull()
+    return rows.select("task", "file", F.when(~bad, F.col("j").dropFields("__corrupt")).alias("result"), F.when(bad, "corrupt").alias("problem"))
+
+
+def expected_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Results (task, result, problem) of all expected tasks (task), with the problems missing, repeated and unexpected as well."""
+    n = results.groupBy("task").agg(F.min("problem").alias("__p"), F.count(F.lit(1)).alias("__n"), F.first("result", ignorenulls=True).alias("result"))
+    j = tasks.select(F.col("task").alias("__task")).distinct().join(n, F.col("__task") == F.col("task"), "full_outer")
+    problem = F.when(F.col("task").isNull(), "missing").when(F.col("__task").isNull(), "unexpected").when(F.col("__n") > 1, "repeated").otherwise(F.col("__p"))
+    return j.select(F.coalesce("task", "__task").alias("task"), F.when(problem.isNull(), F.col("result")).alias("result"), problem.alias("problem"))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small report or JSON document, which takes the place of an older one in one step: readers find either of them."""
     staged, fs = hadoop_path(spark, f"{path}.staged-{uuid.uuid4().hex}")

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import catalog, metrics, quantiles
+from quern.operators import catalog, checks, metrics, quantiles
 from quern.sources import records
 
 # ---------------------------------------------------------------- positional reads
@@ -178,3 +178,27 @@ def test_confidences(spark):
     df = spark.createDataFrame([(1, 0.9, 1), (1, 0.5, 2), (1, 0.1, 3), (2, 0.3, 1)], "query_id int, score double, rank int")
     got = {r.query_id: (r.max, r.std, r.diff1) for r in metrics.confidences(df, "query_id", "score").collect()}
     assert got[1] == pytest.approx((0.9, np.std([0.9, 0.5, 0.1]), 0.4)) and got[2] == (0.3, 0.0, 0.0)
+
+
+# ---------------------------------------------------------------- alignment and result files
+
+
+def test_alignment_names_the_first_differences(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, shape string")
+    same = [(f"t{i:02d}", "2x3") for i in range(20)]
+    checks.assert_aligned({"a": frame(same), "b": frame(same[::-1]), "c": frame(same)}, "k", ["shape"])
+    other = [*same[:4], ("t04", "3x2"), ("t05", None), *same[7:], ("t07", "2x3"), ("new", "1")]
+    got = dict(map(tuple, checks.differences({"a": frame(same), "b": frame(other)}, "k", ["shape"]).collect()))
+    assert got == {"t04": "b has shape 3x2, not 2x3", "t05": "b has shape null, not 2x3", "t06": "b lacks it", "t07": "b repeats it", "new": "a lacks it"}
+    with pytest.raises(checks.ConstraintError, match="^20 keys differ: t00: b lacks it; .*t09: b lacks it$"):
+        checks.assert_aligned({"a": frame(same), "b": frame([])}, "k", ["shape"])
+
+
+def test_results_against_expected_tasks(spark, tmp_path):
+    for name, text in (("a", '{"score": 0.5}'), ("b", "{broken"), ("sub/c", '{"score": 1.0, "more": [1]}'), ("extra", '{"score": 2}'), ("e", ""), ("sub/a", '{"score": 7}')):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "note.txt").write_text("{}")
+    found = records.read_results(spark, str(tmp_path), "score double")
+    got = {r.task: (r.result.score if r.result else None, r.problem) for r in records.expected_results(found, spark.createDataFrame([(x,) for x in "abcde"], "task string")).collect()}
+    assert got == {"a": (None, "repeated"), "b": (None, "corrupt"), "c": (1.0, None), "d": (None, "missing"), "e": (None, "missing"), "extra": (None, "unexpected")}
