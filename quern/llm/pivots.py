@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.components import connected
 from quern.session import materialise, temporary_tables
 
-NEAR, BLOCK, TILE, BITS, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 16, 1 << 15, 1024, 256, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
+NEAR, BLOCK, TILE, BITS, MOST_PIVOTS, PIVOT_BYTES, SCORES, COSINE, APART = 16, 1 << 17, 1024, 256, 1 << 16, 64 << 20, 1 << 22, 0.9, 0.7
 
 
 def n_pivots(n: int) -> int:
@@ -97,7 +97,7 @@ def _described(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
 def _bitmaps(near: np.ndarray) -> np.ndarray:
     """A bit for each pivot number modulo BITS: two descriptions share no more pivots than bits, but for those that meet."""
     out = np.zeros((len(near), BITS // 64), np.uint64)
-    at = near % BITS
+    at = near.astype(np.int64) % BITS
     for k in range(near.shape[1]):
         out[np.arange(len(near)), at[:, k] // 64] |= np.uint64(1) << (at[:, k] % 64).astype(np.uint64)
     return out
@@ -113,10 +113,9 @@ def _counting(least_of: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]],
         length, key, i, j = (t.column(c)[0].as_py() for c in ("length", "pivot", "i", "j"))
         least = least_of[length]
         block, node = t.column("block").to_numpy(), t.column("node").to_numpy()
-        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(len(node), -1).astype(np.int64)
-        slack = np.zeros(len(node), np.int64)  # pivots of a description that meet in a bit hide behind each other
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.uint16).reshape(len(node), -1)
         maps = _bitmaps(near)
-        slack[:] = near.shape[1] - np.bitwise_count(maps).sum(1)
+        slack = (near.shape[1] - np.bitwise_count(maps).sum(1)).astype(np.uint8)  # pivots of a description that meet in a bit hide behind each other
         sides = [np.flatnonzero(block == i), np.flatnonzero(block == j)]
         for p in range(0, len(sides[0]), TILE):
             a = sides[0][p : p + TILE]
