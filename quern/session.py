@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+RANGE_BYTES = 512 << 20
 _local_dir: list[str] = []
 _scopes = threading.local()  # .open: for each open block of temporary_tables, the paths written in it
 
@@ -141,3 +142,13 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ranges(df: DataFrame, most: int = RANGE_BYTES) -> int:
+    """Into how many ranges to sort df: the session's shuffle partitions, or more where one would get over so many of the bytes read.
+
+    What df reads is known from its plan, without a job; what isn't known there (rows of the driver, streams) counts nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(partitions(df.sparkSession), -(-sum(n for n in sizes if n < 1 << 62) // most))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import hashing
 from quern.functions import vectors as V
 from quern.operators import batching, catalog, checks, corpus, metrics, sampling, tensors
+from quern.session import ranges, setting
 from quern.sources import records
 
 
@@ -392,3 +393,13 @@ def test_temporary_tables_are_deleted(spark):
     assert a.count() == 3
     with pytest.raises(Exception):
         c.count()
+
+
+def test_ranges_follow_the_bytes_read(spark, tmp_path):
+    spark.range(100_000).write.parquet(f"{tmp_path}/t")
+    df, n = spark.read.parquet(f"{tmp_path}/t"), 4
+    size = sum(p.stat().st_size for p in tmp_path.glob("t/*.parquet"))
+    with setting(spark, "spark.sql.shuffle.partitions", str(n)):
+        assert ranges(df) == n and ranges(df, size // 10) in (10, 11, 12)
+        assert ranges(df.join(df.withColumnRenamed("id", "b"), F.col("id") == F.col("b")), size // 10) in (20, 21, 22, 23)
+        assert ranges(spark.createDataFrame([(1,)], "id long"), 1000) == n
