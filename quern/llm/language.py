@@ -2,11 +2,12 @@
 
 Subwords are byte 2-, 3- and 4-grams of the lower-cased text (every byte outside letters counts as a space), hashed into
 BUCKETS rows of an embedding. A document is the mean of its subwords' embeddings, so its logits are the mean of one
-precomputed row of logits per subword, and whole texts of any length are scored in blocks.
+precomputed row of logits per subword, and whole texts of any length are scored in blocks. With more than DIM languages the
+mean of the embeddings comes first and the linear layer after it, which is the same, so a model is never wider than DIM.
 
 Training reads a bounded sample: rows whose hashed doc_id falls below a share of the hash range that gives about
-SAMPLE_PER_LANGUAGE rows a language (fewer where that is over SAMPLE rows), and at most twice that, as bucket counts; texts
-stay on the executors.
+SAMPLE_PER_LANGUAGE rows a language (fewer where that is over SAMPLE rows, but 8), and at most twice that, as bucket counts;
+texts stay on the executors. There may be any number of languages; the driver holds a name, a count and DIM numbers of each.
 A fifth of the sample is held back to fit the temperature of the softmax and the score below which a prediction is rejected.
 """
 
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import text as T
+from quern.session import materialise, temporary_tables
 
-BUCKETS, DIM, EPOCHS, RATE, SAMPLE_PER_LANGUAGE, SAMPLE, MOST_LANGUAGES, REJECTED_SHARE = 1 << 14, 16, 6, 0.5, 400, 8000, 1000, 0.01
+BUCKETS, DIM, EPOCHS, RATE, SAMPLE_PER_LANGUAGE, SAMPLE, REJECTED_SHARE = 1 << 14, 16, 6, 0.5, 400, 8000, 0.01
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -74,8 +76,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
-        self.labels, self.table, self.bias, self.temperature, self.threshold = labels, table, bias, temperature, threshold
+    """table has a row of logits of each bucket, or with head, which maps means to logits, its embedding."""
+
+    def __init__(self, labels: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, head: np.ndarray | None = None):
+        self.labels, self.table, self.bias, self.temperature, self.threshold, self.head = labels, table, bias, temperature, threshold, head
+
+    def best(self, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and probability of the best label of each row; a slice of rows at a time, so that there are a few million logits at most."""
+        label, score = np.zeros(len(means), np.int64), np.zeros(len(means))
+        step = max(1, (1 << 22) // len(self.labels))
+        for i in range(0, len(means), step):
+            z = means[i : i + step]
+            p = _softmax(((z if self.head is None else z @ self.head) + self.bias) / self.temperature)
+            label[i : i + step] = p.argmax(1)
+            score[i : i + step] = p.max(1)
+        return label, score
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -107,31 +122,33 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model
             out -= rate * np.outer(h, g)
             bias -= 0.1 * rate * g
             emb[ids] -= (rate * len(ids) ** 0.5) * w[:, None] * grad
-    table = emb @ out
+    table, head = (emb @ out, None) if len(labels) <= DIM else (emb, out)
     temperature, threshold = 1.0, 0.0
     if held:
-        z = np.array([w @ table[ids] + bias for _, ids, w in held])
+        z = np.array([w @ table[ids] for _, ids, w in held])
+        z = (z if head is None else z @ head) + bias
         y = np.array([of[r[0]] for r in held])
         temperature = min(np.geomspace(0.02, 5, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean())
         p = _softmax(z / temperature)
         right = p.argmax(1) == y
         threshold = float(np.quantile(p.max(1)[right], REJECTED_SHARE)) if right.any() else 0.0
-    return Model(labels, table.astype(np.float32), bias.astype(np.float32), float(temperature), threshold)
+    return Model(labels, table.astype(np.float32), bias.astype(np.float32), float(temperature), threshold, head)
 
 
 def train(docs: DataFrame, allowed: str = "true") -> Model | None:
-    """Fit on rows of docs (doc_id, text, lang, ...) with text and lang for which the SQL condition allowed holds."""
-    rows = docs.where(F.expr(allowed)).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return None
-    each = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts)))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))))
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < share[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, ids array<int>, weights array<float>")
-    got = sample.limit(2 * each * len(counts)).toArrow()
+    """Fit on rows of docs (doc_id, text, lang, ...) with text and lang for which the SQL condition allowed holds.
+
+    Rows for which it is null, as those with a null doc_id under a condition on it, are not read.
+    """
+    rows = docs.where(F.expr(allowed)).where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    with temporary_tables(docs.sparkSession):
+        counts = materialise(rows.groupBy(F.col("lang").alias("__lang")).count(), "languages")
+        if not (n := counts.count()):
+            return None
+        each = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE // n))
+        place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+        drawn = rows.join(counts, F.col("lang") == F.col("__lang")).where(place < F.least(F.lit(1.0), each / F.col("count")))
+        got = drawn.select("lang", "text").mapInArrow(_features, "lang string, ids array<int>, weights array<float>").limit(2 * each * n).toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by("lang")
@@ -143,14 +160,14 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
     for b in T.slices(batches, 1):
         n = b.num_rows
         lang, score = np.full(n, "und", object), np.zeros(n)
-        # so that the rows of the table for a block's subwords take 32 MB at most, whatever the number of languages
-        most = max(1 << 12, min(T.BLOCK_BYTES, (1 << 23) // len(model.labels))) if model else 0
+        # so that the rows of the table for a block's subwords take 32 MB at most
+        most = min(T.BLOCK_BYTES, (1 << 23) // model.table.shape[1]) if model else 0
         for i, j, data, off in T.blocks(b.column(1), most) if model else ():
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             letters = letters[off[1:]] > letters[off[:-1]]
             for d in np.flatnonzero(~letters & (off[1:] > off[:-1])):
                 letters[d] = any(c.isalpha() for c in data[off[d] : off[d + 1]].tobytes().decode())
-            total, seen = np.zeros((j - i, len(model.labels))), np.zeros(j - i)
+            total, seen = np.zeros((j - i, model.table.shape[1])), np.zeros(j - i)
             size = off[1:] - off[:-1]
             live = np.flatnonzero(size >= SHORT)
             for d in np.flatnonzero((size > 0) & (size < SHORT)):
@@ -172,10 +189,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
                     if len(live):
                         total[live] += np.add.reduceat(model.table[g], edges[:last], axis=0)[::2]
                     seen[live] += (e - s)[live]
-            p = _softmax((total / np.maximum(seen, 1)[:, None] + model.bias) / model.temperature)
-            best = p.argmax(1)
+            best, p = model.best(total / np.maximum(seen, 1)[:, None])
             lang[i:j] = np.where(letters, np.array(model.labels, object)[best], "und")
-            score[i:j] = np.where(letters, p[np.arange(j - i), best], 0.0)
+            score[i:j] = np.where(letters, p, 0.0)
         accepted = (lang != "und") & (score >= (model.threshold if model else 0))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted.astype(bool))], names=["doc_id", "lang_pred", "score", "accepted"])
 
@@ -188,5 +204,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     learn from, an empty table) every prediction is und. Further columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MOST_LANGUAGES numbers
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM numbers at most, and DIM a language
     return docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, held.value), f"doc_id {kind}, lang_pred string, score double, accepted boolean")

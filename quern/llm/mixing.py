@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.groups import join_groups
-from quern.session import materialise, own_dir, partitions, temporary_tables, written_table
+from quern.session import materialise, own_dir, ranges, temporary_tables, written_table
 
 BLOCK, SLICE, FRAME, ALPHA, CHUNK, TIES, EPS = 8, 2048, 1024, 0.7, 1 << 18, 4096, 1e-6
 
@@ -167,5 +167,5 @@ def take(docs: DataFrame, weights: Mapping[object, float] | None = None, block:
         places = places if whole else places.where("in_mix")
         places = keep(materialise(places.select(F.col("__row").alias("__place"), F.col("position").alias("__position")), "places"))
     order = F.col("__position").asc_nulls_last()
-    out = rows.join(places.hint("merge"), F.col("__row") == F.col("__place")).repartitionByRange(partitions(docs.sparkSession), order)
+    out = rows.join(places.hint("merge"), F.col("__row") == F.col("__place")).repartitionByRange(ranges(rows), order)
     return out.sortWithinPartitions(order).select(*docs.columns)

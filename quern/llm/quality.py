@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import text as T
 from quern.llm.groups import join_groups
+from quern.llm.url_rules import host_and_path
 from quern.session import materialise, temporary_tables
 
 LABELLED, RIDGE, STEPS, GRAMS, SMOOTH, SITE_WEIGHT, SITE_PRIOR = 50_000, 1e-3, 30, 1 << 13, 0.1, 0.5, 16.0
@@ -179,7 +181,7 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     x = materialise(x, "features")
     got = x.select("quality", "x").toArrow()  # at most LABELLED rows of WIDTH numbers
     y = got["quality"].to_numpy().astype(float)
-    values = np.array(got["x"].to_pylist(), np.float64).reshape(len(y), WIDTH)
+    values = pc.list_flatten(got["x"]).to_numpy().astype(np.float64).reshape(len(y), WIDTH)
     order = np.lexsort((*values.T, y))
     model = fit(values[order], y[order])
     model.ratios = log_ratios(sums[:, 1].sum(0), sums[:, 0].sum(0))
@@ -254,6 +256,15 @@ def site_weight(model: Model, known: DataFrame, sites: DataFrame) -> float:
     return fit_site_weight(logit[order], moved[order], (y[order] > 0).astype(float))
 
 
+def url_levels(url: str) -> tuple[Column, Column]:
+    """Host and first segment of the path (like /en) of a url column: the levels at which sites are shrunk.
+
+    Both are empty where it is null or has no ://, so such rows are one site.
+    """
+    host, path = host_and_path(url)
+    return host, F.regexp_extract(path, "^/[^/]*", 0)
+
+
 def _quality(weight: float) -> Column:
     return F.round(1 / (1 + F.exp(-(F.col("__logit") + weight * F.col("__moved")))), 6)
 
@@ -267,24 +278,30 @@ def _fitted(docs: DataFrame, labels: DataFrame, host: str, path: str, text: bool
         return rows, sites, site_weight(model, known, sites)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", url: str | None = None) -> DataFrame:
     """(doc_id, doc_score, host_rate, path_rate, quality, kept) of every row of docs; the rates are those of the other documents.
 
+    With url, a column of docs, hosts and paths are its url_levels; else they are the columns host and path.
     Null texts count as empty, null hosts and paths as one of their own. With under ten labels, or labels of one class, every
     quality is 0.5 and all are kept. Rows that repeat are judged alike and each counts in its site; an empty table gives an
     empty result; further columns are not read.
     """
-    docs = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
+    site = (F.col(host), F.col(path)) if url is None else url_levels(url)
+    docs = docs.select("doc_id", site[0].alias("host"), site[1].alias("path"), "text")
     rows, sites, weight = _fitted(docs, labels, "host", "path", text=False)
     out = judged(rows, sites, "host", "path").withColumn("quality", _quality(weight))
     return out.select("doc_id", F.round(1 / (1 + F.exp(-F.col("__logit"))), 6).alias("doc_score"), F.round("__host_rate", 6).alias("host_rate"), F.round("__path_rate", 6).alias("path_rate"), "quality", (F.col("quality") >= 0.5).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", url: str | None = None) -> DataFrame:
     """The rows of docs that classify keeps, with the columns of docs; those may have any name that doesn't begin with __.
 
     Nulls, repeated rows, too few labels and an empty table are taken as by classify. Each text is scored once.
     """
+    columns = docs.columns
+    if url is not None:
+        host, path = "__url_host", "__url_path"
+        docs = docs.withColumns(dict(zip((host, path), url_levels(url))))
     rows, sites, weight = _fitted(docs, labels, host, path)
     out = judged(rows, sites, host, path).withColumn("__quality", _quality(weight))
-    return out.where("__quality >= 0.5").select(*docs.columns)
+    return out.where("__quality >= 0.5").select(*columns)

@@ -37,9 +37,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document with a null doc_id has no remainder: nothing is learned from it, and held_out is false."""
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs, language.train(docs, LEARNED))
-    return out.selectExpr("doc_id", f"NOT ({LEARNED}) AS held_out", "lang_pred", "score", "accepted")
+    return out.selectExpr("doc_id", f"coalesce(NOT ({LEARNED}), false) AS held_out", "lang_pred", "score", "accepted")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import text as T
-from quern.session import materialise, partitions
+from quern.session import materialise, ranges
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -306,7 +306,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple
     file of the tokenizers library that every executor can read. doc_id is an integer column.
     """
     spark = docs.sparkSession
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(ranges(docs), "doc_id", F.xxhash64("text"))
     made = dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(lambda it: _segments(it, tokenizer, end_id), "part int, seq int, n_docs long, n_tokens long, data binary")
     segments = materialise(made, "segments", "snappy")  # codes hardly shrink further
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

@@ -115,6 +115,31 @@ def test_language_matches_brute_force(spark, sf):
     assert {got[i][1:] for i in (0, len(texts), len(texts) + 1)} == {got[0][1:]}
 
 
+def test_many_languages(spark, monkeypatch):
+    """More languages than numbers in an embedding, and than any limit: each is learned, and the wide form predicts the same."""
+    rows = [(7 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q " * 6 + f"w{j}", f"l{i:04d}") for i in range(1200) for j in range(2)]
+    d = spark.createDataFrame([(*r, 5) for r in rows] + [(None, "no id", "l9999", 5)], "doc_id long, text string, lang string, count int")
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    model = language.train(d, LEARNED)
+    assert len(model.labels) > 1000 and model.table.shape == (language.BUCKETS, language.DIM) and "l9999" not in model.labels
+    some = d.where("doc_id < 200 OR doc_id IS NULL")
+    got = {r.doc_id: r for r in language.predict(some, model).collect()}
+    wide = language.Model(model.labels, model.table @ model.head, model.bias, model.temperature, model.threshold)
+    for i, r in {r.doc_id: r for r in language.predict(some, wide).collect()}.items():
+        assert (got[i].lang_pred, got[i].accepted) == (r.lang_pred, r.accepted) and abs(got[i].score - r.score) < 1e-6
+    few = spark.createDataFrame([r for r in rows if r[2] < "l0040"] * 3, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "EPOCHS", 60)
+    learned = language.train(few)
+    right = [r.lang_pred == r.lang for r in few.join(language.predict(few, learned).select("doc_id", "lang_pred").distinct(), "doc_id").collect()]
+    assert learned.head is not None and sum(right) / len(right) > 0.9
+
+
+def test_held_out_of_documents_without_an_id(spark, tmp_path):
+    spark.createDataFrame([(None, "some words", "en"), (1, "other words", "en"), (4, "mots", "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.held_out for r in QUERIES["op4_language_id"](spark, str(tmp_path)).collect()}
+    assert got == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in (None, 1, 4)}
+
+
 def test_language_never_sees_held_out_labels(spark, sf):
     d = table(spark, sf, "documents")
     a = language.train(d, LEARNED)
@@ -179,6 +204,50 @@ def test_site_weight_has_the_highest_posterior():
         assert abs(quality.fit_site_weight(logit, moved, y) - np.argmin(loss) / 100) < 0.011
 
 
+def test_quality_of_urls(spark):
+    """Hosts and first path segments of urls, most of them with one or two documents, against plain loops over the whole result."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        good = bool(rng.random() < 0.5)
+        host = ("Big.example" if i % 3 == 0 else f"bad{i % 4}.org" if i % 7 == 0 else f"h{i}.net") if i % 50 else None
+        bad_site = host is not None and host.startswith("bad") or i % 3 == 0 and i % 2 == 0
+        words = rng.choice(["alpha", "beta", "gamma"] if good and not bad_site else ["buy!", "#1", "|now|", "gamma"], 30)
+        rows.append((i, " ".join(words), f"http://{host}{('/en/x?q', '/fr/y#/z', '')[i % 2 if i % 11 else 2]}" if host else (None, "no scheme")[i % 100 // 50], "s", "l", good and not bad_site))
+    d = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, url string, source string, host string")
+    labels = spark.createDataFrame([(r[0], int(r[5])) for r in rows if r[0] % 4 == 0], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(d, labels, url="url").collect()}
+
+    def levels(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        return host, "/" + path.split("/")[1] if path.startswith("/") else ""
+
+    site = {r[0]: levels(r[2]) for r in rows}
+    assert {site[0], site[3], site[6], site[50]} == {("", ""), ("big.example", "/fr"), ("big.example", "/en")}
+    prob = {i: r.doc_score for i, r in got.items()}
+    hosts, paths = {}, {}
+    for i, s in site.items():
+        hosts.setdefault(s[0], []).append(i)
+        paths.setdefault(s, []).append(i)
+    rate = lambda ids: sum(prob[i] for i in ids) / len(ids)
+    mean = rate(prob)
+    w0 = prior_weight(mean, [rate(x) for x in hosts.values()])
+    spread_ = float(np.mean([np.var([rate(x) for (h, _), x in paths.items() if h == k]) for k in hosts]))
+    assert sum(len(x) == 1 for x in hosts.values()) > 400
+    for i, (h, p) in site.items():
+        whole = (sum(prob[j] for j in hosts[h]) + w0 * mean) / (len(hosts[h]) + w0)
+        w1 = min(1e4, max(1.0, whole * (1 - whole) / spread_ - 1))
+        near = (sum(prob[j] for j in hosts[h] if j != i) + w0 * mean) / (len(hosts[h]) - 1 + w0)
+        path = (sum(prob[j] for j in paths[h, p] if j != i) + w1 * near) / (len(paths[h, p]) - 1 + w1)
+        assert abs(got[i].host_rate - near) < 1e-4 and abs(got[i].path_rate - path) < 1e-4
+        if len(hosts[h]) == 1:  # nothing but the prior is known of it
+            assert abs(got[i].host_rate - mean) < 1e-4
+    kept = quality.keep(d, labels, url="url")
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
 def test_quality_learns_words(spark):
     """Documents alike in all but their words are told apart by these, where no label saw them."""
     rng = np.random.default_rng(4)
