@@ -190,3 +190,35 @@ def unordered_pairs(df: DataFrame, key: str) -> DataFrame:
     if (n := df.count()) > MOST_PAIRED:
         raise ConstraintError(f"{n} keys give too many pairs")
     return df.select(F.col(key).alias("i")).join(df.select(F.col(key).alias("j")), F.col("i") < F.col("j"))
+
+
+def task_keys(tasks: DataFrame, suffix: str, parts: str = "parts", default: str = "default") -> DataFrame:
+    """(path, revision, subset), once each, of the tasks whose type ends with suffix; the default subset is null.
+
+    tasks: (type, path, revision, subset, parts). One with parts, a list of (type, path, revision, subset), is an aggregate:
+    its parts are judged in its place. Parts of a null or empty list are none, so the task itself is judged; null types end
+    with nothing.
+    """
+    fields = ("type", "path", "revision", "subset")
+    leaves = F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.struct(*(p[f].alias(f) for f in fields)))).otherwise(F.array(F.struct(*fields)))
+    found = tasks.select(F.inline(leaves)).where(F.col("type").endswith(suffix))
+    return found.select("path", "revision", F.nullif(F.col("subset"), F.lit(default)).alias("subset")).distinct()
+
+
+def compare_results(left: DataFrame, right: DataFrame, keys: list[str], score: str, audits: list[str]) -> DataFrame:
+    """Results of two runs side by side: (keys, left_score, right_score, delta, found, left_audit, right_audit, same_audit, ...).
+
+    found is left, right or both. A key that is null meets a null one, and a key that repeats on a side meets each row of the
+    other. delta is right less left, null where either is. same_ tells, for columns that should agree before scores are
+    compared (revisions, numbers of rows), whether they do; it is null for results of one side alone.
+    """
+    side = lambda df, s: df.select(*(F.col(k).alias(f"__{s}_{k}") for k in keys), *(F.col(c).alias(f"{s}_{c}") for c in (score, *audits)), F.lit(True).alias(f"__{s}"))
+    on = [F.col(f"__left_{k}").eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    j = side(left, "left").join(side(right, "right"), on, "full_outer")
+    both = F.col("__left") & F.col("__right")
+    found = F.when(both, "both").when(F.col("__left"), "left").otherwise("right")
+    out = [F.when(F.col("__left"), F.col(f"__left_{k}")).otherwise(F.col(f"__right_{k}")).alias(k) for k in keys]
+    out += [F.col(f"left_{score}"), F.col(f"right_{score}"), (F.col(f"right_{score}") - F.col(f"left_{score}")).alias("delta"), found.alias("found")]
+    for a in audits:
+        out += [F.col(f"left_{a}"), F.col(f"right_{a}"), F.when(both, F.col(f"left_{a}").eqNullSafe(F.col(f"right_{a}"))).alias(f"same_{a}")]
+    return j.select(*out)

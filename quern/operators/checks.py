@@ -64,6 +64,26 @@ def assert_aligned(tables: dict[str, DataFrame], key: str, values: list[str]) ->
         raise ConstraintError(f"{bad.count()} keys differ: " + "; ".join(f"{r[0]}: {r[1]}" for r in first))
 
 
+def metadata_problems(stored: DataFrame, expected: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, field, stored, expected), a row for each value that isn't what is expected, as texts; null equals null.
+
+    A key that one side lacks is one problem, of the field named like the key. Neither side should repeat a key.
+    """
+    side = lambda df, s: df.select(F.col(key).alias(f"__{s}_key"), *(F.col(v).cast("string").alias(f"{s}_{i}") for i, v in enumerate(values)), F.lit(True).alias(f"__{s}"))
+    j = side(stored, "s").join(side(expected, "e"), F.col("__s_key").eqNullSafe(F.col("__e_key")), "full_outer")
+    one = lambda name, a, b: F.struct(F.lit(name).alias("field"), a.alias("stored"), b.alias("expected"))
+    lacks = one(key, F.col("__s_key").cast("string"), F.col("__e_key").cast("string"))
+    wrong = [F.when(~F.col(f"s_{i}").eqNullSafe(F.col(f"e_{i}")), one(v, F.col(f"s_{i}"), F.col(f"e_{i}"))) for i, v in enumerate(values)]
+    found = F.when(F.col("__s") & F.col("__e"), F.array_compact(F.array(*wrong))).otherwise(F.array(lacks))
+    return j.select(F.coalesce("__s_key", "__e_key").alias(key), F.inline(found))
+
+
+def assert_metadata(stored: DataFrame, expected: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """stored, after all its values are what is expected."""
+    assert_empty(metadata_problems(stored, expected, key, values).orderBy(key, "field"), "metadata")
+    return stored
+
+
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -162,3 +162,17 @@ def dictionary(df: DataFrame, text: str, ordinal: str) -> tuple[DataFrame, DataF
     """Unique texts with codes by first occurrence, and rows (ordinal, code)."""
     uniques = dense_ids(df.groupBy(F.col(text).alias("text")).agg(F.min(ordinal).alias("first_seen")), ["first_seen"], "code")
     return uniques, df.join(uniques, df[text] == uniques["text"]).select(ordinal, "code")
+
+
+def has_negatives(qrels: DataFrame, unit: str, score: str) -> DataFrame:
+    """(unit, has_negatives): whether the judgements of a unit hold one of score 0; null scores are none."""
+    return qrels.groupBy(unit).agg(F.coalesce(F.max((F.col(score) == 0).cast("int")) == 1, F.lit(False)).alias("has_negatives"))
+
+
+def recovered_candidates(qrels: DataFrame, unit: str, score: str) -> DataFrame:
+    """The judgements that can stand in for missing candidate lists: all of the units in which some score is 0.
+
+    Where every judged document is relevant, ranking the judged ones alone would be perfect by construction, so such units
+    give none. Null units are never recovered. Columns are those of qrels.
+    """
+    return qrels.join(has_negatives(qrels, unit, score).where("has_negatives").select(unit), unit, "left_semi").select(*qrels.columns)

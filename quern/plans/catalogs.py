@@ -182,16 +182,31 @@ def j22(t: Tables) -> DataFrame:
 
 @query("j23_result_comparison", "WITH a AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_type <> 'error' GROUP BY event_type), b AS (SELECT event_type AS k, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY event_type) SELECT coalesce(a.k, b.k) AS k, a.n AS left_n, b.n AS right_n, a.n IS NOT DISTINCT FROM b.n AS same FROM a FULL JOIN b ON a.k = b.k")
 def j23(t: Tables) -> DataFrame:
-    n = lambda c, name: t.events.where(c).groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias(name))
-    j = n("event_id % 2 = 0 AND event_type <> 'error'", "left_n").join(n("event_id % 2 = 1 AND event_type <> 'click'", "right_n"), "k", "full_outer")
-    return j.withColumn("same", F.col("left_n").eqNullSafe(F.col("right_n")))
+    n = lambda c: t.events.where(c).groupBy(F.col("event_type").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    j = catalog.compare_results(n("event_id % 2 = 0 AND event_type <> 'error'"), n("event_id % 2 = 1 AND event_type <> 'click'"), ["k"], "n", [])
+    return j.select("k", "left_n", "right_n", F.col("left_n").eqNullSafe(F.col("right_n")).alias("same"))
+
+
+_RUN = "SELECT event_type AS task, user_id % 7 AS split, CASE WHEN user_id % 11 > 0 THEN user_id % 11 END AS subset, max(user_id) AS score, max(event_id) % 2 AS revision, count(*) AS n FROM events WHERE {} GROUP BY ALL"
+
+
+@query(
+    "j23_audited_results",
+    f"WITH a AS ({_RUN.format('event_id % 3 < 2')}), b AS ({_RUN.format('event_id % 3 > 0')}) SELECT coalesce(a.task, b.task) AS task, coalesce(a.split, b.split) AS split, coalesce(a.subset, b.subset) AS subset, a.score AS left_score, b.score AS right_score, b.score - a.score AS delta, CASE WHEN a.n IS NULL THEN 'right' WHEN b.n IS NULL THEN 'left' ELSE 'both' END AS found, a.revision AS left_revision, b.revision AS right_revision, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN a.revision = b.revision END AS same_revision, a.n AS left_n, b.n AS right_n, CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN a.n = b.n END AS same_n FROM a FULL JOIN b ON a.task = b.task AND a.split = b.split AND a.subset IS NOT DISTINCT FROM b.subset",
+)
+def j23_audited(t: Tables) -> DataFrame:
+    """Results of two runs by task, split and subset (null: the whole), with the revision and number of rows of each."""
+    user = F.col("user_id")
+    keys = [F.col("event_type").alias("task"), (user % 7).alias("split"), F.when(user % 11 > 0, user % 11).alias("subset")]
+    run = lambda c: t.events.where(c).groupBy(*keys).agg(F.max("user_id").alias("score"), (F.max("event_id") % 2).alias("revision"), F.count(F.lit(1)).alias("n"))
+    return catalog.compare_results(run("event_id % 3 < 2"), run("event_id % 3 > 0"), ["task", "split", "subset"], "score", ["revision", "n"])
 
 
 @query("j24_metadata_equality", "WITH a AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT source, count(*) + CASE WHEN source = 'src7' THEN 1 ELSE 0 END AS n FROM documents GROUP BY source) SELECT source, a.n AS stored, b.n AS expected FROM a JOIN b USING (source) WHERE a.n <> b.n")
 def j24(t: Tables) -> DataFrame:
-    n = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("stored"))
-    e = n.select("source", (F.col("stored") + F.when(F.col("source") == "src7", 1).otherwise(0)).alias("expected"))
-    return n.join(e, "source").where("stored <> expected")
+    n = t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    e = n.withColumn("n", F.col("n") + F.when(F.col("source") == "src7", 1).otherwise(0))
+    return checks.metadata_problems(n, e, "source", ["n"]).select("source", F.col("stored").cast("long").alias("stored"), F.col("expected").cast("long").alias("expected"))
 
 
 @query("w13_contiguity", "WITH f AS (SELECT doc_id, lang, CASE WHEN lag(lang) OVER (ORDER BY doc_id) = lang THEN 0 ELSE 1 END AS c FROM documents) SELECT lang, sum(c)::BIGINT AS n_islands FROM f GROUP BY lang")

@@ -204,16 +204,31 @@ def p16(t: Tables) -> DataFrame:
     return checks.index_violations(t.documents.select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id", F.lit(20000))
 
 
-@query("p17_reranking_tasks", "SELECT DISTINCT event_type || '/' || user_id AS path, nullif(CASE WHEN event_id % 2 = 0 THEN 'default' ELSE 's' || (event_id % 3) END, 'default') AS subset FROM events WHERE ('x' || event_type) LIKE '%purchase'")
+@query(
+    "p17_reranking_tasks",
+    "WITH t AS (SELECT event_id, event_type AS type, 'u' || user_id AS path, CASE WHEN event_id % 5 > 0 THEN 'r' || (event_id % 5) END AS revision, CASE WHEN event_id % 2 = 0 THEN 'default' ELSE 's' || (event_id % 3) END AS subset FROM events), l AS (SELECT type, path, revision, subset FROM t UNION ALL SELECT 'a-purchase', path || '/b', revision, 'default' FROM t WHERE event_id % 3 = 0) SELECT DISTINCT path, revision, nullif(subset, 'default') AS subset FROM l WHERE type LIKE '%purchase'",
+)
 def p17(t: Tables) -> DataFrame:
-    e = t.events.where(F.concat(F.lit("x"), "event_type").endswith("purchase"))
-    subset = F.when(F.col("event_id") % 2 == 0, "default").otherwise(F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")))
-    return e.select(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("path"), F.nullif(subset, F.lit("default")).alias("subset")).distinct()
+    """Each event is a task; one in three is an aggregate of two parts."""
+    i, text = F.col("event_id"), lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    e = t.events.select("event_id", F.col("event_type").alias("type"), text("u", F.col("user_id")).alias("path"), F.when(i % 5 > 0, text("r", i % 5)).alias("revision"), F.when(i % 2 == 0, "default").otherwise(text("s", i % 3)).alias("subset"))
+    first = F.struct("type", "path", "revision", "subset")
+    second = F.struct(F.lit("a-purchase").alias("type"), F.concat("path", F.lit("/b")).alias("path"), "revision", F.lit("default").alias("subset"))
+    return catalog.task_keys(e.withColumn("parts", F.when(i % 3 == 0, F.array(first, second))), "purchase")
 
 
 @query("p18_candidate_recovery", "SELECT source, max((quality = 0)::INT) = 1 AS has_negatives FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def p18(t: Tables) -> DataFrame:
-    return t.documents.join(t.labels, "doc_id").groupBy("source").agg((F.max((F.col("quality") == 0).cast("int")) == 1).alias("has_negatives"))
+    return corpus.has_negatives(t.documents.join(t.labels, "doc_id"), "source", "quality")
+
+
+@query(
+    "p18_recovered_candidates",
+    "WITH q AS (SELECT source || '/' || (doc_id % 97) AS unit, doc_id, quality FROM documents JOIN labels USING (doc_id)) SELECT unit, doc_id, quality FROM q WHERE unit IN (SELECT unit FROM q GROUP BY unit HAVING count(*) FILTER (quality = 0) > 0)",
+)
+def p18_recovered(t: Tables) -> DataFrame:
+    unit = F.concat("source", F.lit("/"), (F.col("doc_id") % 97).cast("string")).alias("unit")
+    return corpus.recovered_candidates(t.documents.join(t.labels, "doc_id").select(unit, "doc_id", "quality"), "unit", "quality")
 
 
 @query("p19_queries_with_positives", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality > 0)")

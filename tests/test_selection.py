@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import catalog, checks, metrics, quantiles
+from quern.operators import catalog, checks, corpus, metrics, quantiles
 from quern.sources import records
 
 # ---------------------------------------------------------------- positional reads
@@ -202,3 +202,47 @@ def test_results_against_expected_tasks(spark, tmp_path):
     found = records.read_results(spark, str(tmp_path), "score double")
     got = {r.task: (r.result.score if r.result else None, r.problem) for r in records.expected_results(found, spark.createDataFrame([(x,) for x in "abcde"], "task string")).collect()}
     assert got == {"a": (None, "repeated"), "b": (None, "corrupt"), "c": (1.0, None), "d": (None, "missing"), "e": (None, "missing"), "extra": (None, "unexpected")}
+
+
+def test_keys_of_tasks_and_their_parts(spark):
+    part = "struct<type:string,path:string,revision:string,subset:string>"
+    kind = f"type string, path string, revision string, subset string, parts array<{part}>"
+    data = [
+        ("Reranking", "p", "r", "default", None),
+        ("MyReranking", "p", "r", None, []),
+        ("MyReranking", "q", None, "en", None),
+        ("Retrieval", "x", "r", "en", None),
+        (None, "x", "r", "en", None),
+        ("Reranking", "whole", "r", "en", [("Retrieval", "x", "r", "en"), ("Reranking", "in", "r", "default"), (None, "x", "r", "en")]),
+        ("Other", "whole", "r", "en", [("Reranking", "in", "r", "de"), ("Reranking", "in", "r", "de")]),
+    ]
+    got = {tuple(r) for r in catalog.task_keys(spark.createDataFrame(data, kind), "Reranking").collect()}
+    assert got == {("p", "r", None), ("q", None, "en"), ("in", "r", None), ("in", "r", "de")}
+    assert catalog.task_keys(spark.createDataFrame([], kind), "Reranking").count() == 0
+
+
+def test_candidates_are_recovered_only_beside_a_negative(spark):
+    q = spark.createDataFrame([("a", 1, 1), ("a", 2, 0), ("b", 3, 1), ("b", 4, None), ("c", 5, None), (None, 6, 0)], "unit string, doc long, score int")
+    assert {r[0]: r[1] for r in corpus.has_negatives(q, "unit", "score").collect()} == {"a": True, "b": False, "c": False, None: True}
+    got = corpus.recovered_candidates(q, "unit", "score")
+    assert got.columns == q.columns and sorted(tuple(r) for r in got.collect()) == [("a", 1, 1), ("a", 2, 0)]
+
+
+def test_results_of_two_runs_side_by_side(spark):
+    kind = "task string, subset string, score double, revision string"
+    a = spark.createDataFrame([("t", None, 0.5, "r1"), ("t", "en", 0.5, None), ("u", None, None, "r1"), ("l", None, 1.0, "r1")], kind)
+    b = spark.createDataFrame([("t", None, 0.75, "r2"), ("t", "en", 0.25, None), ("u", None, 1.0, "r1"), ("r", None, 2.0, "r1")], kind)
+    got = {(r.task, r.subset): (r.delta, r.found, r.same_revision) for r in catalog.compare_results(a, b, ["task", "subset"], "score", ["revision"]).collect()}
+    assert got == {("t", None): (0.25, "both", False), ("t", "en"): (-0.25, "both", True), ("u", None): (None, "both", True), ("l", None): (None, "left", None), ("r", None): (None, "right", None)}
+
+
+def test_metadata_against_a_manifest(spark):
+    kind = "unit string, n long, digest string"
+    stored = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "z"), ("d", 4, "w")], kind)
+    want = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 4, None), ("e", 5, "v")], kind)
+    got = sorted(map(tuple, checks.metadata_problems(stored, want, "unit", ["n", "digest"]).collect()), key=str)
+    assert got == [("c", "digest", "z", None), ("c", "n", "3", "4"), ("d", "unit", "d", None), ("e", "unit", None, "e")]
+    same = stored.where("unit < 'c'")
+    assert checks.assert_metadata(same, same, "unit", ["n", "digest"]).count() == 2
+    with pytest.raises(checks.ConstraintError, match="^metadata: .*digest"):
+        checks.assert_metadata(stored, want, "unit", ["n", "digest"])
