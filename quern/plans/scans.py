@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import hashing
 from quern.operators import checks, tensors
 from quern.plans.declare import Tables, query
+from quern.session import ranges
 from quern.sources import files, records
 
 
@@ -332,8 +333,21 @@ def s20b(t: Tables) -> DataFrame:
 
 @query("s22_source_lines", "SELECT lang, line, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line FROM documents) WHERE line < 100")
 def s22b(t: Tables) -> DataFrame:
-    """The first hundred lines of each source file."""
+    """The first hundred lines of each source, whose lines lie in order in the files of its folder.
+
+    Folders are named by numbers: names could be null or hold any character, and over names that may be null Spark's writer
+    puts a sort of its own, which undoes the order of lines. A source may be in several files, one a range.
+    """
+    from quern.operators.corpus import dense_ids
+
+    sources = dense_ids(t.documents.select(F.col("lang").alias("name")).distinct(), ["name"], "source")
+    rows = t.documents.select("doc_id", "lang").join(sources, F.col("lang").eqNullSafe(F.col("name"))).select("doc_id", "source")
+    order = ["source", F.col("doc_id").asc_nulls_last()]
     out = records.scratch(t.spark, "lines")
-    t.documents.repartition("lang").sortWithinPartitions("doc_id").select(F.col("doc_id").cast("string").alias("value"), "lang").write.partitionBy("lang").text(out)
-    lines = records.capped_lines(t.spark, [f"{out}/lang=*/*.txt"], 100)
-    return lines.select(F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang"), "line", F.col("value").cast("long").alias("doc_id"))
+    rows.repartitionByRange(ranges(rows), *order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("value"), "source").write.partitionBy("source").text(out)
+    lines = records.capped_lines(t.spark, [f"{out}/source=*/*.txt"], 100)
+    part, source = (F.regexp_extract("file", p, 1).cast("long") for p in ("/part-([0-9]+)", "/source=([0-9]+)/"))
+    # at most a hundred rows of each file are left
+    place = F.row_number().over(Window.partitionBy("source").orderBy("part", "file", "line")) - 1
+    first = lines.withColumns({"part": part, "source": source}).withColumn("line", place.cast("long")).where("line < 100")
+    return first.join(sources, "source").select(F.col("name").alias("lang"), "line", F.expr("try_cast(value AS long)").alias("doc_id"))

@@ -3,10 +3,12 @@
 import json
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern.plans.registry import ORACLES, QUERIES
 from quern.sources import files, records
 
 
@@ -166,6 +168,18 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     assert sorted((r.file.rpartition("/")[2], r.line) for r in capped) == [("a.jsonl", 0), ("b.jsonl", 0), ("b.jsonl", 1), ("c.jsonl", 0), ("c.jsonl", 1)]
 
 
+def test_first_lines_of_sources_in_order(spark, tmp_path):
+    """Sources in many files whose rows lie in no order, of any name or none."""
+    names = ["de", "en", "a/b=c %41", None]
+    rows = [(i * 7919 % 4000, names[i % 4 if i % 3 else 1]) for i in range(4000)] + [(9000 + i, "few") for i in range(3)] + [(None, "few")]
+    spark.createDataFrame(rows, "doc_id long, lang string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["s22_source_lines"](spark, f"file://{tmp_path}").collect()
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLES["s22_source_lines"]).fetchall()
+    assert len(want) == 404 and sorted(map(str, ((r.lang, r.line, r.doc_id) for r in got))) == sorted(map(str, want))
+
+
 def test_records_are_numbered_without_blank_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"query": "p"}\n\n{"query": "q"}\n')
     (tmp_path / "b.jsonl").write_text('{"query": "r"}\n')
