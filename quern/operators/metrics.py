@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,52 +14,94 @@ from quern.operators import quantiles
 from quern.operators.corpus import dense_ids
 from quern.session import materialise
 
-BLOCK_BYTES, TILE = 16 << 20, 1 << 21
+BLOCK_BYTES, TILE, WIDTH = 16 << 20, 1 << 21, 1024
 
 
-def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v) in double precision.
-
-    Both sides are dealt by hash into blocks of about block_bytes, and each pair of blocks is one task's matrix product, in
-    tiles of TILE scores; neither side passes the driver, and neither is broadcast. A query block is sent once for each block
-    of documents and the other way round. With k, a task returns the k best documents of each of its queries (ties by
-    document), and the k best of all tasks are kept. Ids are integers and don't repeat; vectors are of one length, and those
-    that are null, or hold a null, are left out. Scores that are no number come last.
-    """
+def _grid(queries: DataFrame, docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Rows (i, j, query, id, v and further columns) of every pair of a query and a document block, and the number of the latter."""
     sides = []
     for df, name in ((queries, "query_id"), (docs, "doc_id")):
         v = F.col("v").cast("array<double>")
-        rows = df.select(F.col(name).cast("long").alias("id"), v.alias("v")).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+        rows = df.withColumns({name: F.col(name).cast("long"), "v": v}).withColumnRenamed(name, "id").where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
         size = rows.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
         n = max(1, -(-size // block_bytes))
         sides.append((rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n))
     (q, n_q), (d, n_d) = sides
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select(F.col("own").alias("i"), every(n_d).alias("j"), F.lit(True).alias("query"), "id", "v")
-    d = d.select(every(n_q).alias("i"), F.col("own").alias("j"), F.lit(False).alias("query"), "id", "v")
-    out = q.unionByName(d).groupBy("i", "j").applyInArrow(_scoring(k), "query_id long, doc_id long, score double")
+    q = q.select(F.col("own").alias("i"), every(n_d).alias("j"), F.lit(True).alias("query"), *(c for c in q.columns if c != "own"))
+    d = d.select(every(n_q).alias("i"), F.col("own").alias("j"), F.lit(False).alias("query"), *(c for c in d.columns if c != "own"))
+    return q.unionByName(d, allowMissingColumns=True), n_d
+
+
+def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, block_bytes: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score): dot products of queries (query_id, v) and docs (doc_id, v) in double precision.
+
+    Both sides are dealt by hash into blocks of about block_bytes, and each pair of blocks is one task's matrix product, in
+    tiles of TILE scores; neither side passes the driver, and neither is broadcast. A query block is sent once for each block
+    of documents and the other way round; no pair is sent. With k, a task returns the k best documents of each of its queries
+    (ties by document), and the k best of all tasks are kept. Ids are integers and don't repeat; vectors are of one length, and
+    those that are null, or hold a null, are left out. Scores that are no number come last. With digits, scores are rounded
+    before they are compared. Where both sides have an integer label as well, rel tells whether labels are equal (1 or 0, null
+    where one is).
+    """
+    rel = "label" in queries.columns and "label" in docs.columns
+    rows, n_d = _grid(queries, docs, block_bytes)
+    out = rows.groupBy("i", "j").applyInArrow(_scoring(k, digits, rel), "query_id long, doc_id long, score double" + ", rel int" * rel)
     return out if k is None or n_d == 1 else top_k(out, "query_id", "doc_id", "score", k).drop("rank")
 
 
-def _scoring(k: int | None):
+def _sides(batches: Iterator[pa.RecordBatch]) -> list[dict[str, np.ndarray]]:
+    """Columns of the queries and of the documents of a pair of blocks, documents in rising order; nothing if a side is empty.
+
+    A label that is null is not known.
+    """
+    held: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+    for b in batches:
+        for side in held:
+            if (part := b.filter(pc.equal(b.column("query"), side))).num_rows:
+                held[side].append(part)
+    out = []
+    for side, parts in held.items():
+        if not parts:
+            return []
+        rows = {c: pa.concat_arrays([b.column(c) for b in parts]) for c in parts[0].schema.names if c not in ("i", "j", "query")}
+        x = {c: a.to_numpy(zero_copy_only=False) for c, a in rows.items() if c not in ("v", "label")}
+        x["v"] = rows["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(rows["v"]), -1)
+        if "label" in rows:
+            x["label"], x["known"] = rows["label"].fill_null(0).to_numpy(), rows["label"].is_valid().to_numpy(zero_copy_only=False)
+        order = np.argsort(x["id"], kind="stable")  # ties go to the smaller document
+        out.append(x if side else {c: a[order] for c, a in x.items()})
+    return out
+
+
+def _tiles(q: dict[str, np.ndarray], d: dict[str, np.ndarray], digits: int | None, width: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]]:
+    """Some queries and documents at a time (with no width all documents) with their scores."""
+    width = width or len(d["id"])
+    step = max(1, TILE // min(width, len(d["id"])))
+    for b in range(0, len(d["id"]), width):
+        part = {c: x[b : b + width] for c, x in d.items()}
+        for a in range(0, len(q["id"]), step):
+            own = {c: x[a : a + step] for c, x in q.items()}
+            s = own["v"] @ part["v"].T
+            yield own, part, s if digits is None else _rounded(s, digits)
+
+
+def _rounded(s: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero; what is too large for that, or no number, as it is."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        y = s * 10.0**digits
+        whole = np.trunc(y)
+        whole += np.where(np.abs(y - whole) >= 0.5, np.copysign(1.0, y), 0.0)
+        return np.where(np.isfinite(whole), whole / 10.0**digits, s)
+
+
+def _scoring(k: int | None, digits: int | None, rel: bool):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {True: ([], []), False: ([], [])}
-        for b in batches:
-            of = b.column("query").to_numpy(zero_copy_only=False)
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 0))
-            for side in (True, False):
-                if (of == side).any():
-                    held[side][0].append(b.column("id").to_numpy()[of == side])
-                    held[side][1].append(x[of == side])
-        if not held[True][0] or not held[False][0]:
+        if not (sides := _sides(batches)):
             return
-        queries, x, ids, y = (np.concatenate(part) for side in (True, False) for part in held[side])
-        order = np.argsort(ids)  # ties go to the smaller document
-        ids, y = ids[order], y[order]
-        step = max(1, TILE // len(ids))
-        for a in range(0, len(queries), step):
-            s = x[a : a + step] @ y.T
-            n = len(s)
+        # pairs of few documents at a time repeat their ids, which then take little room in a file
+        for own, d, s in _tiles(*sides, digits, WIDTH if k is None else None):
+            n, ids = len(s), d["id"]
             if k is None or len(ids) <= k:
                 rows, cols = np.repeat(np.arange(n), len(ids)), np.tile(np.arange(len(ids)), n)
             else:
@@ -69,11 +112,74 @@ def _scoring(k: int | None):
                 rows, cols = rows[best], cols[best]
                 first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
                 rows, cols = rows[first], cols[first]
-            yield pa.RecordBatch.from_arrays([pa.array(queries[a + rows]), pa.array(ids[cols]), pa.array(s[rows, cols])], names=["query_id", "doc_id", "score"])
+            out = {"query_id": pa.array(own["id"][rows]), "doc_id": pa.array(ids[cols]), "score": pa.array(s[rows, cols])}
+            if rel:
+                same = own["label"][rows] == d["label"][cols]
+                out["rel"] = pa.array(same.astype(np.int32), mask=~(own["known"][rows] & d["known"][cols]))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
+    return _typed(scored)
+
+
+def _typed(f: Callable) -> Callable:
     # the iterator form of applyInArrow is chosen by these annotations, which must be classes
-    scored.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return scored
+    f.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return f
+
+
+def first_relevant(queries: DataFrame, docs: DataFrame, digits: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, first, pos, neg): the rank of each query's best document of its own label, its score, and the best score of another label.
+
+    Sides are as in blocked_scores, with labels, and a document with a query's id is not counted for it; scores are rounded
+    and ties go by document, scores that are no number first. Tasks find the best of each query in their blocks, and once the best of all are
+    known, count the documents before it: what is sent is vectors and a row for each query and block, never pairs.
+    """
+    rows, _ = _grid(queries, docs, block_bytes)
+    best = rows.groupBy("i", "j").applyInArrow(_best(digits), "query_id long, pos double, pos_doc long, neg double")
+    top = F.max(F.when(F.col("pos_doc").isNotNull(), F.struct("pos", (-F.col("pos_doc")).alias("d"))))
+    best = best.groupBy("query_id").agg(top.alias("p"), F.max("neg").alias("neg"))
+    best = materialise(best.select("query_id", F.col("p.pos").alias("pos"), (-F.col("p.d")).alias("pos_doc"), "neg"), "best")
+    asked = queries.select("query_id", "v").join(best.where("pos_doc IS NOT NULL").select("query_id", "pos", "pos_doc"), "query_id")
+    rows, _ = _grid(asked, docs.select("doc_id", "v"), block_bytes)
+    before = rows.groupBy("i", "j").applyInArrow(_before(digits), "query_id long, n long").groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
+    return best.join(before, "query_id", "left").select("query_id", "first", "pos", "neg")
+
+
+def _ordered(s: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of s, equal where s is; what is no number comes after infinity."""
+    bits = np.where(np.isnan(s), np.nan, s + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.iinfo(np.int64).max)
+
+
+def _best(digits: int):
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (sides := _sides(batches)):
+            return
+        for own, d, s in _tiles(*sides, digits):
+            key, at = _ordered(s), np.arange(len(s))
+            same = own["label"][:, None] == d["label"]
+            judged = own["known"][:, None] & d["known"] & (own["id"][:, None] != d["id"])
+            found = []
+            for mask in (judged & same, judged & ~same):
+                first = np.where(mask, key, np.iinfo(np.int64).min).argmax(axis=1)  # of equal ones the smallest document
+                found.append((first, ~mask[at, first]))
+            (p, no_p), (n, no_n) = found
+            columns = [pa.array(own["id"]), pa.array(s[at, p], mask=no_p), pa.array(d["id"][p], mask=no_p), pa.array(s[at, n], mask=no_n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "pos", "pos_doc", "neg"])
+
+    return _typed(best)
+
+
+def _before(digits: int):
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (sides := _sides(batches)):
+            return
+        for own, d, s in _tiles(*sides, digits):
+            key, pos, doc = _ordered(s), _ordered(own["pos"])[:, None], own["pos_doc"].astype(np.int64)[:, None]
+            earlier = ((key > pos) | ((key == pos) & (d["id"] < doc))) & (d["id"] != doc) & (d["id"] != own["id"][:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(own["id"]), pa.array(earlier.sum(axis=1))], names=["query_id", "n"])
+
+    return _typed(before)
 
 
 def top_k(scores: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:

@@ -14,23 +14,25 @@ from quern.session import materialise
 _SCORES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0), sc AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(qv, embedding::DOUBLE[]), 6) AS score, (label = ql)::INT AS rel FROM q, embeddings WHERE vec_id <> query_id), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc), nr AS (SELECT query_id, sum(rel)::BIGINT AS n_relevant FROM sc GROUP BY query_id)"
 
 
-def _scores(t: Tables, k: int | None = None) -> DataFrame:
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    scores = metrics.blocked_scores(q, t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), k)
-    labels = lambda c, n: t.embeddings.select(F.col("vec_id").alias(c), F.col("label").alias(n))
-    s = scores.where("query_id <> doc_id").join(labels("query_id", "ql"), "query_id").join(labels("doc_id", "dl"), "doc_id")
-    return s.select("query_id", "doc_id", F.round("score", 6).alias("score"), (F.col("ql") == F.col("dl")).cast("int").alias("rel"))
+def _sides(t: Tables, *columns: str) -> tuple[DataFrame, DataFrame]:
+    q, d = (t.embeddings.select(F.col("vec_id").alias(name), F.col("embedding").alias("v"), *columns) for name in ("query_id", "doc_id"))
+    return q.where("query_id % 50 = 0"), d
+
+
+def _scores(t: Tables, k: int | None = None, *columns: str) -> DataFrame:
+    return metrics.blocked_scores(*_sides(t, *columns), k, digits=6).where("query_id <> doc_id")
 
 
 @query("j15_similarity", f"WITH {_SCORES} SELECT query_id, doc_id, score FROM sc")
 def j15(t: Tables) -> DataFrame:
-    return _scores(t).select("query_id", "doc_id", "score")
+    """The result is a row for each pair, hence quadratic; nothing else is, as pairs go from the task that scores them to the result."""
+    return _scores(t)
 
 
 @query("t06_candidate_topk", f"WITH {_SCORES} SELECT query_id, doc_id, score, rank::INT AS rank FROM rk WHERE rank <= 10")
 def t06(t: Tables) -> DataFrame:
     # one more than k, as the query itself is among the best
-    return metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10).drop("rel")
+    return metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10)
 
 
 @query(
@@ -40,7 +42,7 @@ def t06(t: Tables) -> DataFrame:
 def a29(t: Tables) -> DataFrame:
     of_label = t.embeddings.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
     n = t.embeddings.where("vec_id % 50 = 0").join(of_label, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
-    out = metrics.ranking(metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10), "query_id", "rel", n, 10)
+    out = metrics.ranking(metrics.top_k(_scores(t, 11, "label"), "query_id", "doc_id", "score", 10), "query_id", "rel", n, 10)
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "map", "recall", "precision", "mrr")), "hit")
 
 
@@ -57,7 +59,7 @@ _CURVE = "list(v ORDER BY k)"
 )
 def a29c(t: Tables) -> DataFrame:
     """Normalised area under the abstention curve of each metric at 10, for three confidences of a query's scores."""
-    top = materialise(metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10), "top")
+    top = materialise(metrics.top_k(_scores(t, 11, "label"), "query_id", "doc_id", "score", 10), "top")
     of_label = t.embeddings.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
     n = t.embeddings.where("vec_id % 50 = 0").join(of_label, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
     names = ["ndcg", "map", "recall", "mrr"]
@@ -67,7 +69,7 @@ def a29c(t: Tables) -> DataFrame:
 
 @query("a29_best_subquery", f"WITH {_SCORES} SELECT query_id // 150 AS base_id, max(CASE WHEN rel = 1 THEN 1 / rank ELSE 0 END) AS best_rr FROM (SELECT query_id, rel, rank FROM rk WHERE rank <= 10) GROUP BY query_id // 150")
 def a29b(t: Tables) -> DataFrame:
-    r = metrics.top_k(_scores(t, 11), "query_id", "doc_id", "score", 10)
+    r = metrics.top_k(_scores(t, 11, "label"), "query_id", "doc_id", "score", 10)
     return r.groupBy(F.expr("query_id div 150").alias("base_id")).agg(F.max(F.when(F.col("rel") == 1, 1 / F.col("rank")).otherwise(0.0)).alias("best_rr"))
 
 
@@ -83,13 +85,7 @@ def a30(t: Tables) -> DataFrame:
 @query("a31_proxy_eval", f"WITH {_SCORES}, m AS (SELECT query_id, max(CASE WHEN rel = 1 THEN score END) AS pos, max(CASE WHEN rel = 0 THEN score END) AS neg, min(CASE WHEN rel = 1 THEN rank END) AS first FROM rk GROUP BY query_id) SELECT round(avg((first = 1)::INT), 6) AS hit_at_1, round(avg(1 / first), 6) AS mrr, round(avg(pos - neg), 6) AS margin FROM m")
 def a31(t: Tables) -> DataFrame:
     """The rank of the best positive is one more than the number of documents before it, so nothing is sorted."""
-    s = _scores(t)
-    top = F.max(F.when(F.col("rel") == 1, F.struct("score", (-F.col("doc_id")).alias("d"))))
-    m = s.groupBy("query_id").agg(top.alias("p"), F.max(F.when(F.col("rel") == 0, F.col("score"))).alias("neg"))
-    m = materialise(m.select("query_id", F.col("p.score").alias("pos"), (-F.col("p.d")).alias("pos_doc"), "neg"), "best")
-    before = (F.col("score") > F.col("pos")) | ((F.col("score") == F.col("pos")) & (F.col("doc_id") < F.col("pos_doc")))
-    first = s.join(m, "query_id").groupBy("query_id").agg((F.count_if(before) + 1).alias("first"))
-    m = m.join(first, "query_id").withColumn("first", F.when(F.col("pos").isNotNull(), F.col("first")))
+    m = metrics.first_relevant(*_sides(t, "label"), digits=6)
     return m.agg(F.round(F.avg((F.col("first") == 1).cast("int")), 6).alias("hit_at_1"), F.round(F.avg(1 / F.col("first")), 6).alias("mrr"), F.round(F.avg(F.col("pos") - F.col("neg")), 6).alias("margin"))
 
 

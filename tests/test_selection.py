@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import catalog, checks, corpus, metrics, quantiles
+from quern.plans.registry import QUERIES
 from quern.sources import records
 
 # ---------------------------------------------------------------- positional reads
@@ -89,6 +91,53 @@ def test_no_scores_of_nothing(spark):
     assert metrics.blocked_scores(none, docs).collect() == [] == metrics.blocked_scores(none, docs, 3).collect()
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
+def test_first_relevant_matches_brute_force(spark, monkeypatch, block_bytes):
+    """Ties, unknown labels, a query without a positive and one without a negative, scores that round up and that are no number."""
+    monkeypatch.setattr(metrics, "TILE", 64)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (71, 4)) / 16  # whole sixteenths give ties, and halves of the last digit in products
+    x[33, 0], x[34, 1] = np.nan, np.inf
+    label = [None if i % 9 == 4 else 7 if i == 10 else 2**60 + i % 3 for i in range(71)]
+    d = spark.createDataFrame([(i, [float(v) for v in r], c) for i, (r, c) in enumerate(zip(x, label))], "doc_id long, v array<double>, label long")
+    for rows in (list(range(71)), [30]):
+        docs = d.where(F.col("doc_id").isin(rows))
+        got = {r.query_id: r for r in metrics.first_relevant(docs.where("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id"), docs, 2, block_bytes).collect()}
+        for i in (i for i in rows if i % 5 == 0):
+            s = {j: half_up(float(x[i] @ x[j])) for j in rows if j != i}
+            order = sorted(s, key=lambda j: (not np.isnan(s[j]), -s[j] if not np.isnan(s[j]) else 0, j))
+            pos = [j for j in order if label[i] is not None and label[j] == label[i]]
+            neg = [j for j in order if None not in (label[i], label[j]) and label[j] != label[i]]
+            want = (order.index(pos[0]) + 1 if pos else None, s[pos[0]] if pos else None, s[neg[0]] if neg else None)
+            have = (got[i].first, got[i].pos, got[i].neg) if i in got else (None, None, None)
+            assert [v if v is None else v + 0.0 for v in have] == pytest.approx([v if v is None else v + 0.0 for v in want], abs=0, nan_ok=True)
+
+
+def half_up(x):
+    return x if not np.isfinite(x) else float(np.copysign(np.floor(abs(x) * 100 + 0.5) / 100, x)) + 0.0
+
+
+def test_scores_send_no_pairs(spark, tmp_path):
+    """Plans of the queries on scores deal vectors and rows of queries; labels come with them."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], i % 4) for i in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    group = str(uuid.uuid4())
+    spark.sparkContext.setJobGroup(group, "scores")
+    try:
+        n = QUERIES["j15_similarity"](spark, f"file://{tmp_path}").agg(F.count(F.lit(1)), F.sum("score")).first()[0]
+        QUERIES["a31_proxy_eval"](spark, f"file://{tmp_path}").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert n == 60 * 2999
+    tracker, store = spark.sparkContext.statusTracker(), spark._jsc.sc().statusStore()
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) <= 4 * 3000
+
+
 # ---------------------------------------------------------------- overlapping ranges
 
 
