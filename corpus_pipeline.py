@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input.
 
 Each stage works on all that its predecessor kept. All but the last return the columns of documents; the last one adds
-the token ids, so its rows are the corpus as it would be trained on.
+the token ids, so its rows are the corpus as it would be trained on, in the order of the mix.
 
 A null text counts as empty and fails the quality rules. Null hosts, languages and sources are ones of their own; a null
 doc_id keeps its row, which is like no other. Rows that repeat are judged alike, and of those that repeat a doc_id one stays
@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import byte_bpe, host_rules, mixing, ngram_join, quality
-from quern.session import delete, free, materialise, small_batches, table, temporary_tables
+from quern.session import as_written, delete, free, materialise, small_batches, table, temporary_tables
 
 
 def prepare(spark: SparkSession) -> None:
@@ -48,9 +48,9 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids; a column named token_ids is replaced."""
+    """Documents with their token ids, in the mixed order in which they are trained on; a column named token_ids is replaced."""
     prepare(spark)
-    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.encode_documents(as_written(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -11,7 +11,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 RANGE_BYTES = 512 << 20
@@ -135,6 +137,23 @@ def written_table(spark: SparkSession, path: str, schema: StructType | str) -> D
     return out
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """The rows of df in the order in which its table was written: by number of file, then by place in it.
+
+    Readers deal files by size, whatever their order. What is not read from files of one Parquet table stays as it is. Columns
+    may have any name that doesn't begin with __.
+    """
+    try:
+        m = df.metadataColumn("_metadata")
+        number = F.expr(r"try_cast(regexp_extract(__name, 'part-([0-9]+)', 1) AS long)")
+        rows = df.withColumns({"__name": m["file_name"], "__at": m["row_index"]}).withColumn("__file", number)
+        rows.schema  # noqa: B018
+    except AnalysisException:
+        return df
+    order = [F.col("__file").asc_nulls_last(), F.col("__name"), F.col("__at")]
+    return rows.repartitionByRange(ranges(df), *order).sortWithinPartitions(*order).select(*(f"`{c.replace('`', '``')}`" for c in df.columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Fewer rows in each Arrow batch than Spark's default: with long texts, batches are a worker's largest buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,6 +2,7 @@
 
 import base64
 import math
+import os
 import re
 import sys
 import zlib
@@ -10,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
@@ -387,6 +389,27 @@ def test_pipeline_mixing_drops_nothing(spark, sf):
     assert sorted(r.doc_id for r in stage(spark, d, sf).collect()) == sorted(r.doc_id for r in d.collect())
 
 
+def test_pipeline_ends_in_mixed_order(spark, tmp_path):
+    """Files of a mixed table are read again in any order, the larger ones first; the last stage puts their rows in order."""
+    import corpus_pipeline
+
+    rows = [(i, f"word {i} " * (1 + i % 7 * (i % 90)), "en", f"s{i % 11 % 4}", 0, i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _metadata int").repartition(3)
+    mixed = corpus_pipeline.mixing_sources(spark, docs, "")
+    want = [r.doc_id for r in mixed.collect()]
+    assert want != sorted(want)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    back = spark.read.parquet(f"file://{tmp_path}/mixed")
+    assert [r.doc_id for r in back.collect()] != want
+    out = corpus_pipeline.byte_level_bpe(spark, back, "")
+    assert out.columns == [*docs.columns, "token_ids"] and [r.doc_id for r in out.collect()] == want
+    out.write.parquet(f"{tmp_path}/out")
+    names = sorted(f for f in os.listdir(tmp_path / "out") if f.endswith(".parquet"))
+    assert [i for f in names for i in pq.read_table(tmp_path / "out" / f)["doc_id"].to_pylist()] == want
+    plain = spark.createDataFrame(rows[:50], docs.schema)  # not read from files
+    assert [r.doc_id for r in corpus_pipeline.byte_level_bpe(spark, plain, "").collect()] == list(range(50))
+
+
 def vectors(seed=1):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(60, 16))
