@@ -91,6 +91,16 @@ def test_no_scores_of_nothing(spark):
     assert metrics.blocked_scores(none, docs).collect() == [] == metrics.blocked_scores(none, docs, 3).collect()
 
 
+def test_pairs_repeat_ids_in_files(spark, tmp_path):
+    """Pairs of a few documents at a time: their ids are kept as codes, and a pair takes little more than its score."""
+    rng = np.random.default_rng(7)
+    d = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=4)]) for i in range(30_000)], "doc_id long, v array<double>")
+    metrics.blocked_scores(d.where("doc_id < 40").withColumnRenamed("doc_id", "query_id"), d, digits=6).coalesce(1).write.parquet(f"{tmp_path}/out")
+    (f,) = (tmp_path / "out").glob("*.parquet")
+    m = pq.ParquetFile(f).metadata
+    assert m.num_rows == 1_200_000 and f.stat().st_size < 10 * m.num_rows
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
 def test_first_relevant_matches_brute_force(spark, monkeypatch, block_bytes):
     """Ties, unknown labels, a query without a positive and one without a negative, scores that round up and that are no number."""
