@@ -347,7 +347,7 @@ def s22b(t: Tables) -> DataFrame:
     rows.repartitionByRange(ranges(rows), *order).sortWithinPartitions(*order).select(F.col("doc_id").cast("string").alias("value"), "source").write.partitionBy("source").text(out)
     lines = records.capped_lines(t.spark, [f"{out}/source=*/*.txt"], 100)
     part, source = (F.regexp_extract("file", p, 1).cast("long") for p in ("/part-([0-9]+)", "/source=([0-9]+)/"))
-    # at most a hundred rows of each file are left
-    place = F.row_number().over(Window.partitionBy("source").orderBy("part", "file", "line")) - 1
-    first = lines.withColumns({"part": part, "source": source}).withColumn("line", place.cast("long")).where("line < 100")
-    return first.join(sources, "source").select(F.col("name").alias("lang"), "line", F.expr("try_cast(value AS long)").alias("doc_id"))
+    # at most a hundred rows of each file are left, and Spark keeps as many of each task before it deals them
+    place = F.row_number().over(Window.partitionBy("source").orderBy("part", "file", "line"))
+    first = lines.withColumns({"part": part, "source": source}).withColumn("place", place).where("place <= 100")
+    return first.join(sources, "source").select(F.col("name").alias("lang"), (F.col("place") - 1).cast("long").alias("line"), F.expr("try_cast(value AS long)").alias("doc_id"))
