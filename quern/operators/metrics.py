@@ -15,6 +15,7 @@ from quern.operators.corpus import dense_ids
 from quern.session import materialise
 
 BLOCK_BYTES, TILE, WIDTH = 16 << 20, 1 << 21, 1024
+SORTED, CODES, REPEATS = 1 << 24, 1 << 17, 3
 
 
 def _grid(queries: DataFrame, docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -38,7 +39,8 @@ def blocked_scores(queries: DataFrame, docs: DataFrame, k: int | None = None, bl
 
     Both sides are dealt by hash into blocks of about block_bytes, and each pair of blocks is one task's matrix product, in
     tiles of TILE scores; neither side passes the driver, and neither is broadcast. A query block is sent once for each block
-    of documents and the other way round; no pair is sent. With k, a task returns the k best documents of each of its queries
+    of documents and the other way round; no pair is sent. Without k, pairs come in an order in which files of them are small
+    (_pairs). With k, a task returns the k best documents of each of its queries
     (ties by document), and the k best of all tasks are kept. Ids are integers and don't repeat; vectors are of one length, and
     those that are null, or hold a null, are left out. Scores that are no number come last. With digits, scores are rounded
     before they are compared. Where both sides have an integer label as well, rel tells whether labels are equal (1 or 0, null
@@ -74,16 +76,45 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> list[dict[str, np.ndarray]]:
     return out
 
 
-def _tiles(q: dict[str, np.ndarray], d: dict[str, np.ndarray], digits: int | None, width: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]]:
-    """Some queries and documents at a time (with no width all documents) with their scores."""
-    width = width or len(d["id"])
-    step = max(1, TILE // min(width, len(d["id"])))
+def _tiles(q: dict[str, np.ndarray], d: dict[str, np.ndarray], digits: int | None) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]]:
+    """Some queries at a time, all documents, and their scores."""
+    step = max(1, TILE // len(d["id"]))
+    for a in range(0, len(q["id"]), step):
+        own = {c: x[a : a + step] for c, x in q.items()}
+        s = own["v"] @ d["v"].T
+        yield own, d, s if digits is None else _rounded(s, digits)
+
+
+def _pairs(q: dict[str, np.ndarray], d: dict[str, np.ndarray], digits: int | None) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Some queries and documents, and of all their pairs the rows, columns and scores, up to TILE at a time.
+
+    Ids of few queries and documents are kept as short codes in a file; scores are too, if they are up to CODES. More of them
+    take their full width, unless equal ones lie side by side. So where SORTED pairs hold each score REPEATS times or more,
+    pairs come by score, else by document.
+    """
+    width = min(len(d["id"]), max(WIDTH, min(8 * WIDTH, SORTED // len(q["id"]))))
+    step = max(1, SORTED // width)
     for b in range(0, len(d["id"]), width):
         part = {c: x[b : b + width] for c, x in d.items()}
         for a in range(0, len(q["id"]), step):
             own = {c: x[a : a + step] for c, x in q.items()}
-            s = own["v"] @ part["v"].T
-            yield own, part, s if digits is None else _rounded(s, digits)
+            s, at = np.empty((len(own["id"]), len(part["id"]))), 0
+            for _, _, tile in _tiles(own, part, digits):
+                s[at : at + len(tile)] = tile
+                at += len(tile)
+            n, flat = s.shape[1], s.ravel()
+            order = np.argsort(flat) if digits is not None and s.size > REPEATS * CODES else None
+            if order is None or not CODES < _distinct(flat, order) <= s.size // REPEATS:
+                order = np.concatenate([np.arange(s.size).reshape(s.shape)[:, c : c + WIDTH].ravel() for c in range(0, n, WIDTH)])
+            for c in range(0, s.size, TILE):
+                places = order[c : c + TILE]
+                yield own, part, places // n, places % n, flat[places]
+
+
+def _distinct(s: np.ndarray, order: np.ndarray) -> int:
+    """How many values there are in s, which order sorts."""
+    parts = (s[order[a : a + TILE + 1]] for a in range(0, len(s), TILE))
+    return 1 + sum(int(np.count_nonzero(x[1:] != x[:-1])) for x in parts)
 
 
 def _rounded(s: np.ndarray, digits: int) -> np.ndarray:
@@ -99,20 +130,9 @@ def _scoring(k: int | None, digits: int | None, rel: bool):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (sides := _sides(batches)):
             return
-        # pairs of few documents at a time repeat their ids, which then take little room in a file
-        for own, d, s in _tiles(*sides, digits, WIDTH if k is None else None):
-            n, ids = len(s), d["id"]
-            if k is None or len(ids) <= k:
-                rows, cols = np.repeat(np.arange(n), len(ids)), np.tile(np.arange(len(ids)), n)
-            else:
-                falling = -np.where(np.isnan(s), -np.inf, s)
-                limit = np.partition(falling, k - 1, axis=1)[:, k - 1 : k]
-                rows, cols = np.nonzero(falling <= limit)
-                best = np.lexsort((cols, falling[rows, cols], rows))
-                rows, cols = rows[best], cols[best]
-                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                rows, cols = rows[first], cols[first]
-            out = {"query_id": pa.array(own["id"][rows]), "doc_id": pa.array(ids[cols]), "score": pa.array(s[rows, cols])}
+        every = k is None or len(sides[1]["id"]) <= k
+        for own, d, rows, cols, s in _pairs(*sides, digits) if every else _best_pairs(*sides, digits, k):
+            out = {"query_id": pa.array(own["id"][rows]), "doc_id": pa.array(d["id"][cols]), "score": pa.array(s)}
             if rel:
                 same = own["label"][rows] == d["label"][cols]
                 out["rel"] = pa.array(same.astype(np.int32), mask=~(own["known"][rows] & d["known"][cols]))
@@ -121,6 +141,19 @@ def _scoring(k: int | None, digits: int | None, rel: bool):
     return _typed(scored)
 
 
+def _best_pairs(q: dict[str, np.ndarray], d: dict[str, np.ndarray], digits: int | None, k: int) -> Iterator[tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of the k best documents of each query, of which there are more."""
+    for own, d, s in _tiles(q, d, digits):
+        falling = -np.where(np.isnan(s), -np.inf, s)
+        limit = np.partition(falling, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero(falling <= limit)
+        best = np.lexsort((cols, falling[rows, cols], rows))
+        rows, cols = rows[best], cols[best]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[first], cols[first]
+        yield own, d, rows, cols, s[rows, cols]
+
+
 def _typed(f: Callable) -> Callable:
     # the iterator form of applyInArrow is chosen by these annotations, which must be classes
     f.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}

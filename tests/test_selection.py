@@ -101,6 +101,20 @@ def test_pairs_repeat_ids_in_files(spark, tmp_path):
     assert m.num_rows == 1_200_000 and f.stat().st_size < 10 * m.num_rows
 
 
+def test_pairs_of_equal_scores_lie_side_by_side_in_files(spark, tmp_path):
+    """Scores that repeat, but are too many for a file's codes: a pair takes less than a score, and none is lost or changed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, v array<double>")
+    metrics.blocked_scores(d.where("doc_id < 400").withColumnRenamed("doc_id", "query_id"), d, digits=5).coalesce(1).write.parquet(f"{tmp_path}/out")
+    (f,) = (tmp_path / "out").glob("*.parquet")
+    got = pq.read_table(f).to_pandas().sort_values(["query_id", "doc_id"])
+    assert (got.query_id.to_numpy() == np.repeat(np.arange(400), 3_000)).all() and (got.doc_id.to_numpy() == np.tile(np.arange(3_000), 400)).all()
+    assert np.abs(got.score.to_numpy() - (x[:400] @ x.T).ravel()).max() < 0.51e-5
+    assert got.score.nunique() > 1 << 17 and f.stat().st_size < 6.5 * len(got)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 24, 1500])
 def test_first_relevant_matches_brute_force(spark, monkeypatch, block_bytes):
     """Ties, unknown labels, a query without a positive and one without a negative, scores that round up and that are no number."""
